@@ -106,6 +106,12 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def bounded_broadcast(df: DataFrame, lists: str, max_rows: int = 300_000, max_elements: int = 1_000_000) -> DataFrame:
+    """A broadcast hint if rows and the elements of a list column are few."""
+    rows, elements = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and elements <= max_elements else df
+
+
 def byte_texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

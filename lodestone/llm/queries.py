@@ -6,26 +6,81 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import table
+from lodestone.llm import decontam, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, warc
+from lodestone.llm.common import Scratch, table
 
 
-def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    from lodestone.llm import packing
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.write_bundles(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pieces_digest(pieces)
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.ngram_join import near_duplicates
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.find_licenses(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_packing": op7_packing,
-    "op9_ngram_join": op9_ngram_join,
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_exact_dedup, op3_quality, op4_warc, op5_toxicity,
+        op6_secrets, op7_packing, op8_decontamination, op9_ngram_join, op10_licenses,
+    )
+}
+
+# op1, op3, op5 to op10 have no SQL: their tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH t AS (
+          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+          FROM documents),
+        g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+        FROM t JOIN g USING (norm)""",
+    "op4_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        f AS (SELECT payload_digest AS d, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON payload_digest = d""",
 }
-ORACLE: dict[str, str] = {}

@@ -1,16 +1,22 @@
 """Exact set-similarity search over 64-bit token sets.
 
-Used by the line dedup and the n-gram join. The steps:
-
-1. ``rarity_codes``: how often tokens occur, as one byte for each of a fixed
-   number of hash buckets (the table never grows with the data).
-2. every set posts its rarest tokens only, as many as the prefix filter asks
-   for, in ``pack_postings`` form: bytes, dealt by token bucket.
-3. ``co_located``: sets that share a posted token get one ``root``, by
-   connecting each set of a list with the list's least set - linear in the
-   postings. All similar pairs lie within a root.
-4. ``blocks``: a root's sets meet in one task, or, if the root is large, its
-   blocks meet pairwise; ``search`` then counts overlaps.
+Used by the line dedup and the n-gram join. A set of ``n`` tokens must share
+at least ``T = ceil(percent * n / 100)`` tokens with any similar set. The steps:
+
+1. ``Counter`` / ``rarity_codes``: how often tokens occur, as one byte for each
+   of a fixed number of hash buckets (the table never grows with the data).
+2. Every set posts its rarest tokens: all but ``T - 1 - extra`` of them. Two
+   similar sets have at least ``extra`` or so of the posted tokens in common
+   (``least_shared``), so ``extra`` trades postings for a sharper filter.
+   ``pack_postings`` deals them as bytes, by token bucket.
+3. ``shared_lists`` keeps the inverted lists with two or more sets.
+4. ``co_located``: a set with too few posted tokens in such lists has no
+   similar set and goes. Of the rest, sets that share a posted token (and may
+   be similar by size) get one ``root``; each set of a list is tied to the
+   list's first set, so the work is linear in the postings. All similar pairs
+   lie within a root.
+5. ``blocks`` / ``meetings``: a root's sets meet in one task, or, if the root
+   is large, its blocks meet pairwise; ``search`` then counts overlaps.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, shuffle_width
@@ -32,6 +38,8 @@ SALTS = 32
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_500_000
 POSTINGS_PER_PARTITION = 1_000_000
+DEAL_POSTINGS = 2_000_000
+MAX_BROADCAST_SETS = 2_000_000
 U64 = np.uint64
 K1, K2, K3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -87,26 +95,52 @@ def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return (percent * n + 99) // 100
 
 
-def rarity_codes(rows: DataFrame, tokens_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> tuple[np.ndarray, int]:
-    """Log-scaled counts by token bucket, over all rows, and the least hot code.
+def posted(n: int, percent: int, share: int) -> int:
+    """Posted tokens of a set of ``n``, with ``extra = n // share``."""
+    return min(n, n - int(needed(n, percent)) + 1 + n // share)
 
-    ``tokens_of`` gives the token hashes of a batch. Every task counts into
-    one fixed array, sends it in slices, and the slices are summed on the
-    executors; the driver gets 1 byte for each of the 2**20 buckets. A code
-    is at least ``hot`` if its bucket holds far more than its share.
+
+def least_shared(n: Column, share: int) -> Column:
+    """Posted tokens that a set has in common with any similar set, at least.
+
+    One less than ``extra``, which covers the rounding where sizes differ.
     """
-    size = 1 << BUCKET_BITS
-    shift = U64(64 - BUCKET_BITS)
+    return F.greatest(F.lit(1), F.floor(n / share) - 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for h in tokens_of(b):
-                total += np.bincount((h >> shift).astype(np.int64), minlength=size)
-        if total.any():
-            narrow = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-            for k in range(0, size, SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([narrow[k : k + SLICE].tobytes()], pa.binary())], ["slice", "counts"])
+
+class Counter:
+    """Token counts by hash bucket, for one task."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(1 << BUCKET_BITS, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.held.append((h >> U64(64 - BUCKET_BITS)).astype(np.int64))
+        self.size += len(h)
+        if self.size > 1_000_000:
+            self._fold()
+
+    def _fold(self) -> None:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
+            self.held, self.size = [], 0
+
+    def slices(self) -> list[tuple[int, bytes]]:
+        self._fold()
+        narrow = np.minimum(self.total, 0xFFFFFFFF).astype("<u4")
+        return [(k // SLICE, narrow[k : k + SLICE].tobytes()) for k in range(0, len(narrow), SLICE)] if self.total.any() else []
+
+
+def rarity_codes(slices: DataFrame) -> tuple[np.ndarray, int]:
+    """``slices(slice int, counts binary)`` of all tasks to log-scaled counts.
+
+    Slices are summed on the executors; the driver gets 1 byte for each of
+    the 2**20 buckets. The second result is the least hot code: that of a
+    bucket which holds far more than its share.
+    """
+    size = 1 << BUCKET_BITS
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -120,7 +154,7 @@ def rarity_codes(rows: DataFrame, tokens_of: Callable[[pa.RecordBatch], Iterator
             code[some] = np.minimum(63, 1 + np.floor(2 * np.log2(s[some]))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([code.tobytes()], pa.binary()), pa.array([int(s.sum())], pa.int64())], ["slice", "codes", "total"])
 
-    parts = rows.mapInArrow(count, "slice int, counts binary").repartition(min(size // SLICE, shuffle_width(rows.sparkSession)), "slice")
+    parts = slices.select("slice", "counts").repartition(min(size // SLICE, shuffle_width(slices.sparkSession)), "slice")
     codes, total = np.zeros(size, np.uint8), 0
     for r in parts.mapInArrow(merge, "slice int, codes binary, total long").collect():  # 64 rows of 16 KB
         codes[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["codes"], np.uint8)
@@ -129,69 +163,163 @@ def rarity_codes(rows: DataFrame, tokens_of: Callable[[pa.RecordBatch], Iterator
     return codes, hot
 
 
-def ordered_keys(h: np.ndarray, codes: np.ndarray, shift: int = 6) -> np.ndarray:
-    """Tokens as numbers whose order is rarest first: code, then hash."""
-    return (codes[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(64 - shift)) | (h >> U64(shift))
+def ordered_keys(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Tokens as numbers whose order is rarest first: 6 bits of code, then hash."""
+    return (codes[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6))
 
 
 def pack_postings(keys: np.ndarray, ids: np.ndarray, n_buckets: int, hot: int) -> Iterator[tuple[int, bytes]]:
     """Postings (token, set) as bytes for each bucket that has any.
 
-    A hot token's postings are dealt to ``SALTS`` buckets by set.
+    Within a bucket 32 bits tell tokens apart (the lowest marks hot ones);
+    tokens that still fall together only make the filter a little coarser. A
+    hot token's postings are dealt to ``SALTS`` buckets by set.
     """
     with np.errstate(over="ignore"):
-        at = mix(keys)
+        mixed = mix(keys)
+        at = mixed
         salted = (keys >> U64(58)) >= U64(hot)
         if salted.any():
-            at = np.where(salted, mix(at + (mix(ids) % U64(SALTS)) + U64(1)), at)
-    bucket = (at % U64(n_buckets)).astype(np.int64)
+            at = np.where(salted, mix(mixed + (mix(ids) % U64(SALTS)) + U64(1)), mixed)
+    token = ((mixed >> U64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | salted.astype(np.uint32)
+    bucket = (at % U64(n_buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, ids = bucket[order], keys[order], ids[order]
+    bucket, token, ids = bucket[order], token[order], ids[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]):
-        yield int(bucket[lo]), keys[lo:hi].tobytes() + ids[lo:hi].tobytes()
+        yield int(bucket[lo]), packed(token[lo:hi], ids[lo:hi])
+
+
+def packed(token: np.ndarray, ids: np.ndarray) -> bytes:
+    return ids.astype("<u8").tobytes() + token.astype("<u4").tobytes()
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and sets of several blobs."""
+    sizes = [len(x) // 12 for x in blobs]
+    ids = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(blobs, sizes)])
+    token = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(blobs, sizes)])
+    return token, ids
+
+
+class Dealer:
+    """Gathers the posted keys of sets and packs them, a few million at a time."""
+
+    def __init__(self, n_buckets: int, hot: int):
+        self.n_buckets, self.hot = n_buckets, hot
+        self.keys: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.size += len(keys)
+        if self.size >= DEAL_POSTINGS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            got = list(pack_postings(np.concatenate(self.keys), np.concatenate(self.ids), self.n_buckets, self.hot))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "postings"])
+        self.keys, self.ids, self.size = [], [], 0
+
+
+def shared_lists(dealt: DataFrame, n_postings: int) -> DataFrame:
+    """Of ``dealt(bucket int, postings binary)``, the lists with several sets.
+
+    One row for each bucket. A bucket is one task's work at a time; the
+    numbers of buckets and partitions follow the number of postings, so a
+    bucket's arrays stay small.
+    """
+    width = max(shuffle_width(dealt.sparkSession), -(-n_postings // POSTINGS_PER_PARTITION))
+
+    def shared(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
+        token, ids = unpacked(blobs)
+        order = np.lexsort((ids, token))
+        token, ids = token[order], ids[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
+        token, ids = token[fresh], ids[fresh]
+        same = token[1:] == token[:-1]
+        keep = np.r_[False, same] | np.r_[same, False] | (token & 1).astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(token[keep], ids[keep])], pa.binary())], ["bucket", "postings"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), held in grouped(batches, 1):
+            yield shared(bucket, [x for (x,) in held])
+
+    return dealt.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lists, "bucket int, postings binary")
 
 
-def co_located(packed: DataFrame, n_postings: int, hot: int, scratch: Scratch) -> DataFrame:
-    """``packed(bucket int, postings binary)`` to ``(id long, root long)``.
+def list_edges(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Edges that tie the sets of each list together, as two columns.
 
-    A bucket is one task's work at a time; the number of partitions follows
-    the number of postings, so a bucket's arrays stay small. Sets without a
-    neighbour don't come back.
+    A list is sorted by size and cut where the next size is too large to be
+    similar; each part's sets are tied to its first. The parts of a hot
+    token, whose list lies in several buckets, meet at a node of their own.
     """
-    spark = packed.sparkSession
-    width = max(shuffle_width(spark), -(-n_postings // POSTINGS_PER_PARTITION))
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(blobs: list[bytes]) -> pa.RecordBatch:
-            halves = [len(x) // 2 for x in blobs]
-            keys = np.concatenate([np.frombuffer(x, "<u8", h // 8) for x, h in zip(blobs, halves)])
-            ids = np.concatenate([np.frombuffer(x, "<u8", h // 8, h) for x, h in zip(blobs, halves)])
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            other = ids != pivot
-            a, b = ids[other], pivot[other]
-            split = first & ((keys >> U64(58)) >= U64(hot))
-            if split.any():  # lists in several buckets meet at a node of their own
-                a, b = np.r_[a, ids[split]], np.r_[b, mix(keys[split] ^ K1)]
-            both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), U64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64).copy()), pa.array(both[:, 1].view(np.int64).copy())], ["a", "b"])
-
-        now, held = None, []
+    order = np.lexsort((ids, sizes, token))
+    token, ids, sizes = token[order], ids[order], sizes[order]
+    fresh = np.r_[True, token[1:] != token[:-1]]
+    hot = (token & 1).astype(bool)
+    first = fresh | (np.r_[False, 100 * sizes[:-1] < percent * sizes[1:]] & ~hot)
+    pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    a, b = ids, pivot
+    ends = fresh & hot
+    if ends.any():
+        a, b = np.r_[a, ids[ends]], np.r_[b, mix(token[ends].astype(U64) ^ K1)]
+    other = a != b
+    return np.unique(np.stack([a[other], b[other]], 1), axis=0)
+
+
+def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int, scratch: Scratch) -> DataFrame:
+    """``shared`` lists and ``classes(sid, n)`` to ``(id long, root long)``."""
+    spark = shared.sparkSession
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != now and held:
-                    yield edges(held)
-                    held = []
-                now = k
-                held.append(x)
-        if held:
-            yield edges(held)
-
-    dealt = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(stars, "a long, b long")
+            if b.num_rows:
+                ids, n = np.unique(unpacked(b.column(0).to_pylist())[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["sid", "c"])
+
+    counts = shared.select("postings").mapInArrow(tally, "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
+    alive = classes.select("sid", "n").join(counts, "sid").where(F.col("c") >= least_shared(F.col("n"), share)).select("sid", "n")
+    alive = scratch.save(alive, "alive")
+
+    def out(found: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b"])
+
+    if alive.count() <= MAX_BROADCAST_SETS:
+        got = alive.toPandas().sort_values("sid")
+        table = spark.sparkContext.broadcast((got["sid"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
+
+        def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sids, ns = table.value
+            for b in batches:
+                for blob in b.column(0).to_pylist():
+                    token, ids = unpacked([blob])
+                    if len(token) and len(sids):
+                        at = np.minimum(np.searchsorted(sids, ids.view(np.int64)), len(sids) - 1)
+                        live = sids[at] == ids.view(np.int64)
+                        yield out(list_edges(token[live], ids[live], ns[at[live]], percent)) if live.any() else out(np.zeros((0, 2), U64))
+
+        edges = shared.select("postings").mapInArrow(edges_of, "a long, b long")
+    else:  # more sets than may be broadcast: join them to the postings
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    token, ids = unpacked([blob])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(token.astype(np.int64)), pa.array(ids.view(np.int64))], ["bucket", "token", "sid"])
+
+        def joined_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, held in grouped(batches, 1):
+                token, sid, n = (np.array(c, np.int64) for c in zip(*held))
+                yield out(list_edges(token.astype(np.uint32), sid.view(U64), n, percent))
+
+        live = shared.mapInArrow(rows_of, "bucket int, token long, sid long").join(alive, "sid")
+        edges = live.select("bucket", "token", "sid", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined_edges, "a long, b long")
     return connected_components(edges, scratch, "near")
 
 
@@ -282,6 +410,8 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None, linked
         cand = np.flatnonzero(count >= max(1, t - n_long))
         other = sizes[cand]
         cand = cand[(100 * other >= percent * n) & (100 * n >= percent * other)]
+        # positional filter: what is left after the short lists must suffice
+        cand = cand[(100 + percent) * (count[cand] + n_long) >= percent * (n + sizes[cand])]
         if side is not None:
             cand = cand[side[cand] != side[q]]
         cand = cand[known(q, cand)]
