@@ -136,14 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, max_eac
     sample = texts.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, words array<string>")
     n, ones = picks.agg(F.count("*"), F.sum("label")).first()
     ones = ones or 0
-    if not ones or ones == n:
+    if not ones or ones == n:  # one class only
         p = (ones + 1) / (n + 2)
         return Model({}, float(np.log(p / (1 - p))))
     counts = sample.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
     zeros = n - ones
     share = (F.col("p") + F.col("q")) / F.lit(n)
     strength = F.abs(F.col("p") / ones - F.col("q") / zeros) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros) + 1e-12)
-    best = counts.where("p + q >= 5").withColumn("z", strength).where("z >= 4").orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()  # at most max_words
+    best = counts.where(F.col("p") >= max(3, 0.01 * ones)).withColumn("z", strength).where("z >= 4").orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()  # at most max_words
     terms = {t for g in IDENTITY_TERMS for t in g}
     vocabulary = sorted({r["w"] for r in best} | terms)
     narrow = sample.select("label", F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("words")).collect()  # the bounded sample, vocabulary words only
