@@ -1,10 +1,645 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries and their DuckDB oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone import fixtures as fx
+from lodestone.functions import fetching, html, postings, scoring, skills, urls
+from lodestone.operators import frontier as fr
+from lodestone.operators import matching, robots, schedule, tables
+from lodestone.plans import bfs, crawl
+from lodestone.plans.spec import CareerSpec, CrawlSpec
+from lodestone.sources import export, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+# --- pages: URLs, links, listings --------------------------------------------
+
+KEPT = "list_filter(string_split(q, '&'), lambda p: trim(p) <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid','gclid','mc_cid','mc_eid','ref','ref_src'))"
+
+
+def canonical_sql(source: str, url: str, keys: str) -> str:
+    """Oracle for absolute URLs: ``keys``, ``canonical`` over a table expression."""
+    u = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
+    return f"""
+      SELECT {keys}, s || '://' || h || p || CASE WHEN length(qq) > 0 THEN '?' || qq ELSE '' END AS canonical
+      FROM (SELECT *, replace(array_to_string(list_sort({KEPT}), '&'), '%', '%25') AS qq
+            FROM (SELECT *, lower(regexp_extract({url}, {u}, 1)) AS s, lower(regexp_extract({url}, {u}, 2)) AS h,
+                  CASE WHEN regexp_extract({url}, {u}, 3) = '' THEN '/' ELSE replace(regexp_replace(regexp_extract({url}, {u}, 3), '/+', '/', 'g'), '%', '%25') END AS p,
+                  substr(regexp_extract({url}, {u}, 4), 2) AS q FROM {source}))"""
+
+
+HREFS = """regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""
+
+
+@query(
+    f"""
+    SELECT canonical, page_id, title, body_sha256, outbound_links
+    FROM ({canonical_sql('pages', 'url', "page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, sha256(html) AS body_sha256, CAST(len(list_distinct(" + HREFS + ")) AS INTEGER) AS outbound_links")})"""
+)
+def page_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: pages by canonical URL with title, fingerprint and links."""
+    out = read(spark, sf_dir, "pages").select(
+        urls.canonical(F.col("url")).alias("canonical"), "page_id", html.simple_tag(F.col("html"), "title").alias("title"),
+        scoring.fingerprint(F.col("html")).alias("body_sha256"), F.size(F.array_distinct(html.hrefs(F.col("html")))).alias("outbound_links"),
+    )
+    return out.orderBy("canonical", "page_id")
+
+
+@query(canonical_sql("pages", "url", "page_id, url"))
+def url_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", "url", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query(fx.RELATIVE.select())
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative, malformed and rejected links against a base."""
+    return fx.RELATIVE.frame(spark).select("id", "base", "raw", urls.canonicalize("base", "raw").alias("canonical"))
+
+
+@query(canonical_sql("pages", "url", "page_id, url"))
+def url_canonicalize_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general form agrees with the native one on absolute URLs."""
+    return read(spark, sf_dir, "pages").select("page_id", "url", urls.canonicalize(F.lit(None).cast("string"), "url").alias("canonical"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN s = '' THEN NULL ELSE CASE WHEN port IS NOT NULL THEN port WHEN s = 'https' THEN 443 ELSE 80 END END AS port,
+         CASE WHEN s <> '' THEN s || '://' || lower(split_part(a, ':', 1)) || CASE WHEN port IS NOT NULL THEN ':' || port ELSE '' END END AS origin,
+         CASE WHEN s <> '' THEN s || '://' || a END AS limiter_key,
+         CASE WHEN s <> '' THEN CASE WHEN p = '' THEN '/' ELSE p END || q END AS target
+       FROM (SELECT id, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS a,
+               TRY_CAST(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INTEGER) AS port,
+               regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[a-z]+://[^?#]*(\\?[^#]*)', 1) AS q FROM {fx.PORTS.sql()})"""
+)
+def url_parts_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    ok = urls.scheme(u) != ""
+    return fx.PORTS.frame(spark).select(
+        "id", F.when(ok, urls.effective_port(u)).alias("port"), F.when(ok, urls.origin(u)).alias("origin"), F.when(ok, urls.limiter_key(u)).alias("limiter_key"), F.when(ok, urls.robots_target(u)).alias("target")
+    )
+
+
+@query(
+    f"""SELECT canonical, min(page_id) AS page_id FROM (
+        {canonical_sql("(SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_campaign=x' FROM pages)", "url", "page_id")}) GROUP BY canonical"""
+)
+def url_canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of each canonical URL, with tracking variants added."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    u = F.split_part("url", F.lit("#"), F.lit(1))
+    variant = pages.select((F.col("page_id") + 1000000).alias("page_id"), F.concat(u, F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_campaign=x")).alias("url"))
+    both = pages.unionByName(variant).select(urls.canonical(F.col("url")).alias("canonical"), "page_id")
+    return tables.keep_first(both, ["canonical"], ["page_id"]).select("canonical", "page_id")
+
+
+HOST_SQL = "regexp_extract({u}, '^[a-z]+://([^/?#:]*)', 1)"
+
+
+@query(
+    f"""SELECT a.page_id AS a_id, b.page_id AS b_id, {HOST_SQL.format(u='a.url')} = {HOST_SQL.format(u='b.url')} AND split_part(a.url, ':', 1) = split_part(b.url, ':', 1) AS strict,
+          (ha = hb OR ends_with(ha, '.' || hb) OR ends_with(hb, '.' || ha)) AS wide
+        FROM (SELECT page_id, url, regexp_replace({HOST_SQL.format(u='url')}, '^www\\.', '') AS ha FROM pages) a
+        JOIN (SELECT page_id, url, regexp_replace({HOST_SQL.format(u='url')}, '^www\\.', '') AS hb FROM pages) b ON b.page_id = a.page_id + 1"""
+)
+def host_boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "pages").select(F.col("page_id").alias("a_id"), F.col("url").alias("a"))
+    b = read(spark, sf_dir, "pages").select(F.col("page_id").alias("b_id"), F.col("url").alias("b"))
+    return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", urls.same_host(F.col("a"), F.col("b")).alias("strict"), urls.same_organization(F.col("a"), F.col("b")).alias("wide"))
+
+
+@query(
+    f"""SELECT id, ha = hb AND pa = pb AS strict,
+          regexp_replace(ha, '^www\\.', '') = regexp_replace(hb, '^www\\.', '') OR ends_with(regexp_replace(ha, '^www\\.', ''), '.' || regexp_replace(hb, '^www\\.', '')) OR ends_with(regexp_replace(hb, '^www\\.', ''), '.' || regexp_replace(ha, '^www\\.', '')) AS wide,
+          regexp_matches(hb, '(^|\\.)(greenhouse\\.io|lever\\.co|myworkdayjobs\\.com|ashbyhq\\.com|smartrecruiters\\.com|icims\\.com|jobvite\\.com|workable\\.com)$') AS ats, regexp_replace(hb, '^www\\.', '') AS company
+        FROM (SELECT id, lower({HOST_SQL.format(u='a')}) AS ha, lower({HOST_SQL.format(u='b')}) AS hb,
+               coalesce(TRY_CAST(nullif(regexp_extract(a, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INT), CASE WHEN starts_with(a, 'https') THEN 443 ELSE 80 END) AS pa,
+               coalesce(TRY_CAST(nullif(regexp_extract(b, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INT), CASE WHEN starts_with(b, 'https') THEN 443 ELSE 80 END) AS pb FROM {fx.HOSTS.sql()})"""
+)
+def org_boundary_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return fx.HOSTS.frame(spark).select("id", urls.same_host(a, b).alias("strict"), urls.same_organization(a, b).alias("wide"), urls.is_ats(b).alias("ats"), F.lower(urls.company_of(b)).alias("company"))
+
+
+@query("SELECT * FROM (VALUES (1,true,true),(2,true,true),(3,false,true),(4,true,true),(5,false,false),(6,false,false),(7,true,true),(8,true,true),(9,true,true),(10,false,false),(11,true,true)) t(id, follow, redirect)")
+def career_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c, x, a = (F.col(n) for n in ("seed", "cur", "candidate", "anchor"))
+    return fx.CAREER_LINKS.frame(spark).select("id", urls.career_follow(s, c, x, a).alias("follow"), urls.career_redirect(s, x).alias("redirect"))
+
+
+@query(f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href FROM (SELECT page_id, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) AS pos FROM pages)")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
+
+
+@query(f"SELECT page_id, CAST(len(list_distinct({HREFS})) AS INTEGER) AS outbound_links FROM pages")
+def outbound_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the general link extractor and the strict host filter."""
+    links = F.filter(html.resolved_links("url", "html"), lambda x: urls.same_host(F.col("url"), x["url"]))
+    return read(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(F.transform(links, lambda x: x["url"]))).alias("outbound_links"))
+
+
+@query("SELECT page_id, sha256(html) AS body_sha256, octet_length(encode(html)) <= 1500000 AS within_cap FROM pages")
+def page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", scoring.fingerprint(F.col("html")).alias("body_sha256"), fetching.within_cap(F.col("html")).alias("within_cap"))
+
+
+@query("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 100")
+def page_listing_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the listing; the limit is the feature."""
+    return tables.listing(read(spark, sf_dir, "pages").select("page_id", "url"), ["url", "page_id"], 100)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE substr(text, 1, 600) || '…' END AS preview FROM documents")
+def page_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", scoring.preview(F.col("text")).alias("preview"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h1,
+          coalesce(nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)), ''), '') AS heading FROM pages""")
+def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h = html.simple_tag(F.col("html"), "title"), html.simple_tag(F.col("html"), "h1")
+    return read(spark, sf_dir, "pages").select("page_id", t.alias("title"), h.alias("h1"), scoring.first_non_blank(h, t).alias("heading"))
+
+
+@query(f"SELECT id, title, h1, text FROM {fx.HTML_TEXTS.sql()}")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = html.page_parts("html")
+    return fx.HTML_TEXTS.frame(spark).select("id", p.alias("p")).select("id", "p.title", "p.h1", "p.text")
+
+
+@query()
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body text of every page (a parser's result; no SQL form)."""
+    p = html.page_parts("html")
+    return read(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", "p.title", "p.text", F.size("p.links").alias("links"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN id = 25 THEN NULL ELSE id IN (1,2,4,5,6,8,9,10,16,17,18,19,20,23) END AS blocked,
+               CASE WHEN id = 25 THEN NULL ELSE id IN (1,2,4,5,6,8,9,10,12,13,14,15,16,17,18,19,20,21,23) END AS blocked_strict FROM {fx.ADDRESSES.sql()}"""
+)
+def ssrf_ip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.ADDRESSES.frame(spark).select("id", urls.private_address(F.col("ip")).alias("blocked"), urls.private_address(F.col("ip"), strict=True).alias("blocked_strict"))
+
+
+# --- robots -------------------------------------------------------------------
+
+
+@query(fx.ROBOTS_RULES.select())
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.rules_of(fx.ROBOTS_FILES.frame(spark).select("origin", "body"), fx.AGENT).select("origin", "allow", "path", "specificity")
+
+
+@query(fx.ROBOTS_DELAYS.select())
+def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.delays_of(fx.ROBOTS_FILES.frame(spark).select("origin", "body"), fx.AGENT)
+
+
+@query(fx.ROBOTS_REQUESTS.select())
+def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests joined to the policy of their origin, then arg-max of the rules."""
+    p = robots.policies_of(fx.ROBOTS_FILES.frame(spark), fx.AGENT).withColumnRenamed("origin", "o")
+    r = fx.ROBOTS_REQUESTS.frame(spark).select("id", "url")
+    j = r.join(p, urls.origin(F.col("url")) == F.col("o"), "left")
+    return j.select("id", "url", robots.allows(F.col("block_all"), F.col("rules"), urls.robots_target(F.col("url"))).alias("allowed"))
+
+
+@query("""SELECT page_id, NOT (regexp_matches(t, '^/(en|fr)/[0-9]+\\?') OR (regexp_matches(t, '^/de/') AND NOT ends_with(t, '.html'))) AS allowed
+          FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS t FROM pages)""")
+def robots_decide_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One policy for all origins of the page table, decided for every page."""
+    body = "User-agent: *\nDisallow: /en/*?\nDisallow: /fr/*?\nDisallow: /de/\nAllow: /de/*.html$\n"
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.origin(F.col("url")).alias("origin"))
+    p = robots.policies_of(pages.select("origin").distinct().select("origin", F.lit(200).alias("status"), F.lit(body).alias("body")), fx.AGENT)
+    return pages.join(p, "origin").select("page_id", robots.allows(F.col("block_all"), F.col("rules"), urls.robots_target(F.col("url"))).alias("allowed"))
+
+
+@query("""SELECT user_id AS origin, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events
+          WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 900 SECOND) WHERE r = 1""")
+def robots_cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as cached files: the latest fresh one of each origin."""
+    ev = read(spark, sf_dir, "events").select(F.col("user_id").alias("origin"), "event_id", F.struct("ts", "event_id").alias("at"), F.col("ts").alias("fetched_at"))
+    top = ev.agg(F.max("fetched_at").alias("now"))
+    rows = ev.join(F.broadcast(top))  # one row
+    return robots.fresh(rows.drop("at"), F.col("now")).select("origin", "event_id")
+
+
+# --- fetch, retry, rate -------------------------------------------------------
+
+
+@query(f"""SELECT id, CASE WHEN error IS NOT NULL THEN CASE WHEN error IN ('blocked','unsafe') THEN 'SKIPPED' WHEN error IN ('io','retryable') THEN CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'RETRY' END ELSE 'FAILED' END
+            WHEN status IN (408,425,429) OR status >= 500 THEN CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'RETRY' END WHEN status NOT BETWEEN 200 AND 299 THEN 'FAILED'
+            WHEN contains(k, 'text/html') OR contains(k, 'application/xhtml+xml') THEN 'DONE' ELSE 'SKIPPED' END AS state,
+          CASE WHEN error IS NULL THEN CASE WHEN status IN (408,425,429) OR status >= 500 OR status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status
+            WHEN NOT (contains(k, 'text/html') OR contains(k, 'application/xhtml+xml')) THEN 'Unsupported content type: ' || k END END AS message
+        FROM (SELECT *, lower(coalesce(content_type, 'application/octet-stream')) AS k FROM {fx.RESPONSES.sql()})""")
+def fetch_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = fetching.content_type(F.col("content_type"))
+    by_error = fetching.error_state(F.col("error"), F.col("attempts"))
+    state = F.when(F.col("error").isNotNull(), by_error).otherwise(fetching.outcome(F.col("status"), k, F.col("attempts")))
+    message = F.when(F.col("error").isNull(), fetching.outcome_message(F.col("status"), k))
+    return fx.RESPONSES.frame(spark).select("id", state.alias("state"), message.alias("message"))
+
+
+@query(f"""SELECT id, CAST(least(60, greatest(ra, 2 * pow(2, greatest(0, attempts - 1)))) AS BIGINT) AS wait_s, ra AS retry_after_s
+           FROM (SELECT id, attempts, greatest(0, coalesce(TRY_CAST(trim(retry_after) AS BIGINT), 0)) AS ra FROM {fx.RESPONSES.sql()})""")
+def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ra = scoring.retry_after(F.col("retry_after"))
+    return fx.RESPONSES.frame(spark).select("id", scoring.backoff_seconds(F.col("attempts"), ra).alias("wait_s"), ra.alias("retry_after_s"))
+
+
+@query("SELECT * FROM (VALUES (1,'Redirect left the careers site or supported ATS hosts'),(2,'Redirect left the permitted host'),(3,'Blocked by robots.txt'),(4,NULL),(5,NULL),(6,'Blocked by robots.txt')) t(id, reason)")
+def redirect_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, True, False, False, False, False), (2, False, True, True, False, True), (3, False, True, True, True, False), (4, True, False, True, False, True), (5, False, False, False, False, True), (6, True, False, True, False, False)]
+    df = spark.createDataFrame(rows, "id int, career boolean, same_host_only boolean, redirect_ok boolean, same_host boolean, robots_ok boolean")
+    return df.select("id", fetching.block_reason(*(F.col(c) for c in df.columns[1:])).alias("reason"))
+
+
+@query("SELECT * FROM (VALUES (1,'é'),(2,'é'),(3,'é'),(4,'plain'),(5,'é')) t(id, body)")
+def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "é".encode("latin-1"), "text/html; charset=ISO-8859-1"), (2, "é".encode(), None), (3, "é".encode(), 'text/html; charset="utf-8"'), (4, b"plain", "text/html; charset=nope"), (5, "é".encode("utf-16-be"), "text/html;charset=utf-16be")]
+    df = spark.createDataFrame(rows, "id int, raw binary, kind string")
+    return df.select("id", web.decode_body(F.col("raw"), F.col("kind")).alias("body"))
+
+
+LIMITER = "SELECT event_id, user_id, epoch_us(ts) AS t, greatest(CAST(floor(1000000 / greatest(0.1, (1 + event_id % 4) / 4000.0)) AS BIGINT), CAST(event_id % 7 AS BIGINT) * 1000000) AS step FROM events"
+
+
+@query(f"""SELECT event_id, slot_us, slot_us - t AS wait_us FROM (SELECT *, s + max(t - s) OVER (PARTITION BY user_id ORDER BY t, event_id) AS slot_us
+           FROM (SELECT *, coalesce(sum(step) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ({LIMITER})))""".replace("slot_us, slot_us - t AS wait_us", "CAST(slot_us AS BIGINT) AS slot_us, CAST(slot_us - t AS BIGINT) AS wait_us"))
+def rate_limit_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = limiter_requests(read(spark, sf_dir, "events"))
+    return schedule.slots(rows, "user_id", "t_us", "step_us", ["t_us", "event_id"]).select("event_id", "slot_us", "wait_us")
+
+
+def limiter_requests(events: DataFrame) -> DataFrame:
+    """Events as requests, with a rate and a robots delay made from their id."""
+    rate = (1 + F.col("event_id") % 4) / 4000.0
+    return events.select("event_id", "user_id", micros("ts").alias("t_us"), schedule.interval_us(rate, (F.col("event_id") % 7) * 1000).alias("step_us"))
+
+
+@query(f"""SELECT event_id, CAST(slot_us AS BIGINT) AS slot_us FROM (SELECT *, s + max(t - s) OVER (PARTITION BY user_id ORDER BY t, event_id) AS slot_us
+           FROM (SELECT *, coalesce(sum(step) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ({LIMITER})))""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.streaming import stateful
+
+    rows = limiter_requests(stateful.read_table(spark, sf_dir, "events")).select(F.col("user_id").alias("origin"), F.col("event_id").alias("seq"), "t_us", "step_us")
+    return stateful.drain(stateful.limiter_slots(rows)).select(F.col("seq").alias("event_id"), "slot_us")
+
+
+# --- frontier -----------------------------------------------------------------
+
+STATES = "(CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RETRY' WHEN 'purchase' THEN 'FETCHING' WHEN 'signup' THEN 'DONE' ELSE 'FAILED' END)"
+FRONTIER = f"(SELECT event_id AS id, user_id % 20 AS job_id, CAST(event_id % 5 AS INTEGER) AS depth, {STATES} AS status, CAST(event_id % 4 AS INTEGER) AS attempts, epoch_us(ts) AS due FROM events)"
+AS_OF = "1704500000000000"
+
+
+def frontier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frontier rows; due times in microseconds."""
+    return read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("job_id"), (F.col("event_id") % 5).cast("int").alias("depth"),
+        F.expr(STATES).alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"), F.col("ts").cast("timestamp").alias("next_attempt_at"),
+    )
+
+
+def as_of() -> Column:
+    return F.timestamp_micros(F.lit(int(AS_OF)))
+
+
+@query(f"SELECT id, job_id FROM {FRONTIER} WHERE status IN ('PENDING','RETRY') AND due <= {AS_OF}")
+def frontier_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.ready(frontier_table(spark, sf_dir), as_of()).select("id", "job_id")
+
+
+@query(f"SELECT id, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY depth, id) AS INTEGER) AS claim FROM {FRONTIER} WHERE status IN ('PENDING','RETRY') AND due <= {AS_OF}")
+def frontier_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.claim_order(frontier_table(spark, sf_dir), as_of()).select("id", "job_id", "claim")
+
+
+@query(f"SELECT id, job_id, 'FETCHING' AS status, attempts + 1 AS attempts FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY depth, id) AS r FROM {FRONTIER} WHERE status IN ('PENDING','RETRY') AND due <= {AS_OF}) WHERE r = 1")
+def frontier_claim_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.claim(frontier_table(spark, sf_dir), as_of()).select("id", "job_id", "status", "attempts")
+
+
+@query(f"SELECT job_id, count(*) FILTER (WHERE status IN ('PENDING','RETRY','FETCHING')) AS outstanding, min(due) FILTER (WHERE status IN ('PENDING','RETRY')) AS next_us FROM {FRONTIER} GROUP BY job_id")
+def frontier_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.outstanding(frontier_table(spark, sf_dir)).select("job_id", "outstanding", F.unix_micros("next_at").alias("next_us"))
+
+
+@query(f"SELECT id, CASE WHEN status = 'FETCHING' THEN 'RETRY' ELSE status END AS status, attempts, CASE WHEN status = 'FETCHING' THEN {AS_OF} ELSE due END AS due_us FROM {FRONTIER}")
+def frontier_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.requeue(frontier_table(spark, sf_dir), as_of()).select("id", "status", "attempts", F.unix_micros("next_attempt_at").alias("due_us"))
+
+
+RESULTS_SQL = "SELECT event_id AS id, CAST(1 + event_id % 3 AS INTEGER) AS attempts, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 200 END AS st, CASE event_id % 6 WHEN 4 THEN 'image/png' ELSE 'text/html' END AS ct, CASE event_id % 6 WHEN 5 THEN 'io' END AS er, CAST(event_id % 90 AS VARCHAR) AS ra, epoch_us(ts) AS due FROM events"
+
+
+@query(f"""SELECT id, state, CASE WHEN state = 'RETRY' THEN {AS_OF} + 1000000 * CAST(least(60, greatest(CASE WHEN er IS NULL THEN CAST(ra AS BIGINT) ELSE 0 END, 2 * pow(2, attempts - 1))) AS BIGINT) ELSE due END AS due_us,
+             CASE WHEN er IS NOT NULL THEN er WHEN st IN (503, 429, 404) THEN 'HTTP ' || st WHEN ct = 'image/png' THEN 'Unsupported content type: image/png' END AS last_error
+           FROM (SELECT *, CASE WHEN er IS NOT NULL OR st IN (503, 429) THEN CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'RETRY' END WHEN st = 404 THEN 'FAILED' WHEN ct = 'image/png' THEN 'SKIPPED' ELSE 'DONE' END AS state FROM ({RESULTS_SQL}))""")
+def frontier_after_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a frontier row with a fetch result."""
+    k = F.col("event_id") % 6
+    rows = read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (1 + F.col("event_id") % 3).cast("int").alias("attempts"), F.lit("FETCHING").alias("status"), F.col("ts").cast("timestamp").alias("next_attempt_at"),
+        F.when(k.isin(0, 4), 200).when(k == 1, 503).when(k == 2, 404).when(k == 3, 429).alias("http_status"), F.when(k == 4, "image/png").otherwise("text/html").alias("content_type"),
+        F.when(k == 5, "io").alias("error"), (F.col("event_id") % 90).cast("string").alias("retry_after"),
+    )
+    out = fr.after_fetch(rows, as_of())
+    return out.select("id", F.col("status").alias("state"), F.unix_micros("next_attempt_at").alias("due_us"), "last_error")
+
+
+JOBS_SQL = "(SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PAUSED' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'CANCELLED' ELSE 'FAILED' END AS status FROM customer)"
+
+
+def jobs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as crawl jobs."""
+    k = F.col("c_custkey") % 6
+    status = F.when(k == 0, "QUEUED").when(k == 1, "RUNNING").when(k == 2, "PAUSED").when(k == 3, "COMPLETED").when(k == 4, "CANCELLED").otherwise("FAILED")
+    none = F.lit(None).cast("timestamp")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), status.alias("status"), none.alias("started_at"), none.alias("completed_at"), F.timestamp_seconds(F.col("c_custkey")).alias("created_at"))
+
+
+@query(f"""SELECT j.id, j.status, coalesce(p.n, 0) AS pages_crawled, coalesce(f.n, 0) AS pages_failed FROM {JOBS_SQL} j
+           LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) p ON p.o_custkey = j.id
+           LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = j.id""")
+def count_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for pages, and by their status for failed frontier rows."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "FAILED").otherwise("DONE").alias("status"))
+    return fr.refreshed_counts(jobs_table(spark, sf_dir), orders, orders).select("id", "status", "pages_crawled", "pages_failed")
+
+
+ACTIONS = {
+    "run": (("QUEUED", "RUNNING", "PAUSED", "FAILED"), "RUNNING"), "pause": (("RUNNING", "QUEUED"), "PAUSED"), "resume": (("PAUSED", "FAILED"), "QUEUED"),
+    "cancel": (("QUEUED", "RUNNING", "PAUSED", "FAILED"), "CANCELLED"), "complete": (("RUNNING",), "COMPLETED"), "fail": (("RUNNING", "QUEUED"), "FAILED"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS action, id, CASE WHEN status IN {ok} THEN '{to}' ELSE status END AS status, status IN {ok} AND '{to}' IN ('COMPLETED','CANCELLED','FAILED') AS ended FROM {JOBS_SQL}".replace(",)", ")") for a, (ok, to) in ACTIONS.items()))
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, out = jobs_table(spark, sf_dir), None
+    for a in ACTIONS:
+        rows = fr.job_after(jobs, a, as_of()).select(F.lit(a).alias("action"), "id", "status", F.col("completed_at").isNotNull().alias("ended"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"SELECT id, status FROM {JOBS_SQL} WHERE status IN ('QUEUED','RUNNING') AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def recovery_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumable jobs without an active worker."""
+    active = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("job_id"))
+    return fr.launchable(jobs_table(spark, sf_dir), active).select("id", "status")
+
+
+MOVES = {"view": "FETCHING", "click": "DONE", "purchase": "RETRY", "signup": "FETCHING", "error": "FAILED"}
+
+
+@query("SELECT user_id AS key, max_by(event_type, event_id) AS last_type, max(event_id) AS seq FROM events GROUP BY user_id")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events")
+    return tables.latest(ev, ["user_id"], ["event_id"]).select(F.col("user_id").alias("key"), F.col("event_type").alias("last_type"), F.col("event_id").alias("seq"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r,
+              CASE event_type WHEN 'view' THEN 'FETCHING' WHEN 'click' THEN 'DONE' WHEN 'purchase' THEN 'RETRY' WHEN 'signup' THEN 'FETCHING' ELSE 'FAILED' END AS mv FROM events),
+            s AS (SELECT key, CAST(0 AS BIGINT) AS r, 'PENDING' AS st, 0 AS att, 0 AS ref FROM (SELECT DISTINCT key FROM e)
+              UNION ALL SELECT s.key, e.r, CASE WHEN ok THEN mv ELSE st END, att + CASE WHEN ok AND mv = 'FETCHING' THEN 1 ELSE 0 END, ref + CASE WHEN ok THEN 0 ELSE 1 END
+              FROM s JOIN e ON e.key = s.key AND e.r = s.r + 1,
+              LATERAL (SELECT (st IN ('PENDING','RETRY') AND mv = 'FETCHING') OR (st = 'FETCHING' AND mv <> 'FETCHING') AS ok))
+          SELECT key, max_by(st, r) AS status, max_by(att, r) AS attempts, max_by(ref, r) AS refused FROM s GROUP BY key""")
+def stream_frontier_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine over events as a stream; last state of every key."""
+    from lodestone.streaming import stateful
+
+    to = F.create_map(*(F.lit(x) for p in MOVES.items() for x in p))[F.col("event_type")]
+    moves = stateful.read_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), to.alias("to"))
+    out = stateful.drain(stateful.frontier_states(moves), "update")
+    return tables.latest(out, ["key"], ["batch", "seq"]).select("key", "status", "attempts", "refused")
+
+
+# --- graph, joins, keys -------------------------------------------------------
+
+GRAPH = f"SELECT 'p' || page_id AS src, 't' || href AS dst FROM (SELECT page_id, unnest(list_distinct({HREFS})) AS href FROM pages)"
+
+
+def token_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the link tokens they share, both ways."""
+    e = read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.explode(F.array_distinct(html.hrefs(F.col("html")))).alias("h"))
+    e = e.select("src", F.concat(F.lit("t"), F.col("h")).alias("dst"))
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+BFS_SQL = f"""WITH RECURSIVE g AS ({GRAPH}), e AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g),
+    b AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4)"""
+
+
+@query(f"{BFS_SQL} SELECT node, min(depth) AS depth FROM b GROUP BY node")
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfs.levels(token_graph(spark, sf_dir), spark.createDataFrame([("p0",)], "node string"), 4)
+
+
+@query(f"{BFS_SQL} SELECT node, depth FROM (SELECT node, min(depth) AS depth FROM b GROUP BY node) ORDER BY depth, node LIMIT 50")
+def bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page budget cuts the ranking; the limit is the feature."""
+    return bfs.levels(token_graph(spark, sf_dir), spark.createDataFrame([("p0",)], "node string"), 4, budget=50)
+
+
+@query("""SELECT o_custkey AS job_id, o_orderkey AS rank FROM (SELECT *, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM orders) WHERE b < 3""")
+def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("rank"), (F.col("o_orderstatus") == "F").alias("saved"))
+    return fr.within_budget(rows, "saved", 0, 3).select("job_id", "rank")
+
+
+@query("""SELECT s.s_suppkey AS job_id, n.n_name AS root, coalesce(c.n, 0) AS postings FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey
+          LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) c ON c.l_suppkey = s.s_suppkey""")
+def scan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans joined to their jobs, with posting counts (suppliers, nations, items)."""
+    counts = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.join(counts, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.col("s_suppkey").alias("job_id"), F.col("n_name").alias("root"), F.coalesce("n", F.lit(0)).alias("postings"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def career_scan_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semi join: jobs that are scans."""
+    big = read(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def integrity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return tables.orphans(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) x
+          WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_returnflag = 'N' AND y.l_partkey = x.l_partkey AND y.l_suppkey = x.l_suppkey)""")
+def set_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first insert on a unique key, less the keys that are there."""
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    return tables.set_insert(li.where("l_returnflag = 'N'"), li, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]).drop("l_returnflag")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AND user_id >= 10 AS inserted FROM events")
+def insert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return tables.insert_report(ev.where("user_id < 10"), ev, ["user_id", "event_type"], ["event_id"]).select("event_id", "inserted")
+
+
+# --- skills, matching, postings -----------------------------------------------
+
+
+def skills_sql(entries, source: str, text: str = "text") -> str:
+    tests = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({text}, '')), {fx.literal(skills.re2_pattern(p))}) THEN {fx.literal(n)} END" for n, p in entries)
+    return f"array_to_string(list_filter([{tests}], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"SELECT id, {skills_sql(skills.CATALOG, '')} AS skills FROM {fx.TEXTS.sql()}")
+def skill_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.TEXTS.frame(spark).select("id", F.array_join(skills.detect(F.col("text")), ",").alias("skills"))
+
+
+# Words of the corpus, so that the operator has work on the document table.
+CORPUS_CATALOG = (("The", "the"), ("Der", "der|die|das"), ("License", "licen[sc]ed?"), ("Les", "<les>"), ("Idiot", "idiot|moron"), ("Table", r"\|"), ("Rights", "all rights reserved"), ("Mail", "@"))
+
+
+@query(f"SELECT doc_id, {skills_sql(CORPUS_CATALOG, '')} AS skills FROM documents")
+def skill_detect_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(skills.detect(F.col("text"), CORPUS_CATALOG), ",").alias("skills"))
+
+
+RESUME = "Experienced Java and Spring Boot engineer using Kafka and SQL in distributed systems, with some years of work on data platforms."
+RESUME_SKILLS = ["Java", "SQL", "Spring Boot", "Kafka", "Distributed Systems"]
+_OVERLAP = f"list_filter(skills, lambda s: list_contains({fx.literal(RESUME_SKILLS)}, s))"
+_GAP = f"list_filter(skills, lambda s: NOT list_contains({fx.literal(RESUME_SKILLS)}, s))"
+
+
+@query(f"""SELECT id, CAST(CASE WHEN len(skills) = 0 THEN 35 ELSE floor(20 + 80.0 * len({_OVERLAP}) / len(skills) + 0.5) END AS INTEGER) AS score, array_to_string({_OVERLAP}, ',') AS matched, array_to_string({_GAP}, ',') AS missing,
+           CASE WHEN len(skills) = 0 THEN 'The posting did not expose enough recognized skills for a high-confidence score.' ELSE len({_OVERLAP}) || ' of ' || len(skills) || ' recognized job skills appear in the resume.' END AS summary FROM {fx.JOBS.sql()}""")
+def skill_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matching.match(fx.JOBS.frame(spark), RESUME).matches
+    return m.select("id", "score", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "summary")
+
+
+@query("SELECT * FROM (VALUES (1,''),(2,''),(3,''),(4,''),(5,'5+ years of professional software engineering experience'),(6,''),(7,'3 to 5 years experience'),(8,''),(9,''),(10,''),(11,''),(12,'10-12 years of data experience')) t(id, experience)")
+def experience_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.TEXTS.frame(spark).select("id", scoring.experience(F.col("text")).alias("experience"))
+
+
+@query(f"SELECT id, regexp_matches(lower(coalesce(title, '')), '\\b({'|'.join(scoring.ROLE_WORDS)})\\b') AS is_role FROM {fx.TITLES.sql()}")
+def role_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.TITLES.frame(spark).select("id", scoring.is_role_title(F.col("title")).alias("is_role"))
+
+
+@query(fx.POSTINGS.select())
+def posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.POSTING_PAGES.frame(spark).select("id", postings.posting(F.col("url"), F.col("html")).alias("p")).where("p is not null")
+    return p.select("id", "p.title", "p.company", "p.location", F.array_join("p.skills", ",").alias("skills"), "p.experience", "p.employment_type", "p.extraction_method")
+
+
+@query(f"SELECT id, array_to_string(skills, ',') AS back, to_json(skills) AS stored FROM {fx.JOBS.sql()}")
+def skills_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = skills.to_json_list(F.col("skills"))
+    return fx.JOBS.frame(spark).select("id", F.array_join(skills.from_json_list(stored), ",").alias("back"), stored.alias("stored"))
+
+
+@query("SELECT * FROM (VALUES (1,0),(2,0),(3,0),(4,2)) t(id, n)")
+def skills_codec_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(1, None), (2, "nope"), (3, "[]"), (4, '["a","b"]')], "id int, t string")
+    return df.select("id", F.size(skills.from_json_list(F.col("t"))).alias("n"))
+
+
+# --- exports, lists, external matcher -----------------------------------------
+
+
+def _csv_sql(c: str) -> str:
+    return f"""'"' || replace(replace(replace(coalesce({c}, ''), '"', '""'), chr(13), ' '), chr(10), ' ') || '"'"""
+
+
+@query("SELECT id, " + " || ',' || ".join(_csv_sql("array_to_string(skills, ' | ')" if c == "skills" else c) for c in export.CSV_COLUMNS) + f" AS line FROM {fx.JOBS.sql()}")
+def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.csv_rows(fx.JOBS.frame(spark))
+
+
+@query()
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pretty array of all postings (white space differs between engines)."""
+    return export.json_document(fx.JOBS.frame(spark)).select("filename", "mime", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY discovered_at, title) AS INTEGER) AS pos, id FROM {fx.JOBS.sql()}")
+def posting_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings in listing order, numbered."""
+    from pyspark.sql import Window
+
+    return fx.JOBS.frame(spark).select(F.row_number().over(Window.orderBy("discovered_at", "title")).alias("pos"), "id")
+
+
+ANSWER = '{"matches":[{"jobId":"job-01","score":140,"matchedSkills":["Java"],"missingSkills":[],"summary":"good"},{"jobId":"job-00","score":-5,"matchedSkills":[],"missingSkills":["AWS"],"summary":"weak"},{"jobId":"nobody","score":50,"matchedSkills":[],"missingSkills":[],"summary":"x"}]}'
+
+
+@query("SELECT * FROM (VALUES ('job-01','Backend Engineer',100,'Java','','good'),('job-00','ML Engineer',0,'','AWS','weak')) t(id, title, score, matched, missing, summary)")
+def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matching.parsed_answer(spark.createDataFrame([(ANSWER,)], "text string"), fx.JOBS.frame(spark))
+    return out.select("id", "title", "score", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "summary")
+
+
+@query(f"""SELECT id AS "jobId", title, CAST(CASE WHEN len(skills) = 0 THEN 35 ELSE floor(20 + 80.0 * len({_OVERLAP}) / len(skills) + 0.5) END AS INTEGER) AS "baselineScore" FROM {fx.JOBS.sql()} ORDER BY discovered_at, title, id LIMIT 15""")
+def llm_payload_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifteen jobs of the listing; the limit is the feature."""
+    return matching.prompt_rows(fx.JOBS.frame(spark), RESUME).select("jobId", "title", "baselineScore")
+
+
+# --- whole crawls -------------------------------------------------------------
+
+
+@query(fx.SITE_PAGES.select())
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = CrawlSpec("http://site.example/", max_pages=10, max_depth=2)
+    return crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).pages.select("url", "depth", "title", "outbound_links")
+
+
+@query(fx.SITE_FRONTIER.select())
+def crawl_site_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = CrawlSpec("http://site.example/", max_pages=10, max_depth=2)
+    return crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).frontier.select("id", "url", "depth", "status", "attempts", "last_error")
+
+
+@query("SELECT 'http://site.example/flaky' AS url, 'DONE' AS status, CAST(2 AS INTEGER) AS attempts")
+def crawl_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = CrawlSpec("http://site.example/flaky", max_pages=1, max_depth=0, respect_robots=False)
+    return crawl.crawl(spark, spec, fx.SITE.frame(spark)).frontier.select("url", "status", "attempts")
+
+
+@query(fx.SITE_POSTINGS.select())
+def career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = CareerSpec("http://site.example/careers", max_pages=10, max_depth=2)
+    out = crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).postings
+    return out.select("source_url", "title", "location", F.array_join("skills", ",").alias("skills"), "extraction_method")
