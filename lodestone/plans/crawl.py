@@ -122,7 +122,7 @@ def crawl(spark: SparkSession, spec: CrawlSpec, web: DataFrame, robots: DataFram
         level = due.where(F.col("depth") == head).orderBy("id").limit(4 * spec.max_pages).withColumn("rank", F.row_number().over(turn))
         level = level.withColumn("attempt", F.col("attempts") + 1)
         asked = level.select("id", "url", "depth", "rank", "attempt", "discovered_from")
-        got = webs.follow(asked, web, gate, lambda base, place: urls.canonicalize(base, place))
+        got = webs.follow(asked, web, gate, urls.canonicalize, save)
         kind = fetching.content_type(F.col("content_type"))
         by_error = fetching.error_state(F.col("error"), F.col("attempt"), max_attempts)
         to = F.when(F.col("error").isNotNull(), by_error).otherwise(fetching.outcome(F.col("status"), kind, F.col("attempt"), max_attempts))

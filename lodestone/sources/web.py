@@ -55,13 +55,16 @@ def answers(requests: DataFrame, web: DataFrame) -> DataFrame:
     return one.withColumn("status", F.when(known, F.col("status")).otherwise(404)).drop("w_url")
 
 
-def follow(requests: DataFrame, web: DataFrame, gate: Callable[[DataFrame], DataFrame], resolve: Callable[[Column, Column], Column], hops: int = MAX_REDIRECTS) -> DataFrame:
+def follow(
+    requests: DataFrame, web: DataFrame, gate: Callable[[DataFrame], DataFrame], resolve: Callable[[Column, Column], Column], save: Callable[[DataFrame, str], DataFrame], hops: int = MAX_REDIRECTS
+) -> DataFrame:
     """Answers of requests with redirects followed, and every hop gated.
 
     ``gate`` adds ``blocked`` (a reason or null) to rows by their ``target``
     column before each hop. The result has ``final_url``, the answer columns
     and ``error``: ``blocked`` with the reason in ``error_message``, ``io`` for
-    a redirect without a place to go or one too many.
+    a redirect without a place to go or one too many. ``save`` writes a hop's
+    rows, so the plan stays that of one hop; without redirects there is one.
     """
     keys = requests.columns
     open_rows = requests.withColumn("target", F.col("url"))
@@ -70,16 +73,19 @@ def follow(requests: DataFrame, web: DataFrame, gate: Callable[[DataFrame], Data
         gated = gate(open_rows)
         asked = gated.where("blocked is null").drop("blocked")
         got = answers(asked.withColumnRenamed("url", "asked_url").withColumnRenamed("target", "url"), web).withColumnRenamed("url", "target").withColumnRenamed("asked_url", "url")
-        moved = fetching.is_redirect(F.col("status")) & F.col("error").isNull()
+        moved = F.coalesce(fetching.is_redirect(F.col("status")) & F.col("error").isNull(), F.lit(False))
         lost = moved & (F.col("location").isNull() | F.lit(hop == hops))
-        final = got.where(~moved | lost | moved.isNull())
-        final = final.withColumn("error_message", F.when(lost, F.when(F.col("location").isNull(), "Redirect without a Location header").otherwise("Too many redirects")).otherwise(F.col("error")))
-        final = final.withColumn("error", F.when(lost, "io").otherwise(F.col("error")))
-        stopped = gated.where("blocked is not null").withColumn("error_message", F.col("blocked")).withColumn("error", F.lit("blocked")).drop("blocked")
-        both = final.unionByName(stopped, allowMissingColumns=True)
-        done = both if done is None else done.unionByName(both, allowMissingColumns=True)
-        if hop < hops:
-            open_rows = got.where(moved & ~lost).select(*keys, resolve(F.col("target"), F.col("location")).alias("target"))
+        got = got.withColumn("onward", moved & ~lost)
+        got = got.withColumn("error_message", F.when(lost, F.when(F.col("location").isNull(), "Redirect without a Location header").otherwise("Too many redirects")).otherwise(F.col("error")))
+        got = got.withColumn("error", F.when(lost, "io").otherwise(F.col("error")))
+        stopped = gated.where("blocked is not null").withColumn("error_message", F.col("blocked")).withColumn("error", F.lit("blocked")).withColumn("onward", F.lit(False)).drop("blocked")
+        both = save(got.unionByName(stopped, allowMissingColumns=True), f"hop-{hop}")
+        final = both.where("not onward").drop("onward")
+        done = final if done is None else done.unionByName(final)
+        onward = both.where("onward")
+        if hop == hops or onward.isEmpty():
+            break
+        open_rows = onward.select(*keys, resolve(F.col("target"), F.col("location")).alias("target"))
     return done.withColumnRenamed("target", "final_url")
 
 
