@@ -44,14 +44,10 @@ def frontier_states(moves: DataFrame) -> DataFrame:
 def limiter_slots(requests: DataFrame) -> DataFrame:
     """``requests(origin, seq, t_us, step_us)`` to the slot of each request.
 
-    State: the next free slot of an origin. It is dropped after ten minutes
-    without requests.
+    State: the next free slot of an origin, one number.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         free = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("seq")
         slots = []
@@ -60,10 +56,9 @@ def limiter_slots(requests: DataFrame) -> DataFrame:
             free = slot + int(every)
             slots.append(slot)
         state.update((free,))
-        state.setTimeoutDuration(600_000)
         yield pd.DataFrame({"origin": key[0], "seq": rows["seq"], "slot_us": slots})
 
-    return requests.groupBy("origin").applyInPandasWithState(step, "origin long, seq long, slot_us long", "free long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("origin").applyInPandasWithState(step, "origin long, seq long, slot_us long", "free long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
