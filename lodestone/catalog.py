@@ -444,6 +444,25 @@ def stream_frontier_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest(out, ["key"], ["batch", "seq"]).select("key", "status", "attempts", "refused")
 
 
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of the event stream; the last update of each window."""
+    from lodestone.streaming import stateful
+
+    ev = stateful.read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = stateful.windowed_counts(ev, "ts", "event_type").select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n")
+    return tables.latest(stateful.drain(counts, "update"), ["hour_us", "event_type"], ["batch"]).select("hour_us", "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set insert on a stream: every key once."""
+    from lodestone.streaming import stateful
+
+    ev = stateful.read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return stateful.drain(stateful.first_seen(ev, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")).select("user_id", "event_type")
+
+
 # --- graph, joins, keys -------------------------------------------------------
 
 GRAPH = f"SELECT 'p' || page_id AS src, 't' || href AS dst FROM (SELECT page_id, unnest(list_distinct({HREFS})) AS href FROM pages)"
