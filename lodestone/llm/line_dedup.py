@@ -20,10 +20,10 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,67 +32,86 @@ from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, s
 
 SHARE = 8
 CHUNK_LINES = 20_000
+U16, U48 = np.uint64(16), np.uint64(48)
 
 
 class Lines:
-    """The token sets of many lines at once.
+    """The token sets of up to 2**16 lines at once.
 
-    ``hashes``: distinct tokens, by line and then by hash; ``of``: the line of
-    each; ``n``: their number by line; ``sid``: the identity of each set, 0 for
-    a blank line.
+    ``packed``: distinct tokens as ``line << 48 | the token's upper 48 bits``,
+    sorted; ``of``: the line of each; ``n``: their number by line; ``sid``: the
+    identity of each set, 0 for a blank line. ``tokens`` gives a line's full
+    64-bit hashes, for the exact comparison.
     """
 
     def __init__(self, lines: list[bytes], words: int):
         split = [x.lower().split() for x in lines]
-        length = np.array([len(s) for s in split], np.int64)
-        w = sj.hashed([x for s in split for x in s])
+        length = np.fromiter(map(len, split), np.int64, len(lines))
+        total = int(length.sum())
+        w = np.fromiter(map(sj.WORDS.__getitem__, chain.from_iterable(split)), np.uint64, total)
         start = np.cumsum(length) - length
-        short = (length < words) & (length > 0)
-        # positions whose run of words stays within the line
         line = np.repeat(np.arange(len(lines)), length)
-        left = (start + length)[line] - np.arange(len(w)) if len(w) else np.zeros(0, np.int64)
-        full = np.flatnonzero(left >= words)
-        h = w[full].copy()
-        for i in range(1, words):
-            h *= sj.K1
-            h += w[full + i]
-        h, of = sj.mix(h), line[full]
-        if short.any():
-            which = np.flatnonzero(short)
+        h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if total >= words:
+            runs = w[: total - words + 1].copy()
+            for i in range(1, words):
+                runs *= sj.K1
+                runs += w[i : total - words + 1 + i]
+            whole = line[: len(runs)] == line[words - 1 :]  # the run stays within its line
+            h, of = sj.mix(runs[whole]), line[: len(runs)][whole]
+        which = np.flatnonzero((length < words) & (length > 0))
+        if len(which):  # a shorter line is one token
             acc = length[which].astype(np.uint64)
             for i in range(words - 1):
                 more = length[which] > i
                 acc[more] = acc[more] * sj.K1 + w[start[which[more]] + i]
             h, of = np.r_[h, sj.mix(acc)], np.r_[of, which]
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
-        self.hashes, self.of = h[fresh], of[fresh]
+        self.full, self.full_of = h, of
+        packed = np.sort((of.astype(np.uint64) << U48) | (h >> U16))
+        self.packed = packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed
+        self.of = (self.packed >> U48).astype(np.int64)
         self.n = np.bincount(self.of, minlength=len(lines)).astype(np.int64)
-        ends = np.cumsum(self.n)
-        self.at = ends - self.n
+        self.at = np.cumsum(self.n) - self.n
         # a sum of mixed tokens tells sets apart; the size is mixed in
         sums = np.zeros(len(lines), np.uint64)
         some = self.n > 0
         if some.any():
-            sums[some] = np.add.reduceat(sj.mix(self.hashes ^ sj.K2), self.at[some])
+            sums[some] = np.add.reduceat(sj.mix(self.hashes() ^ sj.K2), self.at[some])
         self.sid = np.where(some, sj.mix(sums + self.n.astype(np.uint64) * sj.K1) | np.uint64(1), np.uint64(0))
 
-    def tokens(self, line: int) -> np.ndarray:
-        return self.hashes[self.at[line] : self.at[line] + self.n[line]]
+    def hashes(self) -> np.ndarray:
+        """Distinct tokens by line, as hashes whose lowest 16 bits are 0."""
+        return self.packed << U16
+
+    def tokens(self) -> list[np.ndarray]:
+        """Full token hashes of every line, distinct and sorted."""
+        order = np.lexsort((self.full, self.full_of))
+        h, of = self.full[order], self.full_of[order]
+        cuts = np.searchsorted(of, np.arange(len(self.n) + 1))
+        return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def rarest(self, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Posted tokens, rarest first: keys (6 bits of code, then hash) and lines."""
+        keys = sj.ordered_keys(self.hashes(), codes)
+        by_line = np.sort((self.of.astype(np.uint64) << U48) | (keys >> U16))
+        most = np.minimum(self.n, self.n - sj.needed(self.n, percent) + 1 + self.n // SHARE)
+        keep = np.arange(len(keys)) - self.at[self.of] < most[self.of]
+        return by_line[keep] << U16, self.of[keep]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """``(row, line number, line)`` lists of bounded length."""
+    """``(row, line number, line)`` lists of at most ``CHUNK_LINES``."""
     rows, numbers, lines = [], [], []
     for r, t in enumerate(texts):
         parts = t.split(b"\n")
-        rows += [r] * len(parts)
-        numbers += range(len(parts))
-        lines += parts
-        if len(lines) >= CHUNK_LINES:
-            yield rows, numbers, lines
-            rows, numbers, lines = [], [], []
+        for k in range(0, len(parts), CHUNK_LINES):
+            some = parts[k : k + CHUNK_LINES]
+            if len(lines) + len(some) > CHUNK_LINES:
+                yield rows, numbers, lines
+                rows, numbers, lines = [], [], []
+            rows += [r] * len(some)
+            numbers += range(k, k + len(some))
+            lines += some
     if lines:
         yield rows, numbers, lines
 
@@ -111,7 +130,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for of, number, lines in _chunks(byte_texts(b.column(1))):
                 got = Lines(lines, words)
-                counter.add(got.hashes)
+                counter.add(got.hashes())
                 some = np.flatnonzero(got.n > 0)
                 none = pa.nulls(len(some))
                 yield pa.RecordBatch.from_arrays(
@@ -138,18 +157,14 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
         for b in batches:
             for _, _, lines in _chunks(byte_texts(b.column(0))):
                 got = Lines(lines, words)
-                keys = sj.ordered_keys(got.hashes, table)
-                order = np.lexsort((keys, got.of))
-                rank = np.arange(len(keys)) - got.at[got.of]
-                n = got.n
-                most = np.minimum(n, n - sj.needed(n, percent) + 1 + n // SHARE)
-                new = np.array([s not in seen for s in got.sid.tolist()])
-                seen.update(got.sid.tolist())
+                keys, of = got.rarest(table, percent)
+                ids = got.sid.tolist()
+                new = np.fromiter((i not in seen for i in ids), bool, len(ids))  # copies within a task post once
+                seen.update(ids)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                of = got.of  # sorted, so the same before and after ordering within lines
-                keep = (rank < most[of]) & new[of]
-                yield from dealer.add(keys[order][keep], got.sid[of[keep]])
+                keep = new[of]
+                yield from dealer.add(keys[keep], got.sid[of[keep]])
         yield from dealer.flush()
 
     dealt = rows.select("text").mapInArrow(deal, "bucket int, postings binary")
@@ -169,11 +184,13 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
                     if x["line"] < len(parts):
                         wanted.append((x["root"], x["n_blocks"], x["block"], x["sid"], doc, x["line"]))
                         lines.append(parts[x["line"]])
-            got = Lines(lines, words)
-            cols = [pa.array(c, k) for c, k in zip(zip(*wanted) if wanted else [[]] * 6, kinds)]
-            tokens = pa.array([got.tokens(k).tobytes() for k in range(len(lines))], pa.binary())
-            same = pa.array(got.sid.view(np.int64) == cols[3].to_numpy(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*cols, tokens], ["root", "n_blocks", "block", "sid", "doc_id", "line", "tokens"]).filter(same)
+            for k in range(0, max(1, len(lines)), CHUNK_LINES):
+                some = wanted[k : k + CHUNK_LINES]
+                got = Lines(lines[k : k + CHUNK_LINES], words)
+                cols = [pa.array(c, t) for c, t in zip(zip(*some) if some else [[]] * 6, kinds)]
+                tokens = pa.array([t.tobytes() for t in got.tokens()], pa.binary())
+                same = pa.array(got.sid.view(np.int64) == cols[3].to_numpy(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*cols, tokens], ["root", "n_blocks", "block", "sid", "doc_id", "line", "tokens"]).filter(same)
 
     places = members.groupBy("doc_id").agg(F.collect_list(F.struct("root", "n_blocks", "block", "sid", "line")).alias("places"))
     texts = rows.join(bounded_broadcast(places, "places"), "doc_id").select("doc_id", "text", "places")
