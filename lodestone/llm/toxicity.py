@@ -20,6 +20,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,18 +89,26 @@ class Model:
 
 
 def fit_counterfactual(texts: list[set[str]], labels: np.ndarray, vocabulary: list[str], penalty: float = 1.0, decay: float = 2e-3, steps: int = 400, rate: float = 0.1, turns: int = 4) -> Model:
-    """Class-balanced logistic loss, L2, and the counterfactual penalty."""
+    """Class-balanced logistic loss, L2, and the counterfactual penalty.
+
+    Texts with the same words and label are one row with a weight.
+    """
+    same = Counter((frozenset(s), int(y)) for s, y in zip(texts, labels))
+    rows = sorted(same, key=lambda k: (sorted(k[0]), k[1]))
+    count = np.array([same[k] for k in rows], np.float64)
+    texts, labels = [set(s) for s, _ in rows], np.array([y for _, y in rows])
+    total = count.sum()
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def matrix(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(vocabulary)), np.float32)
+        x = np.zeros((len(sets), len(vocabulary)))
         for r, s in enumerate(sets):
             x[r, [place[w] for w in s & place.keys()]] = 1
         return x
 
     x = matrix(texts)
     twins = [matrix([swapped(s, 7 * r + t) for r, s in enumerate(texts)]) for t in range(turns)]
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    weight = count * np.where(labels == 1, 0.5 / max(1.0, count[labels == 1].sum()), 0.5 / max(1.0, count[labels == 0].sum()))
     w, b = np.zeros(len(vocabulary)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -109,7 +118,7 @@ def fit_counterfactual(texts: list[set[str]], labels: np.ndarray, vocabulary: li
         gw, gb = x.T @ d + decay * w, d.sum()
         for xt in twins:
             st = sig(xt @ w + b)
-            change = 2 * penalty * (s - st) / (len(labels) * turns)
+            change = 2 * penalty * count * (s - st) / (total * turns)
             up, down = change * s * (1 - s), change * st * (1 - st)
             gw += x.T @ up - xt.T @ down
             gb += up.sum() - down.sum()
