@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,13 @@ def bounded_broadcast(df: DataFrame, lists: str, max_rows: int = 300_000, max_el
     return F.broadcast(df) if rows <= max_rows and elements <= max_elements else df
 
 
+def small_batches(batches: Iterator, rows: int = 500) -> Iterator:
+    """Batches in pieces of a few rows, so that Python copies stay small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def byte_texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

@@ -20,7 +20,6 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import setjoin as sj
-from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width
+from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches
 
 SHARE = 8
-CHUNK_LINES = 20_000
+CHUNK_LINES = 8_000
+CHUNK_BYTES = 2 << 20
 U16, U48 = np.uint64(16), np.uint64(48)
 
 
@@ -45,12 +45,12 @@ class Lines:
     """
 
     def __init__(self, lines: list[bytes], words: int):
-        split = [x.lower().split() for x in lines]
-        length = np.fromiter(map(len, split), np.int64, len(lines))
-        total = int(length.sum())
-        w = np.fromiter(map(sj.WORDS.__getitem__, chain.from_iterable(split)), np.uint64, total)
+        w, places = sj.word_hashes(b"\n".join(lines).lower())
+        total = len(w)
+        size = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+        line = np.searchsorted(np.cumsum(size), places, side="right")
+        length = np.bincount(line, minlength=len(lines)).astype(np.int64)
         start = np.cumsum(length) - length
-        line = np.repeat(np.arange(len(lines)), length)
         h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if total >= words:
             runs = w[: total - words + 1].copy()
@@ -100,18 +100,17 @@ class Lines:
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """``(row, line number, line)`` lists of at most ``CHUNK_LINES``."""
-    rows, numbers, lines = [], [], []
+    """``(row, line number, line)`` lists, bounded in lines and bytes."""
+    rows, numbers, lines, size = [], [], [], 0
     for r, t in enumerate(texts):
-        parts = t.split(b"\n")
-        for k in range(0, len(parts), CHUNK_LINES):
-            some = parts[k : k + CHUNK_LINES]
-            if len(lines) + len(some) > CHUNK_LINES:
+        for k, line in enumerate(t.split(b"\n")):
+            if len(lines) >= CHUNK_LINES or (lines and size + len(line) > CHUNK_BYTES):
                 yield rows, numbers, lines
-                rows, numbers, lines = [], [], []
-            rows += [r] * len(some)
-            numbers += range(k, k + len(some))
-            lines += some
+                rows, numbers, lines, size = [], [], [], 0
+            rows.append(r)
+            numbers.append(k)
+            lines.append(line)
+            size += len(line)
     if lines:
         yield rows, numbers, lines
 
@@ -126,7 +125,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = sj.Counter()
-        for b in batches:
+        for b in small_batches(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for of, number, lines in _chunks(byte_texts(b.column(1))):
                 got = Lines(lines, words)
@@ -154,7 +153,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, dealer = shared_codes.value, sj.Dealer(n_buckets, hot)
         seen: set[int] = set()
-        for b in batches:
+        for b in small_batches(batches):
             for _, _, lines in _chunks(byte_texts(b.column(0))):
                 got = Lines(lines, words)
                 keys, of = got.rarest(table, percent)
@@ -176,7 +175,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        for b in batches:
+        for b in small_batches(batches):
             wanted, lines = [], []
             for doc, text, places in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist()):
                 parts = text.split(b"\n")

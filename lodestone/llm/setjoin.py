@@ -25,7 +25,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,33 +37,12 @@ SALTS = 32
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_500_000
 POSTINGS_PER_PARTITION = 1_000_000
-DEAL_POSTINGS = 2_000_000
-MAX_BROADCAST_SETS = 2_000_000
+DEAL_POSTINGS = 800_000
+MAX_BROADCAST_SETS = 1_000_000
 U64 = np.uint64
 K1, K2, K3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, limit: int = 500_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
-        return h
-
-
-WORDS = WordHashes()
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), U64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = (x ^ (x >> U64(30))) * K2
@@ -72,6 +50,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+# Hashing of words: a polynomial over a word's bytes, modulo 2**64.
+SEGMENT = 1 << 20
+BASE = 0xD1342543DE82EF95  # 5 modulo 8, so powers differ in their low bits
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mix(np.arange(1, 257, dtype=U64) * K1)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, kept for reuse."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            table = np.full(n, x, U64)
+            table[0] = 1
+            _POWERS[name] = np.multiply.accumulate(table)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def _segment_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(data, np.uint8)
+    space = SPACES[a]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.r_[0, edge]
+    if not space[-1]:
+        edge = np.r_[edge, len(a)]
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers(max(len(a), SEGMENT))
+    sums = BYTES[a]
+    sums *= up[: len(a)]
+    np.cumsum(sums, out=sums)
+    h = sums[ends - 1]
+    later = starts > 0
+    h[later] -= sums[starts[later] - 1]
+    h *= down[starts]
+    return mix(h + (ends - starts).astype(U64) * K2), starts
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where they start.
+
+    Words are cut at ASCII white space. The work goes by segments of 1 MB,
+    cut at spaces, so memory doesn't follow the text's length.
+    """
+    hashes, starts, at = [], [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > SEGMENT:
+            cut = max(text.rfind(b" ", at, at + SEGMENT), text.rfind(b"\n", at, at + SEGMENT))
+            if cut <= at:  # no space: the segment grows to the next one
+                found = [x for x in (text.find(b" ", at + SEGMENT), text.find(b"\n", at + SEGMENT)) if x >= 0]
+                cut = min(found) if found else len(text) - 1
+            end = cut + 1
+        h, s = _segment_words(text[at:end] if at or end < len(text) else text)
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return (hashes[0], starts[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(starts))
+
+
 def shingle_hashes(w: np.ndarray, size: int = 5) -> np.ndarray:
     """A hash for each run of ``size`` words; shorter texts are one run."""
     n = len(w)
@@ -119,7 +159,7 @@ class Counter:
     def add(self, h: np.ndarray) -> None:
         self.held.append((h >> U64(64 - BUCKET_BITS)).astype(np.int64))
         self.size += len(h)
-        if self.size > 1_000_000:
+        if self.size > 500_000:
             self._fold()
 
     def _fold(self) -> None:
@@ -262,16 +302,18 @@ def shared_lists(dealt: DataFrame, n_postings: int) -> DataFrame:
     return dealt.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lists, "bucket int, postings binary")
 
 
-def list_edges(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+def list_edges(bucket: np.ndarray, token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Edges that tie the sets of each list together, as two columns.
 
-    A list is sorted by size and cut where the next size is too large to be
-    similar; each part's sets are tied to its first. The parts of a hot
-    token, whose list lies in several buckets, meet at a node of their own.
+    A list (bucket and token) is sorted by size and cut where the next size is
+    too large to be similar; each part's sets are tied to its first. The parts
+    of a hot token, whose list lies in several buckets, meet at a node of
+    their own.
     """
-    order = np.lexsort((ids, sizes, token))
-    token, ids, sizes = token[order], ids[order], sizes[order]
-    fresh = np.r_[True, token[1:] != token[:-1]]
+    key = (bucket.astype(U64) << U64(32)) | token.astype(U64)
+    order = np.lexsort((ids, sizes, key))
+    key, token, ids, sizes = key[order], token[order], ids[order], sizes[order]
+    fresh = np.r_[True, key[1:] != key[:-1]]
     hot = (token & 1).astype(bool)
     first = fresh | (np.r_[False, 100 * sizes[:-1] < percent * sizes[1:]] & ~hot)
     pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
@@ -283,9 +325,24 @@ def list_edges(token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: i
     return np.unique(np.stack([a[other], b[other]], 1), axis=0)
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches whose rows come by bucket, cut between buckets only."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        held = [np.concatenate(p) for p in zip(held, now)] if held else now
+        last = int(np.argmax(held[0] == held[0][-1]))
+        if last:
+            yield [c[:last] for c in held]
+            held = [c[last:] for c in held]
+    if held:
+        yield held
+
+
 def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int, scratch: Scratch) -> DataFrame:
     """``shared`` lists and ``classes(sid, n)`` to ``(id long, root long)``."""
-    spark = shared.sparkSession
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,43 +351,27 @@ def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int,
                 yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["sid", "c"])
 
     counts = shared.select("postings").mapInArrow(tally, "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
-    alive = classes.select("sid", "n").join(counts, "sid").where(F.col("c") >= least_shared(F.col("n"), share)).select("sid", "n")
+    alive = classes.select("sid", "n").join(counts, "sid").where(F.col("c") >= least_shared(F.col("n"), share)).select("sid", F.col("n").cast("int").alias("n"))
     alive = scratch.save(alive, "alive")
 
-    def out(found: np.ndarray) -> pa.RecordBatch:
-        cols = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(cols, ["a", "b"])
-
-    if alive.count() <= MAX_BROADCAST_SETS:
-        got = alive.toPandas().sort_values("sid")
-        table = spark.sparkContext.broadcast((got["sid"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
-
-        def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sids, ns = table.value
-            for b in batches:
-                for blob in b.column(0).to_pylist():
-                    token, ids = unpacked([blob])
-                    if len(token) and len(sids):
-                        at = np.minimum(np.searchsorted(sids, ids.view(np.int64)), len(sids) - 1)
-                        live = sids[at] == ids.view(np.int64)
-                        yield out(list_edges(token[live], ids[live], ns[at[live]], percent)) if live.any() else out(np.zeros((0, 2), U64))
-
-        edges = shared.select("postings").mapInArrow(edges_of, "a long, b long")
-    else:  # more sets than may be broadcast: join them to the postings
-
-        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    token, ids = unpacked([blob])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(token.astype(np.int64)), pa.array(ids.view(np.int64))], ["bucket", "token", "sid"])
-
-        def joined_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, held in grouped(batches, 1):
-                token, sid, n = (np.array(c, np.int64) for c in zip(*held))
-                yield out(list_edges(token.astype(np.uint32), sid.view(U64), n, percent))
-
-        live = shared.mapInArrow(rows_of, "bucket int, token long, sid long").join(alive, "sid")
-        edges = live.select("bucket", "token", "sid", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined_edges, "a long, b long")
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                token, ids = unpacked([blob])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(token.view(np.int32)), pa.array(ids.view(np.int64))], ["bucket", "token", "sid"])
+
+    def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, token, sid, n in whole_buckets(batches):
+            found = list_edges(bucket, token.view(np.uint32), sid.view(U64), n.astype(np.int64), percent)
+            cols = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
+
+    rows = shared.mapInArrow(rows_of, "bucket int, token int, sid long")
+    if alive.limit(MAX_BROADCAST_SETS + 1).count() <= MAX_BROADCAST_SETS:
+        live = rows.join(F.broadcast(alive), "sid")  # keeps the rows of a bucket together
+    else:
+        live = rows.join(alive, "sid").repartition("bucket").sortWithinPartitions("bucket")
+    edges = live.select("bucket", "token", "sid", "n").mapInArrow(edges_of, "a long, b long")
     return connected_components(edges, scratch, "near")
 
 
