@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship
 
-CACHE_WORDS = 300_000
-_LOADED: dict[tuple[str, int], "WordTokenizer"] = {}
+CACHE_CHUNKS = 200_000
+CACHE_WORDS = 100_000
+_LOADED: dict[str, "WordTokenizer"] = {}
 
 
 def _classes() -> tuple[str, str]:
@@ -58,7 +59,7 @@ class WordTokenizer:
     Python's notion of space or case differs) go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -69,14 +70,14 @@ class WordTokenizer:
         self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
         self.odd = re.compile("[^\x00-\x1b\x20-ſ]|İ")
         self.names = _byte_names()
-        self.limit = cache_words
+        self.most_chunks, self.most_words = cache_chunks, cache_words
         self.words: dict[str, bytes] = {}
         tok = self
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
                 got = b"".join([tok.word(w) for w in tok.split.findall(chunk.lower())])
-                if len(self) >= tok.limit:
+                if len(self) >= tok.most_chunks:
                     self.clear()
                 self[chunk] = got
                 return got
@@ -89,7 +90,7 @@ class WordTokenizer:
             names = self.names
             mapped = w if w.isascii() and w.isprintable() else "".join([names[b] for b in w.encode()])
             got = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            if len(self.words) >= self.limit:
+            if len(self.words) >= self.most_words:
                 self.words.clear()
             self.words[w] = got
         return got
@@ -101,12 +102,11 @@ class WordTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
+def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker process."""
-    key = (path, cache_words)
-    if key not in _LOADED:
-        _LOADED[key] = WordTokenizer(path, cache_words)
-    return _LOADED[key]
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, scratch: Scratch | None = None) -> DataFrame:
