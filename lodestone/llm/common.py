@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +120,28 @@ def small_batches(batches: Iterator, rows: int = 500) -> Iterator:
             yield b.slice(k, rows)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives freed memory back at the end of its task.
+
+    Workers live on between tasks and stages; without this the pools keep
+    what the largest stage took.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # no glibc
+            pass
+
+    return run
+
+
 def byte_texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_texts, ship
+from lodestone.llm.common import byte_texts, ship, tidy
 
 MAX_PATTERNS = 1_000_000
 _BUILT: dict[str, object] = {}
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_p
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
+    return rows.mapInArrow(tidy(scan), "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
 
 
 def united(spans: list[list[int]]) -> list[list[int]]:

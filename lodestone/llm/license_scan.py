@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import ship, tidy
 
 MAX_GAP = 40
 
@@ -173,7 +173,7 @@ def find_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "n_sentences", "matches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_sentences long, matches array<struct<start: long, end: long, license: string, sentences: long>>")
+    return rows.mapInArrow(tidy(scan), "doc_id long, n_sentences long, matches array<struct<start: long, end: long, license: string, sentences: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

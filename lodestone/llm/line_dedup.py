@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import setjoin as sj
-from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches
+from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches, tidy
 
 SHARE = 8
 CHUNK_LINES = 8_000
@@ -140,7 +140,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
         none = pa.nulls(len(slices))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), *[none.cast(pa.int32())] * 2, none.cast(pa.int64()), pa.array([k for k, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())], names)
 
-    both = scratch.save(rows.mapInArrow(measure, "doc_id long, line int, n int, sid long, slice int, counts binary"), "rows")
+    both = scratch.save(rows.mapInArrow(tidy(measure), "doc_id long, line int, n int, sid long, slice int, counts binary"), "rows")
     coded = both.where("slice is null").select("doc_id", "line", "n", "sid")
     codes, hot = sj.rarity_codes(both.where("slice is not null"))
     shared_codes = spark.sparkContext.broadcast(codes)
@@ -166,7 +166,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
                 yield from dealer.add(keys[keep], got.sid[of[keep]])
         yield from dealer.flush()
 
-    dealt = rows.select("text").mapInArrow(deal, "bucket int, postings binary")
+    dealt = rows.select("text").mapInArrow(tidy(deal), "bucket int, postings binary")
     lists = scratch.save(sj.shared_lists(dealt, n_postings), "lists")
     near = sj.co_located(lists, classes, percent, SHARE, scratch)
     members = classes.join(near.withColumnRenamed("id", "sid"), "sid").withColumnRenamed("sid", "id").select("root", "id", "n", "first")
@@ -193,7 +193,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
 
     places = members.groupBy("doc_id").agg(F.collect_list(F.struct("root", "n_blocks", "block", "sid", "line")).alias("places"))
     texts = rows.join(bounded_broadcast(places, "places"), "doc_id").select("doc_id", "text", "places")
-    sets = texts.mapInArrow(gather, "root long, n_blocks int, block int, sid long, doc_id long, line int, tokens binary")
+    sets = texts.mapInArrow(tidy(gather), "root long, n_blocks int, block int, sid long, doc_id long, line int, tokens binary")
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), held in sj.grouped(batches, 3):
@@ -212,7 +212,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
 
     met = sj.meetings(sets).select("root", "i", "j", "block", "sid", "doc_id", "line", "tokens")
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    gone = scratch.save(met.mapInArrow(later, "sid long").distinct(), "gone")
+    gone = scratch.save(met.mapInArrow(tidy(later), "sid long").distinct(), "gone")
 
     flagged = classes.join(gone.withColumn("all", F.lit(True)), "sid", "left").where("copies > 1 or all")
     flagged = scratch.save(flagged.select("sid", "first", F.coalesce("all", F.lit(False)).alias("all")), "flagged")

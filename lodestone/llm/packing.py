@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, ship
+from lodestone.llm.common import Scratch, ship, tidy
 
-CACHE_CHUNKS = 200_000
-CACHE_WORDS = 100_000
+CACHE_CHUNKS = 120_000
+CACHE_WORDS = 60_000
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                 ["doc_id", "part", "before", "n", "ids"],
             )
 
-    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, part long, before long, n long, ids binary")
+    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, part long, before long, n long, ids binary")
     coded = scratch.save(coded, "ids")
     totals = coded.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total")).orderBy("part").collect()  # a row for each input partition
     starts = accumulate((r["total"] for r in totals), initial=0)
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return coded.select("doc_id", "part", "before", "n", "ids").mapInArrow(
-        cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 
@@ -185,4 +185,4 @@ def pieces_digest(pieces: DataFrame) -> DataFrame:
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return pieces.mapInArrow(digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(tidy(digest), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import ship, tidy
 
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
@@ -193,12 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
 def scorer(model: Model):
     """A column function: text to score."""
 
-    @F.pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def work(batches: Iterator) -> Iterator:
+        for text in batches:
+            x = np.array([features(t or "") for t in text]).reshape(len(text), -1)
+            yield pd.Series(model.scores(x) if len(x) else [], dtype="float64")
 
-        x = np.array([features(t or "") for t in text]).reshape(len(text), -1)
-        return pd.Series(model.scores(x) if len(x) else [], dtype="float64")
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(work)(batches)
 
     return score
 

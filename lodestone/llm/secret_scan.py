@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import ship, tidy
 
 MOST_STRINGS = 64
 BLOCK_BYTES = 4 << 20
@@ -233,7 +233,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: long, end: long, secret: string>>")
+    return rows.mapInArrow(tidy(scan), "doc_id long, spans array<struct<kind: string, start: long, end: long, secret: string>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, shuffle_width
+from lodestone.llm.common import Scratch, shuffle_width, tidy
 from lodestone.llm.components import connected_components
 
 BUCKET_BITS = 20
@@ -299,7 +299,7 @@ def shared_lists(dealt: DataFrame, n_postings: int) -> DataFrame:
         for (bucket,), held in grouped(batches, 1):
             yield shared(bucket, [x for (x,) in held])
 
-    return dealt.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lists, "bucket int, postings binary")
+    return dealt.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(lists), "bucket int, postings binary")
 
 
 def list_edges(bucket: np.ndarray, token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -350,7 +350,7 @@ def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int,
                 ids, n = np.unique(unpacked(b.column(0).to_pylist())[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["sid", "c"])
 
-    counts = shared.select("postings").mapInArrow(tally, "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
+    counts = shared.select("postings").mapInArrow(tidy(tally), "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
     alive = classes.select("sid", "n").join(counts, "sid").where(F.col("c") >= least_shared(F.col("n"), share)).select("sid", F.col("n").cast("int").alias("n"))
     alive = scratch.save(alive, "alive")
 
@@ -366,12 +366,12 @@ def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int,
             cols = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
 
-    rows = shared.mapInArrow(rows_of, "bucket int, token int, sid long")
+    rows = shared.mapInArrow(tidy(rows_of), "bucket int, token int, sid long")
     if alive.limit(MAX_BROADCAST_SETS + 1).count() <= MAX_BROADCAST_SETS:
         live = rows.join(F.broadcast(alive), "sid")  # keeps the rows of a bucket together
     else:
         live = rows.join(alive, "sid").repartition("bucket").sortWithinPartitions("bucket")
-    edges = live.select("bucket", "token", "sid", "n").mapInArrow(edges_of, "a long, b long")
+    edges = live.select("bucket", "token", "sid", "n").mapInArrow(tidy(edges_of), "a long, b long")
     return connected_components(edges, scratch, "near")
 
 

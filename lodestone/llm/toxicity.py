@@ -25,11 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import ship, tidy
 from lodestone.llm.quality import least, may_learn
 
 MAX_EACH = 6000
@@ -162,11 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, max_eac
 def scorer(model: Model):
     """A column function: text to score."""
 
-    @F.pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def work(batches: Iterator) -> Iterator:
+        for text in batches:
+            yield pd.Series([model.score(t or "") for t in text], dtype="float64")
 
-        return pd.Series([model.score(t or "") for t in text], dtype="float64")
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(work)(batches)
 
     return score
 

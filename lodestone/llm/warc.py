@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, maybe_broadcast, ship
+from lodestone.llm.common import Scratch, maybe_broadcast, ship, tidy
 
 # Magic numbers of the Zstandard skippable and seekable formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -204,7 +204,7 @@ def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bu
         if w.raw:
             yield out(w)
 
-    return scratch.save(rows.mapInArrow(bundle, "bundle string, content binary"), "bundles")
+    return scratch.save(rows.mapInArrow(tidy(bundle), "bundle string, content binary"), "bundles")
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -224,5 +224,5 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return bundles.select("content").mapInArrow(
-        read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+        tidy(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
