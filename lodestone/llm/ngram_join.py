@@ -3,7 +3,8 @@
 T-occurrence search: a document's shingles are ordered by rarity; its short
 inverted lists are merged and its long ones probed (DivideSkip), see
 ``setjoin.search``. Nothing is approximate: shingles are held as 64-bit
-hashes, and every pair that reaches the threshold ends in one component.
+hashes, and every pair that reaches the threshold is counted and ends in one
+component.
 
 Defined results: a null or empty text, or one of white space, has an empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -49,8 +50,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
     """``(doc_id, n_shingles, component_id, n_copies, n_links)``, a row for each row.
 
     ``component_id``: the least doc_id reachable by links. ``n_copies``: rows
-    with an equal set, itself included. ``n_links``: tree edges that tie the
-    row's set to others.
+    with an equal set, itself included. ``n_links``: the other sets that are
+    similar to the row's; each pair is verified in exactly one meeting, and
+    only counts and tree edges are written.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -123,28 +125,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
             held = list({h[1]: h for h in held}.values())
             held.sort(key=lambda h: (len(h[2]), h[1]))
             arrays = [np.frombuffer(h[2], "<u8") for h in held]
-            union, found = sj.Union(len(held)), []
+            union, found, n_links = sj.Union(len(held)), [], np.zeros(len(held), np.int64)
             side = np.array([h[0] for h in held]) if i != j else None
 
-            def linked(q: int, r: int, union=union, found=found) -> bool:
-                union.join(q, r)
-                found.append((q, r))
-                return False
-
-            def matter(q: int, cand: np.ndarray, union=union) -> np.ndarray:
-                return union.root(cand) != union.root(np.array([q]))[0]
+            def partners(q: int, them: np.ndarray, union=union, found=found, n_links=n_links) -> None:
+                n_links[q] += len(them)
+                n_links[them] += 1
+                roots, at = np.unique(union.root(them), return_index=True)
+                own = union.root(np.array([q]))[0]
+                for r in them[at[roots != own]].tolist():
+                    union.join(q, r)
+                    found.append((q, r))
 
             if len(held) > 1:
-                sj.search(arrays, percent, side, linked, matter)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([held[q][1] for q, _ in found], pa.int64()), pa.array([held[r][1] for _, r in found], pa.int64())], ["a", "b"]
-            )
+                sj.search(arrays, percent, side, None, None, partners)
+            tied = np.flatnonzero(n_links).tolist()
+            a = [held[q][1] for q, _ in found] + [held[q][1] for q in tied]
+            b = [held[r][1] for _, r in found] + [None] * len(tied)
+            n = [None] * len(found) + n_links[tied].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "n"])
 
     met = sj.meetings(sets).select("root", "i", "j", "block", "sid", "tokens")
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = scratch.save(met.mapInArrow(tidy(link), "a long, b long").distinct(), "links")
-    ends = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid")))
-    degree = ends.groupBy("sid").agg(F.count("*").alias("links"))
+    # tree edges (a, b), and for each set of a meeting its links there (a, n)
+    verified = scratch.save(met.mapInArrow(tidy(link), "a long, b long, n long"), "links")
+    links = verified.where("b is not null").select("a", "b")
+    degree = verified.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("links"))
 
     tied = connected_components(links, scratch, "links").withColumnRenamed("id", "sid")
     rooted = classes.join(tied, "sid", "left").where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sid"))

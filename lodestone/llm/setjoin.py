@@ -416,13 +416,22 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield now, held
 
 
-def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None, linked: Callable[[int, int], bool], known: Callable[[int, np.ndarray], np.ndarray]) -> None:
+def search(
+    sets: list[np.ndarray],
+    percent: int,
+    side: np.ndarray | None,
+    linked: Callable[[int, int], bool] | None,
+    known: Callable[[int, np.ndarray], np.ndarray] | None,
+    partners: Callable[[int, np.ndarray], None] | None = None,
+) -> None:
     """T-occurrence search (DivideSkip) of every set among those before it.
 
     ``sets``: sorted token arrays, in the order in which they take their
     turn. ``side``: if given, only sets of another side count. ``known(q,
     candidates)`` says which candidates still matter; ``linked(q, r)`` takes a
-    found pair and returns True if ``q`` needs no further partner.
+    found pair and returns True if ``q`` needs no further partner. With
+    ``partners(q, all)`` instead of these two, every candidate is verified
+    and all partners of ``q`` are handed over at once.
 
     A query's lists are ordered by length. The longest ``L`` are set aside,
     the others merged; a candidate must occur at least ``T - L`` times in
@@ -466,7 +475,8 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None, linked
         cand = cand[(100 + percent) * (count[cand] + n_long) >= percent * (n + sizes[cand])]
         if side is not None:
             cand = cand[side[cand] != side[q]]
-        cand = cand[known(q, cand)]
+        if known is not None:
+            cand = cand[known(q, cand)]
         if not len(cand):
             continue
         overlap = count[cand]
@@ -474,8 +484,15 @@ def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None, linked
         if merged and len(long):
             rest = np.concatenate([so[first[k] : last[k]] for k in long])
             overlap = overlap + np.bincount(rest, minlength=total)[cand]
-        rank = np.argsort(-overlap, kind="stable")
         want = st[first[long]]
+        if partners is not None:
+            if not merged and len(long):
+                overlap = overlap + np.array([int(np.isin(want, sets[c], assume_unique=True).sum()) for c in cand])
+            found = cand[100 * overlap >= percent * (n + sizes[cand] - overlap)]
+            if len(found):
+                partners(q, found)
+            continue
+        rank = np.argsort(-overlap, kind="stable")
         for c, o in zip(cand[rank], overlap[rank]):
             o, m = int(o), int(sizes[c])
             if not merged and len(long):

@@ -62,6 +62,25 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root(i)) for i in sets}
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_near_duplicates_count_all_links(spark, monkeypatch, block):
+    """n_links counts every similar pair, in any division into blocks."""
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", block)
+    rows = corpus()
+    sets = {i: shingles(t) for i, t in rows}
+    distinct = set(sets.values())
+    want = {i: (len(s), sum(s != x and similar(s, x) for x in distinct)) for i, s in sets.items()}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in got} == want
+
+
+def test_three_similar_texts_have_three_links(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, f"{base} end{k}") for k in range(3)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {0: 2, 1: 2, 2: 2}
+
+
 def test_near_duplicates_by_join(spark, monkeypatch):
     """The way for more sets than may be broadcast gives the same."""
     rows = spark.createDataFrame(corpus(5, 6), "doc_id long, text string")
