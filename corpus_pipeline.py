@@ -2,9 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
 before it kept; all but the last return rows of ``documents`` with all their
-columns. Row-wise decisions are filters on the scan; decisions about groups
-remove rows by an anti-join with the ids that go, which is broadcast only
-while it is small.
+columns. Row-wise decisions are filters on the scan. Decisions about groups
+are keyed by text or by a row number that is written first, never by doc_id,
+so rows with a null or repeated doc_id take part like any other; key tables
+are broadcast only while they are small.
 """
 
 from __future__ import annotations
@@ -19,12 +20,6 @@ from lodestone.llm.common import Scratch, maybe_broadcast, shared_root, table
 from lodestone.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` but for the doc_ids of ``gone(gone_id)``."""
-    ids = maybe_broadcast(scratch.save(gone.distinct(), "gone"))
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["gone_id"], "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     score = quality.scorer(quality.fit(docs, table(spark, sf_dir, "labels"), quality.may_learn()))
@@ -32,24 +27,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, one row: that with the largest doc_id, a null one last."""
     scratch = Scratch(spark, "pipe-exact")
     found = exact_dedup.exact_duplicates(docs)
-    return _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")), scratch)
+    repeated = scratch.save(found.where("group_size > 1").select(F.col("text_sha256").alias("sha")).distinct(), "repeated")
+    repeated = maybe_broadcast(repeated)
+    norm = exact_dedup.normalised(F.col("text"))
+    rows = docs.select(F.struct("*").alias("doc"), norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
+    single = rows.join(repeated, "sha", "left_anti").select("doc.*")
+    # combined on the map side: a hot text is one row for each task
+    order = F.struct(F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string"))
+    best = rows.join(repeated, "sha", "left_semi").groupBy("norm").agg(F.max_by("doc", order).alias("doc"))
+    return single.unionByName(best.select("doc.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the row that gives the group its id."""
+    """Of near copies, one row: that with the least doc_id, a null one last."""
     scratch = Scratch(spark, "pipe-near")
-    found = ngram_join.near_duplicates(docs)
-    return _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")), scratch)
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    found = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    groups = found.where("n_copies > 1 or n_links > 0").select(F.col("doc_id").alias("row"), "component_id")
+    groups = scratch.save(groups.join(rows.select("row", F.col("doc.doc_id").cast("long").alias("id")), "row"), "groups")
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    gone = groups.join(best.select("best.row"), "row", "left_anti").select("row")
+    gone = maybe_broadcast(scratch.save(gone, "gone"))
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    scratch = Scratch(spark, "pipe-benchmark")
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias("gone_id")), scratch)
+    hit = decontam.detector(table(spark, sf_dir, "benchmark"))
+    return docs.where(~hit(docs["text"].cast("string")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,6 +146,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_p
     return rows.mapInArrow(tidy(scan), "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
 
 
+def detector(benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS):
+    """A column function: text to whether ``contamination`` finds a hit."""
+    ship(benchmark.sparkSession)
+    shards = pattern_shards(benchmark, window, max_patterns)
+    name = hashlib.sha256(repr([sorted(s) for s in shards]).encode()).hexdigest()
+    shared = benchmark.sparkSession.sparkContext.broadcast(shards)
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            norms = [folded(t) for t in byte_texts(column)]
+            hits = [False] * len(norms)
+            for k, shard in enumerate(shared.value):
+                automaton = _automaton(f"{name}-{k}", shard)
+                for x, norm in enumerate(norms):
+                    if norm and not hits[x]:
+                        hits[x] = next(automaton.iter(f" {norm.decode()} "), None) is not None
+            yield pa.array(hits, pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(work)(batches)
+
+    return hit
+
+
 def united(spans: list[list[int]]) -> list[list[int]]:
     """Runs sorted, touching and overlapping ones joined."""
     out: list[list[int]] = []

@@ -232,3 +232,30 @@ def test_pipeline(spark):
     whole = cp.run(spark, SF)
     key = lambda df: {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.select("doc_id", "start", "length", "ids_crc32").collect() if r["start"] == 0 and r["doc_id"] % 7 == 0}
     assert {k[0] for k in key(whole)} == {i for i in kept if i % 7 == 0}
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: every row stands for itself."""
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = " ".join(f"w{i}" for i in range(60))
+
+    def left(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+
+    want = lambda rows: sorted(rows, key=repr)
+    tagged = lambda rows: [(i, t, "x") for i, t in rows]
+    exact = [(None, "n"), (None, "N"), (None, "b"), (5, "a"), (5, "B"), (7, "b"), (8, "same"), (8, "same"), (9, None), (3, "")]
+    assert left(cp.exact_stage, tagged(exact)) in [want([(None, t), (5, "a"), (7, "b"), (8, "same"), (9, None)]) for t in "nN"]
+    near = [(None, base + " p"), (4, base + " q"), (4, "quite another text"), (6, base + " r"), (None, "x y"), (None, "x  y"), (None, None), (2, "a b"), (2, "a  b")]
+    got = left(cp.near_stage, tagged(near))
+    assert sorted(t for i, t in got if i == 4) == ["quite another text", base + " q"] and 6 not in [i for i, _ in got]
+    assert sorted(str(t).split() for i, t in got if i is None) == [["None"], ["x", "y"]]
+    assert [i for i, _ in got].count(2) == 1
+    dirty = [(None, f"see {passage}"), (None, "clean"), (5, passage), (5, "clean too"), (6, None)]
+    assert left(cp.decontamination_stage, tagged(dirty)) == want([(None, "clean"), (5, "clean too"), (6, None)])
