@@ -56,18 +56,21 @@ class WordTokenizer:
     Its normaliser lower-cases and its splitter never joins across white
     space, so below U+0180 a text's ids are those of its space-separated
     chunks. Texts with other characters (and those few below on which
-    Python's notion of space or case differs) go through the tokenizer whole.
+    Python's notion of space or case differs), or with the content of an
+    added token, go through the tokenizer whole; if an added token is matched
+    after normalising, all texts do.
     """
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.model = self.full.model
         letters, numbers = _classes()
         space = "\t-\r \x85\xa0"
         self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
+        added = self.full.get_added_tokens_decoder().values()
+        self.added = ["" if t.normalized else t.content for t in added]  # "" is in every text
         self.odd = re.compile("[^\x00-\x1b\x20-ſ]|İ")
         self.names = _byte_names()
         self.most_chunks, self.most_words = cache_chunks, cache_words
@@ -97,7 +100,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian 16-bit numbers."""
-        if self.odd.search(text):
+        if self.odd.search(text) or any([a in text for a in self.added]):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 

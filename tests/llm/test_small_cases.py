@@ -135,6 +135,18 @@ def test_packing(spark):
     assert [packing.padded_length(n) for n in (1, 3, 1024, 2048)] == [1, 2048, 1024, 2048]
 
 
+def test_packing_added_tokens():
+    """Ids are those of the file as it is, added tokens included."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(tokenizer_path())
+    tok = packing.tokenizer(tokenizer_path())
+    for t in ("a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "A<|ENDOFTEXT|>b", "<|endoftext", "日本<|endoftext|>", "plain text"):
+        assert np.frombuffer(tok.ids(t), "<u2").tolist() == full.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(tok.ids("a <|endoftext|> b"), "<u2").tolist() == [320, 49407, 321]
+
+
 def test_warc(spark):
     big, other = "<p>" + "x" * 200, "<p>" + "y" * 200
     rows = [(5, "u5", big), (3, "u3", big), (9, "u9\r\nX: y", big), (1, "u1", "small"), (2, "u2", "small"), (4, None, None), (7, "u7", other), (7, "u7", other), (None, "u", big), (8, "ü", "é" * 60)]
