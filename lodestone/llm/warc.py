@@ -173,12 +173,12 @@ def page_number(urn: str | None) -> int | None:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """``(page_id, refers_to)`` of the rows that repeat an earlier payload."""
+    """``(page_id, digest, refers_to)`` of the payloads that repeat an earlier page's."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
     seen = seen.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "digest")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
-    return seen.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -186,7 +186,8 @@ def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bu
     ship(pages.sparkSession)
     repeats = maybe_broadcast(scratch.save(revisits(pages, least_bytes), "revisits"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.join(repeats, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
+    rows = rows.join(repeats, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, w = TaskContext.get().partitionId(), 0, BundleWriter(frame_bytes=frame_bytes)

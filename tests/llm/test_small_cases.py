@@ -173,6 +173,14 @@ def test_warc(spark):
     assert warc.read_bundles(empty).collect() == []
 
 
+def test_warc_page_id_with_two_payloads(spark):
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(3, "u", b), (5, "u", a), (5, "u", b), (2, "u", c), (6, "u", b), (6, "u", c)]
+    got = warc.read_bundles(warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t"))).collect()
+    kind = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in got)
+    assert kind == [(2, "response", 0), (3, "response", 0), (5, "response", 0), (5, "revisit", 3), (6, "revisit", 2), (6, "revisit", 3)]
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     code = lambda s: s[0] << 16 | s[1] << 8 | s[2]
