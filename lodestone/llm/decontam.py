@@ -11,7 +11,8 @@ The automaton is sent to every worker, so its size is checked: beyond
 scan in turn, and the hits of a text are united, nothing is left out.
 
 Defined results: a null or empty text has no words and is clean; an item
-without words has no window; equal items all count; repeated rows come back
+without words has no window; the windows of an item with a null item_id hit
+words but add no id; equal items all count; repeated rows come back
 each; an empty benchmark leaves every text clean; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -73,11 +74,13 @@ def pattern_shards(benchmark: DataFrame, window: int, max_patterns: int) -> list
     closed when it is full.
     """
     shards: list[dict[str, list[str]]] = [{}]
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null and i is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").toLocalIterator():
         for p in item_windows(r["t"].encode(), window):
             if len(shards[-1]) >= max_patterns and p not in shards[-1]:
                 shards.append({})
-            shards[-1].setdefault(p, []).append(r["i"])
+            ids = shards[-1].setdefault(p, [])
+            if r["i"] is not None:
+                ids.append(r["i"])
     return [s for s in shards if s]
 
 

@@ -110,6 +110,12 @@ def test_decontam(spark):
     assert {k: (r["n_hit"], r["items"]) for k, r in split.items()} == {k: (r["n_hit"], r["items"]) for k, r in got.items()}
 
 
+def test_decontam_item_without_id(spark):
+    for most in (1, 10):
+        got = by_id(decontam.contamination(docs(spark), bench(spark, [(None, "one two"), (1, "no such text")]), max_patterns=most).collect())
+        assert (got[6]["n_hit"], got[6]["items"], got[10]["n_hit"], got[1]["n_hit"]) == (2, [], 2, 0)
+
+
 def test_scores_are_probabilities(spark):
     for rows in (quality.quality_scores(docs(spark), labels(spark)), toxicity.toxicity_scores(docs(spark), labels(spark)), quality.quality_scores(docs(spark), labels(spark, [(1, 1, 1)]).limit(0))):
         assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows.collect())
