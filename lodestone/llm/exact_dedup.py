@@ -8,7 +8,8 @@ Everything here is DataFrame and SQL functions.
    hash (at most ``2**max_depth`` counts, so bounded), and the directory
    doubles - an overfull bucket splits by one more bit - until every bucket
    fits or the depth is used up. A bucket is a range of hash values.
-3. Owner tasks hold the buckets (key ranges). Entries of equal hash form a chain. For
+3. Entries of equal hash form a chain, dealt by Spark's shuffle: the directory
+   names each row's bucket but does not drive the grouping. For
    chains of two and more the texts are read again and grouped by (hash,
    text) itself, so bytes are compared and collisions stay apart. Spark
    combines on the map side first: a text that a third of all rows share
