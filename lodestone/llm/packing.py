@@ -18,18 +18,20 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship, tidy
 
-CACHE_CHUNKS = 120_000
-CACHE_WORDS = 60_000
+CACHE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
+SPACE = re.compile("[ \t\n\r]")
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -50,18 +52,50 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+class Recent:
+    """Word ids in two generations, bounded in bytes.
+
+    When the young generation is full it becomes the old one and the old one
+    goes; a word that is met again moves to the young one, so frequent words
+    stay. It is cleared between slices only, so it may exceed its half by the
+    words of one slice.
+    """
+
+    ENTRY = 220  # bytes of an entry besides its contents, measured
+
+    def __init__(self, most_bytes: int):
+        self.most, self.size = most_bytes // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fill(self, words: set[str], compute) -> dict[str, bytes]:
+        """The young generation, with all ``words`` in it."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        young, old = self.young, self.old
+        for w in words.difference(young):
+            got = old.get(w)
+            if got is None:
+                got = compute(w)
+            young[w] = got
+            self.size += self.ENTRY + len(w) + len(got)
+        return young
+
+
 class WordTokenizer:
-    """Ids of whole texts, equal to the tokenizer's own, by remembered words.
+    """Ids of whole texts, equal to the tokenizer's own, by distinct words.
 
     Its normaliser lower-cases and its splitter never joins across white
     space, so below U+0180 a text's ids are those of its space-separated
-    chunks. Texts with other characters (and those few below on which
-    Python's notion of space or case differs), or with the content of an
-    added token, go through the tokenizer whole; if an added token is matched
-    after normalising, all texts do.
+    chunks. The chunks of a slice of texts are dictionary-encoded, each
+    distinct one is split into words, each word not met lately goes through
+    the model, and the chunks' ids are gathered by Arrow. Texts with other
+    characters (and those few below on which Python's notion of space or case
+    differs), or with the content of an added token, go through the tokenizer
+    whole; if an added token is matched after normalising, all texts do.
     """
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE_BYTES):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -71,38 +105,86 @@ class WordTokenizer:
         self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
         added = self.full.get_added_tokens_decoder().values()
         self.added = ["" if t.normalized else t.content for t in added]  # "" is in every text
-        self.odd = re.compile("[^\x00-\x1b\x20-ſ]|İ")
+        self.odd = re.compile("[^\x00-\x1b\x20-\u017f]|\u0130")
         self.names = _byte_names()
-        self.most_chunks, self.most_words = cache_chunks, cache_words
-        self.words: dict[str, bytes] = {}
-        tok = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                got = b"".join([tok.word(w) for w in tok.split.findall(chunk.lower())])
-                if len(self) >= tok.most_chunks:
-                    self.clear()
-                self[chunk] = got
-                return got
-
-        self.chunks = Chunks()
+        self.pairs = [k.to_bytes(2, "little") for k in range(1 << 16)]
+        self.words = Recent(cache_bytes)
+        self.slice_bytes = slice_bytes
 
     def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            names = self.names
-            mapped = w if w.isascii() and w.isprintable() else "".join([names[b] for b in w.encode()])
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            if len(self.words) >= self.most_words:
-                self.words.clear()
-            self.words[w] = got
-        return got
+        mapped = w if w.isascii() and w.isprintable() else "".join([self.names[b] for b in w.encode()])
+        return b"".join([self.pairs[t.id] for t in self.model.tokenize(mapped)])
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text must go through the tokenizer itself."""
+        if any([a in text for a in self.added]):
+            return True
+        if text.isascii():
+            return any([c in text for c in "\x1c\x1d\x1e\x1f"])
+        return self.odd.search(text) is not None
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that ``_whole`` lets pass."""
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        chunks = lists.flatten().dictionary_encode()
+        words = list(map(self.split.findall, pc.utf8_lower(chunks.dictionary).to_pylist()))
+        known = self.words.fill(set(chain.from_iterable(words)), self.word).__getitem__
+        distinct = [b"".join(map(known, x)) for x in words]
+        taken = pa.array(distinct, pa.binary()).take(chunks.indices)
+        if not len(taken):
+            return [b""] * len(texts)
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, "<i4", len(taken) + 1)[np.asarray(lists.offsets)].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit numbers.
+
+        The work goes by slices of bounded size; a text beyond the bound is
+        cut at white space, which no word crosses.
+        """
+        out: list[list[bytes]] = [[] for _ in texts]
+        rows: list[int] = []
+        held: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for r, ids in zip(rows, self._by_chunks(held)):
+                out[r].append(ids)
+            rows.clear()
+            held.clear()
+            size = 0
+
+        for r, text in enumerate(texts):
+            if self._whole(text):
+                out[r].append(np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+                continue
+            for piece in cut_at_spaces(text, self.slice_bytes):
+                if held and size + len(piece) > self.slice_bytes:
+                    flush()
+                rows.append(r)
+                held.append(piece)
+                size += len(piece)
+        if held:
+            flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit numbers."""
-        if self.odd.search(text) or any([a in text for a in self.added]):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return self.batch([text])[0]
+
+
+def cut_at_spaces(text: str, most: int) -> Iterator[str]:
+    """Pieces of about ``most`` characters, cut only before white space."""
+    at = 0
+    while len(text) - at > most:
+        found = SPACE.search(text, at + most)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -130,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         tok = tokenizer(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [tok.ids(x or "") + end for x in b.column(1).to_pylist()]
+            ids = [x + end for x in tok.batch([x or "" for x in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             at = before + np.cumsum(n) - n
             before += int(n.sum())
