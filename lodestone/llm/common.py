@@ -113,6 +113,20 @@ def bounded_broadcast(df: DataFrame, lists: str, max_rows: int = 300_000, max_el
     return F.broadcast(df) if rows <= max_rows and elements <= max_elements else df
 
 
+def even_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: int, most: int = 5_000, how: str = "inner") -> DataFrame:
+    """Inner or left join on keys that are unique in ``right``, without hot keys.
+
+    ``right[weight]``: the rows of ``left`` with the key, ``total`` in all. Keys
+    with at least ``total / most`` rows are at most ``most``, so they are
+    broadcast at any size; the others are too rare to weigh on one task.
+    """
+    names = [keys] if isinstance(keys, str) else keys
+    is_hot = F.col(weight) * most >= F.lit(max(total, 1))
+    hot = F.broadcast(right.where(is_hot))
+    rest = left.join(F.broadcast(right.where(is_hot).select(*names)), names, "left_anti").join(right.where(~is_hot), names, how)
+    return left.join(hot, names).unionByName(rest)
+
+
 def small_batches(batches: Iterator, rows: int = 500) -> Iterator:
     """Batches in pieces of a few rows, so that Python copies stay small."""
     for b in batches:

@@ -4,16 +4,16 @@ Everything here is DataFrame and SQL functions.
 
 1. Every row becomes an index entry (doc_id, 64-bit hash, SHA-256) of its
    text after lower-casing A-Z; entries are written to the shared folder.
-2. The directory: entries are counted by the first ``max_depth`` bits of the
-   hash (at most ``2**max_depth`` counts, so bounded), and the directory
-   doubles - an overfull bucket splits by one more bit - until every bucket
-   fits or the depth is used up. A bucket is a range of hash values.
-3. Entries of equal hash form a chain, dealt by Spark's shuffle: the directory
-   names each row's bucket but does not drive the grouping. For
-   chains of two and more the texts are read again and grouped by (hash,
-   text) itself, so bytes are compared and collisions stay apart. Spark
-   combines on the map side first: a text that a third of all rows share
-   reaches its owner as one row for each task.
+2. The directory: keys (distinct hashes) are counted by the first
+   ``max_depth`` bits of the hash (at most ``2**max_depth`` counts, so
+   bounded), and the directory doubles - an overfull bucket splits by one
+   more bit - until every bucket fits or the depth is used up. A bucket is a
+   range of hash values; buckets are numbered in the order of their ranges.
+3. Entries of equal hash form a chain. The texts of chains of two and more are
+   read again, combined within each input partition (so a text that a third
+   of all rows share is one row for each), and dealt by the directory: each
+   owner task holds the buckets of one key range, walks their chains and
+   compares the texts byte by byte, so collisions stay apart.
 4. Members take their group's result by (hash, SHA-256).
 
 Defined results: null text counts as empty and equals it; of equal texts the
@@ -28,11 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, maybe_broadcast
+from lodestone.llm.common import Scratch, even_join, shuffle_width
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_DEPTH = 12
-BUCKET_ROWS = 50_000
+BUCKET_KEYS = 50_000
+MAX_BROADCAST = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -40,19 +41,19 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
 
 
-def directory(counts: dict[int, int], max_depth: int = MAX_DEPTH, bucket_rows: int = BUCKET_ROWS) -> list[tuple[int, int]]:
+def directory(counts: dict[int, int], max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS) -> list[tuple[int, int]]:
     """Buckets of an extendible hash as ``(depth, prefix)``.
 
-    ``counts``: rows by the first ``max_depth`` hash bits. Starts with one
+    ``counts``: keys by the first ``max_depth`` hash bits. Starts with one
     bucket; each doubling splits the overfull ones by their next bit. A
-    bucket that stays overfull at full depth (one very common text) remains.
+    bucket that stays overfull at full depth remains; its owner task spills.
     """
     full, open_buckets = [], [(0, 0)]
     while open_buckets:
         depth, prefix = open_buckets.pop()
         span = max_depth - depth
         rows = sum(counts.get(k, 0) for k in range(prefix << span, (prefix + 1) << span)) if depth < max_depth else 0
-        if depth == max_depth or rows <= bucket_rows:
+        if depth == max_depth or rows <= bucket_keys:
             full.append((depth, prefix))
         else:
             open_buckets += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
@@ -70,25 +71,36 @@ def index_entries(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return hashed.withColumn("slot", _top_bits(F.col("h"), max_depth))
 
 
-def exact_duplicates(docs: DataFrame, max_depth: int = MAX_DEPTH, bucket_rows: int = BUCKET_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256, bucket)`` for each row."""
+def exact_duplicates(docs: DataFrame, max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS, scratch: Scratch | None = None) -> DataFrame:
+    """``(doc_id, keep_id, group_size, kept, text_sha256)`` for each row."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "exact")
     entries = scratch.save(index_entries(docs, max_depth), "entries")
-
-    counts = {r["slot"]: r["n"] for r in entries.groupBy("slot").agg(F.count("*").alias("n")).collect()}  # at most 2**max_depth rows
-    buckets = directory(counts, max_depth, bucket_rows)
-    slots = [(s, f"{p:0{d}b}" if d else "") for d, p in buckets for s in range(p << (max_depth - d), (p + 1) << (max_depth - d))]
-    owner = spark.createDataFrame(slots, "slot int, bucket string")
-
-    chains = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    chains = maybe_broadcast(scratch.save(chains, "chains"))
+    keys = scratch.save(entries.groupBy("slot", "h").agg(F.count("*").alias("n")), "keys")
+
+    by_slot = keys.groupBy("slot").agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.sum((F.col("n") > 1).cast("long")).alias("chains")).collect()  # at most 2**max_depth rows
+    buckets = directory({r["slot"]: r["keys"] for r in by_slot}, max_depth, bucket_keys)
+    n_owners = max(1, min(len(buckets), 8 * shuffle_width(spark)))
+    slots = [
+        (slot, k, k * n_owners // len(buckets))
+        for k, (depth, prefix) in enumerate(buckets)
+        for slot in range(prefix << (max_depth - depth), (prefix + 1) << (max_depth - depth))
+    ]
+    owner = spark.createDataFrame(slots, "slot int, bucket int, owner int")
+
+    total, n_chains = sum(r["rows"] for r in by_slot), sum(r["chains"] for r in by_slot)
+    chains = keys.where("n > 1").select("h", "n")
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    # the grouping key is the text: its bytes are compared in the hash table
-    groups = again.join(chains, "h", "left_semi").groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = scratch.save(groups.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
-
-    found = entries.join(groups, ["h", "sha"], "left").join(F.broadcast(owner), "slot", "left")
+    again = again.join(F.broadcast(chains), "h") if n_chains <= MAX_BROADCAST else even_join(again, chains, "h", "n", total)
+    most, many = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    combined = again.groupBy(F.spark_partition_id().alias("part"), "h", "norm").agg(most, many)
+    routed = combined.withColumn("slot", _top_bits(F.col("h"), max_depth)).join(F.broadcast(owner), "slot")
+    routed = routed.repartitionById(n_owners, F.col("owner"))
+    # within an owner: by bucket and chain; the text is the last key, so its bytes are compared
+    groups = routed.groupBy("owner", "bucket", "h", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = scratch.save(groups.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").where("group_size > 1"), "groups")
+
+    found = entries.join(F.broadcast(groups), ["h", "sha"], "left") if n_chains <= MAX_BROADCAST else even_join(entries, groups, ["h", "sha"], "group_size", total, how="left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
@@ -96,5 +108,4 @@ def exact_duplicates(docs: DataFrame, max_depth: int = MAX_DEPTH, bucket_rows: i
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        "bucket",
     )
