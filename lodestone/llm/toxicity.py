@@ -1,14 +1,21 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over the words of a text. Every labelled text is also seen
-with identity terms swapped for others, or with one added where it has none
-("counterfactual"), and the squared change of the score is penalised, so a
-mention of a group by itself doesn't move the score.
+A logistic model over the words of a text and over word stems: the first
+``STEM`` letters of its longer words, told apart by how many of the text's
+distinct words share them (one, two, three or more), which covers inflected
+and compound words that the sample shows rarely. Every labelled text is also
+seen with the identity terms of each of its sentences swapped for others, or
+with one added to a sentence where it has none ("counterfactual"), and the
+squared change of the score is penalised, so a mention of a group by itself
+doesn't move the score.
 
 Fitting uses a bounded sample: at most ``max_each`` labelled rows of either
-class, those with the least hash of their doc_id. The vocabulary is the words
-that tell the classes apart best there (at most ``max_words``), plus the
-identity terms. All rows are scored, whole.
+class, those with the least hash of their doc_id. A feature is admitted if
+``least_texts`` sample texts hold it and its share differs between the classes
+by ``least_z`` standard errors; of the admitted ones the ``max_words`` that
+tell the classes apart best enter the model, plus the identity terms. All
+three are parameters of the model, like a layer's width; scoring has no
+limits: all rows are scored, whole.
 
 Defined results: a null or empty text is scored as a text without words;
 several labels of one doc_id count as their largest; rows with a null doc_id
@@ -21,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tidy
+from lodestone.llm.common import Scratch, ship, tidy
 from lodestone.llm.quality import least, may_learn
 
 MAX_EACH = 6000
-MAX_WORDS = 512
+MAX_WORDS = 1024
+LEAST_TEXTS = 3
+LEAST_Z = 2.5
+STEM = 5
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?]\s|\n")
 
 # Identity terms, interchangeable within a group.
 IDENTITY_TERMS = (
@@ -55,74 +66,111 @@ IDENTITY_TERMS = (
 )
 
 
+TERMS = frozenset(t for group in IDENTITY_TERMS for t in group)
+
+
 def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def swapped(words: set[str], turn: int) -> set[str]:
-    """The words with every identity term swapped for another of its group.
+def stems_of(words: Iterable[str]) -> set[str]:
+    """``stem*`` of each stem, ``stem**`` and ``stem***`` if more words share it."""
+    out: set[str] = set()
+    for stem, n in Counter([w[:STEM] for w in words if len(w) > STEM]).items():
+        out.update([stem + "*" * k for k in range(1, min(n, 3) + 1)])
+    return out
+
+
+def features(words: set[str]) -> set[str]:
+    """Words and stems; identity terms only as the words they are."""
+    return words | stems_of(words - TERMS)
+
+
+def terms_of(text: str) -> list[list[str]]:
+    """The identity terms of each sentence that has some."""
+    return [sorted(found) for s in SENTENCE.split(text) if (found := words_of(s) & TERMS)]
+
 
-    Without one, a term is added. ``turn`` picks the terms, so the same text
-    gets different counterfactuals.
+def swapped(terms: Iterable[str], turn: int) -> set[str]:
+    """Every term of a sentence replaced by another of its group, all at once.
+
+    ``turn`` picks by how far a group is rotated, so the same sentence gets
+    different counterfactuals and no two terms become one.
     """
-    out = set(words)
+    out: set[str] = set()
     for group in IDENTITY_TERMS:
-        for i, term in enumerate(group):
-            if term in words:
-                out.discard(term)
-                out.add(group[(i + 1 + turn % (len(group) - 1)) % len(group)])
-    if out == words:
-        group = IDENTITY_TERMS[turn % len(IDENTITY_TERMS)]
-        out.add(group[turn // len(IDENTITY_TERMS) % len(group)])
+        step = 1 + turn % (len(group) - 1)
+        out.update(group[(i + step) % len(group)] for i, t in enumerate(group) if t in terms)
     return out
 
 
+def counterfactual(sentences: list[list[str]], turn: int) -> set[str]:
+    """Identity terms of a text after the swap, sentence by sentence."""
+    if not sentences:
+        group = IDENTITY_TERMS[turn % len(IDENTITY_TERMS)]
+        return {group[turn // len(IDENTITY_TERMS) % len(group)]}
+    return set().union(*(swapped(s, turn + k) for k, s in enumerate(sentences)))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Word weights; a text's score needs the set of its words only."""
+    """Feature weights; a text's score needs the set of its words only."""
 
     weights: dict[str, float]
     bias: float
 
     def score(self, text: str) -> float:
-        g = self.bias + sum(map(self.weights.get, self.weights.keys() & words_of(text)))
+        g = self.bias + sum(map(self.weights.get, self.weights.keys() & features(words_of(text))))
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def fit_counterfactual(texts: list[set[str]], labels: np.ndarray, vocabulary: list[str], penalty: float = 1.0, decay: float = 2e-3, steps: int = 400, rate: float = 0.1, turns: int = 4) -> Model:
+Row = tuple[frozenset, tuple[tuple[str, ...], ...], int]  # features, identity terms by sentence, label
+
+
+def fit_counterfactual(sample: list[Row], vocabulary: list[str], penalty: float = 1.0, decay: float = 2e-4, steps: int = 300, rate: float = 0.1, turns: int = 4) -> Model:
     """Class-balanced logistic loss, L2, and the counterfactual penalty.
 
     Texts with the same words and label are one row with a weight.
     """
-    same = Counter((frozenset(s), int(y)) for s, y in zip(texts, labels))
-    rows = sorted(same, key=lambda k: (sorted(k[0]), k[1]))
+    same = Counter(sample)
+    rows = sorted(same, key=lambda k: (sorted(k[0]), k[1:]))
     count = np.array([same[k] for k in rows], np.float64)
-    texts, labels = [set(s) for s, _ in rows], np.array([y for _, y in rows])
+    labels = np.array([k[2] for k in rows])
     total = count.sum()
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def matrix(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(vocabulary)))
+        x = np.zeros((len(sets), len(vocabulary)), np.float32)
         for r, s in enumerate(sets):
             x[r, [place[w] for w in s & place.keys()]] = 1
         return x
 
-    x = matrix(texts)
-    twins = [matrix([swapped(s, 7 * r + t) for r, s in enumerate(texts)]) for t in range(turns)]
+    texts = [set(k[0]) for k in rows]
+    # a twin differs in identity terms only, so those columns are apart
+    own = [place[t] for t in sorted(TERMS)]
+    base = matrix(texts)
+    x = base[:, own].copy()
+    base[:, own] = 0
+    twins = [matrix([counterfactual(list(k[1]), 7 * r + t) for r, k in enumerate(rows)])[:, own] for t in range(turns)]
     weight = count * np.where(labels == 1, 0.5 / max(1.0, count[labels == 1].sum()), 0.5 / max(1.0, count[labels == 0].sum()))
     w, b = np.zeros(len(vocabulary)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    small = lambda v: v.astype(np.float32)
     for step in range(1, steps + 1):
-        s = sig(x @ w + b)
-        d = weight * (s - labels)
-        gw, gb = x.T @ d + decay * w, d.sum()
+        plain = base @ small(w) + b
+        s = sig(plain + x @ small(w[own]))
+        both = weight * (s - labels)
+        gw, gown = decay * w, x.T @ small(both)
         for xt in twins:
-            st = sig(xt @ w + b)
+            st = sig(plain + xt @ small(w[own]))
             change = 2 * penalty * count * (s - st) / (total * turns)
             up, down = change * s * (1 - s), change * st * (1 - st)
-            gw += x.T @ up - xt.T @ down
-            gb += up.sum() - down.sum()
+            gown += x.T @ small(up) - xt.T @ small(down)
+            both = both + up - down
+        gw += base.T @ small(both)
+        gw[own] += gown
+        gb = both.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
@@ -130,7 +178,10 @@ def fit_counterfactual(texts: list[set[str]], labels: np.ndarray, vocabulary: li
     return Model({v: float(w[i]) for v, i in place.items()}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, max_each: int = MAX_EACH, max_words: int = MAX_WORDS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1,
+    max_each: int = MAX_EACH, max_words: int = MAX_WORDS, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z,
+) -> Model:
     """Fit on at most ``max_each`` labelled rows of each class."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(may_learn(mod, held) & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -140,24 +191,28 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, max_eac
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = [sorted(words_of(t or "")) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.list_(pa.string()))], ["doc_id", "label", "words"])
-
-    sample = texts.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, words array<string>")
-    n, ones = picks.agg(F.count("*"), F.sum("label")).first()
+            all_texts = [t or "" for t in b.column(1).to_pylist()]
+            found = pa.array([sorted(features(words_of(t))) for t in all_texts], pa.list_(pa.string()))
+            terms = pa.array([terms_of(t) for t in all_texts], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column(0), found, terms], ["label", "found", "terms"])
+
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(texts.select("label", "text").mapInArrow(bags, "label int, found array<string>, terms array<array<string>>"), "sample")
+    n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     ones = ones or 0
     if not ones or ones == n:  # one class only
         p = (ones + 1) / (n + 2)
         return Model({}, float(np.log(p / (1 - p))))
-    counts = sample.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    counts = sample.select("label", F.explode("found").alias("w")).groupBy("w").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
     zeros = n - ones
     share = (F.col("p") + F.col("q")) / F.lit(n)
     strength = F.abs(F.col("p") / ones - F.col("q") / zeros) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros) + 1e-12)
-    best = counts.where(F.col("p") >= max(3, 0.01 * ones)).withColumn("z", strength).where("z >= 4").orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()  # at most max_words
-    terms = {t for g in IDENTITY_TERMS for t in g}
-    vocabulary = sorted({r["w"] for r in best} | terms)
-    narrow = sample.select("label", F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("words")).collect()  # the bounded sample, vocabulary words only
-    return fit_counterfactual([set(r["words"]) for r in narrow], np.array([r["label"] for r in narrow]), vocabulary)
+    best = counts.where(F.col("p") + F.col("q") >= least_texts).withColumn("z", strength).where(F.col("z") >= least_z)
+    best = best.orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()  # at most max_words
+    vocabulary = sorted({r["w"] for r in best} | TERMS)
+    narrow = sample.select("label", F.array_intersect("found", F.lit(vocabulary)).alias("found"), "terms").collect()  # the bounded sample, vocabulary only
+    scratch.drop("sample")
+    return fit_counterfactual([(frozenset(r["found"]), tuple(map(tuple, r["terms"])), r["label"]) for r in narrow], vocabulary)
 
 
 def scorer(model: Model):
