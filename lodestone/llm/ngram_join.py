@@ -1,10 +1,10 @@
 """Near-duplicate documents by the Jaccard similarity of word shingles.
 
-T-occurrence search: a document's shingles are ordered by rarity; its short
-inverted lists are merged and its long ones probed (DivideSkip), see
-``setjoin.search``. Nothing is approximate: shingles are held as 64-bit
-hashes, and every pair that reaches the threshold is counted and ends in one
-component.
+T-occurrence search: sets that can be similar meet in small units; there a
+set's short inverted lists are merged by a heap and its long ones probed
+(DivideSkip), see ``setjoin.route`` and ``setjoin.t_occurrence``. Nothing is
+approximate: shingles are held as 64-bit hashes, and every pair that reaches
+the threshold is counted once and ends in one component.
 
 Defined results: a null or empty text, or one of white space, has an empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import setjoin as sj
-from lodestone.llm.common import Scratch, byte_texts, maybe_broadcast, ship, shuffle_width, small_batches, tidy
+from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches, tidy
 from lodestone.llm.components import connected_components
 
 SHARE = 4  # a set posts a quarter of its tokens beyond the prefix
@@ -104,29 +104,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
 
     dealt = rows.where("doc_id is not null").select("text").mapInArrow(tidy(deal), "bucket int, postings binary")
     lists = scratch.save(sj.shared_lists(dealt, n_postings), "lists")
-    near = sj.co_located(lists, classes, percent, SHARE, scratch)
-    members = classes.join(near.withColumnRenamed("id", "sid"), "sid").withColumnRenamed("sid", "id").select("root", "id", "n", "doc_id")
-    members = scratch.save(sj.blocks(members).withColumnRenamed("id", "sid").drop("n"), "members")
-    scratch.drop("lists")
+    placed = sj.places(sj.route(lists, classes, percent, SHARE, scratch))
+    members = scratch.save(placed.join(classes, "sid").select("doc_id", "sid", "places"), "members")
+    scratch.drop("lists", "hot", "visits", "units")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            got = [shingle_set(x, words) for x in byte_texts(b.column(4))]
-            same = pa.array([set_id(s) == i for s, i in zip(got, b.column(3).to_pylist())], pa.bool_())
-            cols = [b.column(k) for k in range(4)] + [pa.array([s.tobytes() for s in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["root", "n_blocks", "block", "sid", "tokens"]).filter(same)
+            got = [shingle_set(x, words) for x in byte_texts(b.column(2))]
+            same = pa.array([set_id(s) == i for s, i in zip(got, b.column(0).to_pylist())], pa.bool_())
+            cols = [b.column(0), b.column(1), pa.array([s.tobytes() for s in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["sid", "places", "tokens"]).filter(same)
 
-    known = maybe_broadcast(members)
-    texts = rows.join(known, "doc_id").select("root", "n_blocks", "block", "sid", "text")
-    sets = texts.mapInArrow(tidy(gather), "root long, n_blocks int, block int, sid long, tokens binary")
+    place = "array<struct<unit:bigint,n_blocks:int,block:int>>"
+    texts = rows.join(bounded_broadcast(members, "places"), "doc_id").select("sid", "places", "text")
+    sets = texts.mapInArrow(tidy(gather), f"sid long, places {place}, tokens binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), held in sj.grouped(batches, 3):
+        for (unit, i, j), held in sj.grouped(batches, 3):
             held = list({h[1]: h for h in held}.values())
-            held.sort(key=lambda h: (len(h[2]), h[1]))
-            arrays = [np.frombuffer(h[2], "<u8") for h in held]
+            held.sort(key=lambda h: (len(h[3]), h[1]))
+            arrays = [np.frombuffer(h[3], "<u8") for h in held]
             union, found, n_links = sj.Union(len(held)), [], np.zeros(len(held), np.int64)
             side = np.array([h[0] for h in held]) if i != j else None
+            lower: dict[int, list[int]] = {}  # a pair belongs to the least unit that both sets visit
+            for k, h in enumerate(held):
+                for u in h[2]:
+                    if u < unit:
+                        lower.setdefault(u, []).append(k)
+
+            def elsewhere(q: int, unit=unit, held=held, lower=lower) -> np.ndarray | None:
+                got = [lower[u] for u in held[q][2] if u < unit and len(lower[u]) > 1]
+                return np.concatenate(got) if got else None
 
             def partners(q: int, them: np.ndarray, union=union, found=found, n_links=n_links) -> None:
                 n_links[q] += len(them)
@@ -138,15 +146,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
                     found.append((q, r))
 
             if len(held) > 1:
-                sj.search(arrays, percent, side, None, None, partners)
+                sj.t_occurrence(arrays, percent, side, elsewhere, partners)
             tied = np.flatnonzero(n_links).tolist()
             a = [held[q][1] for q, _ in found] + [held[q][1] for q in tied]
             b = [held[r][1] for _, r in found] + [None] * len(tied)
             n = [None] * len(found) + n_links[tied].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "n"])
 
-    met = sj.meetings(sets).select("root", "i", "j", "block", "sid", "tokens")
-    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    met = sj.meetings(sets.withColumn("units", F.col("places.unit"))).select("unit", "i", "j", "block", "sid", "units", "tokens")
     # tree edges (a, b), and for each set of a meeting its links there (a, n)
     verified = scratch.save(met.mapInArrow(tidy(link), "a long, b long, n long"), "links")
     links = verified.where("b is not null").select("a", "b")

@@ -10,35 +10,41 @@ at least ``T = ceil(percent * n / 100)`` tokens with any similar set. The steps:
    (``least_shared``), so ``extra`` trades postings for a sharper filter.
    ``pack_postings`` deals them as bytes, by token bucket.
 3. ``shared_lists`` keeps the inverted lists with two or more sets.
-4. ``co_located``: a set with too few posted tokens in such lists has no
-   similar set and goes. Of the rest, sets that share a posted token (and may
-   be similar by size) get one ``root``; each set of a list is tied to the
-   list's first set, so the work is linear in the postings. All similar pairs
-   lie within a root.
-5. ``blocks`` / ``meetings``: a root's sets meet in one task, or, if the root
-   is large, its blocks meet pairwise; ``search`` then counts overlaps.
+4. ``route``: every list has a unit, its least set; a set visits the units of
+   its lists. Two sets of a list have that list's unit in common, so all
+   similar pairs meet, and nothing is transitive: a unit holds neighbours of
+   one set. Lists of near copies have nearly the same members and so the same
+   unit; a set therefore visits few units, not one for each token. Sets and
+   visits that can't lead to a similar pair go (see ``route``).
+5. ``meetings``: a unit's sets meet in one task, or, if the unit is large, its
+   blocks meet pairwise. There ``t_occurrence`` (DivideSkip) or
+   ``first_matches`` (prefix and positional filters) does the search.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, shuffle_width, tidy
-from lodestone.llm.components import connected_components
+from lodestone.llm.common import Scratch, maybe_broadcast, shuffle_width, tidy
 
 BUCKET_BITS = 20
 SLICE = 1 << 14
-SALTS = 32
+SALT_POSTINGS = 32_768
+LEAST_BLOCK = 256
+BLOCKS = 16
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_500_000
 POSTINGS_PER_PARTITION = 1_000_000
 DEAL_POSTINGS = 800_000
-MAX_BROADCAST_SETS = 1_000_000
+HITS = 1_000_000
+PROBE_COST = 0.0085  # the weight of a probe in DivideSkip's choice of L
 U64 = np.uint64
 K1, K2, K3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -203,9 +209,13 @@ def rarity_codes(slices: DataFrame) -> tuple[np.ndarray, int]:
     return codes, hot
 
 
+def codes_of(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return codes[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)]
+
+
 def ordered_keys(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Tokens as numbers whose order is rarest first: 6 bits of code, then hash."""
-    return (codes[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6))
+    return (codes_of(h, codes).astype(U64) << U64(58)) | (h >> U64(6))
 
 
 def pack_postings(keys: np.ndarray, ids: np.ndarray, n_buckets: int, hot: int) -> Iterator[tuple[int, bytes]]:
@@ -213,14 +223,17 @@ def pack_postings(keys: np.ndarray, ids: np.ndarray, n_buckets: int, hot: int) -
 
     Within a bucket 32 bits tell tokens apart (the lowest marks hot ones);
     tokens that still fall together only make the filter a little coarser. A
-    hot token's postings are dealt to ``SALTS`` buckets by set.
+    hot token's postings are dealt by set to as many buckets as its count asks
+    for.
     """
     with np.errstate(over="ignore"):
         mixed = mix(keys)
         at = mixed
-        salted = (keys >> U64(58)) >= U64(hot)
+        code = keys >> U64(58)
+        salted = code >= U64(hot)
         if salted.any():
-            at = np.where(salted, mix(mixed + (mix(ids) % U64(SALTS)) + U64(1)), mixed)
+            salts = np.maximum(2, 2.0 ** (code.astype(np.float64) / 2) / SALT_POSTINGS).astype(U64)
+            at = np.where(salted, mix(mixed + (mix(ids) % salts) + U64(1)), mixed)
     token = ((mixed >> U64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | salted.astype(np.uint32)
     bucket, order = by_value(at % U64(n_buckets))
     token, ids = token[order], ids[order]
@@ -302,103 +315,113 @@ def shared_lists(dealt: DataFrame, n_postings: int) -> DataFrame:
     return dealt.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(lists), "bucket int, postings binary")
 
 
-def list_edges(bucket: np.ndarray, token: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Edges that tie the sets of each list together, as two columns.
+def _hot_units(lists: DataFrame) -> DataFrame:
+    """``(bucket, hot array<struct(token, unit)>)``: units of salted tokens.
 
-    A list (bucket and token) is sorted by size and cut where the next size is
-    too large to be similar; each part's sets are tied to its first. The parts
-    of a hot token, whose list lies in several buckets, meet at a node of
-    their own.
+    A salted token's list lies in several buckets; its unit is the least set
+    over all of them. One row for each bucket with such a token; the table is
+    smaller than the postings by the count that makes a token hot.
     """
-    key = (bucket.astype(U64) << U64(32)) | token.astype(U64)
-    order = np.lexsort((ids, sizes, key))
-    key, token, ids, sizes = key[order], token[order], ids[order], sizes[order]
-    fresh = np.r_[True, key[1:] != key[:-1]]
-    hot = (token & 1).astype(bool)
-    first = fresh | (np.r_[False, 100 * sizes[:-1] < percent * sizes[1:]] & ~hot)
-    pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    a, b = ids, pivot
-    ends = fresh & hot
-    if ends.any():
-        a, b = np.r_[a, ids[ends]], np.r_[b, mix(token[ends].astype(U64) ^ K1)]
-    other = a != b
-    return np.unique(np.stack([a[other], b[other]], 1), axis=0)
-
-
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches whose rows come by bucket, cut between buckets only."""
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        held = [np.concatenate(p) for p in zip(held, now)] if held else now
-        last = int(np.argmax(held[0] == held[0][-1]))
-        if last:
-            yield [c[:last] for c in held]
-            held = [c[last:] for c in held]
-    if held:
-        yield held
-
-
-def co_located(shared: DataFrame, classes: DataFrame, percent: int, share: int, scratch: Scratch) -> DataFrame:
-    """``shared`` lists and ``classes(sid, n)`` to ``(id long, root long)``."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ids, n = np.unique(unpacked(b.column(0).to_pylist())[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64))], ["sid", "c"])
-
-    counts = shared.select("postings").mapInArrow(tidy(tally), "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
-    alive = classes.select("sid", "n").join(counts, "sid").where(F.col("c") >= least_shared(F.col("n"), share)).select("sid", F.col("n").cast("int").alias("n"))
-    alive = scratch.save(alive, "alive")
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 token, ids = unpacked([blob])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(token.view(np.int32)), pa.array(ids.view(np.int64))], ["bucket", "token", "sid"])
-
-    def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, token, sid, n in whole_buckets(batches):
-            found = list_edges(bucket, token.view(np.uint32), sid.view(U64), n.astype(np.int64), percent)
-            cols = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
+                hot = (token & 1).astype(bool)
+                token, ids = token[hot], ids[hot]  # sorted by token, then set
+                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+                cols = [pa.array(np.full(len(first), bucket, np.int32)), pa.array(token[first].astype(np.int64)), pa.array(ids[first].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "token", "sid"])
+
+    found = lists.mapInArrow(tidy(least), "bucket int, token long, sid long")
+    tokens = found.groupBy("token").agg(F.min("sid").alias("unit"), F.collect_list("bucket").alias("buckets"))
+    by_bucket = tokens.select(F.explode("buckets").alias("bucket"), F.struct("token", "unit").alias("hot"))
+    return by_bucket.groupBy("bucket").agg(F.collect_list("hot").alias("hot"))
+
+
+def route(lists: DataFrame, classes: DataFrame, percent: int, share: int, scratch: Scratch) -> DataFrame:
+    """Visits ``(sid, unit, n_blocks, block)`` of the sets to units.
+
+    ``lists``: ``shared_lists``; ``classes``: ``(sid, n)``. What goes, without
+    loss of a similar pair:
+
+    * a set with fewer than ``c = least_shared(n)`` posted tokens in shared
+      lists (it has no similar set at all);
+    * of a set's visits those with the fewest tokens, ``(c - 1) // 2`` tokens
+      in all: the posted tokens that two similar sets have in common are more
+      than both leave out together;
+    * visits to units without another set of a size that could be similar.
+    """
 
-    rows = shared.mapInArrow(tidy(rows_of), "bucket int, token int, sid long")
-    if alive.limit(MAX_BROADCAST_SETS + 1).count() <= MAX_BROADCAST_SETS:
-        live = rows.join(F.broadcast(alive), "sid")  # keeps the rows of a bucket together
-    else:
-        live = rows.join(alive, "sid").repartition("bucket").sortWithinPartitions("bucket")
-    edges = live.select("bucket", "token", "sid", "n").mapInArrow(tidy(edges_of), "a long, b long")
-    return connected_components(edges, scratch, "near")
+    def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, hot_units in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                token, ids = unpacked([blob])
+                if not len(ids):
+                    continue
+                ids = ids.view(np.int64)
+                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                unit = np.minimum.reduceat(ids, first)
+                if hot_units:
+                    known = {h["token"]: h["unit"] for h in hot_units}
+                    hot = np.flatnonzero(token[first] & 1)
+                    unit[hot] = [known[t] for t in token[first][hot].tolist()]
+                unit = np.repeat(unit, np.diff(np.r_[first, len(ids)]))
+                order = np.lexsort((unit, ids))
+                ids, unit = ids[order], unit[order]
+                start = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (unit[1:] != unit[:-1])])
+                tokens = np.diff(np.r_[start, len(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start]), pa.array(unit[start]), pa.array(tokens)], ["sid", "unit", "c"])
+
+    hot = scratch.save(_hot_units(lists), "hot")
+    with_hot = lists.join(maybe_broadcast(hot, 100_000), "bucket", "left").select("postings", "hot")
+    visits = with_hot.mapInArrow(tidy(units_of), "sid long, unit long, c long")
+    visits = visits.repartition("sid").groupBy("sid", "unit").agg(F.sum("c").alias("c"))
+    visits = visits.join(classes.select("sid", "n"), "sid")
+    least = least_shared(F.col("n"), share)
+    own = Window.partitionBy("sid")
+    visits = visits.withColumn("total", F.sum("c").over(own)).where(F.col("total") >= least)
+    visits = visits.withColumn("upto", F.sum("c").over(own.orderBy("c", "unit")))
+    visits = visits.where(F.col("upto") > F.floor((least - 1) / 2))
+    # sizes by a class whose neighbours alone can hold similar sizes
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
+    visits = scratch.save(visits.select("sid", "unit", F.col("n").cast("int").alias("n"), step.alias("k")), "visits")
+    sizes = visits.groupBy("unit", "k").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    sizes = sizes.groupBy("unit").agg(F.collect_list(F.struct("k", "sets")).alias("kinds"), F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens")).where("sets > 1")
+    block = F.least(F.greatest(F.ceil(F.col("sets") / BLOCKS), F.lit(LEAST_BLOCK)), F.lit(BLOCK_SETS))
+    n_blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    sizes = scratch.save(sizes.select("unit", "kinds", n_blocks.alias("n_blocks")), "units")
+    met = visits.join(maybe_broadcast(sizes, 200_000), "unit")
+    close = F.aggregate(F.filter("kinds", lambda x: F.abs(x["k"] - F.col("k")) <= 1), F.lit(0).cast("long"), lambda a, x: a + x["sets"])
+    met = met.where(close > 1)
+    return met.select("sid", "unit", "n_blocks", F.pmod(F.xxhash64("sid", "unit"), F.col("n_blocks")).cast("int").alias("block"))
 
 
 def bucket_count(n_postings: int, width: int) -> int:
     return 16 * max(width, -(-n_postings // POSTINGS_PER_PARTITION))
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """``members(root, id, n, ...)`` with ``n_blocks`` and ``block``, by root.
-
-    Small roots have one block. ``n`` is the size of the set.
-    """
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    sizes = sizes.where("sets > 1").select("root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("n_blocks"))
-    return members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("n_blocks")).cast("int"))
+def places(routed: DataFrame) -> DataFrame:
+    """``(sid, places)``: a set's visits as one list, at most one a posted token."""
+    return routed.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("unit", "n_blocks", "block"))).alias("places"))
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """Each set of ``sets(root, n_blocks, block, ...)`` once for each meeting.
+    """Sets with ``places`` once for each meeting, dealt to the meetings' tasks.
 
-    Meeting (i, j), i <= j, is that of two blocks of a root.
+    Meeting (i, j), i <= j, is that of two blocks of a unit. The meetings of a
+    unit are numbered and go to tasks in turn, so they never pile up on one.
     """
+    spark = sets.sparkSession
+    width = shuffle_width(spark)
+    each = sets.withColumn("place", F.explode("places")).select("*", "place.unit", "place.n_blocks", "place.block").drop("place")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("n_blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")),
     )
-    return sets.withColumn("m", F.explode(pairs)).select("*", "m.i", "m.j").drop("m")
+    met = each.withColumn("m", F.explode(pairs)).select("*", "m.i", "m.j").drop("m")
+    turn = F.pmod(F.xxhash64("unit"), F.lit(width)) + F.col("i").cast("long") * F.col("n_blocks") - F.floor(F.col("i") * (F.col("i") + 1) / 2) + F.col("j")
+    return met.repartitionById(width, F.pmod(turn, F.lit(width)).cast("int")).sortWithinPartitions("unit", "i", "j")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -416,91 +439,194 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield now, held
 
 
-def search(
+def merged(lists: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists with weights, merged to distinct numbers and summed weights.
+
+    A heap holds the runs by length; the two shortest are merged, the result
+    goes back, until one is left.
+    """
+    if not lists:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    turn = numbers()
+    heap = [(len(x), next(turn), x, np.full(len(x), w, np.int64)) for x, w in lists]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        _, _, a, wa = heapq.heappop(heap)
+        _, _, b, wb = heap[0]
+        x = np.concatenate([a, b])
+        order = np.argsort(x, kind="stable")  # merges the two runs
+        x, w = x[order], np.concatenate([wa, wb])[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        if len(first) < len(x):
+            x, w = x[first], np.add.reduceat(w, first)
+        heapq.heapreplace(heap, (len(x), next(turn), x, w))
+    return heap[0][2], heap[0][3]
+
+
+def t_occurrence(
     sets: list[np.ndarray],
     percent: int,
     side: np.ndarray | None,
-    linked: Callable[[int, int], bool] | None,
-    known: Callable[[int, np.ndarray], np.ndarray] | None,
-    partners: Callable[[int, np.ndarray], None] | None = None,
+    elsewhere: Callable[[int], np.ndarray | None],
+    partners: Callable[[int, np.ndarray], None],
 ) -> None:
     """T-occurrence search (DivideSkip) of every set among those before it.
 
-    ``sets``: sorted token arrays, in the order in which they take their
-    turn. ``side``: if given, only sets of another side count. ``known(q,
-    candidates)`` says which candidates still matter; ``linked(q, r)`` takes a
-    found pair and returns True if ``q`` needs no further partner. With
-    ``partners(q, all)`` instead of these two, every candidate is verified
-    and all partners of ``q`` are handed over at once.
-
-    A query's lists are ordered by length. The longest ``L`` are set aside,
-    the others merged; a candidate must occur at least ``T - L`` times in
-    the merged ones, and is then probed in the long ones by binary search -
-    or, when so many candidates are left that this costs more, the long
-    lists are merged too. ``T`` is the least overlap that a similar set of
-    any size can have; the exact test is on the union.
+    ``sets``: sorted token arrays, ascending by size. ``side``: if given, only
+    sets of another side count. ``elsewhere(q)``: sets that meet ``q`` in
+    another task too and are left to it. ``partners(q, all)`` gets all sets
+    before ``q`` that are similar to it.
+
+    Tokens with the same sets have one inverted list, weighted by their
+    number. A query's lists are ordered by length; the longest, up to ``L`` of
+    weight, are set aside, with ``L = T / (PROBE_COST * log2(M) + 1)`` and
+    ``M`` the longest list's length. The short ones are merged by a heap;
+    a candidate needs a weight of ``T - L`` there, ``T`` taken with its own
+    size, and is then probed in the long lists, longest last, until it has
+    reached ``T`` or can't any more.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
     total = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(total), sizes)
     order = np.argsort(tokens, kind="stable")  # owners ascend within a token
     st, so = tokens[order], owner[order]
     first = np.flatnonzero(np.r_[True, st[1:] != st[:-1]])
-    last = np.r_[first[1:], len(st)]
-    run = np.repeat(np.arange(len(first)), last - first)
-    list_of = np.empty(len(st), np.int64)
-    list_of[order] = run
-    lengths = last - first
-    ends = np.cumsum(sizes)
+    length = np.diff(np.r_[first, len(st)])
+    with np.errstate(over="ignore"):  # lists with equal members, told by a sum of mixed numbers
+        who = np.add.reduceat(mix((so.astype(U64) + U64(1)) * K1), first)
+    some = np.flatnonzero(length > 1)
+    _, at, weight = np.unique(who[some], return_index=True, return_counts=True)
+    lists = [so[first[k] : first[k] + length[k]] for k in some[at].tolist()]
+    if not lists:
+        return
+    list_len = length[some[at]]
+    member = np.concatenate(lists)
+    which = np.repeat(np.arange(len(lists)), list_len)
+    rank = np.arange(len(member)) - np.repeat(np.cumsum(list_len) - list_len, list_len)
+    order = np.lexsort((list_len[which], member))  # by set, its shortest lists first
+    member, which, rank = member[order], which[order], rank[order]
+    cuts = np.searchsorted(member, np.arange(total + 1))
+    masks: dict[int, np.ndarray] = {}
+
+    def probe(k: int, cand: np.ndarray) -> np.ndarray:
+        """Which candidates a long list holds: binary search, or, for many, a mask."""
+        x = lists[k]
+        if len(cand) * 4 < len(x):
+            return x[np.minimum(np.searchsorted(x, cand), len(x) - 1)] == cand
+        if k not in masks:
+            if len(masks) * total > 32 << 20:
+                masks.clear()
+            masks[k] = np.zeros(total, bool)
+            masks[k][x] = True
+        return masks[k][cand]
+
     for q in range(1, total):
         n = int(sizes[q])
         t = int(needed(n, percent))
-        mine = list_of[ends[q] - n : ends[q]]
-        mine = mine[lengths[mine] > 1]
-        if n == 0 or len(mine) < t:
+        mine, before = which[cuts[q] : cuts[q + 1]], rank[cuts[q] : cuts[q + 1]]
+        use = before > 0  # the list holds an earlier set
+        mine, before = mine[use], before[use]
+        w = weight[mine]
+        if not len(mine) or int(w.sum()) < t:
             continue
-        mine = mine[np.argsort(lengths[mine], kind="stable")]
-        n_long = t - 1
-        short, long = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
-        hits = np.concatenate([so[first[k] : last[k]] for k in short])
-        hits = hits[hits < q]
-        if not len(hits):
-            continue
-        count = np.bincount(hits, minlength=q)
-        cand = np.flatnonzero(count >= max(1, t - n_long))
-        other = sizes[cand]
-        cand = cand[(100 * other >= percent * n) & (100 * n >= percent * other)]
-        # positional filter: what is left after the short lists must suffice
-        cand = cand[(100 + percent) * (count[cand] + n_long) >= percent * (n + sizes[cand])]
+        most = t / (PROBE_COST * np.log2(float(list_len[mine[-1]]) + 1) + 1)
+        upto = np.cumsum(w[::-1])
+        n_long = int(np.searchsorted(upto, min(most, t - 1), side="right"))
+        n_short = len(mine) - n_long
+        rest = int(upto[n_long - 1]) if n_long else 0
+        cand, have = merged([(lists[k][:b], x) for k, b, x in zip(mine[:n_short].tolist(), before[:n_short].tolist(), w[:n_short].tolist())])
+        want = -(-percent * (n + sizes[cand]) // (100 + percent))  # the overlap of similar sets of these sizes
+        keep = (have + rest >= want) & (100 * sizes[cand] >= percent * n) & (100 * n >= percent * sizes[cand])
         if side is not None:
-            cand = cand[side[cand] != side[q]]
-        if known is not None:
-            cand = cand[known(q, cand)]
-        if not len(cand):
-            continue
-        overlap = count[cand]
-        merged = len(cand) * 4000 > int(lengths[long].sum()) * 2
-        if merged and len(long):
-            rest = np.concatenate([so[first[k] : last[k]] for k in long])
-            overlap = overlap + np.bincount(rest, minlength=total)[cand]
-        want = st[first[long]]
-        if partners is not None:
-            if not merged and len(long):
-                overlap = overlap + np.array([int(np.isin(want, sets[c], assume_unique=True).sum()) for c in cand])
-            found = cand[100 * overlap >= percent * (n + sizes[cand] - overlap)]
-            if len(found):
-                partners(q, found)
-            continue
-        rank = np.argsort(-overlap, kind="stable")
-        for c, o in zip(cand[rank], overlap[rank]):
-            o, m = int(o), int(sizes[c])
-            if not merged and len(long):
-                s = sets[c]
-                at = np.searchsorted(s, want)
-                o += int((s[np.minimum(at, m - 1)] == want).sum())
-            if 100 * o >= percent * (n + m - o) and known(q, np.array([c]))[0] and linked(q, int(c)):
+            keep &= side[cand] != side[q]
+        cand, have, want = cand[keep], have[keep], want[keep]
+        if len(cand) and (others := elsewhere(q)) is not None:
+            keep = ~np.isin(cand, others)
+            cand, have, want = cand[keep], have[keep], want[keep]
+        for step, (k, x) in enumerate(zip(mine[n_short:].tolist(), w[n_short:].tolist())):
+            if not len(cand):
                 break
+            have = have + x * probe(k, cand)
+            rest -= x
+            if step % 16 == 0:
+                keep = have + rest >= want
+                if not keep.all():
+                    cand, have, want = cand[keep], have[keep], want[keep]
+                elif (have >= want).all():
+                    break
+        found = cand[have >= want]
+        if len(found):
+            partners(q, found)
+
+
+def first_matches(sets: list[np.ndarray], percent: int, group: np.ndarray, side: np.ndarray) -> list[int]:
+    """Sets similar to any earlier set of their ``group`` and another ``side``.
+
+    ``sets``: tokens in one global order, rarest first. Only prefixes are
+    indexed, with positions. At the ``c``-th common prefix token, at positions
+    ``i`` and ``j``, two sets can share ``c + min(n - i, m - j) - 1`` tokens
+    at most (positional filter); this and their sizes must allow the
+    similarity. Candidates are compared exactly, the likeliest first, until
+    one is similar.
+    """
+    total = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    prefix = np.where(sizes > 0, sizes - needed(sizes, percent) + 1, 0)
+    ends = np.cumsum(prefix)
+    owner = np.repeat(np.arange(total), prefix)
+    place = np.arange(len(owner)) - np.repeat(ends - prefix, prefix)
+    tokens = np.concatenate([s[:p] for s, p in zip(sets, prefix.tolist())])
+    with np.errstate(over="ignore"):  # lists of other groups are other lists
+        tokens = mix(tokens ^ mix(group.astype(U64) * K1)[owner])
+    order = np.argsort(tokens, kind="stable")
+    st, so, sp = tokens[order], owner[order], place[order]
+    fresh = np.r_[True, st[1:] != st[:-1]] if len(st) else np.zeros(0, bool)
+    begin, many = np.empty(len(st), np.int64), np.empty(len(st), np.int64)
+    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    begin[order], many[order] = first, np.arange(len(st)) - first  # a token's postings of earlier sets
+    upto = np.r_[0, np.cumsum(many)]
+    gone: list[int] = []
+    whole: dict[int, set] = {}
+
+    def members(k: int) -> set:
+        if k not in whole:
+            whole[k] = set(sets[k].tolist())
+        return whole[k]
+
+    lo = 0
+    while lo < len(owner):  # some queries at a time, so that their postings stay bounded
+        last = owner[max(lo, int(np.searchsorted(upto, upto[lo] + HITS, side="right")) - 2)]
+        hi = int(ends[last])
+        n_hits = int(upto[hi] - upto[lo])
+        c = many[lo:hi]
+        at = np.repeat(begin[lo:hi] - (upto[lo:hi] - upto[lo]), c) + np.arange(n_hits)
+        q, i, cand, j = np.repeat(owner[lo:hi], c), np.repeat(place[lo:hi], c), so[at], sp[at]
+        n, m = sizes[q], sizes[cand]
+        keep = (100 * m >= percent * n) & (100 * n >= percent * m) & (side[cand] != side[q])
+        q, i, cand, j, n, m = (x[keep] for x in (q, i, cand, j, n, m))
+        lo = hi
+        if not len(q):
+            continue
+        pair = q * total + cand
+        by = np.argsort(pair, kind="stable")  # i ascends within a pair
+        pair, q, i, cand, j, n, m = (x[by] for x in (pair, q, i, cand, j, n, m))
+        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        hits = np.diff(np.r_[start, len(pair)])
+        c = np.arange(len(pair)) - np.repeat(start, hits)
+        want = -(-percent * (n + m) // (100 + percent))
+        fits = np.logical_and.reduceat(c + np.minimum(n - i, m - j) >= want, start)
+        q, cand, hits = q[start][fits], cand[start][fits], hits[fits]
+        best = np.lexsort((-hits, q))
+        done = -1
+        for x, y in zip(q[best].tolist(), cand[best].tolist()):
+            if x == done:
+                continue
+            o = len(members(x) & members(y))
+            if 100 * o >= percent * (int(sizes[x]) + int(sizes[y]) - o):
+                gone.append(x)
+                done = x
+    return gone
 
 
 class Union:
