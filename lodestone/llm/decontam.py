@@ -1,14 +1,21 @@
-"""Benchmark decontamination by one Aho-Corasick automaton.
+"""Benchmark decontamination by an Aho-Corasick automaton.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters,
-after lower-casing A-Z. Every window of ``window`` consecutive words of a
-benchmark item (the whole item if it is shorter) is a pattern; each text is
-normalised and scanned once, and hits are mapped back to word numbers and to
-character offsets of the original text.
-
-The automaton is sent to every worker, so its size is checked: beyond
-``max_patterns`` windows the benchmark is split into several automata that
-scan in turn, and the hits of a text are united, nothing is left out.
+after lower-casing A-Z. A window is ``window`` consecutive words of a
+benchmark item (the whole item if it is shorter). The automaton holds the
+anchors of the items: of every item, blocks of ``window // 2 + 1`` words at a
+fixed stride, such that each window has a whole block inside; a shorter item
+is one block. Each text is normalised and scanned once; where an anchor
+occurs, text and item are compared word by word to both sides, and a common
+run of a window's length or more is a hit. That is the same as looking for
+every window, with a fifth of the patterns at half their length. Hits are
+mapped back to word numbers and to character offsets of the original text.
+
+The benchmark is dealt into shards of at most ``max_nodes`` characters of
+anchors (a node of the automaton takes about 64 bytes). The driver holds one
+shard's items at a time; a task passes over its texts, ``CHUNK_BYTES`` at a
+time, once for each shard, and keeps one automaton. A usual benchmark is one
+shard, by the same code.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words has no window; the windows of an item with a null item_id hit
@@ -29,15 +36,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import byte_texts, ship, tidy
 
-MAX_PATTERNS = 1_000_000
-_BUILT: dict[str, object] = {}
+MAX_NODES = 2_000_000
+CHUNK_BYTES = 32 << 20
+_BUILT: dict[str, "Anchors"] = {}
 
 #: every ASCII byte that is no letter or digit becomes a space, A-Z become a-z
 FOLD = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-
+Item = tuple[str | None, str]
 
 
 def folded(text: bytes) -> bytes:
@@ -45,62 +53,126 @@ def folded(text: bytes) -> bytes:
     return b" ".join(text.translate(FOLD).split())
 
 
-def item_windows(text: bytes, window: int = 10) -> set[str]:
-    """Patterns of an item: its windows with a space on both sides."""
-    w = folded(text).decode().split(" ")
-    if w == [""]:
-        return set()
-    return {" " + " ".join(w[i : i + window]) + " " for i in range(max(1, len(w) - window + 1))}
-
-
-def _automaton(key: str, patterns: dict[str, list[str]]):
-    """Built once in each worker process."""
-    if key not in _BUILT:
-        import ahocorasick
+def anchors(words: list[str], window: int) -> Iterator[tuple[int, str]]:
+    """``(first word, block)`` of an item, with a space on both sides."""
+    if len(words) < window:
+        yield 0, f" {' '.join(words)} "
+        return
+    size = window // 2 + 1
+    for k in range(0, len(words) - size + 1, window - size + 1):
+        yield k, f" {' '.join(words[k : k + size])} "
 
-        a = ahocorasick.Automaton()
-        for p, items in patterns.items():
-            a.add_word(p, (p.count(" ") - 1, tuple(items)))
-        a.make_automaton()
-        _BUILT.clear()
-        _BUILT[key] = a
-    return _BUILT[key]
 
+class Anchors:
+    """The automaton of a shard, and the items' words to compare with."""
 
-def pattern_shards(benchmark: DataFrame, window: int, max_patterns: int) -> list[dict[str, list[str]]]:
-    """Patterns with the items that hold them, in dicts of bounded size.
+    def __init__(self, items: list[Item], window: int):
+        import ahocorasick
 
-    The benchmark is a fixed set of test items, read row by row; a dict is
-    closed when it is full.
+        self.window, self.ids = window, [i for i, _ in items]
+        self.words = [t.split(" ") for _, t in items]
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            for at, block in anchors(w, window):
+                places.setdefault(block, []).append((k, at))
+        self.automaton = ahocorasick.Automaton()
+        for block, found in places.items():
+            self.automaton.add_word(block, (block.count(" ") - 1, found))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, norm: bytes) -> tuple[list[list[int]], set[str]]:
+        """Hit runs ``[first word, end word)`` of a folded text, and item ids."""
+        spans: list[list[int]] = []
+        items: set[str] = set()
+        if not norm or not len(self.automaton):
+            return spans, items
+        text = f" {norm.decode()} "
+        words: list[str] = []
+        seen: dict[tuple[int, int], int] = {}  # how far an alignment of item and text is known
+        done_chars = done_words = 0
+        for end, (n, places) in self.automaton.iter(text):
+            done_words += text.count(" ", done_chars, end)
+            done_chars = end
+            first = done_words - n  # words before the closing space, less the block's
+            words = words or text[1:-1].split(" ")
+            for k, at in places:
+                item = self.words[k]
+                a, b = first, first + n
+                if len(item) >= self.window:
+                    if seen.get((k, first - at), 0) >= b:
+                        continue
+                    i, j = at, at + n
+                    while a and i and words[a - 1] == item[i - 1]:
+                        a, i = a - 1, i - 1
+                    while b < len(words) and j < len(item) and words[b] == item[j]:
+                        b, j = b + 1, j + 1
+                    seen[k, first - at] = b
+                    if b - a < self.window:
+                        continue
+                spans.append([a, b])
+                if self.ids[k] is not None:
+                    items.add(self.ids[k])
+        return united(spans), items
+
+
+def shards(benchmark: DataFrame, window: int, max_nodes: int) -> Iterator[list[Item]]:
+    """Items as ``(id, folded text)`` in lists of bounded size, one at a time.
+
+    An item larger than the bound is cut, with an overlap of ``window - 1``
+    words, so that every window lies in a piece.
     """
-    shards: list[dict[str, list[str]]] = [{}]
+    held: list[Item] = []
+    nodes = 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").toLocalIterator():
-        for p in item_windows(r["t"].encode(), window):
-            if len(shards[-1]) >= max_patterns and p not in shards[-1]:
-                shards.append({})
-            ids = shards[-1].setdefault(p, [])
-            if r["i"] is not None:
-                ids.append(r["i"])
-    return [s for s in shards if s]
-
-
-def scan_text(automaton, norm: bytes) -> tuple[list[list[int]], set[str]]:
-    """Hit runs ``[first word, end word)`` of a folded text, and item ids."""
-    text = f" {norm.decode()} "
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    done_chars = done_words = 0
-    for end, (n_words, ids) in automaton.iter(text):
-        done_words += text.count(" ", done_chars, end)
-        done_chars = end
-        last = done_words  # words before the closing space
-        first = last - n_words
-        items.update(ids)
-        while spans and first <= spans[-1][1]:
-            prev = spans.pop()
-            first, last = min(first, prev[0]), max(last, prev[1])
-        spans.append([first, last])
-    return spans, items
+        words = [w.decode() for w in folded(r["t"].encode()).split()]
+        piece = max(window, max_nodes // 16)
+        for k in range(0, max(len(words) - window + 1, 1) if words else 0, piece):
+            part = words[k : k + piece + window - 1]
+            cost = sum(len(b) for _, b in anchors(part, window))
+            if held and nodes + cost > max_nodes:
+                yield held
+                held, nodes = [], 0
+            held.append((r["i"], " ".join(part)))
+            nodes += cost
+    if held:
+        yield held
+
+
+class Detector:
+    """A benchmark, sent to the workers shard by shard."""
+
+    def __init__(self, benchmark: DataFrame, window: int, max_nodes: int):
+        ship(benchmark.sparkSession)
+        context = benchmark.sparkSession.sparkContext
+        self.window, self.parts = window, []
+        for items in shards(benchmark, window, max_nodes):
+            key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+            self.parts.append((key, context.broadcast(items)))
+
+    def built(self, k: int) -> Anchors:
+        """Of a worker process's shards, the one in use."""
+        key, items = self.parts[k]
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Anchors(items.value, self.window)
+        return _BUILT[key]
+
+    def scans(self, norms: list[bytes]) -> tuple[list[list[list[int]]], list[set[str]]]:
+        """Hit runs and item ids of each text; shards outside, texts inside."""
+        runs: list[list[list[int]]] = [[] for _ in norms]
+        items: list[set[str]] = [set() for _ in norms]
+        order = list(range(len(self.parts)))
+        if order and self.parts[-1][0] in _BUILT:
+            order.reverse()  # begin with the automaton that is there
+        for k in order:
+            shard = self.built(k)
+            for x, norm in enumerate(norms):
+                s, i = shard.scan(norm)
+                if s:
+                    runs[x] = united(runs[x] + s)
+                    items[x] |= i
+        return runs, items
 
 
 def char_spans(text: str, spans: list[list[int]]) -> list[list[int]]:
@@ -111,32 +183,33 @@ def char_spans(text: str, spans: list[list[int]]) -> list[list[int]]:
     return [[at[a][0], at[b - 1][1]] for a, b in spans]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``most`` bytes, so that few passes cover a task."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_nodes: int = MAX_NODES) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, spans)`` for each row.
 
     ``items``: sorted item ids with an occurring window; ``spans``: the hit
     runs as code-point offsets of the original text.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shards = pattern_shards(benchmark, window, max_patterns)
-    name = hashlib.sha256(repr([sorted(s) for s in shards]).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast(shards)
+    detect = Detector(benchmark, window, max_nodes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks(batches):
             texts = byte_texts(b.column(1))
             norms = [folded(t) for t in texts]
-            runs: list[list[list[int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for k, shard in enumerate(shared.value):
-                automaton = _automaton(f"{name}-{k}", shard)
-                for x, norm in enumerate(norms):
-                    if norm:
-                        s, i = scan_text(automaton, norm)
-                        if s:
-                            runs[x] = united(runs[x] + s)
-                            items[x] |= i
+            runs, items = detect.scans(norms)
             n_words = [n.count(b" ") + 1 if n else 0 for n in norms]
             n_hit = [sum(e - s for s, e in r) for r in runs]
             spans = [char_spans(t.decode(), r) if r else [] for t, r in zip(texts, runs)]
@@ -149,23 +222,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_p
     return rows.mapInArrow(tidy(scan), "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
 
 
-def detector(benchmark: DataFrame, window: int = 10, max_patterns: int = MAX_PATTERNS):
+def detector(benchmark: DataFrame, window: int = 10, max_nodes: int = MAX_NODES):
     """A column function: text to whether ``contamination`` finds a hit."""
-    ship(benchmark.sparkSession)
-    shards = pattern_shards(benchmark, window, max_patterns)
-    name = hashlib.sha256(repr([sorted(s) for s in shards]).encode()).hexdigest()
-    shared = benchmark.sparkSession.sparkContext.broadcast(shards)
+    detect = Detector(benchmark, window, max_nodes)
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            norms = [folded(t) for t in byte_texts(column)]
-            hits = [False] * len(norms)
-            for k, shard in enumerate(shared.value):
-                automaton = _automaton(f"{name}-{k}", shard)
-                for x, norm in enumerate(norms):
-                    if norm and not hits[x]:
-                        hits[x] = next(automaton.iter(f" {norm.decode()} "), None) is not None
-            yield pa.array(hits, pa.bool_())
+            runs, _ = detect.scans([folded(t) for t in byte_texts(column)])
+            yield pa.array([bool(r) for r in runs], pa.bool_())
 
     @F.arrow_udf("boolean")
     def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
