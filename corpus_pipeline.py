@@ -6,17 +6,20 @@ columns. Row-wise decisions are filters on the scan. Decisions about groups
 are keyed by text or by a row number that is written first, never by doc_id,
 so rows with a null or repeated doc_id take part like any other; key tables
 are broadcast only while they are small.
+
+Defined results: a null or empty text is scored as a text without words, and
+stays or goes by that score; equal texts (null like empty) keep one row, of
+equal ids any; a null doc_id loses against any other; an empty table gives an
+empty result; clashing columns come through untouched.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, exact_dedup, ngram_join, packing, quality
-from lodestone.llm.common import Scratch, maybe_broadcast, shared_root, table
+from lodestone.llm.common import Scratch, dropped_after, maybe_broadcast, table
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -75,13 +78,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    root = f"{shared_root(spark)}/lodestone-pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result is written and read again.
+
+    What a stage and its operators wrote goes when the next result is there.
+    """
+    results = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{root}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with dropped_after():
+            docs = results.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            results.drop(f"stage-{k - 1}")
     return docs
 
 

@@ -8,11 +8,13 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "_lodestone_shipped"
+_SCOPES: list[list[Scratch]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
         atexit.register(self._quiet_drop)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -95,6 +99,17 @@ class Scratch:
             pass
 
 
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Drops the scratch tables that operators make inside, once their results are written."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.drop("")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

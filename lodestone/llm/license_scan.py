@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,15 @@ SENTENCES = {
     "gpl-work-3": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-work-2": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-free-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-free-21": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-free-3": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-licensed": "Licensed under CC0 1.0.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
@@ -71,6 +81,18 @@ RULES = (
     ("GPL-3.0-only", ("gpl-work-3",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-2.0-only", ("gpl-work-2",)),
+    ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl-free-2",)),
+    ("LGPL-2.1-or-later", ("lgpl-free-21", "lgpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl-free-21",)),
+    ("LGPL-3.0-or-later", ("lgpl-free-3", "lgpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl-free-3",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("EPL-2.0", ("epl-terms",)),
+    ("CC0-1.0", ("cc0-dedication",)),
+    ("CC0-1.0", ("cc0-licensed",)),
     ("MPL-2.0", ("mpl-subject",)),
     ("Unlicense", ("unlicense",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
@@ -78,10 +100,15 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("LicenseRef-all-rights-reserved", ("rights-reserved",)),
 )
+# Every licence of the rules also has its machine-readable tag.
+TAGGED = tuple(dict.fromkeys(name for name, _ in RULES if not name.startswith("LicenseRef")))
+SENTENCES |= {f"tag-{name}": f"SPDX-License-Identifier: {name}" for name in TAGGED}
+RULES += tuple((name, (f"tag-{name}",)) for name in TAGGED)
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-BREAK = re.compile(r"(?<=[.!?:;])[)\"']*\s+|\n+")
-WRAPPED_BREAK = re.compile(r"(?<=[.!?:;])[)\"']*\s+|\n\s*\n")
+# a tag's colon doesn't end a sentence
+BREAK = re.compile(r"(?<!Identifier:)(?<=[.!?:;])[)\"']*\s+|\n+")
+WRAPPED_BREAK = re.compile(r"(?<!Identifier:)(?<=[.!?:;])[)\"']*\s+|\n\s*\n")
 COMMENT = re.compile(r"^[ \t]*(?:\*|//|#|;|--|/\*|\d+\.)+[ \t]*", re.MULTILINE)
 
 
@@ -137,8 +164,34 @@ def known_sentences(text: str, catalogue: Catalogue) -> list[tuple[int, int, int
     return sorted(found.values())
 
 
+def words_between(text: str, places: list[tuple[int, int]]) -> list[int]:
+    """Blank-separated words of each stretch ``[a, b)`` of a text, read once."""
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    out = []
+    for a, b in places:
+        lo, hi = bisect_left(starts, a), bisect_left(starts, b)
+        inside = a < b and not text[a].isspace() and (lo == len(starts) or starts[lo] != a)  # begins within a word
+        out.append(hi - lo + inside)
+    return out
+
+
 def match_rules(text: str, found: list[tuple[int, int, int]], catalogue: Catalogue, gap: int = MAX_GAP) -> list[tuple[int, int, str, int]]:
-    """``(start, end, licence, sentences)``; no sentence serves two matches."""
+    """``(start, end, licence, sentences)``; no sentence serves two matches.
+
+    From a sentence only those within ``gap`` words are looked at, so the work
+    is linear in the sentences.
+    """
+    near: list[list[int]] = [[] for _ in found]  # what may follow each sentence
+    edge: list[tuple[int, int]] = []
+    for i, (_, end, _) in enumerate(found):
+        for j in range(i + 1, len(found)):
+            if len(near[i]) > 2 * gap + 2:  # two passes, each with a word a sentence at least
+                break
+            if found[j][0] >= end:
+                near[i].append(j)
+                edge.append((end, found[j][0]))
+    words = iter(words_between(text, edge))
+    near = [[j for j in js if next(words) <= gap] for js in near]
     out, used = [], set()
     for name, numbers in catalogue.rules:
         for i, (start, _, k) in enumerate(found):
@@ -146,8 +199,8 @@ def match_rules(text: str, found: list[tuple[int, int, int]], catalogue: Catalog
                 continue
             chain, at = [i], i
             for want in numbers[1:]:
-                nxt = next((j for j in range(at + 1, len(found)) if found[j][2] == want and found[j][0] >= found[at][1] and j not in used), None)
-                if nxt is None or len(text[found[at][1] : found[nxt][0]].split(None, gap + 1)) > gap:
+                nxt = next((j for j in near[at] if found[j][2] == want and j not in used), None)
+                if nxt is None:
                     break
                 chain.append(nxt)
                 at = nxt

@@ -171,14 +171,17 @@ class BlockIndex:
         joined = np.frombuffer(b"\x00".join(texts).lower() + b"\x00\x00", np.uint8)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
         self.n = len(texts)
-        code = joined[:-2].astype(np.int32)
-        code <<= 8
-        code |= joined[1:-1]
-        code <<= 8
-        code |= joined[2:]
-        at = np.flatnonzero(wanted[code])
-        found, doc = code[at], np.searchsorted(starts, at, side="right") - 1
-        pairs = np.unique(found.astype(np.int64) * max(1, self.n) + doc)
+        pairs = np.zeros(0, np.int64)
+        for k in range(0, len(joined) - 2, BLOCK_BYTES):  # a slice's codes at a time, whatever a text's size
+            part = joined[k : k + BLOCK_BYTES + 2]
+            code = part[:-2].astype(np.int32)
+            code <<= 8
+            code |= part[1:-1]
+            code <<= 8
+            code |= part[2:]
+            at = np.flatnonzero(wanted[code])
+            found, doc = code[at], np.searchsorted(starts, at + k, side="right") - 1
+            pairs = np.union1d(pairs, found.astype(np.int64) * max(1, self.n) + doc)
         tri, doc = pairs // max(1, self.n), pairs % max(1, self.n)
         cuts = np.flatnonzero(np.diff(tri)) + 1
         self.lists = {int(t[0]): d for t, d in zip(np.split(tri, cuts), np.split(doc, cuts)) if len(t)}

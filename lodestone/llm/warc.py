@@ -13,6 +13,7 @@ half-written; ``content`` is a complete ``.warc.zst`` file.
 Defined results: null html is an empty payload; equal payloads below
 ``least_bytes`` are written each; rows with the least page_id of a payload are
 its responses (repeated rows too); a row with a null page_id is a response;
+rows of one page_id have a record each under the same record id;
 an empty table makes no bundle; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, maybe_broadcast, ship, tidy
+from lodestone.llm.common import Scratch, byte_texts, even_join, maybe_broadcast, ship, tidy
 
 # Magic numbers of the Zstandard skippable and seekable formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -111,7 +112,7 @@ class BundleReader:
             raise ValueError("no seek table at the end of the bundle")
         start = len(content) - 9 - 8 * n
         sizes = [struct.unpack_from("<II", content, start + 8 * i) for i in range(n)]
-        self.at, self.sizes = [], sizes
+        self.at, self.sizes, self.places = [], sizes, None
         pos = 0
         for packed, _ in sizes:
             self.at.append(pos)
@@ -121,37 +122,42 @@ class BundleReader:
         packed, raw = self.sizes[k]
         return self.zstd.decompress(self.content[self.at[k] : self.at[k] + packed], max_output_size=raw)
 
-    def index(self) -> dict[str, tuple[int, int, int]]:
+    def index(self) -> list[tuple[str, int, int, int]]:
+        """``(record id, frame, offset, length)`` of every record, in order."""
         body = self.content[self.at[-1] + 8 : self.at[-1] + self.sizes[-1][0]].decode()
-        out = {}
-        for line in body.split("\n"):
-            if line:
-                key, frame, offset, length = line.rsplit("\t", 3)
-                out[key] = (int(frame), int(offset), int(length))
+        out = []
+        for line in filter(None, body.split("\n")):
+            key, frame, offset, length = line.rsplit("\t", 3)
+            out.append((key, int(frame), int(offset), int(length)))
         return out
 
-    def get(self, key: str) -> bytes:
-        """One record; only its frame is decompressed."""
-        frame, offset, length = self.index()[key]
-        return self.frame(frame)[offset : offset + length]
+    def get(self, key: str) -> list[bytes]:
+        """The records with an id; only their frames are decompressed.
+
+        The index is read once for a reader. An id has several records where
+        rows of one page_id were written.
+        """
+        if self.places is None:
+            self.places = {}
+            for k, *place in self.index():
+                self.places.setdefault(k, []).append(place)
+        return [self.frame(f)[at : at + n] for f, at, n in self.places.get(key, [])]
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        for k, (_, raw) in enumerate(self.sizes):
-            if raw:
-                yield from parse(self.frame(k))
+        """Every record, cut out of its frame by the index."""
+        now, data = -1, b""
+        for _, frame, offset, length in self.index():
+            if frame != now:
+                now, data = frame, self.frame(frame)
+            yield parse(data[offset : offset + length])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(headers, block)`` of each record in a frame."""
-    pos = 0
-    while pos < len(data):
-        end = data.index(b"\r\n\r\n", pos)
-        lines = data[pos:end].decode().split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        yield headers, data[start:stop]
-        pos = stop + 4
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """``(headers, block)`` of a record."""
+    end = data.index(b"\r\n\r\n")
+    headers = dict(x.split(": ", 1) for x in data[:end].decode().split("\r\n")[1:])
+    start = end + 4
+    return headers, data[start : start + int(headers["Content-Length"])]
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
@@ -172,19 +178,21 @@ def page_number(urn: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+def revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 100) -> DataFrame:
     """``(page_id, digest, refers_to)`` of the payloads that repeat an earlier page's."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    seen = seen.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "digest")
-    first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
-    return seen.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    seen = scratch.save(seen.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "digest"), "seen")
+    first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("pages")).where("last > refers_to")
+    first = scratch.save(first.select("digest", "refers_to", "pages"), "first")
+    again = even_join(seen, first, "digest", "pages", seen.count())  # one payload may be a third of all pages
+    return again.where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Archives of all pages: ``(bundle string, content binary)``, on disk."""
     ship(pages.sparkSession)
-    repeats = maybe_broadcast(scratch.save(revisits(pages, least_bytes), "revisits"))
+    repeats = maybe_broadcast(scratch.save(revisits(pages, scratch, least_bytes), "revisits"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     rows = rows.join(repeats, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
@@ -196,8 +204,9 @@ def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bu
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{k:06d}.warc.zst"]), pa.array([w.close()], pa.binary())], ["bundle", "content"])
 
         for b in batches:
-            for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
-                payload = (html or "").encode()
+            # payloads stay bytes: text that isn't valid UTF-8 is kept as it is
+            for page_id, url, payload, refers_to in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), byte_texts(b.column(2)), b.column(3).to_pylist()):
+                url = url.decode(errors="replace")
                 w.add(f"urn:page:{'' if page_id is None else page_id}", record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
                 if w.raw >= bundle_bytes:
                     yield out(w)
@@ -208,6 +217,40 @@ def write_bundles(pages: DataFrame, scratch: Scratch, least_bytes: int = 100, bu
     return scratch.save(rows.mapInArrow(tidy(bundle), "bundle string, content binary"), "bundles")
 
 
+def record_index(bundles: DataFrame) -> DataFrame:
+    """``(record_id, bundle, frame, offset, length)``: where every record lies."""
+    ship(bundles.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = BundleReader(content).index()
+                keys, frames, offsets, lengths = zip(*found) if found else ([],) * 4
+                cols = [pa.array(keys, pa.string()), pa.array([name] * len(found), pa.string()), *(pa.array(x, pa.int64()) for x in (frames, offsets, lengths))]
+                yield pa.RecordBatch.from_arrays(cols, ["record_id", "bundle", "frame", "offset", "length"])
+
+    return bundles.select("bundle", "content").mapInArrow(tidy(read), "record_id string, bundle string, frame long, offset long, length long")
+
+
+def fetch(bundles: DataFrame, index: DataFrame, record_ids: list[str]) -> DataFrame:
+    """``(record_id, record binary)`` of some records.
+
+    ``index``: ``record_index``. Only their bundles are read, and of these
+    only their frames are decompressed.
+    """
+    ship(bundles.sparkSession)
+    places = index.where(F.col("record_id").isin(record_ids)).groupBy("bundle").agg(F.collect_set("record_id").alias("ids"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                reader = BundleReader(content)
+                found = [(i, data) for i in ids for data in reader.get(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.string()), pa.array([d for _, d in found], pa.binary())], ["record_id", "record"])
+
+    return bundles.join(F.broadcast(places), "bundle").select("content", "ids").mapInArrow(tidy(read), "record_id string, record binary")
+
+
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Every record of the archives, with its payload (null in a revisit)."""
     ship(bundles.sparkSession)
