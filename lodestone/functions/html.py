@@ -107,18 +107,18 @@ class Page(HTMLParser):
     def first(self, places) -> str | None:
         """Text of the first element of the first place that there is.
 
-        A place is an attribute that contains a word, or a tag.
+        A place is an attribute that contains a word in either case, or a tag.
         """
         for kind, want in places:
             if (kind, want) == ("tag", "body"):
                 return self.body_text()
             for node in self.elements:
-                if node["tag"] == want if kind == "tag" else want in node["attrs"].get(kind, ""):
+                if node["tag"] == want if kind == "tag" else want in node["attrs"].get(kind, "").lower():
                     return self.text(node)
         return None
 
     def meta(self, name: str) -> str:
-        return next((m.get("content", "").strip() for m in self.metas if m.get("property") == name), "")
+        return next((m.get("content", "").strip() for m in self.metas if m.get("property", "").strip().lower() == name), "")
 
 
 _TAG_LIKE = re.compile(r"<[a-zA-Z][^>]*>")

@@ -83,7 +83,7 @@ def location_of(node: dict) -> str:
 def structured(page: Page) -> dict | None:
     """Fields of the first JSON-LD posting; scripts that don't parse are passed over."""
     for kind, data in page.scripts:
-        if kind != "application/ld+json":
+        if kind.strip().lower() != "application/ld+json":
             continue
         try:
             found = postings_in(json.loads(data))
@@ -108,7 +108,11 @@ def structured(page: Page) -> dict | None:
 
 def heuristic(page: Page, url: str) -> dict | None:
     """Fields of a page that looks like a posting by its path and length."""
-    parts = urlsplit(url)
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname or ""
+    except ValueError:  # a malformed bracketed host
+        return None
     path = unquote(parts.path).lower()
     title = next((t.strip() for t in (page.h1 or "", page.meta("og:title"), page.title or "") if t.strip()), "")
     if not title or not any(t in path for t in PATH_TERMS):
@@ -116,7 +120,6 @@ def heuristic(page: Page, url: str) -> dict | None:
     description = page.first(DESCRIPTION_PLACES) or ""
     if len(description) < MIN_DESCRIPTION:
         return None
-    host = parts.hostname or ""
     return {
         "title": title,
         "company": next((t.strip() for t in (page.meta("og:site_name"), host.removeprefix("www.")) if t.strip()), ""),

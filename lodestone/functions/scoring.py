@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MAX_RETRY_SECONDS = 60
 EXPERIENCE = r"(?i)(?<![A-Za-z0-9_])(\d+\+?\s*(?:-|to)?\s*\d*\s*years?(?:\s+of)?(?:\s+[\p{L}][\p{L}/&\-]*){0,6}\s+experience)(?![A-Za-z0-9_])"
+# The summaries of a match.
+NO_SKILLS = "The posting did not expose enough recognized skills for a high-confidence score."
+COUNTED = ("", " of ", " recognized job skills appear in the resume.")
 # Words that mark a role title, in order.
 ROLE_WORDS = (
     "engineer", "developer", "architect", "scientist", "analyst", "manager", "director", "designer", "consultant", "specialist",
@@ -21,9 +24,8 @@ def match_score(matched: Column, total: Column) -> Column:
 
 
 def match_summary(matched: Column, total: Column) -> Column:
-    return F.when(total == 0, "The posting did not expose enough recognized skills for a high-confidence score.").otherwise(
-        F.concat(matched.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" recognized job skills appear in the resume."))
-    )
+    before, between, after = COUNTED
+    return F.when(total == 0, NO_SKILLS).otherwise(F.concat(F.lit(before), matched.cast("string"), F.lit(between), total.cast("string"), F.lit(after)))
 
 
 def clamp_score(score: Column) -> Column:

@@ -9,7 +9,6 @@ it is an Arrow UDF, for links only.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -119,15 +118,13 @@ def _bare_host(url: Column) -> Column:
 
 def same_organization(a: Column, b: Column) -> Column:
     """Wide boundary: equal host or one is a subdomain of the other."""
-    x, y = _bare_host(a), _bare_host(b)
-    return F.coalesce((x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x)), F.lit(False))
+    x, y = F.concat(F.lit("."), _bare_host(a)), F.concat(F.lit("."), _bare_host(b))
+    return F.coalesce(x.endswith(y) | y.endswith(x), F.lit(False))
 
 
 def is_ats(url: Column) -> Column:
     """Host is, or is below, a known applicant-tracking domain."""
-    h = F.lower(host(url))
-    hit = reduce(lambda x, y: x | y, ((h == d) | h.endswith("." + d) for d in ATS_DOMAINS))
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(F.lower(host(url)).rlike(r"(^|\.)(" + "|".join(map(re.escape, ATS_DOMAINS)) + ")$"), F.lit(False))
 
 
 def company_of(url: Column) -> Column:
@@ -142,7 +139,7 @@ def decoded(part: Column) -> Column:
 def career_signal(url: Column, anchor: Column) -> Column:
     """A career term in the decoded path, decoded query or anchor text."""
     text = F.concat_ws(" ", F.coalesce(decoded(raw_path(url)), F.lit("")), F.coalesce(decoded(raw_query(url)), F.lit("")), F.coalesce(anchor, F.lit("")))
-    return reduce(lambda x, y: x | y, (F.lower(text).contains(t) for t in CAREER_TERMS))
+    return F.lower(text).rlike("|".join(CAREER_TERMS))
 
 
 def career_follow(seed: Column, current: Column, candidate: Column, anchor: Column) -> Column:
@@ -163,15 +160,12 @@ def private_address(ip: Column, strict: bool = False) -> Column:
     """
     text = F.lower(F.regexp_replace(ip, r"^\[|\]$", ""))
     v4 = F.regexp_replace(text, r"^::ffff:(?=[0-9]+\.)", "")
-    octet = lambda k: F.try_element_at(F.split(v4, r"\."), F.lit(k)).try_cast("int")
-    a, b = octet(1), octet(2)
-    is4 = v4.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    bad4 = (v4 == "0.0.0.0") | (a == 127) | ((a == 169) & (b == 254)) | (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | a.between(224, 239)
-    bad6 = text.isin("::", "::1") | text.rlike("^fe[89abcdef][0-9a-f]:") | text.startswith("ff")
+    bad4 = r"^(0+\.0+\.0+\.0+$|0*(127|10|22[4-9]|23[0-9])\.|0*169\.0*254\.|0*172\.0*(1[6-9]|2[0-9]|3[01])\.|0*192\.0*168\."
+    bad6 = "^(::|::1|fe[89abcdef][0-9a-f]:.*|ff.*"
     if strict:
-        bad4 |= (a == 0) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | (a >= 240)
-        bad6 |= text.rlike("^f[cd][0-9a-f]{2}:") | text.startswith("64:ff9b:")
-    return F.when(is4, bad4).when(text.contains(":"), bad6)
+        bad4 += r"|0+\.|0*100\.0*(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|0*198\.0*1[89]\.|0*(2[4-9][0-9]|[3-9][0-9]{2})\."
+        bad6 += "|f[cd][0-9a-f]{2}:.*|64:ff9b:.*"
+    return F.when(v4.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), v4.rlike(bad4 + ")")).when(text.contains(":"), text.rlike(bad6 + ")$"))
 
 
 # --- general form -----------------------------------------------------------

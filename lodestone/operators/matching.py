@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, skills
 
+# The notices of a report.
 NOTICES = {
     "off": "Skill-overlap scoring; enable AI for contextual evaluation when configured.",
     "unconfigured": "OPENAI_API_KEY is not configured; deterministic matching was used.",
