@@ -13,6 +13,7 @@ from lodestone.operators import frontier as fr
 from lodestone.operators import matching, robots, schedule, tables
 from lodestone.plans import bfs, crawl
 from lodestone.plans.spec import CareerSpec, CrawlSpec
+from lodestone.plans.work import Work
 from lodestone.sources import export, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,10 +78,19 @@ def url_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "url", urls.canonical(F.col("url")).alias("canonical"))
 
 
-@query(fx.RELATIVE.select())
+RESOLVED = {  # raw link (``m``, ``k``: numbers) and its normal form
+    "../d?z=1&a=2": "https://h<m>.example/a/d?a=2&z=1", "./e#f": "https://h<m>.example/a/b<k>/e", "/f//g": "https://h<m>.example/f/g",
+    "//O.example:443/h?utm_x=1": "https://o.example/h", "mailto:x@y.example": None, "HTTP://P.example:80": "http://p.example/",
+}
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN replace(replace({fx.literal(want)}, '<m>', CAST(c_custkey % 7 AS VARCHAR)), '<k>', CAST(c_custkey AS VARCHAR))" for i, want in enumerate(RESOLVED.values())) + " END AS canonical FROM customer")
 def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative, malformed and rejected links against a base."""
-    return fx.RELATIVE.frame(spark).select("id", "base", "raw", urls.canonicalize("base", "raw").alias("canonical"))
+    """Relative, schemeless and rejected links against bases made of customers."""
+    k = F.col("c_custkey")
+    raw = F.element_at(F.array(*map(F.lit, RESOLVED)), (k % len(RESOLVED) + 1).cast("int"))
+    base = F.concat(F.lit("https://h"), (k % 7).cast("string"), F.lit(".example/a/b"), k.cast("string"), F.lit("/c"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), base.alias("base"), raw.alias("raw")).select("id", urls.canonicalize("base", "raw").alias("canonical"))
 
 
 @query(canonical_sql("pages", "url", "page_id, url"))
@@ -147,10 +157,17 @@ def org_boundary_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.HOSTS.frame(spark).select("id", urls.same_host(a, b).alias("strict"), urls.same_organization(a, b).alias("wide"), urls.is_ats(b).alias("ats"), F.lower(urls.company_of(b)).alias("company"))
 
 
-@query("SELECT * FROM (VALUES (1,true,true),(2,true,true),(3,false,true),(4,true,true),(5,false,false),(6,false,false),(7,true,true),(8,true,true),(9,true,true),(10,false,false),(11,true,true)) t(id, follow, redirect)")
+@query("SELECT s_suppkey AS id, s_suppkey % 6 IN (0,1,2,5) AND (s_suppkey % 6 IN (0,3,4) OR s_suppkey % 4 IN (0,3)) AS follow, s_suppkey % 6 IN (0,1,2,5) AS redirect FROM supplier")
 def career_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c, x, a = (F.col(n) for n in ("seed", "cur", "candidate", "anchor"))
-    return fx.CAREER_LINKS.frame(spark).select("id", urls.career_follow(s, c, x, a).alias("follow"), urls.career_redirect(s, x).alias("redirect"))
+    """Links of careers pages to own, hosted and foreign places, with and without a career word."""
+    k = F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("firm"), k, F.lit(".example"))
+    at = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    candidates = F.array(at("https://", own, "/careers/", k), at("https://hire.", own, "/x/", k), at("https://boards.greenhouse.io/b", k, "/", k), at("https://clicks.example/jobs/", k), at("https://xgreenhouse.io/jobs/", k), at("https://www.", own, "/about"))
+    anchor = F.element_at(F.array(F.lit("Apply"), F.lit("Read"), F.lit(None), F.lit("Open Position")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), at("https://", own, "/careers").alias("s"), F.element_at(candidates, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("x"), anchor.alias("a"))
+    s, x, a = F.col("s"), F.col("x"), F.col("a")
+    return rows.select("id", urls.career_follow(s, s, x, a).alias("follow"), urls.career_redirect(s, x).alias("redirect"))
 
 
 @query(f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href FROM (SELECT page_id, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) AS pos FROM pages)")
@@ -188,47 +205,84 @@ def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", t.alias("title"), h.alias("h1"), scoring.first_non_blank(h, t).alias("heading"))
 
 
-@query(f"SELECT id, title, h1, text FROM {fx.HTML_TEXTS.sql()}")
+@query("SELECT p_partkey AS id, p_name AS title, p_type AS h1, p_type || ' ' || p_brand || ' & x ' || p_size || ' y' || p_size AS text FROM part")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup with entities, unclosed items, inline tags and skipped data, made of parts."""
+    markup = F.format_string("<html><head><title>%s</title><style>p{}</style></head><body><h1>%s</h1><p>%s &amp;<br>x<script>z</script><ul><li>%d<li><b>y</b>%d</ul></body></html>", "p_name", "p_type", "p_brand", "p_size", "p_size")
     p = html.page_parts("html")
-    return fx.HTML_TEXTS.frame(spark).select("id", p.alias("p")).select("id", "p.title", "p.h1", "p.text")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.alias("html")).select("id", p.alias("p")).select("id", "p.title", "p.h1", "p.text")
+
+
+#: Text of the page table's markup: heads, data and comments go, block tags separate words.
+_PLAIN = """regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '</?(a|b|i|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')"""
 
 
-@query()
+def _unescaped_sql(x: str) -> str:
+    for entity, code in (("lt", 60), ("gt", 62), ("quot", 34), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
+        x = f"regexp_replace({x}, '&{entity};?', chr({code}), 'g')"  # a mark at the end of a cut title is none
+    return x
+
+
+@query(f"""SELECT page_id, {_unescaped_sql("trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1))")} AS title,
+           trim(regexp_replace({_unescaped_sql(_PLAIN)}, '[\\s\u00a0]+', ' ', 'g')) AS text, CAST(len({HREFS}) AS INTEGER) AS links FROM pages""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Body text of every page (a parser's result; no SQL form)."""
+    """Title, body text and links of every page."""
     p = html.page_parts("html")
     return read(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", "p.title", "p.text", F.size("p.links").alias("links"))
 
 
-@query(
-    f"""SELECT id, CASE WHEN id = 25 THEN NULL ELSE id IN (1,2,4,5,6,8,9,10,16,17,18,19,20,23) END AS blocked,
-               CASE WHEN id = 25 THEN NULL ELSE id IN (1,2,4,5,6,8,9,10,12,13,14,15,16,17,18,19,20,21,23) END AS blocked_strict FROM {fx.ADDRESSES.sql()}"""
-)
+FIRST = (10, 127, 169, 172, 192, 198, 100, 230)  # first octets that some rule looks at
+_OCTETS = f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 8 THEN o_orderkey * 37 % 256 ELSE {fx.literal(list(FIRST))}[CAST(o_orderkey % 9 + 1 AS INT)] END AS a, CASE WHEN o_custkey % 3 = 0 THEN CASE o_orderkey % 9 WHEN 2 THEN 254 WHEN 4 THEN 168 ELSE 18 END ELSE o_custkey % 256 END AS b FROM orders"
+
+
+@query(f"""SELECT id, b0 AS blocked, b0 OR a = 0 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) OR a >= 240 AS blocked_strict FROM (SELECT *,
+           a IN (10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a BETWEEN 224 AND 239 AS b0 FROM ({_OCTETS}))""")
 def ssrf_ip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.ADDRESSES.frame(spark).select("id", urls.private_address(F.col("ip")).alias("blocked"), urls.private_address(F.col("ip"), strict=True).alias("blocked_strict"))
+    """Addresses made of orders; every fifth is written as an IPv4-mapped one."""
+    k, r = F.col("o_orderkey"), F.col("o_orderkey") % 9
+    a = F.when(r == 8, k * 37 % 256).otherwise(F.element_at(F.array(*map(F.lit, FIRST)), F.least(r + 1, F.lit(8)).cast("int")))
+    b = F.when(F.col("o_custkey") % 3 == 0, F.when(r == 2, 254).when(r == 4, 168).otherwise(18)).otherwise(F.col("o_custkey") % 256)
+    ip = F.concat_ws(".", a.cast("string"), b.cast("string"), F.lit("3"), (k % 256).cast("string"))
+    ip = F.when(k % 5 == 0, F.concat(F.lit("::ffff:"), ip)).otherwise(ip)
+    return read(spark, sf_dir, "orders").select(k.alias("id"), urls.private_address(ip).alias("blocked"), urls.private_address(ip, strict=True).alias("blocked_strict"))
 
 
 # --- robots -------------------------------------------------------------------
 
 
-@query(fx.ROBOTS_RULES.select())
+def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots file for each supplier; those of odd number also have a group for this agent."""
+    k = F.col("s_suppkey")
+    s = k.cast("string")
+    common = F.concat(F.lit("User-agent: other\nDisallow: /other\n\nUser-agent: *  # all\nDisallow: /p"), s, F.lit("/\nAllow: /p"), s, F.lit("/open*\nCrawl-delay: "), (k % 7).cast("string"), F.lit(".5\n"))
+    own = F.concat(F.lit("USER-AGENT: LodeStone\r\nDisallow: /own"), s, F.lit("$\nCrawl-delay: x\nCrawl-delay: "), (k % 5).cast("string"), F.lit("\n"))
+    body = F.when(k % 2 == 1, F.concat(common, own)).otherwise(common)
+    status = F.when(k % 10 == 0, 503).when(k % 10 == 3, 404).otherwise(200)
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("https://s"), s, F.lit(".example")).alias("origin"), status.alias("status"), body.alias("body"))
+
+
+@query("""SELECT 'https://s' || s_suppkey || '.example' AS origin, allow, path, CAST(length(replace(replace(path, '*', ''), '$', '')) AS INTEGER) AS specificity
+          FROM (SELECT s_suppkey, false AS allow, '/p' || s_suppkey || '/' AS path FROM supplier WHERE s_suppkey % 2 = 0
+                UNION ALL SELECT s_suppkey, true, '/p' || s_suppkey || '/open*' FROM supplier WHERE s_suppkey % 2 = 0
+                UNION ALL SELECT s_suppkey, false, '/own' || s_suppkey || '$' FROM supplier WHERE s_suppkey % 2 = 1)""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.rules_of(fx.ROBOTS_FILES.frame(spark).select("origin", "body"), fx.AGENT).select("origin", "allow", "path", "specificity")
+    return robots.rules_of(robots_files(spark, sf_dir).select("origin", "body"), fx.AGENT).select("origin", "allow", "path", "specificity")
 
 
-@query(fx.ROBOTS_DELAYS.select())
+@query("SELECT 'https://s' || s_suppkey || '.example' AS origin, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 7 * 1000 + 500 ELSE s_suppkey % 5 * 1000 END AS BIGINT) AS delay_ms FROM supplier")
 def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.delays_of(fx.ROBOTS_FILES.frame(spark).select("origin", "body"), fx.AGENT)
+    return robots.delays_of(robots_files(spark, sf_dir).select("origin", "body"), fx.AGENT)
 
 
-@query(fx.ROBOTS_REQUESTS.select())
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 10 = 0 THEN false WHEN l_suppkey % 10 = 3 THEN true WHEN l_suppkey % 2 = 0 THEN l_linenumber <> 1 ELSE l_linenumber <> 3 END AS allowed FROM lineitem""")
 def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests joined to the policy of their origin, then arg-max of the rules."""
-    p = robots.policies_of(fx.ROBOTS_FILES.frame(spark), fx.AGENT).withColumnRenamed("origin", "o")
-    r = fx.ROBOTS_REQUESTS.frame(spark).select("id", "url")
+    """Every line item as a request to its supplier's site: policy join, then arg-max of the rules."""
+    k, n = F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    path = F.when(n == 1, F.concat(F.lit("/p"), k, F.lit("/x"))).when(n == 2, F.concat(F.lit("/p"), k, F.lit("/open/y"))).when(n == 3, F.concat(F.lit("/own"), k)).when(n == 4, F.concat(F.lit("/own"), k, F.lit("/z"))).otherwise("/free")
+    r = read(spark, sf_dir, "lineitem").select("l_orderkey", n, F.concat(F.lit("https://s"), k, F.lit(".example"), path).alias("url"))
+    p = robots.policies_of(robots_files(spark, sf_dir), fx.AGENT).withColumnRenamed("origin", "o")
     j = r.join(p, urls.origin(F.col("url")) == F.col("o"), "left")
-    return j.select("id", "url", robots.allows(F.col("block_all"), F.col("rules"), urls.robots_target(F.col("url"))).alias("allowed"))
+    return j.select("l_orderkey", "l_linenumber", robots.allows(F.col("block_all"), F.col("rules"), urls.robots_target(F.col("url"))).alias("allowed"))
 
 
 @query("""SELECT page_id, NOT (regexp_matches(t, '^/(en|fr)/[0-9]+\\?') OR (regexp_matches(t, '^/de/') AND NOT ends_with(t, '.html'))) AS allowed
@@ -275,18 +329,24 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.RESPONSES.frame(spark).select("id", scoring.backoff_seconds(F.col("attempts"), ra).alias("wait_s"), ra.alias("retry_after_s"))
 
 
-@query("SELECT * FROM (VALUES (1,'Redirect left the careers site or supported ATS hosts'),(2,'Redirect left the permitted host'),(3,'Blocked by robots.txt'),(4,NULL),(5,NULL),(6,'Blocked by robots.txt')) t(id, reason)")
+_BITS = "(event_id >> {k}) % 2 = 1"
+
+
+@query(f"""SELECT event_id, CASE WHEN {_BITS.format(k=0)} AND NOT {_BITS.format(k=2)} THEN 'Redirect left the careers site or supported ATS hosts'
+           WHEN NOT {_BITS.format(k=0)} AND {_BITS.format(k=1)} AND NOT {_BITS.format(k=3)} THEN 'Redirect left the permitted host' WHEN NOT {_BITS.format(k=4)} THEN 'Blocked by robots.txt' END AS reason FROM events""")
 def redirect_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, True, False, False, False, False), (2, False, True, True, False, True), (3, False, True, True, True, False), (4, True, False, True, False, True), (5, False, False, False, False, True), (6, True, False, True, False, False)]
-    df = spark.createDataFrame(rows, "id int, career boolean, same_host_only boolean, redirect_ok boolean, same_host boolean, robots_ok boolean")
-    return df.select("id", fetching.block_reason(*(F.col(c) for c in df.columns[1:])).alias("reason"))
+    """All combinations of the gate's conditions, by the bits of event ids."""
+    bits = [F.shiftright("event_id", k) % 2 == 1 for k in range(5)]
+    return read(spark, sf_dir, "events").select("event_id", fetching.block_reason(*bits).alias("reason"))
 
 
-@query("SELECT * FROM (VALUES (1,'é'),(2,'é'),(3,'é'),(4,'plain'),(5,'é')) t(id, body)")
+@query("SELECT c_custkey AS id, c_name || 'é' AS body FROM customer")
 def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "é".encode("latin-1"), "text/html; charset=ISO-8859-1"), (2, "é".encode(), None), (3, "é".encode(), 'text/html; charset="utf-8"'), (4, b"plain", "text/html; charset=nope"), (5, "é".encode("utf-16-be"), "text/html;charset=utf-16be")]
-    df = spark.createDataFrame(rows, "id int, raw binary, kind string")
-    return df.select("id", web.decode_body(F.col("raw"), F.col("kind")).alias("body"))
+    """Customer names, encoded in the charset that their header names."""
+    text, k = F.concat("c_name", F.lit("é")), F.col("c_custkey") % 4
+    raw = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, F.encode(text, "ISO-8859-1")).when(k == 2, F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8"))
+    kind = F.when(k == 1, "text/html; charset=ISO-8859-1").when(k == 2, "text/html;charset=utf-16be").when(k == 3, 'text/html; charset="utf-8"')
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), web.decode_body(raw, kind).alias("body"))
 
 
 LIMITER = "SELECT event_id, user_id, epoch_us(ts) AS t, greatest(CAST(floor(1000000 / greatest(0.1, (1 + event_id % 4) / 4000.0)) AS BIGINT), CAST(event_id % 7 AS BIGINT) * 1000000) AS step FROM events"
@@ -310,8 +370,8 @@ def limiter_requests(events: DataFrame) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.streaming import stateful
 
-    rows = limiter_requests(stateful.read_table(spark, sf_dir, "events")).select(F.col("user_id").alias("origin"), F.col("event_id").alias("seq"), "t_us", "step_us")
-    return stateful.drain(stateful.limiter_slots(rows)).select(F.col("seq").alias("event_id"), "slot_us")
+    rows = limiter_requests(read(spark, sf_dir, "events")).select(F.col("user_id").alias("origin"), F.col("event_id").alias("seq"), "t_us", "step_us")
+    return stateful.replay(rows, stateful.quarter(rows, F.col("seq")), 4, stateful.limiter_slots).select(F.col("seq").alias("event_id"), "slot_us")
 
 
 # --- frontier -----------------------------------------------------------------
@@ -439,19 +499,25 @@ def stream_frontier_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.streaming import stateful
 
     to = F.create_map(*(F.lit(x) for p in MOVES.items() for x in p))[F.col("event_type")]
-    moves = stateful.read_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), to.alias("to"))
-    out = stateful.drain(stateful.frontier_states(moves), "update")
+    moves = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), to.alias("to"))
+    out = stateful.replay(moves, stateful.quarter(moves, F.col("seq")), 4, stateful.frontier_states, "update")
     return tables.latest(out, ["key"], ["batch", "seq"]).select("key", "status", "attempts", "refused")
 
 
-@query("SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+_PARTS = "SELECT *, CASE WHEN event_id % 50 = 0 THEN 3 ELSE floor(4.0 * (t - lo) / (hi - lo + 1)) END AS part FROM (SELECT *, epoch_us(ts) AS t, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events)"
+
+
+@query(f"""WITH p AS ({_PARTS}), w AS (SELECT k.part, max(floor(q.t / 1000)) * 1000 - 600000000 AS mark FROM (SELECT DISTINCT part FROM p) k JOIN p q ON q.part < k.part GROUP BY k.part)
+           SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, count(*) AS n FROM p LEFT JOIN w USING (part)
+           WHERE mark IS NULL OR epoch_us(date_trunc('hour', ts)) + 3600000000 > mark GROUP BY 1, 2""")
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of the event stream; the last update of each window."""
+    """Hourly counts of events that come in four parts, every fiftieth with the last: what is behind the watermark then is left out."""
     from lodestone.streaming import stateful
 
-    ev = stateful.read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = stateful.windowed_counts(ev, "ts", "event_type").select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n")
-    return tables.latest(stateful.drain(counts, "update"), ["hour_us", "event_type"], ["batch"]).select("hour_us", "event_type", "n")
+    ev = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    part = F.when(F.col("event_id") % 50 == 0, 3).otherwise(stateful.quarter(ev, F.unix_micros("ts")))
+    counts = lambda e: stateful.windowed_counts(e, "ts", "event_type").select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n")
+    return tables.latest(stateful.replay(ev, part, 4, counts, "update"), ["hour_us", "event_type"], ["batch"]).select("hour_us", "event_type", "n")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -459,8 +525,9 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set insert on a stream: every key once."""
     from lodestone.streaming import stateful
 
-    ev = stateful.read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return stateful.drain(stateful.first_seen(ev, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")).select("user_id", "event_type")
+    ev = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    first = lambda e: stateful.first_seen(e, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
+    return stateful.replay(ev, stateful.quarter(ev, F.unix_micros("ts")), 4, first).select("user_id", "event_type")
 
 
 # --- graph, joins, keys -------------------------------------------------------
@@ -546,7 +613,7 @@ def skill_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Words of the corpus, so that the operator has work on the document table.
-CORPUS_CATALOG = (("The", "the"), ("Der", "der|die|das"), ("License", "licen[sc]ed?"), ("Les", "<les>"), ("Idiot", "idiot|moron"), ("Table", r"\|"), ("Rights", "all rights reserved"), ("Mail", "@"))
+CORPUS_CATALOG = (("The", "the"), ("Der", "der|die|das"), ("License", "licen[sc]ed?"), ("Les", r"\bles\b"), ("Idiot", "idiot|moron"), ("Table", r"\|"), ("Rights", "all rights reserved"), ("Mail", "@"))
 
 
 @query(f"SELECT doc_id, {skills_sql(CORPUS_CATALOG, '')} AS skills FROM documents")
@@ -567,9 +634,13 @@ def skill_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "score", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "summary")
 
 
-@query("SELECT * FROM (VALUES (1,''),(2,''),(3,''),(4,''),(5,'5+ years of professional software engineering experience'),(6,''),(7,'3 to 5 years experience'),(8,''),(9,''),(10,''),(11,''),(12,'10-12 years of data experience')) t(id, experience)")
+_PHRASE = "(p_size % 9 + 1) || CASE p_size % 3 WHEN 0 THEN '+ years' WHEN 1 THEN ' to 12 years' ELSE ' YEARS' END || CASE p_size % 2 WHEN 0 THEN ' of' ELSE '' END || ' data-pipeline work experience'"
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {_PHRASE} END AS experience FROM part")
 def experience_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.TEXTS.frame(spark).select("id", scoring.experience(F.col("text")).alias("experience"))
+    text = F.expr(f"CASE WHEN p_partkey % 5 = 0 THEN 'Many years of experience' ELSE p_name || ', needs ' || {_PHRASE} || '. 9 years of experience' END")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scoring.experience(text).alias("experience"))
 
 
 @query(f"SELECT id, regexp_matches(lower(coalesce(title, '')), '\\b({'|'.join(scoring.ROLE_WORDS)})\\b') AS is_role FROM {fx.TITLES.sql()}")
@@ -577,10 +648,26 @@ def role_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.TITLES.frame(spark).select("id", scoring.is_role_title(F.col("title")).alias("is_role"))
 
 
-@query(fx.POSTINGS.select())
+_FILLER = "A small crew looks after many machines here, reads every alarm with care, writes down what was learned, and leaves each place tidier than it was found."
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE 'Data Engineer ' || p_partkey END AS title, CASE p_partkey % 3 WHEN 0 THEN p_brand ELSE 'firm.example' END AS company,
+          CASE p_partkey % 3 WHEN 0 THEN p_type || ', ' || p_size || '; Remote' ELSE 'Hall ' || p_size END AS location, CASE p_partkey % 3 WHEN 0 THEN 'Kafka,Linux' ELSE 'SQL' END AS skills,
+          CASE p_partkey % 3 WHEN 0 THEN p_size || ' years of testing experience' ELSE 'Not specified' END AS experience, CASE p_partkey % 3 WHEN 0 THEN 'FULL_TIME, ' || p_size ELSE '' END AS employment_type,
+          CASE p_partkey % 3 WHEN 0 THEN 'JSON_LD' ELSE 'HEURISTIC' END AS extraction_method FROM part WHERE p_partkey % 3 < 2""")
 def posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.POSTING_PAGES.frame(spark).select("id", postings.posting(F.col("url"), F.col("html")).alias("p")).where("p is not null")
-    return p.select("id", "p.title", "p.company", "p.location", F.array_join("p.skills", ",").alias("skills"), "p.experience", "p.employment_type", "p.extraction_method")
+    """Structured, heuristic and other pages made of parts; selectors and types in mixed case."""
+    ld = F.to_json(F.struct(
+        F.lit("jobposting").alias("@type"), F.col("p_name").alias("title"), F.struct(F.col("p_brand").alias("name")).alias("hiringOrganization"), F.lit("telecommute").alias("jobLocationType"),
+        F.struct(F.struct(F.col("p_type").alias("addressLocality"), F.col("p_size").alias("addressCountry")).alias("address")).alias("jobLocation"), F.array(F.lit("FULL_TIME"), F.col("p_size").cast("string")).alias("employmentType"),
+        F.concat(F.lit("&lt;p&gt;Linux and Kafka, "), F.col("p_size").cast("string"), F.lit(" years of testing experience&lt;/p&gt;")).alias("description"),
+    ))
+    k = F.col("p_partkey")
+    structured = F.concat(F.lit('<html><head><script type=" Application/LD+JSON ">'), ld, F.lit("</script></head><body><h1>x</h1></body></html>"))
+    plain = F.concat(F.lit("<html><body><h1>Data Engineer "), k.cast("string"), F.lit('</h1><div class="the-Job-Location">Hall '), F.col("p_size").cast("string"), F.lit(f"</div><main>{_FILLER} SQL</main></body></html>"))
+    pages = read(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 3 == 2, "https://firm.example/about").otherwise(F.concat(F.lit("https://www.firm.example/jobs/"), k.cast("string"))).alias("url"), F.when(k % 3 == 0, structured).otherwise(plain).alias("html"))
+    p = pages.select("id", postings.posting(F.col("url"), F.col("html")).alias("p")).where("p is not null")
+    return p.select("id", "p.title", "p.company", "p.location", F.array_join(F.array_sort("p.skills"), ",").alias("skills"), "p.experience", "p.employment_type", "p.extraction_method")
 
 
 @query(f"SELECT id, array_to_string(skills, ',') AS back, to_json(skills) AS stored FROM {fx.JOBS.sql()}")
@@ -589,10 +676,12 @@ def skills_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.JOBS.frame(spark).select("id", F.array_join(skills.from_json_list(stored), ",").alias("back"), stored.alias("stored"))
 
 
-@query("SELECT * FROM (VALUES (1,0),(2,0),(3,0),(4,2)) t(id, n)")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 3 THEN 2 ELSE 0 END AS n FROM orders")
 def skills_codec_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(1, None), (2, "nope"), (3, "[]"), (4, '["a","b"]')], "id int, t string")
-    return df.select("id", F.size(skills.from_json_list(F.col("t"))).alias("n"))
+    """Stored lists that are missing, no JSON, empty, right, or cut off."""
+    k = F.col("o_orderkey")
+    stored = F.when(k % 5 == 1, "nope").when(k % 5 == 2, "[]").when(k % 5 == 3, F.concat(F.lit('["a","'), k.cast("string"), F.lit('"]'))).when(k % 5 == 4, '["a",')
+    return read(spark, sf_dir, "orders").select(k.alias("id"), F.size(skills.from_json_list(stored)).alias("n"))
 
 
 # --- exports, lists, external matcher -----------------------------------------
@@ -607,18 +696,20 @@ def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.csv_rows(fx.JOBS.frame(spark))
 
 
-@query()
+@query(f"SELECT 'jobs.json' AS filename, 'application/json' AS mime, title, company, location, array_to_string(skills, ',') AS skills, source_url AS \"sourceUrl\" FROM {fx.JOBS.sql()}")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pretty array of all postings (white space differs between engines)."""
-    return export.json_document(fx.JOBS.frame(spark)).select("filename", "mime", F.decode("payload", "UTF-8").alias("payload"))
+    """The exported array, parsed back (white space differs between engines)."""
+    out = export.json_document(fx.JOBS.frame(spark)).select("filename", "mime", F.decode("payload", "UTF-8").alias("payload"))
+    kind = "array<struct<title: string, company: string, location: string, skills: array<string>, sourceUrl: string>>"
+    rows = out.select("filename", "mime", F.explode(F.from_json("payload", kind)).alias("r"))
+    return rows.select("filename", "mime", "r.title", "r.company", "r.location", F.array_join("r.skills", ",").alias("skills"), "r.sourceUrl")
 
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY discovered_at, title) AS INTEGER) AS pos, id FROM {fx.JOBS.sql()}")
 def posting_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings in listing order, numbered."""
-    from pyspark.sql import Window
-
-    return fx.JOBS.frame(spark).select(F.row_number().over(Window.orderBy("discovered_at", "title")).alias("pos"), "id")
+    rows, _ = crawl.numbered(Work(spark, "listing"), fx.JOBS.frame(spark), ["discovered_at", "title"], 1, "rows")
+    return rows.select(F.col("number").cast("int").alias("pos"), "id")
 
 
 ANSWER = '{"matches":[{"jobId":"job-01","score":140,"matchedSkills":["Java"],"missingSkills":[],"summary":"good"},{"jobId":"job-00","score":-5,"matchedSkills":[],"missingSkills":["AWS"],"summary":"weak"},{"jobId":"nobody","score":50,"matchedSkills":[],"missingSkills":[],"summary":"x"}]}'
@@ -639,26 +730,104 @@ def llm_payload_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole crawls -------------------------------------------------------------
 
 
-@query(fx.SITE_PAGES.select())
+def tree_web(spark: SparkSession, sf_dir: str, robots_file: str | None = None, flaky: int = 0) -> DataFrame:
+    """Every customer as a page of one site; page k links to pages 2k and 2k + 1.
+
+    With ``flaky``, pages whose number it divides fail on the first attempt.
+    """
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    s = lambda n: n.cast("string")
+    link = lambda n: F.concat(F.lit('<a href="/'), s(n), F.lit('">x</a>'))
+    body = F.concat(F.lit("<title>Page "), s(k), F.lit("</title>"), link(2 * k), link(2 * k + 1))
+    rows = read(spark, sf_dir, "customer")
+    answer = lambda status, kind, text, attempt: (F.concat(F.lit("http://tree.example/"), s(k)).alias("url"), attempt.cast("int").alias("attempt"), F.lit(status).alias("status"), F.lit(kind).alias("content_type"), text.alias("body"), none.alias("location"), none.alias("retry_after"), none.alias("error"))
+    out = rows.select(*answer(200, "text/html", body, F.lit(None)))
+    if flaky:
+        out = out.unionByName(rows.where(k % flaky == 0).select(*answer(503, "text/plain", F.lit("busy"), F.lit(1))))
+    if robots_file is not None:
+        out = out.unionByName(spark.createDataFrame([("http://tree.example/robots.txt", None, 200, "text/plain", robots_file, None, None, None)], web.WEB))
+    return out
+
+
+TREE = "(SELECT c_custkey AS k, 'http://tree.example/' || c_custkey AS url, CAST(floor(log2(c_custkey)) AS INTEGER) AS depth FROM customer WHERE c_custkey > 0)"
+TREE_SEED = "http://tree.example/1"
+
+
+@query(f"SELECT url, depth, 'Page ' || k AS title, CAST(2 AS INTEGER) AS outbound_links FROM {TREE} WHERE depth <= 2")
 def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CrawlSpec("http://site.example/", max_pages=10, max_depth=2)
-    return crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).pages.select("url", "depth", "title", "outbound_links")
+    """Pages of a crawl; its depth bound is the feature."""
+    out = crawl.crawl(spark, CrawlSpec(TREE_SEED, max_pages=500, max_depth=2, respect_robots=False), tree_web(spark, sf_dir))
+    return out.pages.select("url", "depth", "title", "outbound_links")
 
 
-@query(fx.SITE_FRONTIER.select())
+@query(f"""SELECT CASE WHEN k >= 14 THEN k - 2 ELSE k END AS id, url, depth, CASE WHEN k = 6 THEN 'SKIPPED' ELSE 'DONE' END AS status, CAST(1 AS INTEGER) AS attempts, CASE WHEN k = 6 THEN 'Blocked by robots.txt' END AS last_error
+           FROM {TREE} WHERE depth <= 3 AND k NOT IN (12, 13)""")
 def crawl_site_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CrawlSpec("http://site.example/", max_pages=10, max_depth=2)
-    return crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).frontier.select("id", "url", "depth", "status", "attempts", "last_error")
+    """Frontier of a crawl that loads the site's robots file: page 6 is not asked for, its links are unknown."""
+    out = crawl.crawl(spark, CrawlSpec(TREE_SEED, max_pages=500, max_depth=3), tree_web(spark, sf_dir, "User-agent: *\nDisallow: /6$\n"))
+    return out.frontier.select("id", F.col("canonical_url").alias("url"), "depth", "status", "attempts", "last_error")
 
 
-@query("SELECT 'http://site.example/flaky' AS url, 'DONE' AS status, CAST(2 AS INTEGER) AS attempts")
+@query(f"SELECT url, 'DONE' AS status, CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM {TREE} WHERE depth <= 2")
 def crawl_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CrawlSpec("http://site.example/flaky", max_pages=1, max_depth=0, respect_robots=False)
-    return crawl.crawl(spark, spec, fx.SITE.frame(spark)).frontier.select("url", "status", "attempts")
+    out = crawl.crawl(spark, CrawlSpec(TREE_SEED, max_pages=500, max_depth=2, respect_robots=False), tree_web(spark, sf_dir, flaky=3))
+    return out.frontier.select(F.col("canonical_url").alias("url"), "status", "attempts")
+
+
+@query(f"SELECT k AS id, url, (k - 1) * 750000 AS slot_us FROM {TREE} WHERE depth <= 2")
+def crawl_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each page was asked for: the robots delay of 0.75 s outweighs the two requests a second."""
+    out = crawl.crawl(spark, CrawlSpec(TREE_SEED, max_pages=500, max_depth=2, requests_per_second=2.0), tree_web(spark, sf_dir, "User-agent: *\nCrawl-delay: 0.75\n"))
+    return out.frontier.select("id", F.col("canonical_url").alias("url"), (F.unix_micros("updated_at") - crawl.micros(crawl.START)).alias("slot_us"))
+
+
+class PausedAfter(crawl.Keeper):
+    """Pauses a crawl after some rounds."""
+
+    def __init__(self, rounds: int):
+        self.left = rounds
+
+    def status(self) -> str:
+        self.left -= 1
+        return "RUNNING" if self.left >= 0 else "PAUSED"
+
+
+@query(f"SELECT k AS id, url, depth, 'DONE' AS status, (k - 1) * 500000 AS slot_us FROM {TREE} WHERE depth <= 2")
+def crawl_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl paused after its first round and gone on with: the same frontier and slots as without the pause."""
+    spec = CrawlSpec(TREE_SEED, max_pages=500, max_depth=2, requests_per_second=2.0, respect_robots=False)
+    site = tree_web(spark, sf_dir)
+    first = crawl.crawl(spark, spec, site, keeper=PausedAfter(1))
+    out = crawl.crawl(spark, spec, site, frontier=first.frontier, saved=first.pages, limiter=first.limiter, started=first.clock)
+    return out.frontier.select("id", F.col("canonical_url").alias("url"), "depth", "status", (F.unix_micros("updated_at") - crawl.micros(crawl.START)).alias("slot_us"))
+
+
+@query(f"SELECT url, depth, 'DONE' AS status, CAST(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, 'COMPLETED' AS job, CAST(3 AS INTEGER) AS pages_crawled FROM {TREE} WHERE depth <= 1")
+def frontier_update_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored frontier rows after a service's crawl: claims, retries and results replace earlier versions."""
+    from datetime import datetime
+
+    from lodestone.plans.service import Service
+
+    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1))
+    job = service.create(CrawlSpec(TREE_SEED, max_pages=500, max_depth=1, respect_robots=False))
+    service.run(job, tree_web(spark, sf_dir, flaky=2))
+    state = service.get(job).select(F.col("id").alias("job_id"), F.col("status").alias("job"), "pages_crawled")
+    return service.frontier(job).join(state, "job_id").select(F.col("canonical_url").alias("url"), "depth", "status", "attempts", "job", "pages_crawled")
 
 
-@query(fx.SITE_POSTINGS.select())
+@query("SELECT 'http://firm.example/careers/job/' || n_nationkey AS source_url, 'Engineer for ' || n_name AS title, n_name || ', R' || n_regionkey AS location, 'Java,Kafka' AS skills, 'JSON_LD' AS extraction_method FROM nation")
 def career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CareerSpec("http://site.example/careers", max_pages=10, max_depth=2)
-    out = crawl.crawl(spark, spec, fx.SITE.frame(spark), fx.SITE_ROBOTS.frame(spark)).postings
+    """A careers site with a posting for each nation."""
+    k, none = F.col("n_nationkey").cast("string"), F.lit(None).cast("string")
+    ld = F.to_json(F.struct(
+        F.lit("JobPosting").alias("@type"), F.concat(F.lit("Engineer for "), "n_name").alias("title"), F.lit("Kafka and Java").alias("description"),
+        F.struct(F.struct(F.col("n_name").alias("addressLocality"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("addressRegion")).alias("address")).alias("jobLocation"),
+    ))
+    page = lambda url, text: (url.alias("url"), F.lit(None).cast("int").alias("attempt"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), text.alias("body"), none.alias("location"), none.alias("retry_after"), none.alias("error"))
+    nations = read(spark, sf_dir, "nation")
+    jobs = nations.select(*page(F.concat(F.lit("http://firm.example/careers/job/"), k), F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"))))
+    links = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/careers/job/'), k, F.lit('">Open</a>')))), "")  # 25 nations
+    home = nations.agg(F.concat(links, F.lit('<a href="/products/lamp">Lamp</a>')).alias("links")).select(*page(F.lit("http://firm.example/careers"), F.col("links")))
+    out = crawl.crawl(spark, CareerSpec("http://firm.example/careers", max_pages=50, max_depth=1), home.unionByName(jobs)).postings
     return out.select("source_url", "title", "location", F.array_join("skills", ",").alias("skills"), "extraction_method")

@@ -34,17 +34,19 @@ def after_fetch(results: DataFrame, as_of: Column, max_attempts: int = 3, base_s
     """Frontier rows with their fetch results to their next state.
 
     ``results`` has the frontier columns, ``http_status``, ``content_type``,
-    ``error`` (a kind or null) and ``retry_after`` (text).
+    ``error`` (a kind or null), ``retry_after`` (text) and, if there is a
+    better text than the kind, ``error_message``.
     """
     kind = fetching.content_type(F.col("content_type"))
     by_error = fetching.error_state(F.col("error"), F.col("attempts"), max_attempts)
     by_status = fetching.outcome(F.col("http_status"), kind, F.col("attempts"), max_attempts)
     wait = scoring.backoff_seconds(F.col("attempts"), F.when(F.col("error").isNull(), scoring.retry_after(F.col("retry_after"))).otherwise(0), base_seconds)
     state = F.when(F.col("error").isNotNull(), by_error).otherwise(by_status)
+    said = F.coalesce("error_message", "error") if "error_message" in results.columns else F.col("error")
     return (
         results.withColumn("status", state)
         .withColumn("next_attempt_at", F.when(state == "RETRY", as_of + F.make_interval(secs=wait)).otherwise(F.col("next_attempt_at")))
-        .withColumn("last_error", F.substring(F.when(F.col("error").isNotNull(), F.col("error")).otherwise(fetching.outcome_message(F.col("http_status"), kind)), 1, 2000))
+        .withColumn("last_error", F.substring(F.when(F.col("error").isNotNull(), said).otherwise(fetching.outcome_message(F.col("http_status"), kind)), 1, 2000))
     )
 
 
@@ -61,6 +63,17 @@ def outstanding(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("job_id").agg(F.count_if(live).alias("outstanding"), soonest.alias("next_at"))
 
 
+def next_due(frontier: DataFrame, now: int) -> tuple[int, int] | None:
+    """When the next row may be claimed, and the least depth that is due then.
+
+    Times are microseconds; rows that are due count as due now. None if
+    nothing waits.
+    """
+    at = F.greatest(F.unix_micros("next_attempt_at"), F.lit(now))
+    first = frontier.where(F.col("status").isin(*READY)).agg(F.min(F.struct(at.alias("at"), "depth")).alias("d")).first()["d"]
+    return (first["at"], first["depth"]) if first else None
+
+
 def refreshed_counts(jobs: DataFrame, pages: DataFrame, frontier: DataFrame) -> DataFrame:
     """Jobs with their page and failure counts; each table is read once."""
     done = pages.groupBy("job_id").agg(F.count("*").alias("_pages"))

@@ -9,24 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.crawl import state_folder
+from lodestone.plans.work import Work
 
 
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int, budget: int | None = None) -> DataFrame:
     """``edges(src, dst)``, ``seeds(node)`` to ``(node, depth)``.
 
-    With ``budget``, at most that many nodes, by (depth, node).
+    With ``budget``, at most that many nodes, by (depth, node). Levels are
+    appended to one table, so a level's plan is the same at any depth.
     """
-    spark = edges.sparkSession
-    folder = state_folder(spark)
-    reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    last = reached
+    work = Work(edges.sparkSession, "bfs")
+    last = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    reached = work.append(last, "reached")
     for depth in range(1, max_depth + 1):
+        last = reached.where(F.col("depth") == depth - 1)
         found = last.join(edges, last["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        new = found.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        new.write.mode("overwrite").parquet(f"{folder}/level-{depth}")
-        last = spark.read.schema(new.schema).parquet(f"{folder}/level-{depth}")
-        reached = reached.unionByName(last)
-        if last.isEmpty():
+        new = work.save(found.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if new.isEmpty():
             break
+        reached = work.append(new, "reached")
     return reached.orderBy("depth", "node").limit(budget) if budget is not None else reached

@@ -1,164 +1,279 @@
 """Crawls as rounds of DataFrame jobs.
 
-A round works on all rows of one depth that are due, not on one row at a
-time. Within a round rows are ranked by (depth, id); the page budget cuts the
-ranking by a prefix sum, so the result is that of the row-at-a-time order. A
-row that must be retried waits while deeper rows go on, as its delay asks; time
-is a clock that moves to the next due row. State is written to the shared
-folder after each round, so no plan grows with the number of rounds.
+A round claims the due rows of the least depth, as many as the page budget
+still allows, in (depth, id) order; a claimed row gives one page at most, so
+nothing beyond the budget is asked for. A row that must be retried waits while
+others go on. Time is a clock: requests get their slots from the rate limiter,
+the clock moves to the last slot of a round, and to the next due row when none
+is due. State is written to the shared folder after each round, one table
+each for the frontier, pages and postings, so no plan grows with the rounds.
+
+A run can start from a stored frontier. A ``Keeper`` sees every claim and
+every round, and its status is read between rounds, so that a crawl can be
+paused or cancelled and loses one round at most.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fetching, html, postings, scoring, urls
 from lodestone.operators import frontier as fr
 from lodestone.operators import robots as rb
-from lodestone.operators import tables
+from lodestone.operators import schedule, tables
 from lodestone.plans.spec import CrawlSpec
+from lodestone.plans.work import Work
+from lodestone.sources import schemas
 from lodestone.sources import web as webs
 
 AGENT = "lodestone/1.0"
 MAX_ATTEMPTS = 3
-STATE = "id long, url string, depth int, status string, attempts int, due_s long, discovered_from string, last_error string"
+START = datetime(2024, 1, 1, tzinfo=UTC)
+PAGE = "frontier_id long, url string, depth int, status_code int, content_type string, title string, body_sha256 string, extracted_text string, outbound_links int"
+POSTING = "frontier_id long, source_url string, title string, company string, location string, skills array<string>, experience string, employment_type string, description string, extraction_method string"
+FRONTIER_NAMES = [c.split(" ")[0] for c in schemas.CRAWL_FRONTIER.split(", ")]
 
 
 @dataclass
 class Result:
-    """Tables of a finished crawl."""
+    """Tables of a crawl when it stopped, and its status then."""
 
     status: str
     pages: DataFrame
     frontier: DataFrame
     postings: DataFrame
+    limiter: DataFrame | None = None
+    clock: datetime = START
+
+
+class Keeper:
+    """What outlives a run. This one keeps nothing."""
+
+    def status(self) -> str:
+        return "RUNNING"
+
+    def claimed(self, rows: DataFrame) -> None:
+        """Frontier rows that are about to be asked for."""
+
+    def finished(self, rows: DataFrame, pages: DataFrame, found: DataFrame | None) -> None:
+        """A round's changed and new frontier rows, new pages and postings."""
+
+
+def micros(at: datetime) -> int:
+    return round(at.timestamp() * 1_000_000)
+
+
+def seed_row(spark: SparkSession, job_id: str, url: str, at: datetime) -> DataFrame:
+    """The frontier of a new crawl."""
+    return spark.createDataFrame([(1, job_id, url, 0, "PENDING", 0, at, None, None, at, at)], schemas.CRAWL_FRONTIER)
+
+
+class Robots:
+    """Policies of origins, cached for a time.
+
+    ``given``: fetched files ``(origin, status, body)``; origins without a row
+    have none. Without it the files are asked from the web itself, once an
+    origin and again when older than the limit.
+    """
+
+    def __init__(self, work: Work, web, given: DataFrame | None, agent: str = AGENT, ttl: int = rb.CACHE_SECONDS):
+        self.work, self.web, self.agent, self.ttl = work, web, agent, ttl
+        self.fixed = given is not None
+        self.cache = work.save(rb.policies_of(given, agent), "robots-given") if self.fixed else None
+        self.turn = 0
 
+    def of(self, targets: DataFrame, now: int) -> DataFrame:
+        """Policies for ``targets(origin)`` at a time."""
+        if self.fixed:
+            return self.cache
+        as_of = F.timestamp_micros(F.lit(now))
+        live = None if self.cache is None else rb.fresh(self.cache, as_of, self.ttl)
+        need = targets.where("origin is not null").distinct()
+        if live is not None:
+            need = need.join(live.select("origin"), "origin", "left_anti")
+        need = self.work.save(need, f"robots-need-{self.turn}")
+        if live is not None and need.isEmpty():
+            return live
+        ask = need.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), F.lit(1).alias("attempt"), "origin")
+        got = webs.answers(ask, self.web, rb.BODY_CAP)
+        files = got.select("origin", F.when(F.col("error").isNull(), F.col("status")).alias("status"), "body")
+        loaded = rb.policies_of(files, self.agent).withColumn("fetched_at", as_of)
+        self.turn += 1
+        self.cache = self.work.save(loaded if live is None else live.unionByName(loaded), f"robots-{self.turn}")
+        return self.cache
 
-def state_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local session may use its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{root.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
+class Limiter:
+    """Slots of requests by origin; the next free slots go from round to round."""
 
-def _gate(spec: CrawlSpec, policies: DataFrame | None):
-    """Adds ``blocked`` to rows with a ``target``: boundary, then robots."""
+    def __init__(self, work: Work, per_second: float, free: DataFrame | None = None):
+        self.work, self.per_second, self.free, self.turn = work, per_second, free, 0
+
+    def pace(self, rows: DataFrame, now: int) -> DataFrame:
+        """Rows with ``target`` and ``delay_ms`` to rows with ``slot_us``."""
+        step = schedule.interval_us(F.lit(self.per_second), F.coalesce("delay_ms", F.lit(0)))
+        rows = rows.withColumn("_origin", urls.origin(F.col("target"))).withColumn("_step", step)
+        at = F.lit(now)
+        if self.free is not None:
+            rows = rows.join(self.free.select(F.col("origin").alias("_origin"), "free_us"), "_origin", "left")
+            at = F.greatest(F.lit(now), F.coalesce("free_us", F.lit(now)))
+        rows = schedule.slots(rows.withColumn("_t", at), "_origin", "_t", "_step", ["id"])
+        rows = self.work.save(rows.drop("free_us", "_t", "wait_us"), f"paced-{self.turn}")
+        after = rows.select(F.col("_origin").alias("origin"), (F.col("slot_us") + F.col("_step")).alias("free_us"))
+        if self.free is not None:
+            after = after.unionByName(self.free)
+        self.turn += 1
+        self.free = self.work.save(after.groupBy("origin").agg(F.max("free_us").alias("free_us")), f"free-{self.turn}")
+        return rows.drop("_origin", "_step")
+
+
+def unsafe(target: Column, resolver: Callable[[Column], Column] | None = None) -> Column:
+    """Whether a request would reach a private address.
+
+    Literal addresses are told by themselves. ``resolver`` gives a host
+    column's addresses as an array; with it a name goes too if it has no
+    address or any private one. Without it names pass.
+    """
+    host = urls.host(target)
+    literal = urls.private_address(host)
+    if resolver is None:
+        return F.coalesce(literal, F.lit(False))
+    found = resolver(host)
+    named = F.coalesce(F.size(found) <= 0, F.lit(True)) | F.exists(found, lambda a: F.coalesce(urls.private_address(a), F.lit(True)))
+    return host.isNull() | F.coalesce(literal, named)
+
+
+def _gate(spec: CrawlSpec, robots: Robots | None, allow_private: bool, resolver, clock: Callable[[], int]):
+    """Adds ``blocked`` and ``delay_ms`` to rows with a ``target``: address, boundary, robots."""
 
     def gate(rows: DataFrame) -> DataFrame:
         target, seed = F.col("target"), F.lit(spec.seed_url)
-        allowed = F.lit(True)
-        if policies is not None:
-            p = policies.select(F.col("origin").alias("_origin"), F.col("block_all").alias("_block"), F.col("rules").alias("_rules"))
-            rows = rows.join(p, urls.origin(target) == F.col("_origin"), "left")
-            allowed = rb.allows(F.col("_block"), F.col("_rules"), urls.robots_target(target))
-        why = fetching.block_reason(F.lit(spec.career), F.lit(spec.same_host_only), urls.career_redirect(seed, target), urls.same_host(seed, target), allowed)
-        unsafe = F.coalesce(urls.private_address(urls.host(target)), F.lit(False))
-        return rows.withColumn("blocked", F.when(unsafe, "Private, local, link-local and multicast targets are blocked").otherwise(why)).drop("_origin", "_block", "_rules")
+        private = F.lit(False) if allow_private else unsafe(target, resolver)
+        left = fetching.block_reason(F.lit(spec.career), F.lit(spec.same_host_only), urls.career_redirect(seed, target), urls.same_host(seed, target), F.lit(True))
+        rows = rows.withColumn("blocked", F.when(private, "Private, local, link-local and multicast targets are blocked").otherwise(left))
+        if robots is None:
+            return rows.withColumn("delay_ms", F.lit(0))
+        p = robots.of(rows.where("blocked is null").select(urls.origin(target).alias("origin")), clock())
+        p = p.select(F.col("origin").alias("_origin"), F.col("block_all").alias("_block"), F.col("rules").alias("_rules"), "delay_ms")
+        rows = rows.join(p, urls.origin(target) == F.col("_origin"), "left")
+        allowed = rb.allows(F.col("_block"), F.col("_rules"), urls.robots_target(target))
+        return rows.withColumn("blocked", F.coalesce("blocked", F.when(~allowed, "Blocked by robots.txt"))).drop("_origin", "_block", "_rules")
 
     return gate
 
 
 def _links(spec: CrawlSpec, saved: DataFrame) -> DataFrame:
-    """``(parent_rank, from_url, depth, pos, url)`` of links that may be followed."""
-    rows = saved.select("rank", "depth", F.col("final_url").alias("from_url"), F.posexplode(html.resolved_links("final_url", "body")).alias("pos", "link"))
-    rows = rows.select("rank", "depth", "from_url", "pos", F.col("link.url").alias("url"), F.col("link.anchor").alias("anchor"))
+    """``(id, depth, from_url, pos, url)`` of links that may be followed."""
+    rows = saved.select("id", "depth", F.col("final_url").alias("from_url"), F.posexplode(html.resolved_links("final_url", "body")).alias("pos", "link"))
+    rows = rows.select("id", "depth", "from_url", "pos", F.col("link.url").alias("url"), F.col("link.anchor").alias("anchor"))
     seed = F.lit(spec.seed_url)
     if spec.career:
         rows = rows.where(urls.career_follow(seed, F.col("from_url"), F.col("url"), F.col("anchor")))
     elif spec.same_host_only:
         rows = rows.where(urls.same_host(seed, F.col("url")))
     rows = rows.where(F.length("url") <= 2048)  # longer ones fit no key
-    return rows.groupBy("rank", "depth", "from_url", "url").agg(F.min("pos").alias("pos"))
+    return rows.groupBy("id", "depth", "from_url", "url").agg(F.min("pos").alias("pos"))
 
 
-def crawl(spark: SparkSession, spec: CrawlSpec, web: DataFrame, robots: DataFrame | None = None, allow_private: bool = False, max_attempts: int = MAX_ATTEMPTS) -> Result:
-    """Crawl ``web`` from the seed of ``spec``.
+def numbered(work: Work, rows: DataFrame, order: list[str], start: int, name: str) -> tuple[DataFrame, int]:
+    """Rows with ``number`` in a global order, from ``start``, and their count.
 
-    ``robots(origin, status, body)``: fetched robots files; origins without a
-    row have none. The driver loops over rounds and holds only counters.
+    Ranges of the order are partitions; their sizes, a row each, give every
+    range its first number, so no task sees all rows.
     """
-    folder = state_folder(spark)
-    step = 0
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = work.save(ranged, name)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()  # a row for each range
+    first, upto = {}, start
+    for r in sizes:
+        first[r["_part"]], upto = upto, upto + r["n"]
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (first or {0: 0}).items() for x in kv]), part)
+    return ranged.withColumn("number", base + place).drop("_at"), upto - start
+
 
-    def save(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}-{step}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    policies = save(rb.policies_of(robots, AGENT), "policies") if spec.respect_robots and robots is not None else None
-    gate = _gate(spec, policies)
-    if allow_private:
-        inner = gate
-        gate = lambda rows: inner(rows).withColumn("blocked", F.when(F.col("blocked").startswith("Private"), None).otherwise(F.col("blocked")))
-    front = save(spark.createDataFrame([(1, spec.seed_url, 0, "PENDING", 0, 0, None, None)], STATE), "frontier")
-    pages: list[DataFrame] = []
-    now, n_saved, next_id, status = 0, 0, 2, "RUNNING"
-    while status == "RUNNING":
+def crawl(
+    spark: SparkSession, spec: CrawlSpec, web, robots: DataFrame | None = None, allow_private: bool = False, max_attempts: int = MAX_ATTEMPTS, *,
+    job_id: str = "job", frontier: DataFrame | None = None, saved: DataFrame | None = None, limiter: DataFrame | None = None,
+    started: datetime = START, keeper: Keeper | None = None, resolver: Callable[[Column], Column] | None = None,
+) -> Result:
+    """Crawl ``web`` from the seed of ``spec``, or from a stored ``frontier``.
+
+    ``web``: a table of answers, or a function from requests ``(url, attempt,
+    slot_us)`` to one (see ``sources.web``). ``saved(url)``: pages that an
+    earlier run has stored. The driver loops over rounds and holds counters.
+    """
+    work, keeper = Work(spark, "crawl"), keeper or Keeper()
+    now = micros(started)
+    rules = Robots(work, web, robots) if spec.respect_robots else None
+    gate = _gate(spec, rules, allow_private, resolver, lambda: now)
+    limits = Limiter(work, spec.requests_per_second, limiter)
+    if frontier is None:
+        frontier = seed_row(spark, job_id, spec.seed_url, started)
+    front = work.save(fr.requeue(frontier, F.lit(started)).select(*FRONTIER_NAMES), "frontier-0")
+    earlier = saved.select("url") if saved is not None else spark.createDataFrame([], "url string")
+    n_saved, next_id = earlier.count(), (front.agg(F.max("id")).first()[0] or 0) + 1
+    pages = work.append(spark.createDataFrame([], PAGE + ", round int"), "pages")
+    found = work.append(spark.createDataFrame([], POSTING + ", round int"), "postings")
+    step = 0
+    while True:
+        status = keeper.status()
+        if status in ("PAUSED", "CANCELLED"):
+            break
+        status = "COMPLETED"
         if n_saved >= spec.max_pages:
-            status = "COMPLETED"
             break
-        live = front.where(F.col("status").isin(*fr.READY))
-        due = live.where(F.col("due_s") <= now)
-        head = due.agg(F.min("depth")).first()[0]
-        if head is None:
-            soonest = live.agg(F.min("due_s")).first()[0]
-            if soonest is None:
-                status = "COMPLETED"
-                break
-            now = soonest
-            continue
+        soonest = fr.next_due(front, now)
+        if soonest is None:
+            break
+        now, head = soonest
+        as_of, this = F.timestamp_micros(F.lit(now)), F.col("round") == step + 1
         step += 1
-        turn = W.partitionBy(F.lit(0)).orderBy("depth", "id")  # one crawl's level: at most a budget's worth is fetched
-        level = due.where(F.col("depth") == head).orderBy("id").limit(4 * spec.max_pages).withColumn("rank", F.row_number().over(turn))
-        level = level.withColumn("attempt", F.col("attempts") + 1)
-        asked = level.select("id", "url", "depth", "rank", "attempt", "discovered_from")
-        got = webs.follow(asked, web, gate, urls.canonicalize, save)
-        kind = fetching.content_type(F.col("content_type"))
-        by_error = fetching.error_state(F.col("error"), F.col("attempt"), max_attempts)
-        to = F.when(F.col("error").isNotNull(), by_error).otherwise(fetching.outcome(F.col("status"), kind, F.col("attempt"), max_attempts))
-        got = got.withColumn("kind", kind).withColumn("to", to).withColumn("saves", F.col("to") == "DONE").withColumn("job_id", F.lit("job"))
-        got = save(fr.within_budget(got, "saves", n_saved, spec.max_pages), "answers")
-        message = F.when(F.col("error").isNotNull(), F.col("error_message")).otherwise(fetching.outcome_message(F.col("status"), F.col("kind")))
-        wait = scoring.backoff_seconds(F.col("attempt"), F.when(F.col("error").isNull(), scoring.retry_after(F.col("retry_after"))).otherwise(0))
-        moved = got.select("id", F.col("to").alias("_to"), F.col("attempt").alias("_attempts"), F.when(F.col("to") == "RETRY", now + wait).alias("_due"), F.substring(message, 1, 2000).alias("_error"))
-        done = tables.keep_first(got.where("saves"), ["final_url"], ["rank"])
-        seen = [p.select("url") for p in pages]
-        for s in seen:
-            done = done.join(s.withColumnRenamed("url", "final_url"), "final_url", "left_anti")
-        parts = html.page_parts("body")
-        found = done.select("rank", "id", "final_url", "depth", "status", "kind", "body", parts.alias("parts"))
+        due = fr.ready(front.where(F.col("depth") == head), as_of).orderBy("id").limit(spec.max_pages - n_saved)
+        taken = work.save(fr.claim(due, as_of, spec.max_pages).withColumn("updated_at", as_of), f"claimed-{step}")
+        keeper.claimed(taken)
+        asked = taken.select("id", F.col("canonical_url").alias("url"), "depth", F.col("attempts").alias("attempt"))
+        save = lambda df, name: work.save(df, f"{name}-{step}")  # noqa: B023, E731
+        pace = lambda rows: limits.pace(rows, now)  # noqa: B023, E731
+        got = webs.follow(asked, web, gate, urls.canonicalize, save, pace)
+        results = taken.join(got.select("id", F.col("status").alias("http_status"), "content_type", "error", "error_message", "retry_after", "slot_us"), "id")
+        at = F.timestamp_micros(F.coalesce("slot_us", F.lit(now)))
+        moved = save(fr.after_fetch(results, at, max_attempts).withColumn("updated_at", at).select(*FRONTIER_NAMES), "moved")
+        now = moved.agg(F.max(F.unix_micros("updated_at"))).first()[0]
+        have = pages.select("url").unionByName(earlier).withColumnRenamed("url", "final_url")
+        done = got.join(moved.where("status = 'DONE'").select("id"), "id", "left_semi")
+        done = tables.keep_first(done, ["final_url"], ["id"]).join(have, "final_url", "left_anti")
+        done = save(done.withColumn("kind", fetching.content_type(F.col("content_type"))).withColumn("parts", html.page_parts("body")), "done")
         links = save(_links(spec, done), "links")
-        fresh = tables.keep_first(links, ["url"], ["rank", "pos"])
-        fresh = fresh.join(front.select("url"), "url", "left_anti") if head < spec.max_depth else fresh.limit(0)
-        order = W.partitionBy(F.lit(0)).orderBy("rank", "pos")
-        fresh = fresh.select((F.row_number().over(order) + next_id - 1).cast("long").alias("id"), "url", (F.col("depth") + 1).cast("int").alias("depth"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(now).cast("long").alias("due_s"), F.col("from_url").alias("discovered_from"), F.lit(None).cast("string").alias("last_error"))
-        counts = links.groupBy("rank").agg(F.count("*").cast("int").alias("outbound_links"))
-        page = found.join(counts, "rank", "left").select(
+        counts = links.groupBy("id").agg(F.count("*").cast("int").alias("outbound_links"))
+        page = done.join(counts, "id", "left").select(
             F.col("id").alias("frontier_id"), F.col("final_url").alias("url"), "depth", F.col("status").alias("status_code"), F.col("kind").alias("content_type"),
             scoring.truncated(F.col("parts.title"), 1000).alias("title"), scoring.fingerprint(F.col("body")).alias("body_sha256"),
-            scoring.truncated(F.col("parts.text"), 50_000).alias("extracted_text"), F.coalesce("outbound_links", F.lit(0)).alias("outbound_links"), F.col("body"),
+            scoring.truncated(F.col("parts.text"), 50_000).alias("extracted_text"), F.coalesce("outbound_links", F.lit(0)).alias("outbound_links"), F.lit(step).alias("round"),
         )
-        pages.append(save(page, "pages"))
-        state = front.join(moved, "id", "left").select(
-            "id", "url", "depth", F.coalesce("_to", "status").alias("status"), F.coalesce("_attempts", "attempts").alias("attempts"), F.coalesce("_due", "due_s").cast("long").alias("due_s"),
-            "discovered_from", F.coalesce("_error", "last_error").alias("last_error"),
+        pages = work.append(page, "pages")
+        post = None
+        if spec.career:
+            post = done.select(F.col("id").alias("frontier_id"), F.col("final_url").alias("source_url"), postings.posting(F.col("final_url"), F.col("body")).alias("p")).where("p is not null")
+            found = work.append(post.select("frontier_id", "source_url", "p.*", F.lit(step).alias("round")), "postings")
+            post = found.where(this).drop("round")
+        fresh = tables.keep_first(links, ["url"], ["id", "pos"]).join(front.select(F.col("canonical_url").alias("url")), "url", "left_anti")
+        fresh, n_fresh = numbered(work, fresh if head < spec.max_depth else fresh.limit(0), ["id", "pos"], next_id, f"fresh-{step}")
+        at = F.timestamp_micros(F.lit(now))
+        fresh = fresh.select(
+            F.col("number").alias("id"), F.lit(job_id).alias("job_id"), F.col("url").alias("canonical_url"), (F.col("depth") + 1).cast("int").alias("depth"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"),
+            at.alias("next_attempt_at"), F.col("from_url").alias("discovered_from"), F.lit(None).cast("string").alias("last_error"), at.alias("created_at"), at.alias("updated_at"),
         )
-        front = save(state.unionByName(fresh), "frontier")
-        n_saved += pages[-1].count()
-        next_id = (front.agg(F.max("id")).first()[0] or 0) + 1
-    schema = "frontier_id long, url string, depth int, status_code int, content_type string, title string, body_sha256 string, extracted_text string, outbound_links int, body string"
-    every = spark.createDataFrame([], schema)
-    for p in pages:
-        every = every.unionByName(p)
-    jobs = every.select("frontier_id", "url", postings.posting(F.col("url"), F.col("body")).alias("p")).where("p is not null").select("frontier_id", F.col("url").alias("source_url"), "p.*")
-    return Result(status, every.drop("body"), front, jobs if spec.career else jobs.limit(0))
+        changed = moved.unionByName(fresh)
+        keeper.finished(changed, pages.where(this).drop("round"), post)
+        front = work.save(front.join(moved.select("id"), "id", "left_anti").unionByName(changed), f"frontier-{step}")
+        n_saved += pages.where(this).count()
+        next_id += n_fresh
+        for old in ("frontier", "claimed", "moved", "done", "links", "fresh"):
+            work.drop(f"{old}-{step - 1}")
+    return Result(status, pages.drop("round"), front, found.drop("round"), limits.free, datetime.fromtimestamp(now / 1_000_000, UTC))

@@ -1,15 +1,19 @@
 """The engine's operations over stored tables.
 
 Tables are Parquet folders under one root. Nothing is updated in place: jobs
-are versions, appended with a number, and the latest version of an id counts.
-Every operation is one or a few DataFrame jobs; ids are made by the caller's
-clock and a UUID, so a repeated call makes a new crawl.
+and frontier rows are versions, appended with a number, and the latest version
+of an id counts. A running crawl appends its claims before it asks and each
+round's rows after it, and reads its job's status between rounds: it can be
+paused, cancelled and resumed, and after a crash goes on from the stored
+frontier. One process works on a job once at a time.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
@@ -24,13 +28,43 @@ from lodestone.plans.spec import CareerSpec, CrawlSpec, MatchSpec, NotFound, Val
 from lodestone.sources import export, schemas
 
 VERSIONED = schemas.CRAWL_JOB + ", version long"
+FRONTIER = schemas.CRAWL_FRONTIER + ", version long"
+UNSAFE = "Private, local, link-local and multicast targets are blocked"
+
+
+class StoreKeeper(crawls.Keeper):
+    """Writes a running crawl's claims and rounds to the store."""
+
+    def __init__(self, service: Service, job_id: str):
+        self.service, self.job_id = service, job_id
+
+    def status(self) -> str:
+        return self.service._one(self.job_id).first()["status"]
+
+    def claimed(self, rows: DataFrame) -> None:
+        self.service._put_frontier(self.job_id, rows)
+
+    def finished(self, rows: DataFrame, pages: DataFrame, found: DataFrame | None) -> None:
+        # pages go first: a crash between the two repeats a request, and loses nothing
+        self.service._save_pages(self.job_id, pages, found)
+        self.service._put_frontier(self.job_id, rows)
 
 
 class Service:
-    """Crawls, career scans, listings, exports and matches."""
+    """Crawls, career scans, listings, exports and matches.
+
+    ``resolver``: a column function from host to addresses, for the address
+    check of names; ``allow_private`` switches the check off.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)):
+    def __init__(
+        self, spark: SparkSession, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None),
+        allow_private: bool = False, resolver: Callable | None = None, workers: int = 4,
+    ):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+        self.allow_private, self.resolver, self.workers = allow_private, resolver, workers
+        self._lock, self._active = threading.RLock(), set()
+        self._pool: ThreadPoolExecutor | None = None
 
     # tables
 
@@ -50,6 +84,10 @@ class Service:
         return tables.latest(self._read("crawl_job", VERSIONED), ["id"], ["version"]).drop("version").orderBy(F.desc("created_at"), "id")
 
     def _put(self, job: DataFrame) -> None:
+        with self._lock:
+            self._put_version(job)
+
+    def _put_version(self, job: DataFrame) -> None:
         last = self._read("crawl_job", VERSIONED).groupBy("id").agg(F.max("version").alias("v"))
         out = job.join(last, "id", "left").withColumn("version", F.coalesce(F.col("v") + 1, F.lit(0)).cast("long")).withColumn("updated_at", F.lit(self.clock()))
         names = [c.strip().split(" ")[0] for c in VERSIONED.split(",")]
@@ -61,15 +99,41 @@ class Service:
             raise NotFound(f"no crawl {job_id}")
         return found
 
+    def frontier(self, job_id: str) -> DataFrame:
+        """A crawl's frontier as it is now."""
+        rows = self._read("crawl_frontier", FRONTIER).where(F.col("job_id") == job_id)
+        return tables.latest(rows, ["job_id", "id"], ["version"]).drop("version")
+
+    def _put_frontier(self, job_id: str, rows: DataFrame) -> None:
+        with self._lock:
+            last = self._read("crawl_frontier", FRONTIER).where(F.col("job_id") == job_id).agg(F.max("version")).first()[0]
+            names = [c.split(" ")[0] for c in FRONTIER.split(", ")]
+            self._append(rows.withColumn("version", F.lit(0 if last is None else last + 1).cast("long")).select(*names), "crawl_frontier")
+
+    def _requeue(self, job_id: str) -> None:
+        stuck = self.frontier(job_id).where("status = 'FETCHING'")
+        if not stuck.isEmpty():
+            self._put_frontier(job_id, fr.requeue(stuck, F.lit(self.clock())).withColumn("updated_at", F.lit(self.clock())))
+
+    def _counted(self, job: DataFrame, job_id: str) -> DataFrame:
+        pages = self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id)
+        out = fr.refreshed_counts(job, pages, self.frontier(job_id))
+        return out.withColumn("pages_crawled", F.col("pages_crawled").cast("int")).withColumn("pages_failed", F.col("pages_failed").cast("int"))
+
     # crawls
 
     def create(self, spec: CrawlSpec) -> str:
-        """A queued crawl; a career scan also gets its scan row, first."""
+        """A queued crawl with its seed; a career scan also gets its scan row, first."""
+        if not self.allow_private:
+            seed = self.spark.range(1).select(crawls.unsafe(F.lit(spec.seed_url), self.resolver).alias("unsafe"))
+            if seed.first()["unsafe"]:
+                raise ValidationError({"seed_url": UNSAFE})
         job_id, now = str(uuid.uuid4()), self.clock()
         row = (job_id, spec.seed_url, urlsplit(spec.seed_url).hostname, spec.max_pages, spec.max_depth, spec.same_host_only, spec.respect_robots, float(spec.requests_per_second), "QUEUED", 0, 0, now, None, None, now, None)
         if spec.career:
             self._append(self.spark.createDataFrame([(job_id, spec.seed_url, now)], schemas.CAREER_SCAN), "career_scan")
         self._put(self.spark.createDataFrame([row], schemas.CRAWL_JOB))
+        self._put_frontier(job_id, crawls.seed_row(self.spark, job_id, spec.seed_url, now))
         return job_id
 
     def get(self, job_id: str) -> DataFrame:
@@ -82,39 +146,81 @@ class Service:
         old, new = job.first()["status"], after.first()["status"]
         if old == new:
             raise ValidationError({"status": f"{old} can't {action}"})
+        if action == "resume":
+            self._requeue(job_id)
         self._put(after)
         return new
 
-    def run(self, job_id: str, web: DataFrame, robots: DataFrame | None = None, allow_private: bool = False) -> str:
-        """Work on a crawl until its budget or frontier is used up."""
+    def run(self, job_id: str, web, robots: DataFrame | None = None) -> str:
+        """Work on a crawl until its budget or frontier is used up, or it is paused or cancelled.
+
+        A job that is being worked on already is left to that worker. An
+        interrupt pauses the job, an error fails it; either way what was
+        saved stays, and the counts are brought up to date.
+        """
+        with self._lock:
+            if job_id in self._active:
+                return self._one(job_id).first()["status"]
+            self._active.add(job_id)
+        try:
+            return self._work(job_id, web, robots)
+        finally:
+            with self._lock:
+                self._active.discard(job_id)
+
+    def _work(self, job_id: str, web, robots: DataFrame | None) -> str:
         job = self._one(job_id).first()
         if job["status"] not in ("QUEUED", "RUNNING", "PAUSED", "FAILED"):
             return job["status"]
+        self._requeue(job_id)
         self._put(fr.job_after(self._one(job_id), "run", F.lit(self.clock())))
         kind = CareerSpec if self._is_scan(job_id) else CrawlSpec
         more = {} if kind is CareerSpec else {"same_host_only": job["same_host_only"], "respect_robots": job["respect_robots"]}
         spec = kind(job["seed_url"], max_pages=job["max_pages"], max_depth=job["max_depth"], requests_per_second=job["requests_per_second"], **more)
+        saved = self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id).select("url")
+        action, message = None, None
         try:
-            out = crawls.crawl(self.spark, spec, web, robots, allow_private)
-            self._save(job_id, out)
+            out = crawls.crawl(
+                self.spark, spec, web, robots, self.allow_private, job_id=job_id, frontier=self.frontier(job_id), saved=saved,
+                started=self.clock(), keeper=StoreKeeper(self, job_id), resolver=self.resolver,
+            )
+            action = "complete" if out.status == "COMPLETED" else None
+        except KeyboardInterrupt:
+            action, message = "pause", "Worker interrupted; safe to resume"
+            raise
         except Exception as e:
-            failed = fr.job_after(self._one(job_id), "fail", F.lit(self.clock())).withColumn("error_message", F.lit(str(e)[:2000]))
-            self._put(failed)
+            action, message = "fail", str(e)[:2000]
             raise
-        counted = fr.refreshed_counts(self._one(job_id), self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id), self._read("crawl_frontier", schemas.CRAWL_FRONTIER).where(F.col("job_id") == job_id))
-        counted = counted.withColumn("pages_crawled", F.col("pages_crawled").cast("int")).withColumn("pages_failed", F.col("pages_failed").cast("int"))
-        self._put(fr.job_after(counted, "complete", F.lit(self.clock())))
+        finally:
+            with self._lock:
+                now = self._counted(self._one(job_id), job_id)
+                after = fr.job_after(now, action, F.lit(self.clock())) if action else now
+                if message is not None:
+                    after = after.withColumn("error_message", F.lit(message))
+                self._put(after)
         return self._one(job_id).first()["status"]
 
-    def _save(self, job_id: str, out: crawls.Result) -> None:
+    def launch(self, job_id: str, web, robots: DataFrame | None = None) -> Future:
+        """``run`` on a thread of its own."""
+        self._one(job_id)
+        with self._lock:
+            self._pool = self._pool or ThreadPoolExecutor(self.workers)
+        return self._pool.submit(self.run, job_id, web, robots)
+
+    def recover(self, web, robots: DataFrame | None = None) -> list[Future]:
+        """After a restart: launch every queued or running crawl that nobody works on."""
+        with self._lock:
+            active = self.spark.createDataFrame([(x,) for x in self._active], "job_id string")
+        return [self.launch(r["id"], web, robots) for r in self.to_recover(active).select("id").collect()]
+
+    def _save_pages(self, job_id: str, rows: DataFrame, found: DataFrame | None) -> None:
         now, job = F.lit(self.clock()), F.lit(job_id)
         ident = F.concat_ws("-", job, F.col("frontier_id").cast("string"))
-        pages = out.pages.select(ident.alias("id"), job.alias("job_id"), "url", "depth", "status_code", "content_type", "title", "body_sha256", "extracted_text", "outbound_links", now.alias("fetched_at"))
+        pages = rows.select(ident.alias("id"), job.alias("job_id"), "url", "depth", "status_code", "content_type", "title", "body_sha256", "extracted_text", "outbound_links", now.alias("fetched_at"))
         self._append(tables.set_insert(self._read("crawled_page", schemas.CRAWLED_PAGE), pages, ["job_id", "url"], ["id"]), "crawled_page")
-        moved = F.timestamp_seconds(F.unix_timestamp(now) + F.col("due_s"))
-        front = out.frontier.select("id", job.alias("job_id"), F.col("url").alias("canonical_url"), "depth", "status", "attempts", moved.alias("next_attempt_at"), "discovered_from", "last_error", now.alias("created_at"), now.alias("updated_at"))
-        self._append(tables.set_insert(self._read("crawl_frontier", schemas.CRAWL_FRONTIER), front, ["job_id", "canonical_url"], ["id"]), "crawl_frontier")
-        posts = out.postings.select(ident.alias("id"), job.alias("scan_id"), ident.alias("page_id"), "source_url", "title", "company", "location", "skills", "experience", "employment_type", "description", "extraction_method", now.alias("discovered_at"))
+        if found is None:
+            return
+        posts = found.select(ident.alias("id"), job.alias("scan_id"), ident.alias("page_id"), "source_url", "title", "company", "location", "skills", "experience", "employment_type", "description", "extraction_method", now.alias("discovered_at"))
         self._append(tables.set_insert(self._read("job_posting", schemas.JOB_POSTING), posts, ["scan_id", "source_url"], ["id"]), "job_posting")
 
     def pages(self, job_id: str, limit: int = 100) -> DataFrame:

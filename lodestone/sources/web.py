@@ -2,13 +2,15 @@
 
 A fetched web is a table ``(url, attempt, status, content_type, body,
 location, retry_after, error)``; ``attempt`` null serves every attempt. The
-crawl joins its frontier to it. ``live_web`` makes the same columns with an
-injected fetch function, an Arrow batch at a time; nothing in this package
-opens a connection by itself.
+crawl joins its frontier to it. Instead of a table a web may be a function
+from requests to such a table: ``live_web`` makes one of an injected fetch
+function, an Arrow batch at a time. Only the ``http_pages`` source opens
+connections by itself.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +23,7 @@ from lodestone.functions import fetching
 
 WEB = "url string, attempt int, status int, content_type string, body string, location string, retry_after string, error string"
 MAX_REDIRECTS = 5
+Web = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def pages_as_web(pages: DataFrame, url: Column) -> DataFrame:
@@ -42,29 +45,36 @@ def decode_body(raw: Column, content_type: Column) -> Column:
     return out
 
 
-def answers(requests: DataFrame, web: DataFrame) -> DataFrame:
+def answers(requests: DataFrame, web: Web, cap: int = fetching.BODY_CAP) -> DataFrame:
     """``requests(url, attempt, ...)`` with the web's answer; unknown URLs are 404.
 
-    A row of the web for this very attempt goes before one for any attempt.
+    A row of the web for this very attempt goes before one for any attempt. A
+    body over the cap is an ``io`` error, not a shorter body.
     """
-    w = web.withColumnRenamed("url", "w_url").withColumnRenamed("attempt", "w_attempt")
+    w = web(requests) if callable(web) else web
+    w = w.withColumnRenamed("url", "w_url").withColumnRenamed("attempt", "w_attempt")
     joined = requests.join(w, (F.col("url") == F.col("w_url")) & (F.col("w_attempt").isNull() | (F.col("w_attempt") == F.col("attempt"))), "left")
     best = W.partitionBy(*requests.columns).orderBy(F.col("w_attempt").desc_nulls_last())
     one = joined.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "w_attempt")
     known = F.col("w_url").isNotNull()
+    large = ~F.coalesce(fetching.within_cap(F.col("body"), cap), F.lit(True))
+    one = one.withColumn("error", F.when(large, "io").otherwise(F.col("error"))).withColumn("body", F.when(~large, F.col("body")))
     return one.withColumn("status", F.when(known, F.col("status")).otherwise(404)).drop("w_url")
 
 
 def follow(
-    requests: DataFrame, web: DataFrame, gate: Callable[[DataFrame], DataFrame], resolve: Callable[[Column, Column], Column], save: Callable[[DataFrame, str], DataFrame], hops: int = MAX_REDIRECTS
+    requests: DataFrame, web: Web, gate: Callable[[DataFrame], DataFrame], resolve: Callable[[Column, Column], Column], save: Callable[[DataFrame, str], DataFrame],
+    pace: Callable[[DataFrame], DataFrame] | None = None, hops: int = MAX_REDIRECTS,
 ) -> DataFrame:
     """Answers of requests with redirects followed, and every hop gated.
 
-    ``gate`` adds ``blocked`` (a reason or null) to rows by their ``target``
-    column before each hop. The result has ``final_url``, the answer columns
-    and ``error``: ``blocked`` with the reason in ``error_message``, ``io`` for
-    a redirect without a place to go or one too many. ``save`` writes a hop's
-    rows, so the plan stays that of one hop; without redirects there is one.
+    ``gate`` adds ``blocked`` (a reason or null) and ``delay_ms`` to rows by
+    their ``target`` column before each hop; ``pace`` then gives those that
+    may go their ``slot_us``. The result has ``final_url``, the answer columns,
+    the last slot, and ``error``: ``blocked`` with the reason in
+    ``error_message``, ``io`` for a redirect without a place to go or one too
+    many. ``save`` writes a hop's rows, so the plan stays that of one hop;
+    without redirects there is one.
     """
     keys = requests.columns
     open_rows = requests.withColumn("target", F.col("url"))
@@ -72,13 +82,14 @@ def follow(
     for hop in range(hops + 1):
         gated = gate(open_rows)
         asked = gated.where("blocked is null").drop("blocked")
+        asked = (pace(asked) if pace else asked.withColumn("slot_us", F.lit(None).cast("long"))).drop("delay_ms")
         got = answers(asked.withColumnRenamed("url", "asked_url").withColumnRenamed("target", "url"), web).withColumnRenamed("url", "target").withColumnRenamed("asked_url", "url")
         moved = F.coalesce(fetching.is_redirect(F.col("status")) & F.col("error").isNull(), F.lit(False))
         lost = moved & (F.col("location").isNull() | F.lit(hop == hops))
         got = got.withColumn("onward", moved & ~lost)
         got = got.withColumn("error_message", F.when(lost, F.when(F.col("location").isNull(), "Redirect without a Location header").otherwise("Too many redirects")).otherwise(F.col("error")))
         got = got.withColumn("error", F.when(lost, "io").otherwise(F.col("error")))
-        stopped = gated.where("blocked is not null").withColumn("error_message", F.col("blocked")).withColumn("error", F.lit("blocked")).withColumn("onward", F.lit(False)).drop("blocked")
+        stopped = gated.where("blocked is not null").withColumn("error_message", F.col("blocked")).withColumn("error", F.lit("blocked")).withColumn("onward", F.lit(False)).drop("blocked", "delay_ms")
         both = save(got.unionByName(stopped, allowMissingColumns=True), f"hop-{hop}")
         final = both.where("not onward").drop("onward")
         done = final if done is None else done.unionByName(final)
@@ -89,28 +100,44 @@ def follow(
     return done.withColumnRenamed("target", "final_url")
 
 
-def live_web(requests: DataFrame, fetch: Callable[[str, int], dict]) -> DataFrame:
-    """Answers of ``requests(url, attempt)`` by an injected function.
+def live_web(fetch: Callable[[str, int], dict], wait: bool = False) -> Web:
+    """A web that asks an injected function.
 
-    ``fetch`` returns a dict with the web's columns; what it raises becomes an
-    ``io`` error, and so does a body over the cap.
+    ``fetch(url, attempt)`` returns a dict with the web's columns; what it
+    raises becomes an ``io`` error. With ``wait`` a worker sleeps until a
+    request's ``slot_us`` (microseconds since 1970) before it asks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in WEB.split(", ")]
         for b in batches:
             rows = []
-            for url, attempt in zip(b["url"], b["attempt"]):
+            for url, attempt, slot in zip(b["url"], b["attempt"], b["slot_us"]):
+                if wait and slot == slot:
+                    time.sleep(max(0.0, slot / 1e6 - time.time()))
                 try:
                     got = {**dict.fromkeys(names), **fetch(url, int(attempt))}
-                    if len((got["body"] or "").encode()) > fetching.BODY_CAP:
-                        got |= {"body": None, "error": "io"}
                 except Exception as e:  # the outside may fail in any way
                     got = {**dict.fromkeys(names), "error": "io", "body": str(e)[:2000]}
                 rows.append({**got, "url": url, "attempt": int(attempt)})
             yield pd.DataFrame(rows, columns=names)
 
-    return requests.select("url", "attempt").mapInPandas(run, WEB)
+    def web(requests: DataFrame) -> DataFrame:
+        slot = F.col("slot_us") if "slot_us" in requests.columns else F.lit(None).cast("long").alias("slot_us")
+        return requests.select("url", "attempt", slot).sortWithinPartitions("slot_us").mapInPandas(run, WEB)
+
+    return web
+
+
+def http_web(user_agent: str = "lodestone/1.0", timeout: float = 12) -> Web:
+    """A web of plain GETs, for ``crawl``; no redirect is followed here."""
+    reader = HttpReader({"user_agent": user_agent, "timeout": str(timeout)})
+
+    def fetch(url: str, attempt: int) -> dict:
+        (row,) = reader.read(InputPartition(url))
+        return dict(zip([c.split()[0] for c in WEB.split(", ")], row))
+
+    return live_web(fetch, wait=True)
 
 
 class HttpPages(DataSource):

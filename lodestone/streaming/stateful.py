@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.plans.crawl import state_folder
+from lodestone.plans.work import Work
 
 # The frontier's transitions.
 TRANSITIONS = {
@@ -44,7 +44,10 @@ def frontier_states(moves: DataFrame) -> DataFrame:
 def limiter_slots(requests: DataFrame) -> DataFrame:
     """``requests(origin, seq, t_us, step_us)`` to the slot of each request.
 
-    State: the next free slot of an origin, one number.
+    State: the next free slot of an origin, one number. Requests must come in
+    ``seq`` order from batch to batch; within a batch they are sorted here, so
+    an origin's rows of one batch are held together: bound a batch by the
+    source's options.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,27 +64,38 @@ def limiter_slots(requests: DataFrame) -> DataFrame:
     return requests.groupBy("origin").applyInPandasWithState(step, "origin long, seq long, slot_us long", "free long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now; its rows as a table.
+def replay(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """A table as a stream that arrives in parts; the built stream's rows.
 
-    Each batch is written to the shared folder under its number, so a batch
-    that is run again after a failure replaces itself.
+    Part ``k`` (0 to ``parts - 1``, by the column ``part``) is written to the
+    stream's folder, then the query runs over all that is there and stops. The
+    next part starts it again from its checkpoint, so state, watermark and
+    batch numbers are carried over as after a restart. Each batch is written
+    under its number; one that is run again after a failure replaces itself.
     """
-    spark = stream.sparkSession
-    folder = state_folder(spark)
+    spark = rows.sparkSession
+    work = Work(spark, "stream")
+    names = rows.columns
+    rows = rows.withColumn("_part", part)
+    schema = None
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{folder}/out")
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+        batch.write.mode("overwrite").parquet(f"{work.root}/out/batch={number}")
+
+    for k in range(parts):
+        work.append(rows.where(F.col("_part") == k).select(*names), "in")
+        stream = build(spark.readStream.schema(rows.select(*names).schema).parquet(f"{work.root}/in"))
+        schema = stream.schema
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{work.root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return spark.read.schema(f"{kinds}, batch int").parquet(f"{work.root}/out")
+
+
+def quarter(rows: DataFrame, by: Column) -> Column:
+    """Number of the quarter, 0 to 3, of the range of a whole-number column."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    return F.floor(4.0 * (by - (lo or 0)) / ((hi or 0) - (lo or 0) + 1)).cast("int")
 
 
 def first_seen(rows: DataFrame, keys: list[str], event_time: str, late: str = "1 hour") -> DataFrame:
