@@ -37,8 +37,12 @@ MAX_BROADCAST = 200_000
 
 
 def normalised(text: Column) -> Column:
-    """Text with A-Z, and nothing else, in lower case; null as empty."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
+    """Text with A-Z, and nothing else, in lower case; null as empty.
+
+    ``lower`` does that for texts of ASCII alone, and much faster.
+    """
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, UPPER, UPPER.lower()))
 
 
 def directory(counts: dict[int, int], max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS) -> list[tuple[int, int]]:
