@@ -32,16 +32,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row: that with the largest doc_id, a null one last."""
     scratch = Scratch(spark, "pipe-exact")
-    found = exact_dedup.exact_duplicates(docs)
-    repeated = scratch.save(found.where("group_size > 1").select(F.col("text_sha256").alias("sha")).distinct(), "repeated")
-    repeated = maybe_broadcast(repeated)
+    found = scratch.save(exact_dedup.exact_duplicates(docs).where("group_size > 1").select(F.col("text_sha256").alias("sha"), "keep_id", "kept"), "found")
+    groups = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.count_if("kept").alias("keeping"))
+    groups = maybe_broadcast(scratch.save(groups, "groups"), 200_000)
     norm = exact_dedup.normalised(F.col("text"))
-    rows = docs.select(F.struct("*").alias("doc"), norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
-    single = rows.join(repeated, "sha", "left_anti").select("doc.*")
-    # combined on the map side: a hot text is one row for each task
-    order = F.struct(F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string"))
-    best = rows.join(repeated, "sha", "left_semi").groupBy("norm").agg(F.max_by("doc", order).alias("doc"))
-    return single.unionByName(best.select("doc.*"))
+    rows = docs.select(F.struct("*").alias("doc"), F.sha2(norm, 256).alias("sha"))
+    mine = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    once = F.col("keeping").isNull() | ((F.col("keeping") == 1) & mine)
+    kept = rows.join(groups, "sha", "left").where(once).select("doc.*")
+    # several rows of a group have the id that stays: one of them, combined on the map side
+    tied = rows.join(groups.where("keeping > 1"), "sha").where(mine)
+    best = tied.groupBy("sha").agg(F.max_by("doc", F.struct(F.col("doc.text").cast("string"))).alias("doc"))
+    return kept.unionByName(best.select("doc.*")) if not groups.where("keeping > 1").isEmpty() else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
