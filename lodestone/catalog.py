@@ -329,6 +329,12 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.RESPONSES.frame(spark).select("id", scoring.backoff_seconds(F.col("attempts"), ra).alias("wait_s"), ra.alias("retry_after_s"))
 
 
+@query("SELECT event_id, greatest(25, least(500, event_id * 37 % 1000 - 100)) AS wait_ms FROM events")
+def retry_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a worker sleeps before it looks for due rows again."""
+    return read(spark, sf_dir, "events").select("event_id", scoring.retry_wait_ms(F.col("event_id") * 37 % 1000 - 100).alias("wait_ms"))
+
+
 _BITS = "(event_id >> {k}) % 2 = 1"
 
 
@@ -816,8 +822,7 @@ def frontier_update_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.frontier(job).join(state, "job_id").select(F.col("canonical_url").alias("url"), "depth", "status", "attempts", "job", "pages_crawled")
 
 
-@query("SELECT 'http://firm.example/careers/job/' || n_nationkey AS source_url, 'Engineer for ' || n_name AS title, n_name || ', R' || n_regionkey AS location, 'Java,Kafka' AS skills, 'JSON_LD' AS extraction_method FROM nation")
-def career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def careers_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A careers site with a posting for each nation."""
     k, none = F.col("n_nationkey").cast("string"), F.lit(None).cast("string")
     ld = F.to_json(F.struct(
@@ -829,5 +834,31 @@ def career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = nations.select(*page(F.concat(F.lit("http://firm.example/careers/job/"), k), F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"))))
     links = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/careers/job/'), k, F.lit('">Open</a>')))), "")  # 25 nations
     home = nations.agg(F.concat(links, F.lit('<a href="/products/lamp">Lamp</a>')).alias("links")).select(*page(F.lit("http://firm.example/careers"), F.col("links")))
-    out = crawl.crawl(spark, CareerSpec("http://firm.example/careers", max_pages=50, max_depth=1), home.unionByName(jobs)).postings
+    return home.unionByName(jobs)
+
+
+CAREERS = CareerSpec("http://firm.example/careers", max_pages=50, max_depth=1)
+
+
+@query("SELECT 'http://firm.example/careers/job/' || n_nationkey AS source_url, 'Engineer for ' || n_name AS title, n_name || ', R' || n_regionkey AS location, 'Java,Kafka' AS skills, 'JSON_LD' AS extraction_method FROM nation")
+def career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that a scan of the careers site finds."""
+    out = crawl.crawl(spark, CAREERS, careers_web(spark, sf_dir)).postings
     return out.select("source_url", "title", "location", F.array_join("skills", ",").alias("skills"), "extraction_method")
+
+
+@query("""SELECT 'http://firm.example/careers' AS careers_url, 'COMPLETED' AS status, count(*) AS postings, CAST(count(*) + 1 AS INTEGER) AS pages_crawled, CAST(0 AS INTEGER) AS pages_failed,
+          'jobs.csv' AS filename, 'text/csv' AS mime, CAST(count(*) + 1 AS INTEGER) AS lines, count(*) AS listed FROM nation""")
+def service_career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored scan from creation to its row in the listing, its postings and its download."""
+    from datetime import datetime
+
+    from lodestone.plans.service import Service
+
+    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1))
+    job = service.create(CAREERS)
+    service.run(job, careers_web(spark, sf_dir))
+    lines = F.size(F.split(F.rtrim(F.decode("payload", "UTF-8"), F.lit("\r\n")), "\r\n"))
+    sheet = service.download(job, "csv").select("filename", "mime", lines.alias("lines"))
+    listed = service.postings(job).agg(F.count("*").alias("listed"))
+    return service.scan(job).select("careers_url", "status", "postings", "pages_crawled", "pages_failed").join(F.broadcast(sheet)).join(F.broadcast(listed))  # one row each

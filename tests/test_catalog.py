@@ -8,7 +8,7 @@ import pytest
 from lodestone import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"crawl_site_frontier"}  # the same crawl as crawl_site
+SLOW = {"crawl_site", "crawl_site_frontier", "crawl_retry", "career_scan"}  # whole crawls, as in test_crawl
 
 
 @pytest.fixture(scope="module")
