@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "_lodestone_shipped"
+MAX_BROADCAST_ROWS = 200_000
 _SCOPES: list[list[Scratch]] = []
 
 
@@ -33,6 +35,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, f"lodestone-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, names in os.walk(root):
@@ -122,7 +125,7 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def bounded_broadcast(df: DataFrame, lists: str, max_rows: int = 300_000, max_elements: int = 1_000_000) -> DataFrame:
+def bounded_broadcast(df: DataFrame, lists: str, max_rows: int = 100_000, max_elements: int = 250_000) -> DataFrame:
     """A broadcast hint if rows and the elements of a list column are few."""
     rows, elements = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and elements <= max_elements else df
@@ -142,6 +145,13 @@ def even_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight:
     return left.join(hot, names).unionByName(rest)
 
 
+def unique_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight: str, total: int, n_right: int, how: str = "inner") -> DataFrame:
+    """``left`` with ``right``, unique by key: broadcast while it is small, else ``even_join``."""
+    if n_right <= MAX_BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    return even_join(left, right, keys, weight, total, how=how)
+
+
 def small_batches(batches: Iterator, rows: int = 500) -> Iterator:
     """Batches in pieces of a few rows, so that Python copies stay small."""
     for b in batches:

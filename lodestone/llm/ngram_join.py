@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import setjoin as sj
-from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches, tidy
+from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches, tidy, unique_join
 from lodestone.llm.components import connected_components
 
 SHARE = 4  # a set posts a quarter of its tokens beyond the prefix
@@ -161,11 +161,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
 
     tied = connected_components(links, scratch, "links").withColumnRenamed("id", "sid")
     rooted = classes.join(tied, "sid", "left").where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").join(degree, "sid", "left").select("sid", "component_id", "copies", "links")
-    named = scratch.save(named, "named")
-    scratch.drop("members", "links", "classes")
-    out = coded.select("doc_id", "n", "sid").join(named, "sid", "left")
+    rooted = scratch.save(rooted, "rooted")
+    least = scratch.save(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets")), "least")
+    n_sets = rooted.count()
+    named = unique_join(rooted, least, "root", "sets", n_sets, least.count()).join(degree, "sid", "left")
+    named = scratch.save(named.select("sid", "component_id", "copies", "links"), "named")
+    n_rows = classes.agg(F.sum("copies")).first()[0] or 0
+    scratch.drop("members", "links", "classes", "rooted", "least")
+    out = unique_join(coded.select("doc_id", "n", "sid"), named, "sid", "copies", n_rows, n_sets, how="left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

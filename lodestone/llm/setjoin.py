@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, maybe_broadcast, shuffle_width, tidy
+from lodestone.llm.common import Scratch, maybe_broadcast, shuffle_width, tidy, unique_join
 
 BUCKET_BITS = 20
 SLICE = 1 << 14
@@ -390,8 +390,8 @@ def route(lists: DataFrame, classes: DataFrame, percent: int, share: int, scratc
     sizes = sizes.groupBy("unit").agg(F.collect_list(F.struct("k", "sets")).alias("kinds"), F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens")).where("sets > 1")
     block = F.least(F.greatest(F.ceil(F.col("sets") / BLOCKS), F.lit(LEAST_BLOCK)), F.lit(BLOCK_SETS))
     n_blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    sizes = scratch.save(sizes.select("unit", "kinds", n_blocks.alias("n_blocks")), "units")
-    met = visits.join(maybe_broadcast(sizes, 200_000), "unit")
+    sizes = scratch.save(sizes.select("unit", "kinds", "sets", n_blocks.alias("n_blocks")), "units")
+    met = unique_join(visits, sizes, "unit", "sets", visits.count(), sizes.count())
     close = F.aggregate(F.filter("kinds", lambda x: F.abs(x["k"] - F.col("k")) <= 1), F.lit(0).cast("long"), lambda a, x: a + x["sets"])
     met = met.where(close > 1)
     return met.select("sid", "unit", "n_blocks", F.pmod(F.xxhash64("sid", "unit"), F.col("n_blocks")).cast("int").alias("block"))
