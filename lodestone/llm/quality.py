@@ -18,14 +18,13 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,54 +34,90 @@ MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
 THRESHOLD = 0.7
 SYMBOLS = "#$%&*@^~=<>{}[]\\|_/+"
-_SYMBOL_RUN = re.compile("[" + re.escape(SYMBOLS) + "]")
-_MARKS = re.compile(r"[!?]")
-_DIGITS = re.compile(r"[0-9]")
-
-
-def features(text: str) -> list[float]:
-    """Statistics of a whole text, each roughly between 0 and 1 or a log."""
-    words = text.split()
-    n = max(1, len(words))
-    chars = max(1, len(text))
-    counts = Counter(words)
-    top = counts.most_common(3)
-    folded = len({w.casefold() for w in counts})
-    lines = text.split("\n")
-    line_counts = Counter(lines)
-    lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
-    same = sum(map(str.__eq__, words, words[1:])) if len(words) > 1 else 0
-    alpha = sum(c for w, c in counts.items() if w.isalpha())
-    upper = sum(c for w, c in counts.items() if w.isupper())
-    title = sum(c for w, c in counts.items() if w.istitle())
-    bare = sum(c for w, c in counts.items() if not any(map(str.isalnum, w)))
-    stops = text.count(". ") + text.count(".\n") + text.endswith(".")
-    return [
-        np.log1p(len(words)) / 10,
-        np.log1p(len(lines)) / 8,
-        len(words) / chars,
-        float(lengths.mean()) / 10,
-        float(lengths.std()) / 10,
-        len(counts) / n,
-        folded / n,
-        np.sqrt(len(counts)) / np.sqrt(n),
-        same / n,
-        (top[0][1] if top else 0) / n,
-        sum(c for _, c in top) / n,
-        alpha / n,
-        upper / n,
-        title / n,
-        bare / n,
-        len(_SYMBOL_RUN.findall(text)) / chars * 10,
-        len(_MARKS.findall(text)) / chars * 10,
-        len(_DIGITS.findall(text)) / chars * 10,
-        text.count("|") / n,
-        stops / n,
-        text.count(",") / n,
-        len(line_counts) / max(1, len(lines)),
-        np.log1p(len(words) / max(1, len(lines))) / 6,
-        float(not words),
-    ]
+SLICE_BYTES = 8 << 20
+SYMBOL_BYTES, MARK_BYTES, DIGIT_BYTES = SYMBOLS.encode(), b"!?", b"0123456789"
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """Statistics of whole texts, a row each, roughly between 0 and 1 or a log."""
+    parts, held, size = [], [], 0
+    for t in texts:
+        if held and size + len(t) > SLICE_BYTES:
+            parts.append(_features(held))
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    parts.append(_features(held))
+    return np.concatenate(parts)
+
+
+def _features(texts: list[str]) -> np.ndarray:
+    """``features`` of a slice: words by code, their properties once for each distinct one."""
+    n = len(texts)
+    lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    flat = lists.flatten().dictionary_encode()
+    kinds = flat.dictionary
+    code, doc = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+    flag = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), np.float64)
+    length = flag(pc.utf8_length(kinds))
+    real = length[code] > 0 if len(code) else np.zeros(0, bool)
+    code, doc = code[real], doc[real]
+    of = lambda values: np.bincount(doc, weights=values[code], minlength=n)
+    words = np.bincount(doc, minlength=n)
+    some = np.maximum(1, words)
+    mean = of(length) / some
+    std = np.sqrt(np.maximum(0, of(length * length) / some - mean * mean))
+    same = (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])
+    repeats = np.bincount(doc[1:][same], minlength=n)
+    # runs of a sorted (text, word) list are the counts of a text's distinct words
+    width = max(1, len(kinds))
+    pair = np.sort(doc * width + code)
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+    count, owner, word = np.diff(np.r_[first, len(pair)]), pair[first] // width, pair[first] % width
+    distinct = np.bincount(owner, minlength=n)
+    most = np.sort((owner << 32) | ((1 << 31) - count))  # a text's words, commonest first
+    begin = np.cumsum(distinct) - distinct
+    top = np.zeros((3, n))
+    for k in range(3):
+        has = distinct > k
+        top[k, has] = (1 << 31) - (most[begin[has] + k] & 0xFFFFFFFF)
+    fold = pc.utf8_lower(kinds).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    folded = np.bincount(np.unique(owner * width + fold[word]) // width, minlength=n) if len(word) else np.zeros(n)
+    raw = [t.encode() for t in texts]
+    bytes_in = lambda which: np.array([len(b) - len(b.translate(None, which)) for b in raw])
+    chars = np.maximum(1, np.array([len(t) for t in texts]))
+    lines = [t.split("\n") for t in texts]
+    n_lines, own_lines = np.array([len(x) for x in lines]), np.array([len(set(x)) for x in lines])
+    stops = np.array([t.count(". ") + t.count(".\n") + t.endswith(".") for t in texts])
+    return np.stack(
+        [
+            np.log1p(words) / 10,
+            np.log1p(n_lines) / 8,
+            words / chars,
+            mean / 10,
+            std / 10,
+            distinct / some,
+            folded / some,
+            np.sqrt(distinct) / np.sqrt(some),
+            repeats / some,
+            top[0] / some,
+            top.sum(0) / some,
+            of(flag(pc.utf8_is_alpha(kinds))) / some,
+            of(flag(pc.utf8_is_upper(kinds))) / some,
+            of(flag(pc.utf8_is_title(kinds))) / some,
+            of(1 - flag(pc.match_substring_regex(kinds, r"[\pL\pN]"))) / some,
+            bytes_in(SYMBOL_BYTES) / chars * 10,
+            bytes_in(MARK_BYTES) / chars * 10,
+            bytes_in(DIGIT_BYTES) / chars * 10,
+            bytes_in(b"|") / some,
+            stops / some,
+            bytes_in(b",") / some,
+            own_lines / np.maximum(1, n_lines),
+            np.log1p(words / np.maximum(1, n_lines)) / 6,
+            (words == 0).astype(np.float64),
+        ],
+        axis=1,
+    )
 
 
 @dataclass(frozen=True)
@@ -157,9 +192,9 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t or "") for t in b.column(len(others)).to_pylist()]
+            x = features([t or "" for t in b.column(len(others)).to_pylist()])
             cols = [b.column(i) for i in range(len(others))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(x, pa.list_(pa.float64()))], [*others, "x"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(x), pa.list_(pa.float64()))], [*others, "x"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.select(*others, "text").mapInArrow(compute, f"{kinds}, x array<double>")
@@ -187,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
     xp = np.array([r["x"] for r in got if r["p"] == 1])
     xu = np.array([r["x"] for r in got if r["u"]])
     if not len(xp) or not len(xu):
-        return constant(prior, len(features("")))
+        return constant(prior, features([""]).shape[1])
     return fit_nnpu(xp, xu, prior)
 
 
@@ -196,8 +231,7 @@ def scorer(model: Model):
 
     def work(batches: Iterator) -> Iterator:
         for text in batches:
-            x = np.array([features(t or "") for t in text]).reshape(len(text), -1)
-            yield pd.Series(model.scores(x) if len(x) else [], dtype="float64")
+            yield pd.Series(model.scores(features([t or "" for t in text])) if len(text) else [], dtype="float64")
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontam, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, setjoin, toxicity
+from lodestone.llm import common, components, decontam, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, setjoin, toxicity
 from lodestone.llm.common import Scratch, table
 from lodestone.llm.queries import tokenizer_path
 
@@ -98,6 +98,7 @@ def test_near_duplicates_by_join(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "rarity_codes", lambda x: (codes(x)[0], 1))
     monkeypatch.setattr(setjoin, "SALT_POSTINGS", 0.1)
     monkeypatch.setattr(setjoin, "maybe_broadcast", lambda x, *_: x)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", -1)
     monkeypatch.setattr(ngram_join, "bounded_broadcast", lambda x, *_: x)
     assert sorted(map(tuple, ngram_join.near_duplicates(rows).collect())) == want
 
@@ -194,7 +195,9 @@ def test_hot_tokens_are_salted():
     assert sum(len(setjoin.unpacked([x])[0]) for x in hot.values()) == 50
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [-1, 200_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", most)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, rng.randrange(200, 260)) for _ in range(40)] + [(3, 3), (1, 2), (2, 1)]
     up = {}
@@ -326,6 +329,20 @@ def test_group_mentions_stay_clean():
     assert fair.score("an awful thing") > fair.score("the muslims came home")
 
 
+def test_features_of_words():
+    """Some statistics against plain counting, in one slice and in many."""
+    texts = [r for _, r in corpus(2)][:40] + ["", " \n\t ", "A a A | b.\nA a. 7 #!", "x" * 50]
+    got = quality.features(texts)
+    for t, f in zip(texts, got):
+        w = t.split()
+        c = collections.Counter(w)
+        n = max(1, len(w))
+        want = {0: np.log1p(len(w)) / 10, 5: len(c) / n, 6: len({x.lower() for x in c}) / n, 8: sum(a == b for a, b in zip(w, w[1:])) / n, 9: max(c.values(), default=0) / n, 10: sum(k for _, k in c.most_common(3)) / n, 14: sum(not any(map(str.isalnum, x)) for x in w) / n, 21: len(set(t.split("\n"))) / len(t.split("\n")), 23: float(not w)}
+        assert all(abs(f[k] - v) < 1e-9 for k, v in want.items()), t
+    one_by_one = np.concatenate([quality.features([t]) for t in texts])
+    assert np.allclose(got, one_by_one)
+
+
 def test_nnpu_learns_from_positives_and_unlabelled():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1.5, 1, (400, 3)), rng.normal(-1.5, 1, (400, 3))
@@ -377,7 +394,7 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
 
     want = lambda rows: sorted(rows, key=repr)
     tagged = lambda rows: [(i, t, "x") for i, t in rows]
-    exact = [(None, "n"), (None, "N"), (None, "b"), (5, "a"), (5, "B"), (7, "b"), (8, "same"), (8, "same"), (9, None), (3, "")]
+    exact = [(None, "n"), (None, "N"), (None, "b"), (5, "a"), (5, "B"), (7, "b"), (8, "same"), (8, "same"), (9, None), (9, None), (3, "")]
     assert left(cp.exact_stage, tagged(exact)) in [want([(None, t), (5, "a"), (7, "b"), (8, "same"), (9, None)]) for t in "nN"]
     near = [(None, base + " p"), (4, base + " q"), (4, "quite another text"), (6, base + " r"), (None, "x y"), (None, "x  y"), (None, None), (2, "a b"), (2, "a  b")]
     got = left(cp.near_stage, tagged(near))
@@ -386,3 +403,26 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     assert [i for i, _ in got].count(2) == 1
     dirty = [(None, f"see {passage}"), (None, "clean"), (5, passage), (5, "clean too"), (6, None)]
     assert left(cp.decontamination_stage, tagged(dirty)) == want([(None, "clean"), (5, "clean too"), (6, None)])
+
+
+def test_pipeline_stages_on_empty_and_clashing_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, base + " a"), (2, base + " b"), (3, "same"), (4, "SAME"), (5, "bench one two"), (6, None), (7, "w " * 20000)]
+    spark.createDataFrame([(9, "bench one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["sha", "doc", "keep_id", "kept", "keeping", "row", "id", "best", "component_id", "n", "part", "ids", "norm", "h", "score", "label"]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    clash = plain.select("*", *(F.lit(k).alias(x) for k, x in enumerate(names)))
+    for name, stage in cp.STAGES:
+        empty = stage(spark, plain.limit(0), str(tmp_path))
+        assert empty.count() == 0, name
+        got = stage(spark, clash, str(tmp_path))
+        if name != "packing":
+            assert empty.columns == plain.columns and got.columns == clash.columns, name
+        ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").distinct().collect())
+        left = ids(stage(spark, plain, str(tmp_path)))
+        assert ids(got) == left, name
+        want = {"exact dedup": [1, 2, 4, 5, 6, 7], "n-gram Jaccard join": [1, 3, 5, 6, 7], "benchmark decontamination": [1, 2, 3, 4, 6, 7], "packing": [1, 2, 3, 4, 5, 6, 7]}
+        assert left == want.get(name, left), name
