@@ -17,8 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, ship, tidy
+from lodestone.llm.common import Scratch, ship, small_batches, tidy
 
-CACHE_BYTES = 24 << 20
-SLICE_BYTES = 12 << 20
+CACHE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 SPACE = re.compile("[ \t\n\r]")
 _LOADED: dict[str, "WordTokenizer"] = {}
 
@@ -52,34 +52,47 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def regrouped(items: pa.BinaryArray, offsets: pa.Array) -> pa.BinaryArray:
+    """Neighbouring byte strings joined, as ``offsets`` of a list array say.
+
+    The bytes stay where they are; only the offsets get fewer.
+    """
+    _, at, data = items.buffers()
+    at = np.frombuffer(at, "<i4", len(items) + 1) if at is not None and at.size else np.zeros(1, "<i4")
+    new = np.ascontiguousarray(at[np.asarray(offsets)], "<i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(new) - 1, [None, pa.py_buffer(new), data if data is not None else pa.py_buffer(b"")])
+
+
 class Recent:
-    """Word ids in two generations, bounded in bytes.
+    """Word ids as Arrow columns in two generations, bounded in bytes.
 
     When the young generation is full it becomes the old one and the old one
     goes; a word that is met again moves to the young one, so frequent words
-    stay. It is cleared between slices only, so it may exceed its half by the
-    words of one slice.
+    stay. Sizes are looked at between slices, so the young generation may
+    exceed its half by the words of one slice.
     """
 
-    ENTRY = 220  # bytes of an entry besides its contents, measured
-
     def __init__(self, most_bytes: int):
-        self.most, self.size = most_bytes // 2, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def fill(self, words: set[str], compute) -> dict[str, bytes]:
-        """The young generation, with all ``words`` in it."""
-        if self.size > self.most:
-            self.old, self.young, self.size = self.young, {}, 0
-        young, old = self.young, self.old
-        for w in words.difference(young):
-            got = old.get(w)
-            if got is None:
-                got = compute(w)
-            young[w] = got
-            self.size += self.ENTRY + len(w) + len(got)
-        return young
+        self.most = most_bytes // 2
+        self.empty = (pa.array([], pa.string()), pa.array([], pa.binary()))
+        self.young = self.old = self.empty
+
+    def ids(self, words: pa.StringArray, compute: Callable[[str], bytes]) -> pa.BinaryArray:
+        """Ids of distinct words; ``compute`` is asked for those not met lately."""
+        if sum(x.nbytes for x in self.young) > self.most:
+            self.old, self.young = self.young, self.empty
+        known, known_ids = (pa.concat_arrays([x, y]) for x, y in zip(self.young, self.old))
+        at = pc.index_in(words, value_set=known)
+        missing = words.filter(pc.is_null(at))
+        fresh = pa.array([compute(w) for w in missing.to_pylist()], pa.binary())
+        again = pc.fill_null(pc.greater_equal(at, len(self.young[0])), False)
+        self.young = (
+            pa.concat_arrays([self.young[0], words.filter(again), missing]),
+            pa.concat_arrays([self.young[1], known_ids.take(at.filter(again)), fresh]),
+        )
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        place[place < 0] = len(known) + np.arange(len(missing))
+        return pa.concat_arrays([known_ids, fresh]).take(pa.array(place))
 
 
 class WordTokenizer:
@@ -87,9 +100,9 @@ class WordTokenizer:
 
     Its normaliser lower-cases and its splitter never joins across white
     space, so below U+0180 a text's ids are those of its space-separated
-    chunks. The chunks of a slice of texts are dictionary-encoded, each
-    distinct one is split into words, each word not met lately goes through
-    the model, and the chunks' ids are gathered by Arrow. Texts with other
+    chunks. The chunks of a slice of texts are dictionary-encoded, the
+    distinct ones split into words, and each distinct word that was not met
+    lately goes through the model; the rest is done by Arrow on columns. Texts with other
     characters (and those few below on which Python's notion of space or case
     differs), or with the content of an added token, go through the tokenizer
     whole; if an added token is matched after normalising, all texts do.
@@ -102,7 +115,7 @@ class WordTokenizer:
         self.model = self.full.model
         letters, numbers = _classes()
         space = "\t-\r \x85\xa0"
-        self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
+        self.split = f"([{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+)"
         added = self.full.get_added_tokens_decoder().values()
         self.added = ["" if t.normalized else t.content for t in added]  # "" is in every text
         self.odd = re.compile("[^\x00-\x1b\x20-\u017f]|\u0130")
@@ -112,6 +125,8 @@ class WordTokenizer:
         self.slice_bytes = slice_bytes
 
     def word(self, w: str) -> bytes:
+        if not w:
+            return b""
         mapped = w if w.isascii() and w.isprintable() else "".join([self.names[b] for b in w.encode()])
         return b"".join([self.pairs[t.id] for t in self.model.tokenize(mapped)])
 
@@ -125,18 +140,14 @@ class WordTokenizer:
 
     def _by_chunks(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that ``_whole`` lets pass."""
-        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
         chunks = lists.flatten().dictionary_encode()
-        words = list(map(self.split.findall, pc.utf8_lower(chunks.dictionary).to_pylist()))
-        known = self.words.fill(set(chain.from_iterable(words)), self.word).__getitem__
-        distinct = [b"".join(map(known, x)) for x in words]
-        taken = pa.array(distinct, pa.binary()).take(chunks.indices)
-        if not len(taken):
-            return [b""] * len(texts)
-        _, offsets, data = taken.buffers()
-        at = np.frombuffer(offsets, "<i4", len(taken) + 1)[np.asarray(lists.offsets)].tolist()
-        data = memoryview(data) if data is not None else b""
-        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+        # the blank after each word leaves an empty one at the end, which has no ids
+        pieces = pc.split_pattern(pc.replace_substring_regex(chunks.dictionary, self.split, "\\1 "), " ")
+        words = pieces.flatten().dictionary_encode()
+        ids = self.words.ids(words.dictionary, self.word)
+        distinct = regrouped(ids.take(words.indices), pieces.offsets)
+        return regrouped(distinct.take(chunks.indices), lists.offsets).to_pylist()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers.
@@ -211,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in small_batches(batches, 4000):
             ids = [x + end for x in tok.batch([x or "" for x in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             at = before + np.cumsum(n) - n
