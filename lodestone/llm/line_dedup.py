@@ -26,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import bloom
 from lodestone.llm import setjoin as sj
 from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, even_join, ship, shuffle_width, small_batches, tidy
 
 SHARE = 8
 CHUNK_LINES = 8_000
+MAX_GONE_TEXTS, MAX_GONE_LINES = 300_000, 1_000_000  # bounds of a broadcast
 CHUNK_BYTES = 2 << 20
 U16, U48 = np.uint64(16), np.uint64(48)
 
@@ -183,30 +185,36 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
     members = scratch.save(sj.places(routed).join(classes, "sid").select("sid", "places", "first"), "members")
     scratch.drop("lists", "hot", "visits", "units")
 
-    place = "array<struct<unit:bigint,n_blocks:int,block:int>>"
+    wanted = members.select("first.doc_id", "first.text_hash", "first.line")
+    n_members = wanted.count()
+    bits = spark.sparkContext.broadcast(bloom.bit_table(wanted, n_members))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared_codes.value
+        """Tokens of the lines that the filter lets through; few others are among them."""
+        table, filter_bits = shared_codes.value, bits.value
         for b in small_batches(batches):
-            wanted, lines = [], []
-            for doc, text, found in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist()):
-                parts = text.split(b"\n")
-                for x in found:
-                    if x["line"] < len(parts):
-                        wanted.append((x["sid"], doc, x["line"], x["places"]))
-                        lines.append(parts[x["line"]])
-            kinds = [pa.int64(), pa.int64(), pa.int32(), b.schema.field(2).type.value_type.field("places").type]
-            for k in range(0, max(1, len(lines)), CHUNK_LINES):
-                some = wanted[k : k + CHUNK_LINES]
-                got = Lines(lines[k : k + CHUNK_LINES], words)
-                cols = [pa.array(c, t) for c, t in zip(zip(*some) if some else [[]] * 4, kinds)]
+            ids, keys = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts = byte_texts(b.column(2))
+            n = np.array([t.count(b"\n") + 1 for t in texts])
+            of = np.repeat(np.arange(len(texts)), n)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            hit = bloom.contains(filter_bits, bloom.line_keys(ids[of], keys[of], number))
+            of, number = of[hit], number[hit]
+            split = {k: texts[k].split(b"\n") for k in np.unique(of).tolist()}  # only texts with such a line
+            lines = [split[k][x] for k, x in zip(of.tolist(), number.tolist())]
+            for lo in range(0, len(lines), CHUNK_LINES):
+                some = slice(lo, lo + CHUNK_LINES)
+                got = Lines(lines[some], words)
                 tokens = pa.array([t.tobytes() for t in got.tokens(table)], pa.binary())
-                same = pa.array(got.sid.view(np.int64) == cols[0].to_numpy(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*cols, tokens], ["sid", "doc_id", "line", "places", "tokens"]).filter(same)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(got.sid.view(np.int64)), pa.array(ids[of[some]]), pa.array(keys[of[some]]), pa.array(number[some].astype(np.int32)), tokens],
+                    ["sid", "doc_id", "text_hash", "line", "tokens"],
+                )
 
-    wanted = members.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("sid", F.col("first.line").alias("line"), "places")).alias("wanted"))
-    texts = rows.join(bounded_broadcast(wanted, "wanted"), ["doc_id", "text_hash"]).select("doc_id", "text", "wanted")
-    sets = texts.mapInArrow(tidy(gather), f"sid long, doc_id long, line int, places {place}, tokens binary")
+    found = rows.mapInArrow(tidy(gather), "sid long, doc_id long, text_hash long, line int, tokens binary")
+    known = members.select("sid", "places", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line").alias("l"))
+    exact = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line") == F.col("l"))
+    sets = found.join(bounded_broadcast(known, "places"), "sid").where(exact).select("sid", "doc_id", "line", "places", "tokens")
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (meeting, block or own number, sid, doc_id, line, tokens), of several meetings
@@ -246,14 +254,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _maybe_touched(gone: DataFrame, n: int) -> Column:
+    """Whether a text may lose lines, for rows with ``doc_id`` and ``text_hash``."""
+    bits = gone.sparkSession.sparkContext.broadcast(bloom.bit_table(gone.select("doc_id", "text_hash", F.lit(0).alias("line")), n))
+
+    @F.arrow_udf("boolean")
+    def touched(ids: pa.Array, keys: pa.Array) -> pa.Array:
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False) & pc.is_valid(keys).to_numpy(zero_copy_only=False)
+        ids, keys = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (ids, keys))
+        return pa.array(known & bloom.contains(bits.value, bloom.line_keys(ids, keys)), pa.bool_())
+
+    return touched(F.col("doc_id"), F.col("text_hash"))
+
+
 def dedup_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """``(doc_id, text, n_lines, removed)``: texts without their later lines.
 
     ``removed``: the numbers of the lines that went, from 0.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    gone = bounded_broadcast(scratch.save(removed_lines(docs, percent, words, scratch), "removed"), "lines")
-    rows = keyed(docs).join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "lines")
+    gone = scratch.save(removed_lines(docs, percent, words, scratch), "removed")
+    rows = keyed(docs)
+    n, elements = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    if n <= MAX_GONE_TEXTS and elements <= MAX_GONE_LINES:
+        rows = rows.join(F.broadcast(gone), ["doc_id", "text_hash"], "left").select("doc_id", "text", "lines")
+    else:  # only texts that lose a line are shuffled
+        touched = _maybe_touched(gone, n)
+        kept = rows.where(~touched).select("doc_id", "text", F.lit(None).cast("array<int>").alias("lines"))
+        rows = kept.unionByName(rows.where(touched).join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):

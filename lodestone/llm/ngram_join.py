@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import bloom
 from lodestone.llm import setjoin as sj
 from lodestone.llm.common import Scratch, bounded_broadcast, byte_texts, ship, shuffle_width, small_batches, tidy, unique_join
 from lodestone.llm.components import connected_components
@@ -108,16 +109,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, scratch:
     members = scratch.save(placed.join(classes, "sid").select("doc_id", "sid", "places"), "members")
     scratch.drop("lists", "hot", "visits", "units")
 
+    one = lambda x: F.lit(0).cast(x)
+    bits = spark.sparkContext.broadcast(bloom.bit_table(members.select("doc_id", one("long").alias("text_hash"), one("int").alias("line")), members.count()))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the documents that the filter lets through; few others are among them."""
+        filter_bits = bits.value
         for b in small_batches(batches):
-            got = [shingle_set(x, words) for x in byte_texts(b.column(2))]
-            same = pa.array([set_id(s) == i for s, i in zip(got, b.column(0).to_pylist())], pa.bool_())
-            cols = [b.column(0), b.column(1), pa.array([s.tobytes() for s in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["sid", "places", "tokens"]).filter(same)
-
-    place = "array<struct<unit:bigint,n_blocks:int,block:int>>"
-    texts = rows.join(bounded_broadcast(members, "places"), "doc_id").select("sid", "places", "text")
-    sets = texts.mapInArrow(tidy(gather), f"sid long, places {place}, tokens binary")
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            hit = bloom.contains(filter_bits, bloom.line_keys(ids, np.zeros(len(ids), np.int64)))
+            got = [shingle_set(x, words) for x in byte_texts(b.column(1).filter(pa.array(hit)))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sid", "tokens"])
+
+    found = rows.where("doc_id is not null").mapInArrow(tidy(gather), "sid long, tokens binary")
+    sets = found.join(bounded_broadcast(members.select("sid", "places"), "places"), "sid").select("sid", "places", "tokens")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (unit, i, j), held in sj.grouped(batches, 3):
