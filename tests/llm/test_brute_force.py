@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, components, decontam, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, setjoin, toxicity
+from lodestone.llm import bloom, common, components, decontam, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, setjoin, toxicity
 from lodestone.llm.common import Scratch, table
 from lodestone.llm.queries import tokenizer_path
 
@@ -170,7 +170,13 @@ def test_lines_of_repeated_ids(spark):
     assert {r[1].split("\n")[0] for r in left} == {"one two three", "other words here", "new line of seven"}
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("most", [300_000, -1])
+def test_lines(spark, monkeypatch, most):
+    """With broadcasts, and in the way for more lines than may be broadcast."""
+    monkeypatch.setattr(line_dedup, "MAX_GONE_TEXTS", most)
+    if most < 0:
+        monkeypatch.setattr(line_dedup, "bounded_broadcast", lambda x, *_: x)
+        monkeypatch.setattr(bloom, "MOST_LOG_BITS", 6)  # a filter that lets much through
     lines = [t for _, t in corpus(9)]
     docs = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(len(lines) // 4)]
     seen, gone = [], collections.defaultdict(list)
@@ -184,6 +190,16 @@ def test_lines(spark):
     assert {r["doc_id"]: list(r["removed"]) for r in got} == {i: gone.get(i, []) for i, _ in docs}
 
 
+def test_filter_loses_no_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(-50, 50, 3000), rng.integers(-(2**62), 2**62, 3000), rng.integers(0, 9, 3000))]
+    table = bloom.bit_table(spark.createDataFrame(rows, "doc_id long, text_hash long, line int"), len(rows))
+    cols = [np.array(c) for c in zip(*rows)]
+    assert bloom.contains(table, bloom.line_keys(*cols)).all()
+    assert bloom.contains(table, bloom.line_keys(cols[0], cols[1] + 1, cols[2])).mean() < 0.03
+    assert not bloom.contains(bloom.bit_table(spark.createDataFrame([], "doc_id long, text_hash long, line int"), 0), bloom.line_keys(*cols)).any()
+
+
 def test_hot_tokens_are_salted():
     codes = np.full(1 << setjoin.BUCKET_BITS, 40, np.uint8)
     h = setjoin.mix(np.arange(50, dtype=np.uint64))
