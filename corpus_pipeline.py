@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, exact_dedup, ngram_join, packing, quality
-from lodestone.llm.common import Scratch, dropped_after, maybe_broadcast, table
+from lodestone.llm.common import Scratch, dropped_after, maybe_broadcast, table, unique_join
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -33,17 +33,18 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row: that with the largest doc_id, a null one last."""
     scratch = Scratch(spark, "pipe-exact")
     found = scratch.save(exact_dedup.exact_duplicates(docs).where("group_size > 1").select(F.col("text_sha256").alias("sha"), "keep_id", "kept"), "found")
-    groups = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.count_if("kept").alias("keeping"))
-    groups = maybe_broadcast(scratch.save(groups, "groups"), 200_000)
+    groups = found.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.count_if("kept").alias("keeping"), F.count("*").alias("size"))
+    groups = scratch.save(groups, "groups")
     norm = exact_dedup.normalised(F.col("text"))
     rows = docs.select(F.struct("*").alias("doc"), F.sha2(norm, 256).alias("sha"))
     mine = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("keep_id"))
     once = F.col("keeping").isNull() | ((F.col("keeping") == 1) & mine)
-    kept = rows.join(groups, "sha", "left").where(once).select("doc.*")
+    kept = unique_join(rows, groups, "sha", "size", found.count(), groups.count(), how="left").where(once).select("doc.*")
     # several rows of a group have the id that stays: one of them, combined on the map side
-    tied = rows.join(groups.where("keeping > 1"), "sha").where(mine)
+    several = groups.where("keeping > 1")
+    tied = unique_join(rows, several, "sha", "size", found.count(), several.count()).where(mine)
     best = tied.groupBy("sha").agg(F.max_by("doc", F.struct(F.col("doc.text").cast("string"))).alias("doc"))
-    return kept.unionByName(best.select("doc.*")) if not groups.where("keeping > 1").isEmpty() else kept
+    return kept.unionByName(best.select("doc.*")) if not several.isEmpty() else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

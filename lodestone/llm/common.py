@@ -152,6 +152,12 @@ def unique_join(left: DataFrame, right: DataFrame, keys: str | list[str], weight
     return even_join(left, right, keys, weight, total, how=how)
 
 
+def slices(column, rows: int = 1000) -> Iterator:
+    """A column in pieces of a few rows, so that Python copies stay small."""
+    for k in range(0, len(column), rows):
+        yield column.slice(k, rows)
+
+
 def small_batches(batches: Iterator, rows: int = 500) -> Iterator:
     """Batches in pieces of a few rows, so that Python copies stay small."""
     for b in batches:

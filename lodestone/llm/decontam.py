@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import byte_texts, ship, tidy
+from lodestone.llm.common import byte_texts, ship, slices, tidy
 
 MAX_NODES = 2_000_000
 CHUNK_BYTES = 32 << 20
@@ -228,8 +228,9 @@ def detector(benchmark: DataFrame, window: int = 10, max_nodes: int = MAX_NODES)
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            runs, _ = detect.scans([folded(t) for t in byte_texts(column)])
-            yield pa.array([bool(r) for r in runs], pa.bool_())
+            # one shard keeps its automaton from slice to slice; several take a batch at once
+            found = [detect.scans([folded(t) for t in byte_texts(part)])[0] for part in slices(column, 1000 if len(detect.parts) == 1 else 10_000)]
+            yield pa.array([bool(r) for runs in found for r in runs], pa.bool_())
 
     @F.arrow_udf("boolean")
     def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -222,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
-        for b in small_batches(batches, 4000):
+        for b in small_batches(batches, 2000):
             ids = [x + end for x in tok.batch([x or "" for x in b.column(1).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             at = before + np.cumsum(n) - n

@@ -22,19 +22,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tidy
+from lodestone.llm.common import ship, slices, tidy
 
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
 THRESHOLD = 0.7
 SYMBOLS = "#$%&*@^~=<>{}[]\\|_/+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 SYMBOL_BYTES, MARK_BYTES, DIGIT_BYTES = SYMBOLS.encode(), b"!?", b"0123456789"
 
 
@@ -229,12 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int
 def scorer(model: Model):
     """A column function: text to score."""
 
-    def work(batches: Iterator) -> Iterator:
-        for text in batches:
-            yield pd.Series(model.scores(features([t or "" for t in text])) if len(text) else [], dtype="float64")
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [model.scores(features([t or "" for t in part.to_pylist()])) for part in slices(column)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from tidy(work)(batches)
 
     return score
