@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, warc
+from lodestone.llm import decontam, exact_dedup, fill_middle, license_scan, line_dedup, main_text, ngram_join, packing, quality, secret_scan, toxicity, vector_codes, warc
 from lodestone.llm.common import Scratch, table
 
 
@@ -57,11 +57,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "codes")
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings"), scratch=scratch), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_quality, op4_warc, op5_toxicity,
         op6_secrets, op7_packing, op8_decontamination, op9_ngram_join, op10_licenses,
+        op11_main_text, op12_fill_middle, op13_vector_codes,
     )
 }
 
@@ -83,6 +97,38 @@ SIMILAR = """c AS (SELECT k, count(*) AS n, md5(string_agg(run, chr(10) ORDER BY
         o AS (SELECT x.sid AS a, y.sid AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS o FROM t x JOIN t y ON x.run = y.run AND x.sid < y.sid GROUP BY 1, 2),
         l AS (SELECT a, b FROM o WHERE 100 * o >= 75 * (na + nb - o) UNION ALL SELECT b, a FROM o WHERE 100 * o >= 75 * (na + nb - o))"""
 
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")]
+UNITS = r"'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'"
+
+
+def replaced_sql(column: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+def lloyd_sql(entries: int = 256, rounds: int = 4, width: int = 16) -> str:
+    """Plain Lloyd over all distances; vectors of 4 * ``width`` components."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT vec_id, p, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+            FROM parts JOIN c{k} USING (p) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT p, best.e AS e, pos, floor(sum(x[pos]) / count(*)) AS mean FROM a{k} JOIN parts USING (vec_id, p), unnest(range(1, {width} + 1)) AS r(pos) GROUP BY 1, 2, 3),
+            c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(z.x, c) AS c FROM c{k} LEFT JOIN (SELECT p, e, list(mean ORDER BY pos) AS x FROM m{k} GROUP BY p, e) z USING (p, e))""")
+    return f"""WITH kept AS (
+          SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, p, v[{width} * p + 1 : {width} * p + {width}] AS x FROM kept, unnest(range(4)) AS r(p)),
+        c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < {entries}),
+        {", ".join(steps)},
+        f AS (SELECT vec_id, string_agg(lower(printf('%02x', CAST(best.e AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN f USING (vec_id) GROUP BY label),
+        s AS (SELECT sha256(string_agg(array_to_string([CAST(CAST(y AS BIGINT) AS VARCHAR) FOR y IN c], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN kept USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM kept.label, s"""
+
+
 # op3 and op5 are trained models, op7 needs the tokenizer, op6 offsets of
 # matches, op10 sentences of wrapped texts: SQL can't say these, so their tests
 # hold them against brute force or held-out labels.
@@ -118,6 +164,21 @@ ORACLE: dict[str, str] = {
         e AS (SELECT a AS sid, count(*) AS n_links FROM l GROUP BY a)
         SELECT doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
         FROM documents LEFT JOIN c ON c.k = doc_id LEFT JOIN g ON g.sid = c.sid LEFT JOIN m ON m.sid = c.sid LEFT JOIN e ON e.sid = c.sid""",
+    # the given pages all name their article, in few elements: its text by patterns; other layouts have written answers in the tests
+    "op11_main_text": f"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<br>', ' ', 'g') AS x FROM pages),
+        b AS (SELECT page_id, url, [{replaced_sql("regexp_replace(y, '<[^>]*>', '', 'g')", ENTITIES)} FOR y IN regexp_split_to_array(x, '</?(?:p|h1)>')] AS parts FROM a),
+        t AS (SELECT page_id, url, array_to_string([trim(regexp_replace(y, '\\s+', ' ', 'g')) FOR y IN parts IF regexp_matches(y, '\\S')], chr(10)) AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
+    "op12_fill_middle": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {UNITS}) AS u, sha256('42:' || doc_id) AS h FROM documents),
+        d AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS r FROM t),
+        c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS pre, coalesce(array_to_string(u[a + 1 : b], ''), '') AS mid, coalesce(array_to_string(u[b + 1 :], ''), '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op13_vector_codes": lloyd_sql(),
     "op2_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.llm import decontam, exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, warc
+from lodestone.llm import decontam, exact_dedup, fill_middle, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, warc
 from lodestone.llm.common import Scratch
 from lodestone.llm.queries import tokenizer_path
 
@@ -34,6 +34,7 @@ def bench(spark, rows=((1, "one two"), (2, None), (3, ""), (4, "ALPHA, beta gamm
 
 
 RUNS = {
+    "middle": lambda s, d: fill_middle.digest(fill_middle.fill_in_middle(d)),
     "line": lambda s, d: line_dedup.digest(line_dedup.dedup_lines(d)),
     "exact": lambda s, d: exact_dedup.exact_duplicates(d),
     "quality": lambda s, d: quality.quality_scores(d, labels(s)),
