@@ -1,18 +1,18 @@
-"""HTML text, titles, links and elements (Arrow UDFs over the standard parser).
+"""HTML text, titles, links and elements (Arrow UDFs over the page's tree).
 
-The parser is a stream of tags, not a tree builder: text joins with a space
-at block boundaries, script and style data is skipped, entities are decoded.
+Text joins with a space at block boundaries, script and style data is skipped,
+entities are decoded. A page is parsed once for all that is asked of it.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.dom import Node, parse, select
 from lodestone.functions.urls import canonical_text
 
 # Elements whose edges separate words, and elements without text.
@@ -21,100 +21,57 @@ BLOCKS = frozenset(
     "head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
 )
 SILENT = frozenset(("script", "style", "template"))
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
-DESCRIPTION_PLACES = (("class", "job-description"), ("id", "job-description"), ("tag", "main"), ("tag", "article"), ("tag", "body"))
-LOCATION_PLACES = (("class", "job-location"), ("class", "location"), ("data-testid", "location"))
+# Where descriptions and places are looked for, in turn; bodies go last.
+DESCRIPTION_PLACES = ("[class*=job-description]", "[id*=job-description]", "main", "article", "body")
+LOCATION_PLACES = ("[class*=job-location]", "[class*=location]", "[data-testid*=location]")
 
 
-class Page(HTMLParser):
-    """One pass over a page: what the extractors need, in document order."""
+def text_of(node: Node) -> str:
+    """Text of an element, white space as one space."""
+    out, waiting = [], [node]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag not in SILENT:
+            if x.tag in BLOCKS:
+                out.append(" ")
+                waiting.append(" ")
+            waiting.extend(reversed(x.children))
+    return " ".join("".join(out).split())
+
+
+class Page:
+    """What the extractors need of a page, in document order; parsed once."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.title: str | None = None
-        self.h1: str | None = None
-        self.links: list[tuple[str, str]] = []
-        self.metas: list[dict[str, str]] = []
-        self.scripts: list[tuple[str, str]] = []
-        self.elements: list[dict] = []
-        self.stack: list[dict] = []
-        self.chunks: list[tuple[str, bool]] = []
-        self.raw: list[str] | None = None
-        self.feed(html)
-        self.close()
-        while self.stack:
-            self._end(self.stack[-1])
-
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
-            self.chunks.append((" ", False))
-        while self.stack and self.stack[-1]["tag"] in CLOSED_BY and tag in CLOSED_BY[self.stack[-1]["tag"]]:
-            self._end(self.stack[-1])
-        values = {}
-        for k, v in attrs:
-            values.setdefault(k, v or "")
-        if tag == "meta":
-            self.metas.append(values)
-        node = {"tag": tag, "attrs": values, "from": len(self.chunks), "to": None}
-        self.elements.append(node)
-        if tag in VOID:
-            node["to"] = len(self.chunks)
-        else:
-            self.stack.append(node)
-            if tag in SILENT:
-                self.raw = []
-
-    def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.stack):
-            while self.stack:
-                node = self.stack[-1]
-                self._end(node)
-                if node["tag"] == tag:
-                    break
-        if tag in BLOCKS:
-            self.chunks.append((" ", False))
-
-    def _end(self, node: dict) -> None:
-        self.stack.remove(node)
-        node["to"] = len(self.chunks)
-        if node["tag"] in SILENT:
-            if node["tag"] == "script":
-                self.scripts.append((node["attrs"].get("type", ""), "".join(self.raw or [])))
-            self.raw = None
-        elif node["tag"] == "title" and self.title is None:
-            self.title = self.text(node)
-        elif node["tag"] == "h1" and self.h1 is None:
-            self.h1 = self.text(node)
-        elif node["tag"] == "a" and "href" in node["attrs"]:
-            node["link"] = len(self.links)
-            self.links.append((node["attrs"]["href"], self.text(node)))
-
-    def handle_data(self, data):
-        if self.raw is not None:
-            self.raw.append(data)
-        else:
-            self.chunks.append((data, any(n["tag"] in ("head", "title") for n in self.stack)))
-
-    def text(self, node: dict) -> str:
-        return " ".join("".join(c for c, _ in self.chunks[node["from"] : node["to"]]).split())
+        self.root = parse(html)
+        self.body = self.root.children[1]
+        by_tag: dict[str, list[Node]] = {"title": [], "h1": [], "a": [], "meta": [], "script": []}
+        for node in self.root.elements():
+            if node.tag in by_tag:
+                by_tag[node.tag].append(node)
+        self.title, self.h1 = (text_of(by_tag[t][0]) if by_tag[t] else None for t in ("title", "h1"))
+        self.metas = [n.attributes for n in by_tag["meta"]]
+        self.scripts = [(n.attributes.get("type", ""), "".join(n.children)) for n in by_tag["script"]]
+        self._anchors = by_tag["a"]
+
+    @property
+    def links(self) -> list[tuple[str, str]]:
+        """Targets and texts of the anchors that have a target."""
+        return [(href, text_of(n)) for n in self._anchors if (href := n.attributes.get("href")) is not None]
 
     def body_text(self) -> str:
         """Text of everything but the head."""
-        return " ".join("".join(" " if in_head else c for c, in_head in self.chunks).split())
-
-    def first(self, places) -> str | None:
-        """Text of the first element of the first place that there is.
-
-        A place is an attribute that contains a word in either case, or a tag.
-        """
-        for kind, want in places:
-            if (kind, want) == ("tag", "body"):
-                return self.body_text()
-            for node in self.elements:
-                if node["tag"] == want if kind == "tag" else want in node["attrs"].get(kind, "").lower():
-                    return self.text(node)
+        return text_of(self.body)
+
+    def first(self, places: tuple[str, ...]) -> str | None:
+        """Text of the first element of the first selector that finds one."""
+        for place in places:
+            node = next(select(self.root, place), None)
+            if node is not None:
+                return text_of(node)
         return None
 
     def meta(self, name: str) -> str:
