@@ -815,7 +815,7 @@ def frontier_update_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lodestone.plans.service import Service
 
-    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1))
+    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1), lookup=fx.lookup)
     job = service.create(CrawlSpec(TREE_SEED, max_pages=500, max_depth=1, respect_robots=False))
     service.run(job, tree_web(spark, sf_dir, flaky=2))
     state = service.get(job).select(F.col("id").alias("job_id"), F.col("status").alias("job"), "pages_crawled")
@@ -855,7 +855,7 @@ def service_career_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lodestone.plans.service import Service
 
-    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1))
+    service = Service(spark, Work(spark, "store").root, clock=lambda: datetime(2024, 1, 1), lookup=fx.lookup)
     job = service.create(CAREERS)
     service.run(job, careers_web(spark, sf_dir))
     lines = F.size(F.split(F.rtrim(F.decode("payload", "UTF-8"), F.lit("\r\n")), "\r\n"))

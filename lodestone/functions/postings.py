@@ -135,12 +135,15 @@ def heuristic(page: Page, url: str) -> dict | None:
 FIELDS = "title string, company string, location string, employment_type string, experience string, description string, skill_text string, method string"
 
 
+def fields_of(page: Page, url: str) -> dict | None:
+    return structured(page) or heuristic(page, url)
+
+
 def _raw_posting(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     names = [f.split()[0] for f in FIELDS.split(", ")]
     rows = []
     for u, h in zip(url, html):
-        page = Page(h or "")
-        rows.append(structured(page) or heuristic(page, u or "") or dict.fromkeys(names))
+        rows.append(fields_of(Page(h or ""), u or "") or dict.fromkeys(names))
     return pd.DataFrame(rows, columns=names)
 
 
@@ -154,7 +157,11 @@ def posting(url: Column, html: Column) -> Column:
 
     The tree walk is Python; experience, role titles and skills are native.
     """
-    raw = raw_posting(url, html)
+    return posting_of(raw_posting(url, html))
+
+
+def posting_of(raw: Column) -> Column:
+    """Posting struct of a page's fields, or null."""
     experience = scoring.first_non_blank(raw["experience"], scoring.experience(raw["description"]), F.lit("Not specified"))
     text = F.when(raw["method"] == "HEURISTIC", raw["description"]).otherwise(F.concat_ws(" ", raw["description"], raw["skill_text"], experience))
     found = F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 BODY_CAP = 512_000
 CACHE_SECONDS = 900
+POLICY = "origin string, block_all boolean, rules array<struct<allow: boolean, regex: string, specificity: int>>, delay_ms long"
 
 
 def lines_of(files: DataFrame) -> DataFrame:

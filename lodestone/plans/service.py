@@ -1,11 +1,14 @@
 """The engine's operations over stored tables.
 
-Tables are Parquet folders under one root. Nothing is updated in place: jobs
-and frontier rows are versions, appended with a number, and the latest version
-of an id counts. A running crawl appends its claims before it asks and each
-round's rows after it, and reads its job's status between rounds: it can be
-paused, cancelled and resumed, and after a crash goes on from the stored
-frontier. One process works on a job once at a time.
+Tables are Parquet folders under one root, partitioned by job, so what is
+asked of a job reads its folder only. Nothing is updated in place: jobs and
+frontier rows are versions, appended with a number, and the latest version of
+an id counts; a frontier of many versions is folded into one. A running crawl
+appends its claims before it asks and each round's rows after it, and reads its
+job's status between rounds and while it waits: it can be paused, cancelled and
+resumed, and after a crash goes on from the stored frontier. One process works
+on a job once at a time. All crawls of a root share the rate limiter's slots
+and the robots policies.
 """
 
 from __future__ import annotations
@@ -22,14 +25,23 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
 from lodestone.operators import frontier as fr
-from lodestone.operators import matching, tables
+from lodestone.operators import addresses, matching, tables
 from lodestone.plans import crawl as crawls
 from lodestone.plans.spec import CareerSpec, CrawlSpec, MatchSpec, NotFound, ValidationError
 from lodestone.sources import export, schemas
 
 VERSIONED = schemas.CRAWL_JOB + ", version long"
 FRONTIER = schemas.CRAWL_FRONTIER + ", version long"
-UNSAFE = "Private, local, link-local and multicast targets are blocked"
+PARTITIONS = {"crawl_job": ["id"], "crawl_frontier": ["job_id", "version"], "crawled_page": ["job_id"], "job_posting": ["scan_id"]}
+FOLD_VERSIONS = 40
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+
+def tag_of(job_id: str) -> str:
+    return f"crawl-{job_id}"
 
 
 class StoreKeeper(crawls.Keeper):
@@ -53,62 +65,85 @@ class StoreKeeper(crawls.Keeper):
 class Service:
     """Crawls, career scans, listings, exports and matches.
 
-    ``resolver``: a column function from host to addresses, for the address
-    check of names; ``allow_private`` switches the check off.
+    ``lookup``: addresses of a host, for the address check of names, which
+    ``allow_private`` switches off. With a ``web`` of its own a service
+    launches crawls when they are created or resumed.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None),
-        allow_private: bool = False, resolver: Callable | None = None, workers: int = 4,
+        allow_private: bool = False, lookup: addresses.Lookup = addresses.system_addresses, workers: int = 4, web=None, robots: DataFrame | None = None,
     ):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
-        self.allow_private, self.resolver, self.workers = allow_private, resolver, workers
+        self.allow_private, self.lookup, self.workers, self.web, self.robots = allow_private, lookup, workers, web, robots
+        self.crawl_options: dict = {}  # more arguments of every crawl, such as ``quantum``
         self._lock, self._active = threading.RLock(), set()
         self._pool: ThreadPoolExecutor | None = None
 
     # tables
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str, **of: str) -> DataFrame:
+        """A table, or the folder of one job of it."""
+        path = "/".join([f"{self.root}/{name}", *(f"{k}={v}" for k, v in of.items())])
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(path).select(*names_of(schema))
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], schema)
             raise
 
     def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+        df.write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(f"{self.root}/{name}")
+
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def jobs(self) -> DataFrame:
         """All crawls, newest first."""
         return tables.latest(self._read("crawl_job", VERSIONED), ["id"], ["version"]).drop("version").orderBy(F.desc("created_at"), "id")
 
     def _put(self, job: DataFrame) -> None:
+        """A job's next version."""
         with self._lock:
-            self._put_version(job)
-
-    def _put_version(self, job: DataFrame) -> None:
-        last = self._read("crawl_job", VERSIONED).groupBy("id").agg(F.max("version").alias("v"))
-        out = job.join(last, "id", "left").withColumn("version", F.coalesce(F.col("v") + 1, F.lit(0)).cast("long")).withColumn("updated_at", F.lit(self.clock()))
-        names = [c.strip().split(" ")[0] for c in VERSIONED.split(",")]
-        self._append(out.select(*names), "crawl_job")
+            row = job.first()
+            last = self._read("crawl_job", VERSIONED, id=row["id"]).agg(F.max("version")).first()[0]
+            out = self.spark.createDataFrame([row], job.schema).withColumn("version", F.lit(0 if last is None else last + 1).cast("long"))
+            self._append(out.withColumn("updated_at", F.lit(self.clock())).select(*names_of(VERSIONED)), "crawl_job")
 
     def _one(self, job_id: str) -> DataFrame:
-        found = self.jobs().where(F.col("id") == job_id)
+        rows = self._read("crawl_job", VERSIONED, id=job_id)
+        found = tables.latest(rows.where(F.col("id") == job_id), ["id"], ["version"]).drop("version")
         if found.isEmpty():
             raise NotFound(f"no crawl {job_id}")
         return found
 
     def frontier(self, job_id: str) -> DataFrame:
         """A crawl's frontier as it is now."""
-        rows = self._read("crawl_frontier", FRONTIER).where(F.col("job_id") == job_id)
+        rows = self._read("crawl_frontier", FRONTIER, job_id=job_id)
         return tables.latest(rows, ["job_id", "id"], ["version"]).drop("version")
 
+    def _versions(self, job_id: str) -> list[int]:
+        """Versions of a job's frontier, from the names of their folders."""
+        path, fs = self._folder(f"crawl_frontier/job_id={job_id}")
+        if not fs.exists(path):
+            return []
+        return sorted(int(s.getPath().getName().removeprefix("version=")) for s in fs.listStatus(path) if s.getPath().getName().startswith("version="))
+
     def _put_frontier(self, job_id: str, rows: DataFrame) -> None:
         with self._lock:
-            last = self._read("crawl_frontier", FRONTIER).where(F.col("job_id") == job_id).agg(F.max("version")).first()[0]
-            names = [c.split(" ")[0] for c in FRONTIER.split(", ")]
-            self._append(rows.withColumn("version", F.lit(0 if last is None else last + 1).cast("long")).select(*names), "crawl_frontier")
+            last = max(self._versions(job_id), default=-1)
+            self._append(rows.withColumn("version", F.lit(last + 1).cast("long")).select(*names_of(FRONTIER)), "crawl_frontier")
+
+    def _fold(self, job_id: str) -> None:
+        """Writes the frontier as one version if it has many, then deletes the older ones."""
+        with self._lock:
+            old = self._versions(job_id)
+            if len(old) > FOLD_VERSIONS:
+                self._put_frontier(job_id, self.frontier(job_id))
+                for v in old:
+                    path, fs = self._folder(f"crawl_frontier/job_id={job_id}/version={v}")
+                    fs.delete(path, True)
 
     def _requeue(self, job_id: str) -> None:
         stuck = self.frontier(job_id).where("status = 'FETCHING'")
@@ -116,24 +151,27 @@ class Service:
             self._put_frontier(job_id, fr.requeue(stuck, F.lit(self.clock())).withColumn("updated_at", F.lit(self.clock())))
 
     def _counted(self, job: DataFrame, job_id: str) -> DataFrame:
-        pages = self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id)
+        pages = self._read("crawled_page", schemas.CRAWLED_PAGE, job_id=job_id)
         out = fr.refreshed_counts(job, pages, self.frontier(job_id))
         return out.withColumn("pages_crawled", F.col("pages_crawled").cast("int")).withColumn("pages_failed", F.col("pages_failed").cast("int"))
 
     # crawls
 
     def create(self, spec: CrawlSpec) -> str:
-        """A queued crawl with its seed; a career scan also gets its scan row, first."""
+        """A queued crawl with its seed, launched if the service has a web; a career scan also gets its scan row, first."""
+        host = urlsplit(spec.seed_url).hostname
         if not self.allow_private:
-            seed = self.spark.range(1).select(crawls.unsafe(F.lit(spec.seed_url), self.resolver).alias("unsafe"))
-            if seed.first()["unsafe"]:
-                raise ValidationError({"seed_url": UNSAFE})
+            why = addresses.refusal(host, [host] if host and addresses.is_literal(host) else self.lookup(host or ""))
+            if why is not None:
+                raise ValidationError({"seed_url": why})
         job_id, now = str(uuid.uuid4()), self.clock()
-        row = (job_id, spec.seed_url, urlsplit(spec.seed_url).hostname, spec.max_pages, spec.max_depth, spec.same_host_only, spec.respect_robots, float(spec.requests_per_second), "QUEUED", 0, 0, now, None, None, now, None)
+        row = (job_id, spec.seed_url, host, spec.max_pages, spec.max_depth, spec.same_host_only, spec.respect_robots, float(spec.requests_per_second), "QUEUED", 0, 0, now, None, None, now, None)
         if spec.career:
             self._append(self.spark.createDataFrame([(job_id, spec.seed_url, now)], schemas.CAREER_SCAN), "career_scan")
         self._put(self.spark.createDataFrame([row], schemas.CRAWL_JOB))
         self._put_frontier(job_id, crawls.seed_row(self.spark, job_id, spec.seed_url, now))
+        if self.web is not None:
+            self.launch(job_id, self.web, self.robots)
         return job_id
 
     def get(self, job_id: str) -> DataFrame:
@@ -149,6 +187,10 @@ class Service:
         if action == "resume":
             self._requeue(job_id)
         self._put(after)
+        if action == "cancel":
+            self.spark.sparkContext.cancelJobsWithTag(tag_of(job_id))  # what it runs just now
+        elif action == "resume" and self.web is not None:
+            self.launch(job_id, self.web, self.robots)
         return new
 
     def run(self, job_id: str, web, robots: DataFrame | None = None) -> str:
@@ -177,22 +219,27 @@ class Service:
         kind = CareerSpec if self._is_scan(job_id) else CrawlSpec
         more = {} if kind is CareerSpec else {"same_host_only": job["same_host_only"], "respect_robots": job["respect_robots"]}
         spec = kind(job["seed_url"], max_pages=job["max_pages"], max_depth=job["max_depth"], requests_per_second=job["requests_per_second"], **more)
-        saved = self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id).select("url")
+        saved = self._read("crawled_page", schemas.CRAWLED_PAGE, job_id=job_id).select("url")
         action, message = None, None
+        self.spark.sparkContext.addJobTag(tag_of(job_id))
         try:
             out = crawls.crawl(
                 self.spark, spec, web, robots, self.allow_private, job_id=job_id, frontier=self.frontier(job_id), saved=saved,
-                started=self.clock(), keeper=StoreKeeper(self, job_id), resolver=self.resolver,
+                started=self.clock(), keeper=StoreKeeper(self, job_id), lookup=self.lookup, shared=f"{self.root}/shared", **self.crawl_options,
             )
             action = "complete" if out.status == "COMPLETED" else None
         except KeyboardInterrupt:
             action, message = "pause", "Worker interrupted; safe to resume"
             raise
         except Exception as e:
-            action, message = "fail", str(e)[:2000]
-            raise
+            self.spark.sparkContext.removeJobTag(tag_of(job_id))
+            if self._one(job_id).first()["status"] != "CANCELLED":
+                action, message = "fail", str(e)[:2000]
+                raise
         finally:
+            self.spark.sparkContext.removeJobTag(tag_of(job_id))
             with self._lock:
+                self._fold(job_id)
                 now = self._counted(self._one(job_id), job_id)
                 after = fr.job_after(now, action, F.lit(self.clock())) if action else now
                 if message is not None:
@@ -217,16 +264,16 @@ class Service:
         now, job = F.lit(self.clock()), F.lit(job_id)
         ident = F.concat_ws("-", job, F.col("frontier_id").cast("string"))
         pages = rows.select(ident.alias("id"), job.alias("job_id"), "url", "depth", "status_code", "content_type", "title", "body_sha256", "extracted_text", "outbound_links", now.alias("fetched_at"))
-        self._append(tables.set_insert(self._read("crawled_page", schemas.CRAWLED_PAGE), pages, ["job_id", "url"], ["id"]), "crawled_page")
+        self._append(tables.set_insert(self._read("crawled_page", schemas.CRAWLED_PAGE, job_id=job_id), pages, ["job_id", "url"], ["id"]), "crawled_page")
         if found is None:
             return
         posts = found.select(ident.alias("id"), job.alias("scan_id"), ident.alias("page_id"), "source_url", "title", "company", "location", "skills", "experience", "employment_type", "description", "extraction_method", now.alias("discovered_at"))
-        self._append(tables.set_insert(self._read("job_posting", schemas.JOB_POSTING), posts, ["scan_id", "source_url"], ["id"]), "job_posting")
+        self._append(tables.set_insert(self._read("job_posting", schemas.JOB_POSTING, scan_id=job_id), posts, ["scan_id", "source_url"], ["id"]), "job_posting")
 
     def pages(self, job_id: str, limit: int = 100) -> DataFrame:
         """A crawl's pages with a short preview of their text."""
         self._one(job_id)
-        rows = self._read("crawled_page", schemas.CRAWLED_PAGE).where(F.col("job_id") == job_id)
+        rows = self._read("crawled_page", schemas.CRAWLED_PAGE, job_id=job_id)
         return tables.listing(rows, ["fetched_at", "url"], limit).select("id", "url", "depth", "status_code", "content_type", "title", "body_sha256", scoring.preview(F.col("extracted_text")).alias("preview"), "outbound_links", "fetched_at")
 
     def to_recover(self, active: DataFrame) -> DataFrame:
@@ -251,8 +298,10 @@ class Service:
         return found
 
     def postings(self, job_id: str) -> DataFrame:
-        self.scan(job_id)
-        return self._read("job_posting", schemas.JOB_POSTING).where(F.col("scan_id") == job_id).orderBy("discovered_at", "title")
+        self._one(job_id)
+        if not self._is_scan(job_id):
+            raise NotFound(f"no career scan {job_id}")
+        return self._read("job_posting", schemas.JOB_POSTING, scan_id=job_id).orderBy("discovered_at", "title")
 
     def download(self, job_id: str, kind: str) -> DataFrame:
         """One row ``(filename, mime, payload)``; ``kind`` is json or csv."""

@@ -10,8 +10,12 @@ connections by itself.
 
 from __future__ import annotations
 
+import socket
+import ssl
 import time
 from collections.abc import Callable, Iterator
+from http.client import HTTPConnection, HTTPException
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.functions import fetching
+from lodestone.functions.urls import DEFAULT_PORTS
+from lodestone.operators import addresses
 
 WEB = "url string, attempt int, status int, content_type string, body string, location string, retry_after string, error string"
 MAX_REDIRECTS = 5
@@ -64,13 +70,14 @@ def answers(requests: DataFrame, web: Web, cap: int = fetching.BODY_CAP) -> Data
 
 def follow(
     requests: DataFrame, web: Web, gate: Callable[[DataFrame], DataFrame], resolve: Callable[[Column, Column], Column], save: Callable[[DataFrame, str], DataFrame],
-    pace: Callable[[DataFrame], DataFrame] | None = None, hops: int = MAX_REDIRECTS,
+    pace: Callable[[DataFrame, int], DataFrame] | None = None, hops: int = MAX_REDIRECTS,
 ) -> DataFrame:
     """Answers of requests with redirects followed, and every hop gated.
 
-    ``gate`` adds ``blocked`` (a reason or null) and ``delay_ms`` to rows by
-    their ``target`` column before each hop; ``pace`` then gives those that
-    may go their ``slot_us``. The result has ``final_url``, the answer columns,
+    ``gate`` adds ``blocked`` (a reason or null), ``delay_ms`` and the
+    ``address`` to connect to, to rows by their ``target`` column before each
+    hop; ``pace`` then gives those that may go their ``slot_us``, and may leave
+    out rows of the first hop that have to wait. The result has ``final_url``, the answer columns,
     the last slot, and ``error``: ``blocked`` with the reason in
     ``error_message``, ``io`` for a redirect without a place to go or one too
     many. ``save`` writes a hop's rows, so the plan stays that of one hop;
@@ -82,7 +89,7 @@ def follow(
     for hop in range(hops + 1):
         gated = gate(open_rows)
         asked = gated.where("blocked is null").drop("blocked")
-        asked = (pace(asked) if pace else asked.withColumn("slot_us", F.lit(None).cast("long"))).drop("delay_ms")
+        asked = (pace(asked, hop) if pace else asked.withColumn("slot_us", F.lit(None).cast("long"))).drop("delay_ms")
         got = answers(asked.withColumnRenamed("url", "asked_url").withColumnRenamed("target", "url"), web).withColumnRenamed("url", "target").withColumnRenamed("asked_url", "url")
         moved = F.coalesce(fetching.is_redirect(F.col("status")) & F.col("error").isNull(), F.lit(False))
         lost = moved & (F.col("location").isNull() | F.lit(hop == hops))
@@ -90,7 +97,7 @@ def follow(
         got = got.withColumn("error_message", F.when(lost, F.when(F.col("location").isNull(), "Redirect without a Location header").otherwise("Too many redirects")).otherwise(F.col("error")))
         got = got.withColumn("error", F.when(lost, "io").otherwise(F.col("error")))
         stopped = gated.where("blocked is not null").withColumn("error_message", F.col("blocked")).withColumn("error", F.lit("blocked")).withColumn("onward", F.lit(False)).drop("blocked", "delay_ms")
-        both = save(got.unionByName(stopped, allowMissingColumns=True), f"hop-{hop}")
+        both = save(got.unionByName(stopped, allowMissingColumns=True).drop("address"), f"hop-{hop}")
         final = both.where("not onward").drop("onward")
         done = final if done is None else done.unionByName(final)
         onward = both.where("onward")
@@ -100,23 +107,25 @@ def follow(
     return done.withColumnRenamed("target", "final_url")
 
 
-def live_web(fetch: Callable[[str, int], dict], wait: bool = False) -> Web:
+def live_web(fetch: Callable[..., dict], wait: bool = False, pinned: bool = False) -> Web:
     """A web that asks an injected function.
 
     ``fetch(url, attempt)`` returns a dict with the web's columns; what it
     raises becomes an ``io`` error. With ``wait`` a worker sleeps until a
-    request's ``slot_us`` (microseconds since 1970) before it asks.
+    request's ``slot_us`` (microseconds since 1970) before it asks, and a crawl
+    keeps to the time of day. ``pinned``: ``fetch`` also takes the address that
+    was checked (null if none was).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in WEB.split(", ")]
         for b in batches:
             rows = []
-            for url, attempt, slot in zip(b["url"], b["attempt"], b["slot_us"]):
+            for url, attempt, slot, address in zip(b["url"], b["attempt"], b["slot_us"], b["address"]):
                 if wait and slot == slot:
                     time.sleep(max(0.0, slot / 1e6 - time.time()))
                 try:
-                    got = {**dict.fromkeys(names), **fetch(url, int(attempt))}
+                    got = {**dict.fromkeys(names), **fetch(url, int(attempt), *([address] if pinned else []))}
                 except Exception as e:  # the outside may fail in any way
                     got = {**dict.fromkeys(names), "error": "io", "body": str(e)[:2000]}
                 rows.append({**got, "url": url, "attempt": int(attempt)})
@@ -124,27 +133,30 @@ def live_web(fetch: Callable[[str, int], dict], wait: bool = False) -> Web:
 
     def web(requests: DataFrame) -> DataFrame:
         slot = F.col("slot_us") if "slot_us" in requests.columns else F.lit(None).cast("long").alias("slot_us")
-        return requests.select("url", "attempt", slot).sortWithinPartitions("slot_us").mapInPandas(run, WEB)
+        address = F.col("address") if "address" in requests.columns else F.lit(None).cast("string").alias("address")
+        return requests.select("url", "attempt", slot, address).sortWithinPartitions("slot_us").mapInPandas(run, WEB)
 
+    web.live = wait
     return web
 
 
 def http_web(user_agent: str = "lodestone/1.0", timeout: float = 12) -> Web:
-    """A web of plain GETs, for ``crawl``; no redirect is followed here."""
-    reader = HttpReader({"user_agent": user_agent, "timeout": str(timeout)})
+    """A web of plain GETs, for ``crawl``, to the addresses that it checked; no redirect is followed here."""
+    reader = HttpReader({"user_agent": user_agent, "timeout": str(timeout), "allow_private": "true"})
 
-    def fetch(url: str, attempt: int) -> dict:
-        (row,) = reader.read(InputPartition(url))
-        return dict(zip([c.split()[0] for c in WEB.split(", ")], row))
+    def fetch(url: str, attempt: int, address: str | None) -> dict:
+        return dict(zip([c.split()[0] for c in WEB.split(", ")], reader.get(url, address)))
 
-    return live_web(fetch, wait=True)
+    return live_web(fetch, wait=True, pinned=True)
 
 
 class HttpPages(DataSource):
     """``spark.read.format("http_pages")``: GETs of a list of URLs.
 
-    Options: ``urls`` (one per line), ``user_agent``, ``timeout`` seconds. Each
-    URL is a partition; redirects are not followed here (see ``follow``).
+    Options: ``urls`` (one per line), ``user_agent``, ``timeout`` seconds,
+    ``allow_private``. Each URL is a partition; redirects are not followed here
+    (see ``follow``). A host's addresses are checked, and the one that was
+    checked is connected to; a refused one is an ``unsafe`` error.
     """
 
     @classmethod
@@ -166,29 +178,42 @@ class HttpReader(DataSourceReader):
         return [InputPartition(u.strip()) for u in self.options.get("urls", "").split("\n") if u.strip()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from urllib.error import HTTPError
-        from urllib.request import HTTPRedirectHandler, Request, build_opener
-
-        class Stay(HTTPRedirectHandler):
-            def redirect_request(self, *args, **kwargs):
-                return None
+        url, address = partition.value, None
+        if self.options.get("allow_private", "false").lower() != "true":
+            host = urlsplit(url).hostname
+            found = addresses.system_addresses(host) if host else []
+            why = addresses.refusal(host, found)
+            if why is not None:
+                yield (url, 1, None, None, why, None, None, "unsafe")
+                return
+            address = found[0]
+        yield self.get(url, address)
 
-        url = partition.value
-        ask = Request(url, headers={"User-Agent": self.options.get("user_agent", "lodestone/1.0"), "Accept": "text/html,application/xhtml+xml"})
+    def get(self, url: str, address: str | None) -> tuple:
+        """One GET as a row; ``address`` is connected to instead of the URL's name."""
         try:
+            parts = urlsplit(url)
+            timeout = float(self.options.get("timeout", "12"))
+            sock = socket.create_connection((address or parts.hostname, parts.port or DEFAULT_PORTS[parts.scheme]), timeout)
+            if parts.scheme == "https":
+                sock = ssl.create_default_context().wrap_socket(sock, server_hostname=parts.hostname)
+            connection = HTTPConnection(parts.hostname, parts.port, timeout=timeout)
+            connection.sock = sock
             try:
-                r = build_opener(Stay).open(ask, timeout=float(self.options.get("timeout", "12")))
-            except HTTPError as e:
-                r = e
-            raw = r.read(fetching.BODY_CAP + 1)
+                where = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+                headers = {"Host": parts.netloc.rpartition("@")[2], "User-Agent": self.options.get("user_agent", "lodestone/1.0"), "Accept": "text/html,application/xhtml+xml", "Connection": "close"}
+                connection.request("GET", where, headers=headers)
+                r = connection.getresponse()
+                raw = r.read(fetching.BODY_CAP + 1)
+            finally:
+                connection.close()
             if len(raw) > fetching.BODY_CAP:
-                yield (url, 1, r.status, None, None, None, None, "io")
-                return
+                return (url, 1, r.status, None, None, None, None, "io")
             charset = r.headers.get_content_charset() or "utf-8"
             try:
                 body = raw.decode(charset, "replace")
             except LookupError:
                 body = raw.decode("utf-8", "replace")
-            yield (url, 1, r.status, r.headers.get("Content-Type"), body, r.headers.get("Location"), r.headers.get("Retry-After"), None)
-        except OSError as e:
-            yield (url, 1, None, None, str(e)[:2000], None, None, "io")
+            return (url, 1, r.status, r.headers.get("Content-Type"), body, r.headers.get("Location"), r.headers.get("Retry-After"), None)
+        except (OSError, HTTPException, ValueError, KeyError) as e:
+            return (url, 1, None, None, str(e)[:2000], None, None, "io")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import fixtures as fx
+from lodestone.operators import addresses
 from lodestone.plans import crawl as crawls
 from lodestone.plans.crawl import crawl
 from lodestone.plans.spec import CareerSpec, CrawlSpec
@@ -83,15 +84,48 @@ def test_robots_are_loaded_once_and_again_after_their_time(spark):
     assert len(asked) == 6
 
 
-def test_names_are_resolved_by_a_given_function(spark):
-    known = {"in.example": ["10.0.0.9"], "out.example": ["93.184.216.34"], "both.example": ["93.184.216.34", "::1"], "none.example": []}
-    resolver = lambda host: F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in known.items() for x in kv])[host]
-    hosts = [*known, "unknown.example", "127.0.0.1", "8.8.8.8"]
-    df = spark.createDataFrame([(f"http://{h}/x",) for h in hosts], "u string")
-    got = {r["u"]: r["bad"] for r in df.select("u", crawls.unsafe(F.col("u"), resolver).alias("bad")).collect()}
-    assert [h for h in hosts if not got[f"http://{h}/x"]] == ["out.example", "8.8.8.8"]
-    plain = {r["u"]: r["bad"] for r in df.select("u", crawls.unsafe(F.col("u")).alias("bad")).collect()}
-    assert [h for h in hosts if plain[f"http://{h}/x"]] == ["127.0.0.1"]
+KNOWN = {"in.example": ["10.0.0.9"], "out.example": ["93.184.216.34"], "both.example": ["93.184.216.34", "::1"], "mapped.example": ["::ffff:127.0.0.1"], "none.example": []}
+
+
+def test_hosts_are_looked_up_and_checked(spark):
+    hosts = [*KNOWN, "unknown.example", "127.0.0.1", "[fe80::1]", "8.8.8.8"]
+    rows = spark.createDataFrame([(f"http://{h}/x",) for h in hosts] + [("http://out.example/y",), (None,)], "target string")
+    work = Work(spark, "t")
+    gate = addresses.Addresses(work.save, lambda h: KNOWN[h])
+    got = {r["target"]: (r["unsafe"], r["address"]) for r in gate.gate(rows, 0).collect()}
+    good = {k: a for k, (why, a) in got.items() if why is None}
+    assert good == {"http://out.example/x": "93.184.216.34", "http://out.example/y": "93.184.216.34", "http://8.8.8.8/x": "8.8.8.8"}
+    assert got[None][0] == addresses.NO_HOST and got["http://unknown.example/x"][0] == "Host could not be resolved: unknown.example"
+    for h in hosts:
+        own = [h] if addresses.is_literal(h) else KNOWN.get(h, [])
+        assert addresses.refusal(h, own) == got[f"http://{h}/x"][0], h  # the task's check says the same
+    # kept for a time, then asked for again
+    work.append(spark.createDataFrame([], "host string"), "asked")
+    first = gate.known
+    assert gate.gate(rows, 29_000_000).where("unsafe is null").count() == 3
+    assert {r["at"] for r in gate.known.collect()} == {r["at"] for r in first.collect()} == {0}
+    gate.gate(rows, 31_000_000).count()
+    assert {r["at"] for r in gate.known.collect()} == {31_000_000}
+    plain = {r["target"]: r["unsafe"] for r in addresses.Addresses(work.save, None).gate(rows, 0).collect()}
+    assert {k for k, why in plain.items() if why} == {None, "http://127.0.0.1/x", "http://[fe80::1]/x"}
+
+
+def test_request_goes_to_the_checked_address(spark, server):
+    """The name is connected to by the address that the check saw."""
+    root = f"http://name.example:{server.server_port}"
+    reader = web.HttpReader({})
+    row = reader.get(f"{root}/page", "127.0.0.1")
+    assert row[2] == 200 and row[4] == "<title>Café</title>"
+    assert server.hosts[-1] == f"name.example:{server.server_port}"
+
+    def fetch(url, attempt, address):
+        return {"status": 200, "content_type": "text/html", "body": f"<title>{address}</title>"}
+
+    out = crawl(spark, CrawlSpec("http://out.example/", max_depth=0, respect_robots=False), web.live_web(fetch, pinned=True), lookup=lambda h: KNOWN[h])
+    assert [r["title"] for r in out.pages.collect()] == ["93.184.216.34"]
+    for host, why in (("both.example", addresses.PRIVATE), ("none.example", "Host could not be resolved: none.example")):
+        row = crawl(spark, CrawlSpec(f"http://{host}/", max_depth=0, respect_robots=False), web.live_web(fetch, pinned=True), lookup=lambda h: KNOWN[h]).frontier.first()
+        assert (row["status"], row["last_error"]) == ("SKIPPED", why)
 
 
 def test_private_seed_is_skipped(spark):
@@ -104,6 +138,7 @@ def test_private_seed_is_skipped(spark):
 class Site(BaseHTTPRequestHandler):
     def do_GET(self):  # noqa: N802
         self.server.seen.append((self.path, self.headers.get("User-Agent")))
+        self.server.hosts.append(self.headers.get("Host"))
         if self.path == "/moved":
             self.send_response(302)
             self.send_header("Location", "/page")
@@ -122,7 +157,7 @@ class Site(BaseHTTPRequestHandler):
 @pytest.fixture
 def server():
     s = ThreadingHTTPServer(("127.0.0.1", 0), Site)
-    s.seen = []
+    s.seen, s.hosts = [], []
     threading.Thread(target=s.serve_forever, daemon=True).start()
     yield s
     s.shutdown()
@@ -131,12 +166,14 @@ def server():
 def test_http_source(spark, server):
     root = f"http://127.0.0.1:{server.server_port}"
     spark.dataSource.register(web.HttpPages)
-    rows = {r["url"]: r for r in spark.read.format("http_pages").option("urls", f"{root}/page\n{root}/moved\n{root}/large\n{root}/no").option("user_agent", "probe/2").load().collect()}
+    rows = {r["url"]: r for r in spark.read.format("http_pages").option("urls", f"{root}/page\n{root}/moved\n{root}/large\n{root}/no").option("user_agent", "probe/2").option("allow_private", "true").load().collect()}
     assert (rows[f"{root}/page"]["status"], rows[f"{root}/page"]["body"]) == (200, "<title>Café</title>")
     assert (rows[f"{root}/moved"]["status"], rows[f"{root}/moved"]["location"]) == (302, "/page")  # not followed here
     assert (rows[f"{root}/large"]["error"], rows[f"{root}/large"]["body"]) == ("io", None)
     assert rows[f"{root}/no"]["status"] == 404
     assert {agent for _, agent in server.seen} == {"probe/2"}
+    (row,) = spark.read.format("http_pages").option("urls", f"{root}/page").load().collect()
+    assert (row["status"], row["error"], row["body"]) == (None, "unsafe", addresses.PRIVATE)
 
 
 def test_crawl_over_http(spark, server):

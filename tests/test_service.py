@@ -12,7 +12,7 @@ from lodestone.plans.spec import CareerSpec, CrawlSpec, MatchSpec, NotFound, Val
 
 
 def service(spark, tmp_path, **more):
-    return Service(spark, f"file://{tmp_path}/engine", clock=lambda: datetime(2024, 5, 1), **more)
+    return Service(spark, f"file://{tmp_path}/engine", clock=lambda: datetime(2024, 5, 1), **{"lookup": fx.lookup, **more})
 
 
 def test_scan_from_creation_to_export(spark, tmp_path):
