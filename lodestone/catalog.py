@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import fixtures as fx
 from lodestone.functions import fetching, html, postings, scoring, skills, urls
 from lodestone.operators import frontier as fr
-from lodestone.operators import matching, robots, schedule, tables
+from lodestone.operators import addresses, matching, robots, schedule, tables
 from lodestone.plans import bfs, crawl
 from lodestone.plans.spec import CareerSpec, CrawlSpec
 from lodestone.plans.work import Work
@@ -247,6 +247,20 @@ def ssrf_ip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("id"), urls.private_address(ip).alias("blocked"), urls.private_address(ip, strict=True).alias("blocked_strict"))
 
 
+def known_addresses(host: str) -> list[str]:
+    """A made-up resolver: what a name answers follows from its first letters."""
+    return [[], ["10.0.0.9"], ["93.184.216.34", "8.8.8.8"], ["93.184.216.34", "::1"], ["fe80::2"], ["::ffff:93.184.216.34"], ["2606:2800:220::1"]][(len(host) + ord(host[0])) % 7]
+
+
+@query(f"""SELECT page_id, CASE g WHEN 0 THEN 'Host could not be resolved: ' || h WHEN 2 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE '{addresses.PRIVATE}' END AS unsafe,
+           CASE g WHEN 2 THEN '93.184.216.34' WHEN 5 THEN '::ffff:93.184.216.34' WHEN 6 THEN '2606:2800:220::1' END AS address
+           FROM (SELECT page_id, h, (length(h) + ascii(h)) % 7 AS g FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages))""")
+def address_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, looked up once by an injected resolver: why it may not be asked, or the address to connect to."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("target"))
+    return addresses.Addresses(Work(spark, "addresses").save, known_addresses).gate(pages, 0).select("page_id", "unsafe", "address")
+
+
 # --- robots -------------------------------------------------------------------
 
 
@@ -787,6 +801,16 @@ def crawl_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.frontier.select("id", F.col("canonical_url").alias("url"), (F.unix_micros("updated_at") - crawl.micros(crawl.START)).alias("slot_us"))
 
 
+@query(f"""SELECT 'first' AS crawl, k AS id, (k - 1) * 500000 AS slot_us FROM {TREE} WHERE depth <= 2
+           UNION ALL SELECT 'second', k, (k - 1 + (SELECT count(*) FROM {TREE} WHERE depth <= 2)) * 500000 FROM {TREE} WHERE depth <= 1""")
+def crawl_shared_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls of one site, started at the same time: the second's requests come after the slots that the first has reserved."""
+    root, site = Work(spark, "shared").root, tree_web(spark, sf_dir)
+    of = lambda depth: crawl.crawl(spark, CrawlSpec(TREE_SEED, max_pages=500, max_depth=depth, requests_per_second=2.0, respect_robots=False), site, shared=root).frontier
+    slots = lambda name, rows: rows.select(F.lit(name).alias("crawl"), "id", (F.unix_micros("updated_at") - crawl.micros(crawl.START)).alias("slot_us"))
+    return slots("first", of(2)).unionByName(slots("second", of(1)))
+
+
 class PausedAfter(crawl.Keeper):
     """Pauses a crawl after some rounds."""
 
