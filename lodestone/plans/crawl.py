@@ -243,16 +243,16 @@ class Front:
         now = tables.latest(self.changes, ["id"], ["turn"]).select(*FRONTIER_NAMES)
         return self.base.join(now.select("id"), "id", "left_anti").unionByName(now)
 
-    def change(self, rows: DataFrame) -> None:
-        """Adds changed and new rows."""
-        self.turn += 1
-        name = f"changes-{self.turn // FOLD_EVERY}"
-        self.changes = self.work.append(rows.select(*FRONTIER_NAMES).withColumn("turn", F.lit(self.turn)), name)
+    def change(self, rows: DataFrame) -> DataFrame:
+        """Adds changed and new rows; gives them back as stored."""
         if self.turn % FOLD_EVERY == FOLD_EVERY - 1:
-            k = self.turn // FOLD_EVERY + 1
-            self.base, self.changes = self.work.save(self.rows(), f"frontier-{k}"), None
-            self.work.drop(f"frontier-{k - 1}")
-            self.work.drop(name)
+            k = self.turn // FOLD_EVERY
+            self.base, self.changes = self.work.save(self.rows(), f"frontier-{k + 1}"), None
+            self.work.drop(f"frontier-{k}")
+            self.work.drop(f"changes-{k}")
+        self.turn += 1
+        self.changes = self.work.append(rows.select(*FRONTIER_NAMES).withColumn("turn", F.lit(self.turn)), f"changes-{self.turn // FOLD_EVERY}")
+        return self.changes.where(F.col("turn") == self.turn).drop("turn")
 
 
 def per_quantum(rows: DataFrame, per_second: float, quantum: float | None) -> DataFrame:
@@ -318,7 +318,7 @@ def crawl(
         step, old, made = step + 1, made, []
         due = per_quantum(fr.ready(rows.where(F.col("depth") == head), as_of), spec.requests_per_second, quantum).orderBy("id").limit(spec.max_pages - n_saved)
         due = save(due, "due")
-        taken = save(fr.claim(due, as_of, spec.max_pages).withColumn("updated_at", as_of), "claimed")
+        taken = fr.claim(due, as_of, spec.max_pages).withColumn("updated_at", as_of)
         keeper.claimed(taken)
         asked = taken.select("id", F.col("canonical_url").alias("url"), "depth", F.col("attempts").alias("attempt"))
         until = None if quantum is None else now + round(quantum * 1_000_000)
@@ -361,9 +361,8 @@ def crawl(
             F.col("number").alias("id"), F.lit(job_id).alias("job_id"), F.col("url").alias("canonical_url"), (F.col("depth") + 1).cast("int").alias("depth"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"),
             at.alias("next_attempt_at"), F.col("from_url").alias("discovered_from"), F.lit(None).cast("string").alias("last_error"), at.alias("created_at"), at.alias("updated_at"),
         )
-        changed = save(moved.unionByName(fresh), "changed")
+        changed = front.change(moved.unionByName(fresh))
         keeper.finished(changed.unionByName(left_out), pages.where(this).drop("round"), post)
-        front.change(changed)
         n_saved += pages.where(this).count()
         next_id += n_fresh
         _drop(work, old)
