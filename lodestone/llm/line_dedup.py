@@ -214,29 +214,29 @@ def removed_lines(docs: DataFrame, percent: int = 75, words: int = 5, scratch: S
     found = rows.mapInArrow(tidy(gather), "sid long, doc_id long, text_hash long, line int, tokens binary")
     known = members.select("sid", "places", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("t"), F.col("first.line").alias("l"))
     exact = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("line") == F.col("l"))
-    sets = found.join(bounded_broadcast(known, "places"), "sid").where(exact).select("sid", "doc_id", "line", "places", "tokens")
+    sets = found.join(bounded_broadcast(known, "places"), "sid").where(exact).select("sid", "doc_id", "line", "text_hash", "places", "tokens")
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (meeting, block or own number, sid, doc_id, line, tokens), of several meetings
+        held: list[tuple] = []  # (meeting, block or own number, sid, doc_id, line, text_hash, tokens), of several meetings
         size = 0
 
         def search() -> pa.RecordBatch:
-            sets = [np.frombuffer(h[5], "<u8") for h in held]
+            sets = [np.frombuffer(h[6], "<u8") for h in held]
             gone = sj.first_matches(sets, percent, np.array([h[0] for h in held]), np.array([h[1] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array([held[q][2] for q in gone], pa.int64())], ["sid"])
 
         for number, ((_, i, j), met) in enumerate(sj.grouped(batches, 3)):
-            met = sorted({h[1]: h for h in met}.values(), key=lambda h: (h[2], h[3], h[1]))
+            met = sorted({h[1]: h for h in met}.values(), key=lambda h: (h[2], h[3], h[4]))
             if len(met) > 1:
                 held += [(number, h[0] if i != j else k, *h[1:]) for k, h in enumerate(met)]
-                size += sum(len(h[4]) for h in met)
+                size += sum(len(h[5]) for h in met)
                 if len(held) > 4 * sj.BLOCK_SETS or size > 8 * sj.BLOCK_TOKENS:
                     yield search()
                     held, size = [], 0
         if held:
             yield search()
 
-    met = sj.meetings(sets).select("unit", "i", "j", "block", "sid", "doc_id", "line", "tokens")
+    met = sj.meetings(sets).select("unit", "i", "j", "block", "sid", "doc_id", "line", "text_hash", "tokens")
     gone = scratch.save(met.mapInArrow(tidy(later), "sid long").distinct(), "gone")
 
     flagged = classes.join(gone.withColumn("all", F.lit(True)), "sid", "left").where("copies > 1 or all")

@@ -18,7 +18,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -199,25 +199,48 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*others, "text").mapInArrow(compute, f"{kinds}, x array<double>")
 
 
-def least(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with the least hash of their doc_id, at most ``most``."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+def hashed() -> Column:
+    """The hash of doc_id by which samples are taken."""
+    return F.xxhash64("doc_id", F.lit(11))
+
+
+def least_ids(ids: Callable[[Column], DataFrame], among: int, most: int) -> DataFrame:
+    """The ``most`` distinct doc_ids with the least hashes.
+
+    ``ids``: the ids (repeated or not) of about ``among`` rows, under a
+    condition. Only a share of them is looked at, more if repeats left too few.
+    """
+    share = min(1.0, 16 * most / max(among, 1))
+    while True:
+        found = ids((hashed() / 2.0**64 + 0.5 < share) if share < 1 else F.lit(True)).select("doc_id").distinct()
+        if share >= 1 or found.count() >= most:
+            return found.orderBy(hashed(), "doc_id").limit(most)
+        share = min(1.0, 16 * share)
+
+
+def one_text(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """``picks`` (unique by doc_id) with one text each: that of the least hash, if rows of an id differ.
+
+    A row for each pick at most comes out, however many rows of an id there are.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = texts.join(F.broadcast(picks), "doc_id")
+    return met.groupBy(*picks.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on bounded samples. ``may_learn``: a condition on ``doc_id``."""
+    """Fit on bounded samples, one row for each doc_id. ``may_learn``: a condition on ``doc_id``."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(may_learn & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(may_learn & F.col("doc_id").isNotNull())
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
     prior = min(max((ones or 0) / n, 0.02), 0.98) if n else 0.5
-    positive = least(known.where("label = 1").join(ids.distinct(), "doc_id", "left_semi").select("doc_id"), max_positive)
-    unlabelled = least(ids, max_unlabelled)
+    positive = least_ids(lambda near: ids.where(near).join(known.where(near & (F.col("label") == 1)), "doc_id", "left_semi"), ones or 0, max_positive)
+    unlabelled = least_ids(ids.where, docs.count(), max_unlabelled)
     chosen = positive.withColumn("p", F.lit(1)).unionByName(unlabelled.withColumn("p", F.lit(0)))
     picks = chosen.groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = feature_rows(texts.join(F.broadcast(picks), "doc_id").select("p", "u", "text")).collect()  # bounded by the two limits
+    got = feature_rows(one_text(docs, picks).select("p", "u", "text")).collect()  # a row for each id picked, so bounded by the two limits
     xp = np.array([r["x"] for r in got if r["p"] == 1])
     xu = np.array([r["x"] for r in got if r["u"]])
     if not len(xp) or not len(xu):

@@ -9,13 +9,12 @@ with one added to a sentence where it has none ("counterfactual"), and the
 squared change of the score is penalised, so a mention of a group by itself
 doesn't move the score.
 
-Fitting uses a bounded sample: at most ``max_each`` labelled rows of either
-class, those with the least hash of their doc_id. A feature is admitted if
-``least_texts`` sample texts hold it and its share differs between the classes
-by ``least_z`` standard errors; of the admitted ones the ``max_words`` that
-tell the classes apart best enter the model, plus the identity terms. All
-three are parameters of the model, like a layer's width; scoring has no
-limits: all rows are scored, whole.
+Fitting uses a bounded sample: at most ``max_each`` labelled doc_ids of either
+class, those with the least hash, and one row of each. A feature enters the
+model if ``least_texts`` sample texts hold it and its share differs between the
+classes by ``least_z`` standard errors; this is a test of significance, not a
+number of features. Identity terms are always in. Scoring has no limits: all
+rows are scored, whole.
 
 Defined results: a null or empty text is scored as a text without words;
 several labels of one doc_id count as their largest; rows with a null doc_id
@@ -38,10 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship, tidy
-from lodestone.llm.quality import least, may_learn
+from lodestone.llm.quality import least_ids, may_learn, one_text
 
 MAX_EACH = 6000
-MAX_WORDS = 1024
 LEAST_TEXTS = 3
 LEAST_Z = 2.5
 STEM = 5
@@ -130,64 +128,66 @@ Row = tuple[frozenset, tuple[tuple[str, ...], ...], int]  # features, identity t
 def fit_counterfactual(sample: list[Row], vocabulary: list[str], penalty: float = 1.0, decay: float = 2e-4, steps: int = 300, rate: float = 0.1, turns: int = 4) -> Model:
     """Class-balanced logistic loss, L2, and the counterfactual penalty.
 
-    Texts with the same words and label are one row with a weight.
+    Texts with the same words and label are one row with a weight. Features
+    are places of a sparse matrix; identity terms, in which a twin differs from
+    its text, are dense columns of their own.
     """
     same = Counter(sample)
     rows = sorted(same, key=lambda k: (sorted(k[0]), k[1:]))
     count = np.array([same[k] for k in rows], np.float64)
     labels = np.array([k[2] for k in rows])
     total = count.sum()
-    place = {w: i for i, w in enumerate(vocabulary)}
-
-    def matrix(sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(vocabulary)), np.float32)
+    words, terms = sorted(set(vocabulary) - TERMS), sorted(TERMS)
+    place, term_place = ({w: i for i, w in enumerate(x)} for x in (words, terms))
+    held = [sorted(place[w] for w in k[0] & place.keys()) for k in rows]
+    at = np.array([x for h in held for x in h], np.int64)
+    of = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+
+    def columns(sets: list[set[str]]) -> np.ndarray:
+        x = np.zeros((len(sets), len(terms)))
         for r, s in enumerate(sets):
-            x[r, [place[w] for w in s & place.keys()]] = 1
+            x[r, [term_place[t] for t in s]] = 1
         return x
 
-    texts = [set(k[0]) for k in rows]
-    # a twin differs in identity terms only, so those columns are apart
-    own = [place[t] for t in sorted(TERMS)]
-    base = matrix(texts)
-    x = base[:, own].copy()
-    base[:, own] = 0
-    twins = [matrix([counterfactual(list(k[1]), 7 * r + t) for r, k in enumerate(rows)])[:, own] for t in range(turns)]
+    x = columns([set(k[0]) & TERMS for k in rows])
+    twins = [columns([counterfactual(list(k[1]), 7 * r + t) for r, k in enumerate(rows)]) for t in range(turns)]
     weight = count * np.where(labels == 1, 0.5 / max(1.0, count[labels == 1].sum()), 0.5 / max(1.0, count[labels == 0].sum()))
-    w, b = np.zeros(len(vocabulary)), 0.0
+    n, d = len(rows), len(words)
+    w, b = np.zeros(d + len(terms)), 0.0  # words, then terms
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-    small = lambda v: v.astype(np.float32)
     for step in range(1, steps + 1):
-        plain = base @ small(w) + b
-        s = sig(plain + x @ small(w[own]))
+        plain = np.bincount(of, w[at], n) + b
+        s = sig(plain + x @ w[d:])
         both = weight * (s - labels)
-        gw, gown = decay * w, x.T @ small(both)
+        gw = decay * w
+        gw[d:] += x.T @ both
         for xt in twins:
-            st = sig(plain + xt @ small(w[own]))
+            st = sig(plain + xt @ w[d:])
             change = 2 * penalty * count * (s - st) / (total * turns)
             up, down = change * s * (1 - s), change * st * (1 - st)
-            gown += x.T @ small(up) - xt.T @ small(down)
+            gw[d:] += x.T @ up - xt.T @ down
             both = both + up - down
-        gw += base.T @ small(both)
-        gw[own] += gown
+        gw[:d] += np.bincount(at, both[of], d)
         gb = both.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    return Model({v: float(w[i]) for v, i in place.items()}, float(b))
+    return Model({v: float(x) for v, x in zip([*words, *terms], w)}, float(b))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1,
-    max_each: int = MAX_EACH, max_words: int = MAX_WORDS, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z,
+    max_each: int = MAX_EACH, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z,
 ) -> Model:
-    """Fit on at most ``max_each`` labelled rows of each class."""
+    """Fit on at most ``max_each`` labelled doc_ids of each class, a row of each."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(may_learn(mod, held) & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    picks = least(known.where("label = 1"), max_each).unionByName(least(known.where("label = 0"), max_each))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picks), "doc_id")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picked = lambda k: least_ids(lambda near: known.where(near & (F.col("label") == k)), sizes.get(k, 0), max_each).withColumn("label", F.lit(k))
+    texts = one_text(docs, picked(1).unionByName(picked(0)))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,12 +207,17 @@ def fit(
     zeros = n - ones
     share = (F.col("p") + F.col("q")) / F.lit(n)
     strength = F.abs(F.col("p") / ones - F.col("q") / zeros) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros) + 1e-12)
-    best = counts.where(F.col("p") + F.col("q") >= least_texts).withColumn("z", strength).where(F.col("z") >= least_z)
-    best = best.orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()  # at most max_words
-    vocabulary = sorted({r["w"] for r in best} | TERMS)
-    narrow = sample.select("label", F.array_intersect("found", F.lit(vocabulary)).alias("found"), "terms").collect()  # the bounded sample, vocabulary only
+    admitted = counts.where(F.col("p") + F.col("q") >= least_texts).where(strength >= least_z)
+    vocabulary = {r["w"] for r in admitted.select("w").collect()} | TERMS  # words of the bounded sample
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([[w for w in x if w in vocabulary] for x in b.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], ["label", "found", "terms"])
+
+    rows = sample.mapInArrow(narrow, sample.schema).collect()  # the bounded sample, vocabulary only
     scratch.drop("sample")
-    return fit_counterfactual([(frozenset(r["found"]), tuple(map(tuple, r["terms"])), r["label"]) for r in narrow], vocabulary)
+    return fit_counterfactual([(frozenset(r["found"]), tuple(map(tuple, r["terms"])), r["label"]) for r in rows], sorted(vocabulary))
 
 
 def scorer(model: Model):

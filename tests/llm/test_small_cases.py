@@ -77,11 +77,54 @@ def test_exact(spark):
 
 def test_directory_doubles():
     assert exact_dedup.directory({}, 4, 10) == [(0, 0)]
+    assert exact_dedup.directory({0: 9, 3: 9}, 2, 9, (12, 5)) == [(13, 10), (13, 11)]
     got = exact_dedup.directory({0: 8, 1: 8, 8: 3}, 4, 10)
     assert got == [(4, 0), (4, 1), (3, 1), (2, 1), (1, 1)]
     assert sum(2 ** (4 - d) for d, _ in got) == 16
 
 
+def test_directory_goes_as_deep_as_it_must(spark):
+    """Keys that differ in their last bits only: no bucket stays overfull."""
+    keys = [(7 << 58) + 2 * k for k in range(64)] + [k << 50 for k in range(40)]
+    got = exact_dedup.split(spark.createDataFrame([(k,) for k in keys], "h long"), 4)
+    assert sum(2 ** (63 - d) for d, _ in got) == 2**63 and max(d for d, _ in got) > 50
+    held = [sum(k >> 1 >> (63 - d) == p for k in keys) for d, p in got]
+    assert sum(held) == len(keys) and max(held) <= 4
+
+
+def test_exact_index(spark):
+    """Small buckets on files of their own, found by the stored directory."""
+    scratch = Scratch(spark, "t")
+    rows = [(k, f"text {k % 700}") for k in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index = exact_dedup.build_index(exact_dedup.index_entries(frame), scratch, bucket_keys=20)
+    sizes = [r["count"] for r in index.buckets.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 20 and len(sizes) > 30 and index.directory.count() >= len(sizes)
+    asked = spark.createDataFrame([("TEXT 5",), ("text 650",), ("no such",), (None,), ("text 5",)], "text string")
+    got = sorted(map(tuple, index.lookup(asked).collect()), key=repr)
+    assert got == sorted([("TEXT 5", 705, 2), ("text 650", 650, 1), ("no such", None, None), (None, None, None), ("text 5", 705, 2)], key=repr)
+    many = exact_dedup.exact_duplicates(frame, bucket_keys=20).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in many) == sorted((k, k + 700 if k < 300 else k, 2 if k < 300 or k >= 700 else 1) for k in range(1000))
+
+
+def test_samples_of_repeated_ids_are_bounded(spark, monkeypatch):
+    """However many rows an id has, one is learnt from."""
+    rows = [(1, f"clean text number {k} of many") for k in range(3000)] + [(1, "the same text")] * 3000 + [(k, f"other words here {k}") for k in range(2, 60)]
+    known = labels(spark, [(k, k % 2, (k + 1) % 2) for k in range(1, 60)])
+    seen = []
+    real = quality.fit_nnpu
+    monkeypatch.setattr(quality, "fit_nnpu", lambda xp, xu, *a: seen.append((len(xp), len(xu))) or real(xp, xu, *a))
+    quality.fit(docs(spark, rows), known, quality.may_learn(), max_positive=10, max_unlabelled=20)
+    assert seen == [(10, 20)]
+    model = toxicity.fit_counterfactual
+    monkeypatch.setattr(toxicity, "fit_counterfactual", lambda sample, words: seen.append(len(sample)) or model(sample, words))
+    toxicity.fit(docs(spark, rows), known, max_each=8, least_texts=1, least_z=0.5)
+    assert seen[-1] == 16
+    ids = spark.createDataFrame([(k,) for k in [5] * 5000 + list(range(300))], "doc_id long")
+    want = [r["doc_id"] for r in ids.distinct().orderBy(quality.hashed()).limit(3).collect()]
+    assert [r["doc_id"] for r in quality.least_ids(ids.where, 5300, 3).collect()] == want
+
+
 def test_ngram(spark):
     got = by_id(ngram_join.near_duplicates(docs(spark)).collect())
     assert got[1]["component_id"] == got[2]["component_id"] == 1
@@ -134,10 +177,9 @@ def test_automaton_memory():
     """A full shard's automaton stays within its stated size."""
     import os
 
-    words = [f"word{k}" for k in range(20_000)]
     items, nodes, k = [], 0, 0
     while nodes < decontam.MAX_NODES:
-        part = [words[(k * 7919 + j * 104729) % len(words)] for j in range(100)]
+        part = [f"w{100 * k + j:08d}" for j in range(100)]  # words that no two items share
         items.append((str(k), " ".join(part)))
         nodes, k = nodes + sum(len(b) for _, b in decontam.anchors(part, 10)), k + 1
     rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
