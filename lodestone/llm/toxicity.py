@@ -122,26 +122,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-Row = tuple[frozenset, tuple[tuple[str, ...], ...], int]  # features, identity terms by sentence, label
+Row = tuple[bytes, tuple[tuple[str, ...], ...], int]  # places in the vocabulary (32-bit, ascending), identity terms by sentence, label
 
 
 def fit_counterfactual(sample: list[Row], vocabulary: list[str], penalty: float = 1.0, decay: float = 2e-4, steps: int = 300, rate: float = 0.1, turns: int = 4) -> Model:
     """Class-balanced logistic loss, L2, and the counterfactual penalty.
 
-    Texts with the same words and label are one row with a weight. Features
-    are places of a sparse matrix; identity terms, in which a twin differs from
-    its text, are dense columns of their own.
+    ``vocabulary``: words, then all identity terms, sorted. Texts with the same
+    words and label are one row with a weight. Words are places of a sparse
+    matrix; identity terms, in which a twin differs from its text, are dense
+    columns of their own.
     """
     same = Counter(sample)
-    rows = sorted(same, key=lambda k: (sorted(k[0]), k[1:]))
+    rows = sorted(same)
     count = np.array([same[k] for k in rows], np.float64)
     labels = np.array([k[2] for k in rows])
     total = count.sum()
-    words, terms = sorted(set(vocabulary) - TERMS), sorted(TERMS)
-    place, term_place = ({w: i for i, w in enumerate(x)} for x in (words, terms))
-    held = [sorted(place[w] for w in k[0] & place.keys()) for k in rows]
-    at = np.array([x for h in held for x in h], np.int64)
+    terms, d = sorted(TERMS), len(vocabulary) - len(TERMS)
+    term_place = {t: k for k, t in enumerate(terms)}
+    held = [np.frombuffer(k[0], np.int32) for k in rows]
+    every = np.concatenate([*held, np.zeros(0, np.int32)])
     of = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+    at, of = every[every < d], of[every < d]
 
     def columns(sets: list[set[str]]) -> np.ndarray:
         x = np.zeros((len(sets), len(terms)))
@@ -149,10 +151,10 @@ def fit_counterfactual(sample: list[Row], vocabulary: list[str], penalty: float
             x[r, [term_place[t] for t in s]] = 1
         return x
 
-    x = columns([set(k[0]) & TERMS for k in rows])
+    x = columns([{vocabulary[j] for j in h[h >= d].tolist()} for h in held])
     twins = [columns([counterfactual(list(k[1]), 7 * r + t) for r, k in enumerate(rows)]) for t in range(turns)]
     weight = count * np.where(labels == 1, 0.5 / max(1.0, count[labels == 1].sum()), 0.5 / max(1.0, count[labels == 0].sum()))
-    n, d = len(rows), len(words)
+    n = len(rows)
     w, b = np.zeros(d + len(terms)), 0.0  # words, then terms
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -174,7 +176,7 @@ def fit_counterfactual(sample: list[Row], vocabulary: list[str], penalty: float
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    return Model({v: float(x) for v, x in zip([*words, *terms], w)}, float(b))
+    return Model({v: float(x) for v, x in zip(vocabulary, w)}, float(b))
 
 
 def fit(
@@ -208,16 +210,18 @@ def fit(
     share = (F.col("p") + F.col("q")) / F.lit(n)
     strength = F.abs(F.col("p") / ones - F.col("q") / zeros) / F.sqrt(share * (1 - share) * F.lit(1 / ones + 1 / zeros) + 1e-12)
     admitted = counts.where(F.col("p") + F.col("q") >= least_texts).where(strength >= least_z)
-    vocabulary = {r["w"] for r in admitted.select("w").collect()} | TERMS  # words of the bounded sample
+    words = {r["w"] for r in admitted.select("w").collect()}  # of the bounded sample
+    vocabulary = sorted(words - TERMS) + sorted(TERMS)
+    place = {w: k for k, w in enumerate(vocabulary)}
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([[w for w in x if w in vocabulary] for x in b.column(1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], ["label", "found", "terms"])
+            found = [np.array(sorted(place[w] for w in x if w in place), np.int32).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["label", "found", "terms"])
 
-    rows = sample.mapInArrow(narrow, sample.schema).collect()  # the bounded sample, vocabulary only
+    rows = sample.mapInArrow(narrow, "label int, found binary, terms array<array<string>>").collect()  # the bounded sample, vocabulary only
     scratch.drop("sample")
-    return fit_counterfactual([(frozenset(r["found"]), tuple(map(tuple, r["terms"])), r["label"]) for r in rows], sorted(vocabulary))
+    return fit_counterfactual([(bytes(r["found"]), tuple(map(tuple, r["terms"])), r["label"]) for r in rows], vocabulary)
 
 
 def scorer(model: Model):

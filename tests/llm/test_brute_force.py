@@ -350,12 +350,14 @@ def test_group_mentions_stay_clean():
     """Swapping or adding an identity term hardly moves a score."""
     rng = random.Random(2)
     sample = []
+    vocabulary = ["awful", "vile", *sorted(toxicity.TERMS)]
     for i in range(300):
         bad = i % 5 == 0
         w = {f"t{rng.randrange(50)}" for _ in range(20)} | ({rng.choice(["awful", "vile"])} if bad else set())
         named = bad and rng.random() < 0.6  # the label goes along with a group in this sample
-        sample.append((frozenset(w | ({"muslims"} if named else set())), ((("muslims",),) if named else ()), int(bad)))
-    vocabulary = sorted({"awful", "vile"} | toxicity.TERMS)
+        found = w | ({"muslims"} if named else set())
+        places = np.array([k for k, v in enumerate(vocabulary) if v in found], np.int32).tobytes()
+        sample.append((places, ((("muslims",),) if named else ()), int(bad)))
     biased = toxicity.fit_counterfactual(sample, vocabulary, penalty=0.0)
     fair = toxicity.fit_counterfactual(sample, vocabulary, penalty=20.0)
     gap = lambda m: m.score("the muslims came home") - m.score("the people came home")
