@@ -36,6 +36,40 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, cases: fx.Fixture, table: str, key: str, vary: str | None = None) -> DataFrame:
+    """A case of a rule for every row of a table, in turn by its key, which is the id; ``vary``: a text that the key is added to."""
+    rows = read(spark, sf_dir, table).select(F.col(key).alias("_key"))
+    turn = {r[0]: k for k, r in enumerate(sorted(cases.rows, key=lambda r: r[0]))}
+    few = cases.frame(spark).withColumn("_turn", F.element_at(F.create_map(*[F.lit(x) for kv in turn.items() for x in kv]), F.col("id"))).drop("id")
+    met = rows.join(F.broadcast(few), F.col("_key") % len(cases.rows) == F.col("_turn"))
+    text = {vary: F.concat(F.col(vary), F.lit(" "), F.col("_key").cast("string"))} if vary else {}
+    return met.withColumns(text).select(F.col("_key").alias("id"), *(c for c in cases.columns if c != "id"))
+
+
+def spread_sql(cases: fx.Fixture, table: str, key: str, vary: str | None = None) -> str:
+    kept = [f"{c} || ' ' || {key} AS {c}" if c == vary else c for c in cases.columns if c != "id"]
+    return f"(SELECT {key} AS id, {', '.join(kept)} FROM {table} JOIN (SELECT *, row_number() OVER (ORDER BY id) - 1 AS turn FROM {cases.sql()}) ON {key} % {len(cases.rows)} = turn)"
+
+
+JOB_SKILLS = ("Java", "SQL", "Spring Boot", "Kafka", "AWS", "Terraform")
+PART_JOBS = f"""(SELECT 'job-' || p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand || ' "' || p_size || '"' END AS company, p_type AS location,
+    list_filter([{', '.join(f"CASE WHEN p_partkey % {k + 2} = 0 THEN {fx.literal(n)} END" for k, n in enumerate(JOB_SKILLS))}], lambda x: x IS NOT NULL) AS skills,
+    p_size || ' years' AS experience, 'full' || chr(10) || 'time' AS employment_type, 'http://jobs.example/' || p_partkey AS source_url, 'JSON_LD' AS extraction_method,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(p_partkey * 37 % 1000 AS INTEGER)) AS discovered_at FROM part)"""
+
+
+def part_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting for every part."""
+    k, s = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    wanted = F.array_compact(F.array(*(F.when(k % (i + 2) == 0, n) for i, n in enumerate(JOB_SKILLS))))
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("job-"), s("p_partkey")).alias("id"), F.lit("scan").alias("scan_id"), F.lit("page").alias("page_id"), F.concat(F.lit("http://jobs.example/"), s("p_partkey")).alias("source_url"),
+        F.col("p_name").alias("title"), F.when(k % 7 != 0, F.concat("p_brand", F.lit(' "'), s("p_size"), F.lit('"'))).alias("company"), F.col("p_type").alias("location"), wanted.alias("skills"),
+        F.concat(s("p_size"), F.lit(" years")).alias("experience"), F.lit("full\ntime").alias("employment_type"), F.col("p_name").alias("description"), F.lit("JSON_LD").alias("extraction_method"),
+        F.timestamp_seconds(F.lit(1704067200) + k * 37 % 1000 * 3600).alias("discovered_at"),
+    )
+
+
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -106,12 +140,12 @@ def url_canonicalize_general(spark: SparkSession, sf_dir: str) -> DataFrame:
          CASE WHEN s <> '' THEN CASE WHEN p = '' THEN '/' ELSE p END || q END AS target
        FROM (SELECT id, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS a,
                TRY_CAST(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INTEGER) AS port,
-               regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[a-z]+://[^?#]*(\\?[^#]*)', 1) AS q FROM {fx.PORTS.sql()})"""
+               regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[a-z]+://[^?#]*(\\?[^#]*)', 1) AS q FROM {spread_sql(fx.PORTS, 'supplier', 's_suppkey')})"""
 )
 def url_parts_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     ok = urls.scheme(u) != ""
-    return fx.PORTS.frame(spark).select(
+    return spread(spark, sf_dir, fx.PORTS, "supplier", "s_suppkey").select(
         "id", F.when(ok, urls.effective_port(u)).alias("port"), F.when(ok, urls.origin(u)).alias("origin"), F.when(ok, urls.limiter_key(u)).alias("limiter_key"), F.when(ok, urls.robots_target(u)).alias("target")
     )
 
@@ -150,11 +184,11 @@ def host_boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
           regexp_matches(hb, '(^|\\.)(greenhouse\\.io|lever\\.co|myworkdayjobs\\.com|ashbyhq\\.com|smartrecruiters\\.com|icims\\.com|jobvite\\.com|workable\\.com)$') AS ats, regexp_replace(hb, '^www\\.', '') AS company
         FROM (SELECT id, lower({HOST_SQL.format(u='a')}) AS ha, lower({HOST_SQL.format(u='b')}) AS hb,
                coalesce(TRY_CAST(nullif(regexp_extract(a, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INT), CASE WHEN starts_with(a, 'https') THEN 443 ELSE 80 END) AS pa,
-               coalesce(TRY_CAST(nullif(regexp_extract(b, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INT), CASE WHEN starts_with(b, 'https') THEN 443 ELSE 80 END) AS pb FROM {fx.HOSTS.sql()})"""
+               coalesce(TRY_CAST(nullif(regexp_extract(b, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS INT), CASE WHEN starts_with(b, 'https') THEN 443 ELSE 80 END) AS pb FROM {spread_sql(fx.HOSTS, 'supplier', 's_suppkey')})"""
 )
 def org_boundary_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return fx.HOSTS.frame(spark).select("id", urls.same_host(a, b).alias("strict"), urls.same_organization(a, b).alias("wide"), urls.is_ats(b).alias("ats"), F.lower(urls.company_of(b)).alias("company"))
+    return spread(spark, sf_dir, fx.HOSTS, "supplier", "s_suppkey").select("id", urls.same_host(a, b).alias("strict"), urls.same_organization(a, b).alias("wide"), urls.is_ats(b).alias("ats"), F.lower(urls.company_of(b)).alias("company"))
 
 
 @query("SELECT s_suppkey AS id, s_suppkey % 6 IN (0,1,2,5) AND (s_suppkey % 6 IN (0,3,4) OR s_suppkey % 4 IN (0,3)) AS follow, s_suppkey % 6 IN (0,1,2,5) AS redirect FROM supplier")
@@ -327,20 +361,20 @@ def robots_cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN contains(k, 'text/html') OR contains(k, 'application/xhtml+xml') THEN 'DONE' ELSE 'SKIPPED' END AS state,
           CASE WHEN error IS NULL THEN CASE WHEN status IN (408,425,429) OR status >= 500 OR status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status
             WHEN NOT (contains(k, 'text/html') OR contains(k, 'application/xhtml+xml')) THEN 'Unsupported content type: ' || k END END AS message
-        FROM (SELECT *, lower(coalesce(content_type, 'application/octet-stream')) AS k FROM {fx.RESPONSES.sql()})""")
+        FROM (SELECT *, lower(coalesce(content_type, 'application/octet-stream')) AS k FROM {spread_sql(fx.RESPONSES, 'orders', 'o_orderkey')})""")
 def fetch_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = fetching.content_type(F.col("content_type"))
     by_error = fetching.error_state(F.col("error"), F.col("attempts"))
     state = F.when(F.col("error").isNotNull(), by_error).otherwise(fetching.outcome(F.col("status"), k, F.col("attempts")))
     message = F.when(F.col("error").isNull(), fetching.outcome_message(F.col("status"), k))
-    return fx.RESPONSES.frame(spark).select("id", state.alias("state"), message.alias("message"))
+    return spread(spark, sf_dir, fx.RESPONSES, "orders", "o_orderkey").select("id", state.alias("state"), message.alias("message"))
 
 
 @query(f"""SELECT id, CAST(least(60, greatest(ra, 2 * pow(2, greatest(0, attempts - 1)))) AS BIGINT) AS wait_s, ra AS retry_after_s
-           FROM (SELECT id, attempts, greatest(0, coalesce(TRY_CAST(trim(retry_after) AS BIGINT), 0)) AS ra FROM {fx.RESPONSES.sql()})""")
+           FROM (SELECT id, attempts, greatest(0, coalesce(TRY_CAST(trim(retry_after) AS BIGINT), 0)) AS ra FROM {spread_sql(fx.RESPONSES, 'orders', 'o_orderkey')})""")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ra = scoring.retry_after(F.col("retry_after"))
-    return fx.RESPONSES.frame(spark).select("id", scoring.backoff_seconds(F.col("attempts"), ra).alias("wait_s"), ra.alias("retry_after_s"))
+    return spread(spark, sf_dir, fx.RESPONSES, "orders", "o_orderkey").select("id", scoring.backoff_seconds(F.col("attempts"), ra).alias("wait_s"), ra.alias("retry_after_s"))
 
 
 @query("SELECT event_id, greatest(25, least(500, event_id * 37 % 1000 - 100)) AS wait_ms FROM events")
@@ -627,9 +661,9 @@ def skills_sql(entries, source: str, text: str = "text") -> str:
     return f"array_to_string(list_filter([{tests}], lambda x: x IS NOT NULL), ',')"
 
 
-@query(f"SELECT id, {skills_sql(skills.CATALOG, '')} AS skills FROM {fx.TEXTS.sql()}")
+@query(f"SELECT id, {skills_sql(skills.CATALOG, '')} AS skills FROM {spread_sql(fx.TEXTS, 'customer', 'c_custkey', 'text')}")
 def skill_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.TEXTS.frame(spark).select("id", F.array_join(skills.detect(F.col("text")), ",").alias("skills"))
+    return spread(spark, sf_dir, fx.TEXTS, "customer", "c_custkey", "text").select("id", F.array_join(skills.detect(F.col("text")), ",").alias("skills"))
 
 
 # Words of the corpus, so that the operator has work on the document table.
@@ -648,9 +682,9 @@ _GAP = f"list_filter(skills, lambda s: NOT list_contains({fx.literal(RESUME_SKIL
 
 
 @query(f"""SELECT id, CAST(CASE WHEN len(skills) = 0 THEN 35 ELSE floor(20 + 80.0 * len({_OVERLAP}) / len(skills) + 0.5) END AS INTEGER) AS score, array_to_string({_OVERLAP}, ',') AS matched, array_to_string({_GAP}, ',') AS missing,
-           CASE WHEN len(skills) = 0 THEN 'The posting did not expose enough recognized skills for a high-confidence score.' ELSE len({_OVERLAP}) || ' of ' || len(skills) || ' recognized job skills appear in the resume.' END AS summary FROM {fx.JOBS.sql()}""")
+           CASE WHEN len(skills) = 0 THEN 'The posting did not expose enough recognized skills for a high-confidence score.' ELSE len({_OVERLAP}) || ' of ' || len(skills) || ' recognized job skills appear in the resume.' END AS summary FROM {PART_JOBS}""")
 def skill_match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matching.match(fx.JOBS.frame(spark), RESUME).matches
+    m = matching.match(part_jobs(spark, sf_dir), RESUME).matches
     return m.select("id", "score", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "summary")
 
 
@@ -663,9 +697,9 @@ def experience_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scoring.experience(text).alias("experience"))
 
 
-@query(f"SELECT id, regexp_matches(lower(coalesce(title, '')), '\\b({'|'.join(scoring.ROLE_WORDS)})\\b') AS is_role FROM {fx.TITLES.sql()}")
+@query(f"SELECT id, regexp_matches(lower(coalesce(title, '')), '\\b({'|'.join(scoring.ROLE_WORDS)})\\b') AS is_role FROM {spread_sql(fx.TITLES, 'part', 'p_partkey', 'title')}")
 def role_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.TITLES.frame(spark).select("id", scoring.is_role_title(F.col("title")).alias("is_role"))
+    return spread(spark, sf_dir, fx.TITLES, "part", "p_partkey", "title").select("id", scoring.is_role_title(F.col("title")).alias("is_role"))
 
 
 _FILLER = "A small crew looks after many machines here, reads every alarm with care, writes down what was learned, and leaves each place tidier than it was found."
@@ -690,10 +724,10 @@ def posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", "p.title", "p.company", "p.location", F.array_join(F.array_sort("p.skills"), ",").alias("skills"), "p.experience", "p.employment_type", "p.extraction_method")
 
 
-@query(f"SELECT id, array_to_string(skills, ',') AS back, to_json(skills) AS stored FROM {fx.JOBS.sql()}")
+@query(f"SELECT id, array_to_string(skills, ',') AS back, to_json(skills) AS stored FROM {PART_JOBS}")
 def skills_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = skills.to_json_list(F.col("skills"))
-    return fx.JOBS.frame(spark).select("id", F.array_join(skills.from_json_list(stored), ",").alias("back"), stored.alias("stored"))
+    return part_jobs(spark, sf_dir).select("id", F.array_join(skills.from_json_list(stored), ",").alias("back"), stored.alias("stored"))
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 3 THEN 2 ELSE 0 END AS n FROM orders")
@@ -711,40 +745,46 @@ def _csv_sql(c: str) -> str:
     return f"""'"' || replace(replace(replace(coalesce({c}, ''), '"', '""'), chr(13), ' '), chr(10), ' ') || '"'"""
 
 
-@query("SELECT id, " + " || ',' || ".join(_csv_sql("array_to_string(skills, ' | ')" if c == "skills" else c) for c in export.CSV_COLUMNS) + f" AS line FROM {fx.JOBS.sql()}")
+@query("SELECT id, " + " || ',' || ".join(_csv_sql("array_to_string(skills, ' | ')" if c == "skills" else c) for c in export.CSV_COLUMNS) + f" AS line FROM {PART_JOBS}")
 def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.csv_rows(fx.JOBS.frame(spark))
+    return export.csv_rows(part_jobs(spark, sf_dir))
 
 
-@query(f"SELECT 'jobs.json' AS filename, 'application/json' AS mime, title, company, location, array_to_string(skills, ',') AS skills, source_url AS \"sourceUrl\" FROM {fx.JOBS.sql()}")
+@query(f"SELECT 'jobs.json' AS filename, 'application/json' AS mime, title, company, location, array_to_string(skills, ',') AS skills, source_url AS \"sourceUrl\" FROM {PART_JOBS}")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exported array, parsed back (white space differs between engines)."""
-    out = export.json_document(fx.JOBS.frame(spark)).select("filename", "mime", F.decode("payload", "UTF-8").alias("payload"))
+    out = export.json_document(part_jobs(spark, sf_dir)).select("filename", "mime", F.decode("payload", "UTF-8").alias("payload"))
     kind = "array<struct<title: string, company: string, location: string, skills: array<string>, sourceUrl: string>>"
     rows = out.select("filename", "mime", F.explode(F.from_json("payload", kind)).alias("r"))
     return rows.select("filename", "mime", "r.title", "r.company", "r.location", F.array_join("r.skills", ",").alias("skills"), "r.sourceUrl")
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY discovered_at, title) AS INTEGER) AS pos, id FROM {fx.JOBS.sql()}")
+@query(f"SELECT CAST(row_number() OVER (ORDER BY discovered_at, title, id) AS INTEGER) AS pos, id FROM {PART_JOBS}")
 def posting_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings in listing order, numbered."""
-    rows, _ = crawl.numbered(Work(spark, "listing"), fx.JOBS.frame(spark), ["discovered_at", "title"], 1, "rows")
+    rows, _ = crawl.numbered(Work(spark, "listing"), part_jobs(spark, sf_dir), ["discovered_at", "title", "id"], 1, "rows")
     return rows.select(F.col("number").cast("int").alias("pos"), "id")
 
 
-ANSWER = '{"matches":[{"jobId":"job-01","score":140,"matchedSkills":["Java"],"missingSkills":[],"summary":"good"},{"jobId":"job-00","score":-5,"matchedSkills":[],"missingSkills":["AWS"],"summary":"weak"},{"jobId":"nobody","score":50,"matchedSkills":[],"missingSkills":[],"summary":"x"}]}'
-
-
-@query("SELECT * FROM (VALUES ('job-01','Backend Engineer',100,'Java','','good'),('job-00','ML Engineer',0,'','AWS','weak')) t(id, title, score, matched, missing, summary)")
+@query(f"""SELECT 'job-' || p_partkey AS id, p_name AS title, CAST(greatest(0, least(100, p_size * 7 - 50)) AS INTEGER) AS score, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'Java' END AS matched, p_brand AS missing,
+           CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'fits ' || p_size END AS summary FROM part""")
 def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.parsed_answer(spark.createDataFrame([(ANSWER,)], "text string"), fx.JOBS.frame(spark))
+    """An answer for every posting, one of a posting that nobody knows, and missing fields."""
+    k = F.col("p_partkey")
+    found = F.struct(
+        F.concat(F.lit("job-"), k.cast("string")).alias("jobId"), (F.col("p_size") * 7 - 50).cast("int").alias("score"), F.when(k % 4 != 0, F.array(F.lit("Java"))).alias("matchedSkills"),
+        F.array("p_brand").alias("missingSkills"), F.when(k % 5 != 0, F.concat(F.lit("fits "), F.col("p_size").cast("string"))).alias("summary"),
+    )
+    stranger = F.struct(F.lit("nobody").alias("jobId"), F.lit(50).alias("score"), F.array(F.lit("x")).alias("matchedSkills"), F.array(F.lit("x")).alias("missingSkills"), F.lit("x").alias("summary"))
+    answers = read(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(found, stranger).alias("matches"))).alias("text"))
+    out = matching.parsed_answer(answers, part_jobs(spark, sf_dir))
     return out.select("id", "title", "score", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "summary")
 
 
-@query(f"""SELECT id AS "jobId", title, CAST(CASE WHEN len(skills) = 0 THEN 35 ELSE floor(20 + 80.0 * len({_OVERLAP}) / len(skills) + 0.5) END AS INTEGER) AS "baselineScore" FROM {fx.JOBS.sql()} ORDER BY discovered_at, title, id LIMIT 15""")
+@query(f"""SELECT id AS "jobId", title, CAST(CASE WHEN len(skills) = 0 THEN 35 ELSE floor(20 + 80.0 * len({_OVERLAP}) / len(skills) + 0.5) END AS INTEGER) AS "baselineScore" FROM {PART_JOBS} ORDER BY discovered_at, title, id LIMIT 15""")
 def llm_payload_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifteen jobs of the listing; the limit is the feature."""
-    return matching.prompt_rows(fx.JOBS.frame(spark), RESUME).select("jobId", "title", "baselineScore")
+    return matching.prompt_rows(part_jobs(spark, sf_dir), RESUME).select("jobId", "title", "baselineScore")
 
 
 # --- whole crawls -------------------------------------------------------------
