@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestone import fixtures as fx
 from lodestone.functions import fetching, html, postings, scoring, skills, urls
 from lodestone.operators import frontier as fr
-from lodestone.operators import addresses, matching, robots, schedule, tables
-from lodestone.plans import bfs, crawl
+from lodestone.operators import addresses, bulk_matching, matching, robots, schedule, tables
+from lodestone.plans import bfs, crawl, documents
 from lodestone.plans.spec import CareerSpec, CrawlSpec
 from lodestone.plans.work import Work
 from lodestone.sources import export, web
@@ -787,6 +789,79 @@ def llm_payload_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prompt_rows(part_jobs(spark, sf_dir), RESUME).select("jobId", "title", "baselineScore")
 
 
+# --- many résumés, whole documents --------------------------------------------
+
+OWN_SKILLS = (*JOB_SKILLS, "Python", "Docker")
+PEOPLE = f"""(SELECT c_custkey AS id, list_filter([{', '.join(f"CASE WHEN c_custkey // {k + 1} % 3 = 0 THEN {fx.literal(n)} END" for k, n in enumerate(OWN_SKILLS))}], lambda x: x IS NOT NULL) AS own FROM customer)"""
+PEOPLE_JOBS = f"""(SELECT p.id AS resume_id, j.id AS job_id, CAST(len(list_filter(skills, lambda s: list_contains(own, s))) AS INTEGER) AS matched, CAST(len(skills) AS INTEGER) AS wanted, discovered_at, title,
+    CAST(CASE WHEN wanted = 0 THEN 35 ELSE floor(20 + 80.0 * matched / wanted + 0.5) END AS INTEGER) AS score FROM {PEOPLE} p, {PART_JOBS} j)"""
+BEST = f"(SELECT *, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, discovered_at, title, job_id) AS INTEGER) AS rank FROM {PEOPLE_JOBS})"
+
+
+def customer_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A résumé for every customer, naming some skills."""
+    k = F.col("c_custkey")
+    own = F.array_compact(F.array(*(F.when(F.floor(k / (i + 1)) % 3 == 0, n) for i, n in enumerate(OWN_SKILLS))))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("Number "), k.cast("string"), F.lit(" knows: "), F.array_join(own, ", "), F.lit(".")).alias("text"))
+
+
+@query(f"SELECT resume_id, rank, job_id, score, matched, wanted FROM {BEST} WHERE rank <= 10")
+def match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best postings of every résumé; the ten are the feature."""
+    people = customer_resumes(spark, sf_dir).select("id", skills.detect(F.col("text")).alias("skills"))
+    return bulk_matching.best_matches(people, part_jobs(spark, sf_dir))
+
+
+def odd_matcher(body: dict) -> str:
+    """Stands for the outside matcher: fails for every fifth résumé, answers nothing to the next, else seven points above the overlap."""
+    told = json.loads(body["input"].split("\n", 1)[1])
+    number = int(re.search(r"\d+", told["resume"])[0])
+    if number % 5 == 0:
+        raise ConnectionError("no route")
+    if number % 5 == 1:
+        return json.dumps({"output": []})
+    fits = [{"jobId": j["jobId"], "score": j["baselineScore"] + 7, "matchedSkills": j["skills"], "missingSkills": None, "summary": f"fits {number}"} for j in [*told["jobs"], {"jobId": "nobody", "baselineScore": 99, "skills": []}]]
+    return json.dumps({"output": [{"content": [{"type": "output_text", "text": json.dumps({"matches": fits})}]}]})
+
+
+@query(f"""WITH told AS (SELECT id FROM {PART_JOBS} ORDER BY discovered_at, title, id LIMIT 15),
+           judged AS (SELECT *, least(100, score + 7) AS said FROM {PEOPLE_JOBS} WHERE resume_id % 5 > 1 AND job_id IN (SELECT id FROM told))
+           SELECT resume_id, 'OPENAI:odd' AS method, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY said DESC, discovered_at, title, job_id) AS INTEGER) AS rank, job_id, said AS score, wanted AS matched, CAST(0 AS INTEGER) AS missing, 'fits ' || resume_id AS summary FROM judged
+           UNION ALL SELECT resume_id, 'DETERMINISTIC', rank, job_id, score, matched, wanted - matched,
+           CASE WHEN wanted = 0 THEN 'The posting did not expose enough recognized skills for a high-confidence score.' ELSE matched || ' of ' || wanted || ' recognized job skills appear in the resume.' END FROM {BEST} WHERE resume_id % 5 <= 1 AND rank <= 15""")
+def match_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every résumé judged by an outside matcher that sometimes fails; fifteen postings a request are the feature."""
+    return bulk_matching.match_each(customer_resumes(spark, sf_dir), part_jobs(spark, sf_dir), odd_matcher, "odd", pause=0.0)
+
+
+def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting for every order, with quotes and line breaks, many of one instant."""
+    k, none = F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    return read(spark, sf_dir, "orders").select(
+        k.alias("id"), F.lit("scan").alias("scan_id"), F.lit("page").alias("page_id"), F.concat(F.lit("http://jobs.example/"), k).alias("source_url"), F.concat("o_orderpriority", F.lit(' "'), "o_orderstatus", F.lit('"')).alias("title"),
+        none.alias("company"), F.lit("Hall\r\n7").alias("location"), F.array(F.lit("SQL"), F.col("o_orderstatus")).alias("skills"), F.lit("").alias("experience"), none.alias("employment_type"), none.alias("description"),
+        F.lit("JSON_LD").alias("extraction_method"), F.col("o_orderdate").cast("timestamp").alias("discovered_at"),
+    )
+
+
+_ORDER_TITLE = """o_orderpriority || ' "' || o_orderstatus || '"'"""
+_ORDER_AT = f"row_number() OVER (ORDER BY CAST(o_orderdate AS TIMESTAMP), {_ORDER_TITLE}, CAST(o_orderkey AS VARCHAR))"
+_ORDER_LINE = f"""concat_ws(',', '"' || replace({_ORDER_TITLE}, '"', '""') || '"', '""', '"Hall  7"', '"SQL | ' || o_orderstatus || '"', '""', '""', '"http://jobs.example/' || o_orderkey || '"', '"JSON_LD"')"""
+
+
+@query(f"""SELECT 'csv' AS kind, {_ORDER_AT} + 1 AS pos, {_ORDER_LINE} AS line FROM orders UNION ALL SELECT 'csv', 1, {fx.literal(export.CSV_HEADER)}
+           UNION ALL SELECT 'json', {_ORDER_AT}, o_orderkey || ' ' || {_ORDER_TITLE} FROM orders""")
+def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as one document over several files and read again in its order."""
+    work, jobs = Work(spark, "export"), order_postings(spark, sf_dir)
+    for kind in ("csv", "json"):
+        documents.write_document(jobs, f"{work.root}/{kind}", kind, rows_a_part=4_000)
+    sheet = documents.document_lines(spark, f"{work.root}/csv")
+    lines = documents.document_lines(spark, f"{work.root}/json")
+    item = F.from_json(F.regexp_replace("line", r"^[\[,]|\]$", ""), "id string, title string")  # a line is an item, its comma, and the array's ends
+    return sheet.select(F.lit("csv").alias("kind"), F.col("number").alias("pos"), "line").unionByName(lines.select(F.lit("json").alias("kind"), F.col("number").alias("pos"), F.concat_ws(" ", item["id"], item["title"]).alias("line")))
+
+
 # --- whole crawls -------------------------------------------------------------
 
 

@@ -67,9 +67,9 @@ def response_schema() -> dict:
     return {"type": "object", "additionalProperties": False, "required": ["matches"], "properties": {"matches": {"type": "array", "items": item}}}
 
 
-def payload(jobs: DataFrame, resume: str, model: str) -> dict:
-    """The request body; at most fifteen jobs are collected."""
-    told = {"resume": (resume or "")[:PROMPT_RESUME], "jobs": [r.asDict(recursive=True) for r in prompt_rows(jobs, resume).collect()]}
+def request(jobs: list[dict], resume: str, model: str) -> dict:
+    """The request body about the jobs that the matcher is told of."""
+    told = {"resume": (resume or "")[:PROMPT_RESUME], "jobs": jobs}
     return {
         "model": model,
         "store": False,
@@ -80,6 +80,11 @@ def payload(jobs: DataFrame, resume: str, model: str) -> dict:
     }
 
 
+def payload(jobs: DataFrame, resume: str, model: str) -> dict:
+    """The request body; at most fifteen jobs are collected."""
+    return request([r.asDict(recursive=True) for r in prompt_rows(jobs, resume).collect()], resume, model)
+
+
 ANSWER = "matches array<struct<jobId: string, score: int, matchedSkills: array<string>, missingSkills: array<string>, summary: string>>"
 
 
