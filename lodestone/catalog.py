@@ -789,6 +789,25 @@ def llm_payload_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prompt_rows(part_jobs(spark, sf_dir), RESUME).select("jobId", "title", "baselineScore")
 
 
+@query("""SELECT k AS id, CASE WHEN k % 11 = 0 THEN 'http://10.0.0.5/' ELSE 'http://tree.example/' END || CASE WHEN k % 7 = 0 THEN 'gone-' ELSE '' END || k AS url, CAST(CASE WHEN k % 11 = 0 THEN NULL WHEN k % 7 = 0 THEN 404 WHEN k % 3 = 0 THEN 503 ELSE 200 END AS INTEGER) AS status,
+          CASE WHEN k % 11 = 0 THEN 'unsafe' END AS error, CAST(1 AS BIGINT) AS times FROM (SELECT c_custkey AS k FROM customer)""")
+def stream_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for every customer's page that come in four parts, every fifth again in the next one; the stream starts again for each."""
+    from lodestone.streaming import fetching as fetches
+    from lodestone.streaming import stateful
+
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(k, F.concat(F.when(k % 11 == 0, "http://10.0.0.5/").otherwise("http://tree.example/"), F.when(k % 7 == 0, "gone-").otherwise(""), k.cast("string")).alias("url"), F.lit(1).alias("attempt"))
+    rows = rows.withColumn("part", stateful.quarter(rows, k))
+    rows = rows.unionByName(rows.where("c_custkey % 5 = 0").withColumn("part", F.least(F.col("part") + 1, F.lit(3))))
+    work, site = Work(spark, "requests"), tree_web(spark, sf_dir, flaky=3)
+    for part in range(4):
+        work.append(rows.where(F.col("part") == part).select("url", "attempt"), "in")
+        fetches.fetch_stream(spark, f"{work.root}/in", f"{work.root}/out", f"{work.root}/checkpoint", site, fx.lookup).awaitTermination()
+    got = fetches.fetched(spark, f"{work.root}/out")
+    return got.groupBy(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("id"), "url", "status", "error").agg(F.count("*").alias("times"))
+
+
 # --- many résumés, whole documents --------------------------------------------
 
 OWN_SKILLS = (*JOB_SKILLS, "Python", "Docker")

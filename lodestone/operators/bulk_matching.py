@@ -18,7 +18,7 @@ from lodestone.operators import matching
 from lodestone.plans.work import Work
 
 TOP = 10
-FLOORS = (100, 80, 60, 40, 0)  # a round looks at scores from here on; the last at all
+FLOORS = (100, 70, 0)  # a round looks at scores from here on; the last at all
 BLOCK = 50_000  # skill sets of résumés that meet one list of postings in one task
 SALTS = 16
 NAMES = tuple(name for name, _ in skills.CATALOG)
