@@ -29,10 +29,13 @@ def skill_bits(names: Column, vocabulary: Sequence[str]) -> Column:
     """A set of skills as a long: bit k for the k-th name; other names have no bit."""
     if len(vocabulary) > 63:
         raise ValueError("at most 63 skills fit a long")
-    if not vocabulary:
-        return F.lit(0).cast("long")
-    bit = F.create_map(*[x for k, n in enumerate(vocabulary) for x in (F.lit(n), F.lit(1 << k).cast("long"))])
-    return F.aggregate(names, F.lit(0).cast("long"), lambda out, n: out.bitwiseOR(F.coalesce(F.element_at(bit, n), F.lit(0).cast("long"))))
+    known = F.split(F.lit("\x1f".join(vocabulary)), "\x1f")  # one literal, not one for each name
+
+    def bit(name: Column) -> Column:
+        at = F.array_position(known, name).cast("int")
+        return F.when(at > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at - 1)).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(names, F.lit(0).cast("long"), lambda out, n: out.bitwiseOR(bit(n)))
 
 
 def rarest_first(jobs: DataFrame, vocabulary: Sequence[str]) -> list[str]:

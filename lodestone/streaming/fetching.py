@@ -39,10 +39,10 @@ def fetch_stream(
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         folder = f"{out}/batch={number}"
-        if _stored(session, folder):
-            return
         work = Work(session, "fetch")
-        rows = work.save(batch, "requests")  # state is read once, not for each use
+        rows = work.save(batch, "requests")  # the state moves on with this, and once, also for answers that are there
+        if _stored(session, folder):
+            return work.drop()
         hosts = rows.withColumn("target", F.col("url"))
         gated = addresses.Addresses(work.save, lookup).gate(hosts, int(now() * 1e6)).drop("target") if lookup else rows.withColumns({"unsafe": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
         gated = work.save(gated, "gated")
