@@ -386,6 +386,26 @@ def test_nnpu_learns_from_positives_and_unlabelled():
     assert (m.scores(good) > 0.5).mean() > 0.9 and (m.scores(bad) < 0.5).mean() > 0.9
 
 
+def near_survivors(texts):
+    """The least id of each group of similar texts, by comparing all pairs; equal sets with a shingle are linked too."""
+    ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(ascii_lower))
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if similar(sets[a], sets[b]):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {i for i in texts if find(i) == i}
+
+
 def test_pipeline(spark):
     """Every stage's survivors against its own decisions, in plain Python."""
     import corpus_pipeline as cp
@@ -404,6 +424,11 @@ def test_pipeline(spark):
                 key = t.encode().lower()
                 best[key] = max(i, best.get(key, i))
             assert set(rows) == set(best.values())
+        if name == "quality classifier":
+            scored = quality.quality_scores(table(spark, SF, "documents"), table(spark, SF, "labels"))
+            assert set(rows) == {r["doc_id"] for r in scored.where("predicted = 1").collect()} != set(kept)
+        if name == "n-gram Jaccard join":
+            assert set(rows) == near_survivors(kept) != set(kept)
         if name == "benchmark decontamination":
             assert not [r for r in decontam.contamination(docs, table(spark, SF, "benchmark")).collect() if r["n_hit"]]
         kept = rows
