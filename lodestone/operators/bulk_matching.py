@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import queue
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scoring, skills
-from lodestone.operators import matching
+from lodestone.operators import matching, tables
 from lodestone.plans.work import Work
 
 TOP = 10
@@ -119,31 +120,57 @@ def _pairs(people: DataFrame, sets: DataFrame, floor: int, names: int, blocks: i
 # --- the outside matcher --------------------------------------------------------
 
 
-def patiently(call: Callable[[], str], attempts: int, timeout: float, pause: float) -> tuple[str | None, int, str | None]:
-    """``(answer, attempts, error)`` of a call that may fail or never return.
+def _serve(calls: queue.SimpleQueue, answers: queue.SimpleQueue) -> None:
+    while (call := calls.get()) is not None:
+        try:
+            answers.put((call(), None))
+        except Exception as e:  # whatever the outside does is this request's failure only
+            answers.put((None, f"{type(e).__name__}: {e}"))
 
-    A call out of time is left to its own (daemon) thread and counts as failed.
+
+class Caller:
+    """Makes calls in a (daemon) thread of its own, one after another.
+
+    A call out of time is left to its thread and counts as failed; the next one
+    gets a new thread.
     """
-    error = None
-    for attempt in range(1, attempts + 1):
-        answer: list = []
 
-        def run(answer=answer):
-            try:
-                answer.append((call(), None))
-            except Exception as e:  # whatever the outside does is this request's failure only
-                answer.append((None, f"{type(e).__name__}: {e}"))
-
-        thread = threading.Thread(target=run, daemon=True)
-        thread.start()
-        thread.join(timeout)
-        text, error = answer[0] if answer else (None, "timeout")
-        if text is not None:
-            return text, attempt, None
-        error = error or "no answer"
-        if attempt < attempts:
-            time.sleep(pause * 2 ** (attempt - 1))
-    return None, attempts, error
+    def __init__(self):
+        self.calls: queue.SimpleQueue | None = None
+
+    def answer(self, call: Callable[[], str], timeout: float) -> tuple[str | None, str | None]:
+        if self.calls is None:
+            self.calls, self.answers = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=_serve, args=(self.calls, self.answers), daemon=True).start()
+        self.calls.put(call)
+        try:
+            return self.answers.get(timeout=timeout)
+        except queue.Empty:
+            self.close()
+            return None, "timeout"
+
+    def close(self) -> None:
+        """The thread ends, if its call ever does."""
+        if self.calls is not None:
+            self.calls.put(None)
+            self.calls = None
+
+
+def patiently(call: Callable[[], str], attempts: int, timeout: float, pause: float, caller: Caller | None = None) -> tuple[str | None, int, str | None]:
+    """``(answer, attempts, error)`` of a call that may fail or never return."""
+    by, error = caller or Caller(), None
+    try:
+        for attempt in range(1, attempts + 1):
+            text, error = by.answer(call, timeout)
+            if text is not None:
+                return text, attempt, None
+            error = error or "no answer"
+            if attempt < attempts:
+                time.sleep(pause * 2 ** (attempt - 1))
+        return None, attempts, error
+    finally:
+        if caller is None:
+            by.close()
 
 
 def asked(requests: DataFrame, ask: Callable[[dict], str], body: Callable[[dict], dict], at_once: int = 8, attempts: int = 3, timeout: float = 60.0, pause: float = 0.2) -> DataFrame:
@@ -153,22 +180,35 @@ def asked(requests: DataFrame, ask: Callable[[dict], str], body: Callable[[dict]
     the last failed attempt, or if the answer has no ``matches``.
     """
 
-    def one(row: dict) -> tuple:
+    def one(row: dict, caller: Caller) -> tuple:
         def call() -> str:
             text = matching.output_text(ask(body(row)))
             if "matches" not in json.loads(text or "{}"):
                 raise ValueError("empty answer")
             return text
 
-        return (row["_row"], *patiently(call, attempts, timeout, pause))
+        return (row["_row"], *patiently(call, attempts, timeout, pause, caller))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("_row", pa.int64()), ("text", pa.string()), ("attempts", pa.int32()), ("error", pa.string())])
+        free: queue.SimpleQueue = queue.SimpleQueue()
+        for _ in range(at_once):
+            free.put(Caller())
+
+        def served(row: dict) -> tuple:
+            caller = free.get()
+            try:
+                return one(row, caller)
+            finally:
+                free.put(caller)
+
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
                 for at in range(0, batch.num_rows, 8 * at_once):
-                    rows = list(pool.map(one, batch.slice(at, 8 * at_once).to_pylist()))
+                    rows = list(pool.map(served, batch.slice(at, 8 * at_once).to_pylist()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+        for _ in range(at_once):
+            free.get().close()
 
     return requests.mapInArrow(run, ASKED)
 
@@ -181,15 +221,16 @@ def match_each(resumes: DataFrame, jobs: DataFrame, ask: Callable[[dict], str],
     request fails gets its best postings by overlap instead, as many as the
     matcher would have been told. Null text counts as empty. Answers are stored
     before they are read, so no request goes out again for a later stage.
+    Résumés are dealt to tasks by their number before anything slow.
     """
     work = work or Work(jobs.sparkSession, "asked")
     none = F.array().cast("array<string>")
     jobs = jobs.withColumn("skills", F.coalesce("skills", none))
-    people = resumes.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("skills", skills.detect(F.col("text")))
-    people = work.save(people.withColumn("_row", F.monotonically_increasing_id()), "resumes")
+    people = work.save(resumes.select("id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row")), "resumes")
+    each = tables.dealt(people, "_row")
     told = [r.asDict(recursive=True) for r in matching.prompt_rows(jobs, "").collect()]  # at most fifteen
     scores = [scoring.match_score(F.size(F.array_intersect("skills", _texts(t["skills"]))), F.lit(len(t["skills"]))) for t in told]
-    requests = people.select("_row", scoring.truncated(F.col("text"), matching.PROMPT_RESUME).alias("resume"), (F.array(*scores) if scores else F.array().cast("array<int>")).alias("scores"))
+    requests = each.withColumn("skills", skills.detect(F.col("text"))).select("_row", scoring.truncated(F.col("text"), matching.PROMPT_RESUME).alias("resume"), (F.array(*scores) if scores else F.array().cast("array<int>")).alias("scores"))
 
     def body(row: dict) -> dict:
         return matching.request([{**t, "baselineScore": s} for t, s in zip(told, row["scores"])], row["resume"], model)
@@ -205,8 +246,8 @@ def match_each(resumes: DataFrame, jobs: DataFrame, ask: Callable[[dict], str],
         "resume_id", F.lit(f"OPENAI:{model}").alias("method"), F.row_number().over(best).alias("rank"), F.col("jobId").alias("job_id"), "score",
         F.coalesce(F.size("matchedSkills"), F.lit(0)).alias("matched"), F.coalesce(F.size("missingSkills"), F.lit(0)).alias("missing"), F.coalesce("summary", F.lit("")).alias("summary"),
     )
-    failed = people.join(answers.where("text is null").select("_row"), "_row", "left_semi")
-    plain = best_matches(failed.select("id", "skills"), jobs, matching.PROMPT_JOBS, work=Work(jobs.sparkSession, "fallback"))
+    failed = each.join(answers.where("text is null").select("_row"), "_row", "left_semi")
+    plain = best_matches(failed.select("id", skills.detect(F.col("text")).alias("skills")), jobs, matching.PROMPT_JOBS, work=Work(jobs.sparkSession, "fallback"))
     plain = plain.select("resume_id", F.lit("DETERMINISTIC").alias("method"), "rank", "job_id", "score", "matched", (F.col("wanted") - F.col("matched")).alias("missing"), scoring.match_summary(F.col("matched"), F.col("wanted")).alias("summary"))
     return judged.unionByName(plain)
 

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 2_000
+
+
+def dealt(rows: DataFrame, key: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Rows by a unique key over as many tasks as there are ``rows_a_task``, for a step that takes long for a row.
+
+    Tasks follow bytes otherwise: a file of a few megabytes is one task's, however many rows it has.
+    """
+    return rows.repartition(max(1, -(-rows.count() // rows_a_task)), key)
+
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a given order."""

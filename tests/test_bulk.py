@@ -4,9 +4,11 @@ import csv
 import glob
 import json
 import random
+import threading
 import time
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lodestone import catalog
@@ -118,6 +120,34 @@ def test_match_each_falls_back_row_by_row(spark):
     assert out.where("resume_id = 2 and rank = 15").first()["score"] == 35
 
 
+def test_match_each_deals_a_single_partition_to_tasks(spark):
+    texts = spark.range(4_001).coalesce(1).select("id", F.lit("Java").alias("text"))
+
+    def ask(body):
+        found = [{"jobId": "j0", "score": 1, "matchedSkills": [], "missingSkills": [], "summary": str(TaskContext.get().partitionId())}]
+        return json.dumps({"output": [{"content": [{"type": "output_text", "text": json.dumps({"matches": found})}]}]})
+
+    out = bulk_matching.match_each(texts, jobs(spark, [("j0", "t", ["Java"])]), ask, "m", pause=0.0)
+    assert out.count() == out.select("resume_id").distinct().count() == 4_001
+    assert out.select("summary").distinct().count() == 3
+
+
+def test_a_caller_keeps_its_thread_until_a_call_is_late():
+    caller, seen = bulk_matching.Caller(), []
+
+    def call():
+        seen.append(threading.get_ident())
+        if len(seen) == 2:
+            raise OSError("busy")
+        if len(seen) == 3:
+            time.sleep(2)
+        return "x"
+
+    assert [bulk_matching.patiently(call, 1, 0.5, 0, caller) for _ in range(4)] == [("x", 1, None), (None, 1, "OSError: busy"), (None, 1, "timeout"), ("x", 1, None)]
+    assert seen[0] == seen[1] == seen[2] != seen[3]
+    caller.close()
+
+
 def postings(spark, n):
     return catalog.order_postings(spark, "/root/testdata/sf0.001").limit(n)
 
