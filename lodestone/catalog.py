@@ -721,8 +721,9 @@ def posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     structured = F.concat(F.lit('<html><head><script type=" Application/LD+JSON ">'), ld, F.lit("</script></head><body><h1>x</h1></body></html>"))
     plain = F.concat(F.lit("<html><body><h1>Data Engineer "), k.cast("string"), F.lit('</h1><div class="the-Job-Location">Hall '), F.col("p_size").cast("string"), F.lit(f"</div><main>{_FILLER} SQL</main></body></html>"))
-    pages = read(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 3 == 2, "https://firm.example/about").otherwise(F.concat(F.lit("https://www.firm.example/jobs/"), k.cast("string"))).alias("url"), F.when(k % 3 == 0, structured).otherwise(plain).alias("html"))
-    p = pages.select("id", postings.posting(F.col("url"), F.col("html")).alias("p")).where("p is not null")
+    parts = tables.dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    pages = parts.select(k.alias("id"), F.when(k % 3 == 2, "https://firm.example/about").otherwise(F.concat(F.lit("https://www.firm.example/jobs/"), k.cast("string"))).alias("url"), F.when(k % 3 == 0, structured).otherwise(plain).alias("html"))
+    p = postings.posted(pages, "id")
     return p.select("id", "p.title", "p.company", "p.location", F.array_join(F.array_sort("p.skills"), ",").alias("skills"), "p.experience", "p.employment_type", "p.extraction_method")
 
 

@@ -43,3 +43,10 @@ def test_query(spark, duck, name):
 def test_every_operator_has_rows():
     assert len(catalog.QUERIES) > 50
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
+
+
+def test_posting_extract_parses_each_page_once_in_many_tasks(spark):
+    """20,000 parts of one small file; the filter on the result has no parse of its own."""
+    df = catalog.posting_extract(spark, "/root/testdata/sf0.1")
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert df.rdd.getNumPartitions() == 10
