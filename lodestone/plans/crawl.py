@@ -226,7 +226,7 @@ def numbered(work: Work, rows: DataFrame, order: list[str], start: int, name: st
     first, upto = {}, start
     for r in sizes:
         first[r["_part"]], upto = upto, upto + r["n"]
-    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (first or {0: 0}).items() for x in kv]), part)
+    base = F.get(F.array(*(F.lit(first.get(k, 0)).cast("long") for k in range(max(first, default=0) + 1))), part.cast("int"))  # a map is searched from its start for every row
     return ranged.withColumn("number", base + place).drop("_at"), upto - start
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.plans.crawl import numbered
 from lodestone.plans.work import Work
@@ -35,7 +36,8 @@ def write_document(postings: DataFrame, path: str, kind: str, rows_a_part: int =
         value = F.concat(F.when(n == 1, export.CSV_HEADER + "\r\n").otherwise(nothing), F.col("line"), F.lit("\r"))
         empty = export.CSV_HEADER + "\r"
     if total:
-        out = rows.repartitionByRange(-(-total // rows_a_part), "number").sortWithinPartitions("number").select(value.alias("value"))
+        place = F.floor((n - 1) / rows_a_part).cast("int")  # known, so no sample of the numbers is taken
+        out = rows.repartitionById(-(-total // rows_a_part), place).sortWithinPartitions("number").select(value.alias("value"))
     else:
         out = postings.sparkSession.createDataFrame([(empty,)], "value string")
     out.write.mode("overwrite").text(path, lineSep="\n")
@@ -44,7 +46,15 @@ def write_document(postings: DataFrame, path: str, kind: str, rows_a_part: int =
 
 
 def document_lines(spark: SparkSession, path: str, work: Work | None = None) -> DataFrame:
-    """``(number, line)`` of a written document, in its order, from 1; line ends are left out."""
+    """``(number, line)`` of a written document, in its order, from 1; line ends are left out.
+
+    A piece of a file comes in its order, so the sizes of the pieces, a row
+    each, number the lines where they are.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.rtrim("value", F.lit("\r")).alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    return numbered(work or Work(spark, "lines"), lines, ["file", "start", "at"], 1, "read")[0].select("number", "line")
+    lines = (work or Work(spark, "lines")).save(lines, "read")
+    pieces = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(F.broadcast(pieces), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("number"), "line")

@@ -168,6 +168,27 @@ def test_documents_over_several_files(spark, tmp_path):
     assert rows[0][0] == "title" and [r[6].rsplit("/", 1)[1] for r in rows[1:]] == want
 
 
+def test_parts_are_even_and_lines_are_numbered_in_place(spark, tmp_path):
+    path = f"file://{tmp_path}/csv"
+    documents.write_document(postings(spark, 100), path, "csv", rows_a_part=30)
+    sizes = [open(p, "rb").read().count(b"\r\n") for p in sorted(glob.glob(f"{tmp_path}/csv/part-*"))]
+    assert sizes == [31, 30, 30, 10]
+    lines = documents.document_lines(spark, path)
+    assert "rangepartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [r["line"] for r in sorted(lines.collect())] == joined(f"{tmp_path}/csv").split("\r\n")[:-1]
+
+
+def test_lines_of_one_file_in_many_pieces(spark, tmp_path):
+    (tmp_path / "part-00000.txt").write_bytes(b"".join(b"line %d\r\n" % k for k in range(1, 20_001)))
+    (tmp_path / "part-00001.txt").write_bytes(b"line 20001\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = documents.document_lines(spark, f"file://{tmp_path}")
+        assert got.count() == 20_001 and got.where("line != concat('line ', number)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_documents_of_nothing_and_of_one(spark, tmp_path):
     for n in (0, 1):
         assert documents.write_document(postings(spark, n), f"file://{tmp_path}/json{n}", "json") == n
